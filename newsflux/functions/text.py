@@ -87,12 +87,12 @@ def html_text(x) -> Column:
 
 def fmt2(x) -> Column:
     """F12 ``"{:.2f}"`` (no grouping, Python rounding of the binary value)."""
-    return F.format_number(_c(x), "0.00")
+    return F.call_function("format_number", _c(x), F.lit("0.00"))
 
 
 def fmt2_signed(x) -> Column:
     """F12 ``"{:+.2f}"``."""
-    return F.format_number(_c(x), "+0.00;-0.00")
+    return F.call_function("format_number", _c(x), F.lit("+0.00;-0.00"))
 
 
 def delete_at(arr, idx) -> Column:

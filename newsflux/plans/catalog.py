@@ -171,3 +171,298 @@ def br_lines(spark, sf_dir):
     d = t.documents("doc_id", "text")
     return (d.select("doc_id", F.posexplode(F.split(T.strip_ws("text"), "\n")).alias("line_no", "line"))
             .select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line"))
+
+
+# --- phase 3/4: stocks, quotes, profiles, holders, feeds --------------------
+
+from ..operators import holders as H  # noqa: E402
+from ..operators import profiles as M  # noqa: E402
+from ..sources import feeds  # noqa: E402
+
+
+def _stocks(t: Tables) -> DataFrame:
+    return feeds.code_table(derived.code_lines(t))
+
+
+@query
+def code_table(spark, sf_dir):
+    """Code:name file -> table, bad lines skipped, later line wins."""
+    return _stocks(Tables(spark, sf_dir)).select("code", "name")
+
+
+@query
+def asset_class(spark, sf_dir):
+    """Quote URL and asset class of every listed code."""
+    s = _stocks(Tables(spark, sf_dir))
+    return s.select("code", U.code_url("code").alias("quote_url"), U.asset_class("code").alias("asset"))
+
+
+@query
+def code_from_url(spark, sf_dir):
+    """Stock-list links -> (market, id, name); codes of length 8 only."""
+    links = derived.stock_links(Tables(spark, sf_dir))
+    code = U.code_from_link("href")
+    return (links.select("line_no", "href", "label", code.alias("code"))
+            .where(F.length("code") == 8)
+            .select("line_no", F.substring("code", 1, 2).alias("market"),
+                    F.substring("code", 3, 6).alias("stock_id"),
+                    U.name_from_label("label").alias("stock_name"),
+                    F.substring("href", -11, 6).alias("id6")))
+
+
+def _probes(t: Tables) -> DataFrame:
+    """Lookup inputs: by code, by (shared) name, or an unknown code."""
+    li = t.lineitem("l_orderkey", "l_linenumber", "l_partkey")
+    p = t.part("p_partkey", "p_name")
+    j = li.join(p, F.col("l_partkey") == F.col("p_partkey"))
+    m = F.col("l_linenumber") % 3
+    q = (F.when(m == 0, derived.stock_code("l_partkey")).when(m == 1, F.col("p_name"))
+         .otherwise(F.concat(F.lit("szx"), F.col("l_partkey").cast("string"))))
+    return j.select("l_orderkey", "l_linenumber", q.alias("q"))
+
+
+@query
+def stock_lookup(spark, sf_dir):
+    """Code or name -> stock code; no match -> no row."""
+    t = Tables(spark, sf_dir)
+    return M.stock_lookup(_probes(t), _stocks(t)).select("l_orderkey", "l_linenumber", "q", "code")
+
+
+@query
+def stock_insert_if_absent(spark, sf_dir):
+    """Codes first seen in lineitem that the stored list (parts of
+    size <= 25) lacks, stamped with the first sighting hour."""
+    t = Tables(spark, sf_dir)
+    base = t.part("p_partkey", "p_size").where(F.col("p_size") <= 25).select(
+        derived.stock_code("p_partkey").alias("code"))
+    delta = t.lineitem("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate").select(
+        derived.stock_code("l_partkey").alias("code"), "l_shipdate", "l_orderkey", "l_linenumber")
+    ins = keyed.insert_if_absent(delta, base, "code", ["l_shipdate", "l_orderkey", "l_linenumber"],
+                                 stamp=F.date_format("l_shipdate", "yyyyMMdd:HH"),
+                                 stamp_name="stock_insert_time")
+    return ins.select("code", "l_orderkey", "l_linenumber", "stock_insert_time")
+
+
+def _watchlist(t: Tables) -> DataFrame:
+    return M.watchlist(derived.watch_adds(t))
+
+
+@query
+def watchlist_named(spark, sf_dir):
+    """Every customer's watchlist in add order with stock names."""
+    t = Tables(spark, sf_dir)
+    w = _watchlist(t)
+    return (w.join(_stocks(t), "code", "left")
+            .select("user_id", "pos", "code", "name"))
+
+
+@query
+def watchlist_quotes(spark, sf_dir):
+    """Quote report line per watched stock, add order kept."""
+    t = Tables(spark, sf_dir)
+    qs = feeds.quotes(derived.quote_lines(t))
+    w = _watchlist(t).join(qs, "code")
+    report = F.concat(F.col("pos").cast("string"), F.lit(". "), F.col("name"),
+                      F.lit("\n当前价格："), T.fmt2("current"),
+                      F.lit("\t跌涨幅："), T.fmt2_signed("delta"),
+                      F.lit(" ("), T.fmt2_signed("percent"), F.lit(")%"))
+    return w.select("user_id", "pos", "code", report.alias("report"))
+
+
+def _holder_pairs(t: Tables) -> DataFrame:
+    attrs = derived.holder_attrs(t).withColumn(
+        "userid", H.holder_id("name", "sex", "age", "edu"))
+    return derived.holder_pairs(t).join(attrs, F.col("l_suppkey") == F.col("s_suppkey"))
+
+
+HOLDER_ATTRS = ["name", "sex", "age", "edu", "duty"]
+
+
+@query
+def holder_upsert(spark, sf_dir):
+    """Holder documents = stored snapshot upserted with the delta."""
+    t = Tables(spark, sf_dir)
+    pairs = _holder_pairs(t)
+    seq = ["l_orderkey", "l_linenumber"]
+    base = H.rollup(pairs.where("in_base"), "userid", "stock_id", seq, HOLDER_ATTRS)
+    delta = H.rollup(pairs.where(~F.col("in_base")), "userid", "stock_id", seq, HOLDER_ATTRS)
+    out = H.upsert(base, delta, "userid", HOLDER_ATTRS)
+    return out.select("userid", "name", "sex", "age", "edu", "duty",
+                      F.col("n_items").alias("n_stocks"),
+                      F.col("first_item").alias("first_stock"), F.col("last_item").alias("last_stock"))
+
+
+@query
+def stock_holders(spark, sf_dir):
+    """A2/K4: holder ids per stock in arrival order (append-only, duplicates kept)."""
+    t = Tables(spark, sf_dir)
+    pairs = _holder_pairs(t)
+    r = H.rollup(pairs, "stock_id", "userid", ["l_orderkey", "l_linenumber"], [])
+    return r.select("stock_id", F.col("n_items").alias("n_holders"),
+                    F.col("first_item").alias("first_holder"), F.col("last_item").alias("last_holder"))
+
+
+@query
+def holder_ids(spark, sf_dir):
+    """deterministic holder id per supplier."""
+    a = derived.holder_attrs(Tables(spark, sf_dir))
+    return a.select("s_suppkey", H.holder_id("name", "sex", "age", "edu").alias("userid"))
+
+
+@query
+def manager_json(spark, sf_dir):
+    """Manager payloads (ten suppliers per company) -> person rows."""
+    t = Tables(spark, sf_dir)
+    a = derived.holder_attrs(t)
+    grp = F.floor(F.col("s_suppkey") / 10)
+    url = F.concat(F.lit("http://f10.example.com/CompanyManagementAjax?code=sh"),
+                   F.lpad(grp.cast("string"), 6, "0"))
+    person = F.struct(F.col("name").alias("xm"), F.col("sex").alias("xb"), F.col("age").alias("nl"),
+                      F.col("edu").alias("xl"), F.col("duty").alias("zw"),
+                      F.col("start_time").alias("rzsj"), F.col("intro").alias("jj"))
+    payloads = (a.groupBy(url.alias("url"))
+                .agg(F.to_json(F.struct(F.struct(F.collect_list(person).alias("RptManagerList"))
+                                        .alias("Result"))).alias("payload")))
+    rows = feeds.manager_rows(payloads, keep=("url",))
+    return rows.select(F.substring("url", -8, 8).alias("stock_id"), "name", "sex", "age", "edu",
+                       "duty", "start_time", "intro",
+                       H.holder_id("name", "sex", "age", "edu").alias("userid"))
+
+
+@query
+def comment_counts(spark, sf_dir):
+    """Comment counters from captured text, -1 when missing or not a number."""
+    e = Tables(spark, sf_dir).events("event_id", "event_type", "value", "props")
+    c_text = F.when(F.col("event_type") != "error", F.get_json_object("props", "$.k"))
+    p_text = F.when(F.col("event_type") == "signup", F.lit("n/a")).otherwise(
+        F.floor("value").cast("bigint").cast("string"))
+    return e.select("event_id",
+                    F.coalesce(c_text.try_cast("int"), F.lit(-1)).alias("commenters"),
+                    F.coalesce(p_text.try_cast("int"), F.lit(-1)).alias("participants"))
+
+
+@query
+def feed_minutes(spark, sf_dir):
+    """JSON feed pages (50 rows each) -> (url, title, pb_time)."""
+    e = Tables(spark, sf_dir).events("event_id", "ts", "user_id", "event_type")
+    row = F.struct(F.concat(F.lit("https://feed.example.com/a/"), F.col("event_id").cast("string")).alias("url"),
+                   F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("title"),
+                   F.unix_seconds(F.col("ts").cast("timestamp")).cast("string").alias("mtime"))
+    pages_ = (e.groupBy(F.floor(F.col("event_id") / 50).alias("page"))
+              .agg(F.to_json(F.struct(F.struct(F.collect_list(row).alias("data")).alias("result")))
+                   .alias("payload")))
+    rows = feeds.json_feed(pages_)
+    horizon = F.to_timestamp("pb_time", "yyyy-MM-dd HH:mm") - F.make_dt_interval(F.lit(5))
+    return rows.select("url", "title", "pb_time",
+                       F.date_format(horizon, "yyyyMMdd:HH").alias("horizon_hour"))
+
+
+def _registrations(t: Tables) -> DataFrame:
+    return M.register(derived.signups(t))
+
+
+@query
+def register_users(spark, sf_dir):
+    """Registration outcome per signup event."""
+    r = _registrations(Tables(spark, sf_dir))
+    return r.select("event_id", "username", "email", "code")
+
+
+def _delete_keys(t: Tables) -> DataFrame:
+    c = t.customer("c_custkey", "c_mktsegment").where(F.col("c_mktsegment") == "BUILDING")
+    return c.select(F.concat(F.lit("user"), F.col("c_custkey").cast("string")).alias("username"))
+
+
+@query
+def delete_users(spark, sf_dir):
+    """M2/K8: profiles left after deleting the requested usernames."""
+    t = Tables(spark, sf_dir)
+    remaining, _ = keyed.delete_by_key(M.profiles_from(_registrations(t)), _delete_keys(t), "username")
+    return remaining.select("username", "email")
+
+
+@query
+def deleted_count(spark, sf_dir):
+    """Number of profiles removed by the delete requests."""
+    t = Tables(spark, sf_dir)
+    _, removed = keyed.delete_by_key(M.profiles_from(_registrations(t)), _delete_keys(t), "username")
+    return removed.agg(F.count(F.lit(1)).alias("n_deleted"))
+
+
+@query
+def update_profile(spark, sf_dir):
+    """M3/K7: set the email of profiles named in the customer delta."""
+    t = Tables(spark, sf_dir)
+    base = M.profiles_from(_registrations(t))
+    c = t.customer("c_custkey", "c_name", "c_acctbal").where(F.col("c_acctbal") > 5000)
+    delta = c.select(F.concat(F.lit("user"), F.col("c_custkey").cast("string")).alias("username"),
+                     F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))),
+                              F.lit("@example.org")).alias("email"))
+    return keyed.update_by_key(base, delta, "username", ["email"]).select("username", "email")
+
+
+@query
+def recent_reads(spark, sf_dir):
+    """Newest 50 reads per user (every crawl event is a read)."""
+    t = Tables(spark, sf_dir)
+    titles = t.pages("page_id", "html").select("page_id", P.heading("html").alias("title"))
+    reads = derived.crawl_log(t).select("user_id", "ts", "event_id", "url", "page_id")
+    top = M.recent_reads(reads)
+    return top.join(titles, "page_id").select("user_id", "pos", "event_id", "url", "title")
+
+
+def _tag_events(t: Tables) -> DataFrame:
+    return t.events("event_id", "ts", "user_id", "event_type", "props").withColumn("k", derived.event_k())
+
+
+@query
+def tag_sets(spark, sf_dir):
+    """Sorted distinct tags per user."""
+    e = _tag_events(Tables(spark, sf_dir))
+    tags = e.select("user_id", F.concat_ws("-", "event_type", (F.col("k") % 5).cast("string")).alias("tag"))
+    s = M.tag_set(tags)
+    return s.select("user_id", F.array_join("tags", ",").alias("tags"),
+                    F.size("tags").cast("bigint").alias("n_tags"))
+
+
+@query
+def tag_replay(spark, sf_dir):
+    """M6/U4: replay of a tag add/delete log; the last action per tag wins."""
+    e = _tag_events(Tables(spark, sf_dir)).where(F.col("event_type") != "signup")
+    acts = e.select("user_id", F.concat(F.lit("t"), (F.col("k") % 7).cast("string")).alias("tag"),
+                    "ts", "event_id",
+                    F.when(F.col("event_type") == "error", "del").otherwise("add").alias("action"))
+    kept = M.replay_last_action(acts, ["user_id", "tag"], ["ts", "event_id"])
+    s = M.tag_set(kept)
+    return s.select("user_id", F.array_join("tags", ",").alias("tags"))
+
+
+@query
+def delete_by_position(spark, sf_dir):
+    """Delete the 1-based position user_id % 5 from the tag list (0 is rejected)."""
+    e = _tag_events(Tables(spark, sf_dir))
+    tags = e.select("user_id", F.concat_ws("-", "event_type", (F.col("k") % 5).cast("string")).alias("tag"))
+    s = M.tag_set(tags)
+    out = s.select("user_id", T.delete_at("tags", (F.col("user_id") % 5).cast("int")).alias("tags"))
+    return out.select("user_id", F.array_join("tags", ",").alias("tags"),
+                      F.size("tags").cast("bigint").alias("n_tags"))
+
+
+@query
+def watchlist_replay(spark, sf_dir):
+    """Watchlists from an action log: purchase adds by code, view
+    adds by name, error deletes by code; positions in add order."""
+    t = Tables(spark, sf_dir)
+    e = _tag_events(t).where(F.col("event_type").isin("purchase", "view", "error"))
+    names = t.part("p_partkey", "p_name")
+    e = e.join(names, F.col("k") == F.col("p_partkey"), "left")
+    q = F.when(F.col("event_type") == "view", F.col("p_name")).otherwise(derived.stock_code("k"))
+    acts = e.select("user_id", "ts", "event_id", "event_type", q.alias("q"))
+    stocks = _stocks(t)
+    adds = M.stock_lookup(acts.where(F.col("event_type") != "error"), stocks)
+    dels = (acts.where(F.col("event_type") == "error")
+            .groupBy("user_id", F.col("q").alias("code")).agg(F.max("ts").alias("last_del")))
+    kept = (adds.join(dels, ["user_id", "code"], "left")
+            .where(F.col("last_del").isNull() | (F.col("ts") > F.col("last_del"))))
+    w = M.watchlist(kept.select("user_id", "code", F.col("ts").alias("added_at"), "event_id"))
+    return w.select("user_id", "pos", "code")

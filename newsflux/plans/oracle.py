@@ -180,3 +180,248 @@ FROM documents"""
 ORACLE["br_lines"] = f"""
 SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, l[i] AS line
 FROM (SELECT doc_id, string_split({strip('text')}, chr(10)) AS l FROM documents), generate_series(1, len(l)) AS g(i)"""
+
+
+# --- phase 3/4 ----------------------------------------------------------------
+
+def code(k: str) -> str:
+    k = f"({k})"
+    ks = f"CAST({k} AS VARCHAR)"
+    return (f"((CASE WHEN {k} % 2 = 1 THEN 'sh' ELSE 'sz' END) || CAST({k} % 7 AS VARCHAR) || "
+            f"lpad({ks}, CAST(greatest(5, length({ks})) AS INTEGER), '0'))")
+
+
+LINES = f"""
+lines AS (
+  SELECT p_partkey AS line_no,
+         CASE WHEN p_partkey % 50 = 0 THEN {code('p_partkey')} || ':' || p_name || ':' || p_brand
+              WHEN p_partkey % 70 = 0 THEN ' ' || {code('p_partkey - 1')} || ' : ' || p_name || ' '
+              ELSE {code('p_partkey')} || ':' || p_name END AS line
+  FROM part),
+stocks AS (
+  SELECT code, arg_max(name, line_no) AS name
+  FROM (SELECT line_no, {strip('p[1]')} AS code, {strip('p[2]')} AS name
+        FROM (SELECT line_no, string_split({strip('line')}, ':') AS p FROM lines) WHERE len(p) = 2)
+  GROUP BY code),
+stock_names AS (SELECT name, min(code) AS code FROM stocks GROUP BY name)"""
+
+ORACLE["code_table"] = f"WITH {LINES.strip()}\nSELECT code, name FROM stocks"
+
+ORACLE["asset_class"] = f"""WITH {LINES.strip()}
+SELECT code, 'http://quote.example.com/' || code || '.html' AS quote_url,
+       CASE substr(code, 3, 1) WHEN '2' THEN 'bond' WHEN '5' THEN 'fund' ELSE 'stock' END AS asset
+FROM stocks"""
+
+ORACLE["code_from_url"] = rf"""
+WITH links AS (
+  SELECT p_partkey AS line_no,
+         CASE WHEN p_partkey % 40 = 0 THEN 'http://quote.example.com/list' || CAST(p_partkey AS VARCHAR) || '.html'
+              ELSE 'http://quote.example.com/' || {code('p_partkey')} || '.html' END AS href,
+         CASE WHEN p_partkey % 30 = 0 THEN p_name ELSE p_name || '(' || {code('p_partkey')} || ')' END AS label
+  FROM part),
+c AS (SELECT *, regexp_extract(href, '([^/]*)\.html$', 1) AS code FROM links)
+SELECT line_no, substr(code, 1, 2) AS market, substr(code, 3, 6) AS stock_id,
+       CASE WHEN contains(label, '(') THEN regexp_extract(label, '^(.*)\(', 1) ELSE label END AS stock_name,
+       substr(href, length(href) - 10, 6) AS id6
+FROM c WHERE length(code) = 8"""
+
+PROBES = f"""
+probes AS (
+  SELECT l_orderkey, l_linenumber,
+         CASE l_linenumber % 3 WHEN 0 THEN {code('l_partkey')} WHEN 1 THEN p_name
+              ELSE 'szx' || CAST(l_partkey AS VARCHAR) END AS q
+  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+ORACLE["stock_lookup"] = f"""WITH {LINES.strip()}, {PROBES.strip()}
+SELECT l_orderkey, l_linenumber, q, s.code FROM probes JOIN stocks s ON s.code = q
+WHERE starts_with(q, 'sz') OR starts_with(q, 'sh')
+UNION ALL
+SELECT l_orderkey, l_linenumber, q, n.code FROM probes JOIN stock_names n ON n.name = q
+WHERE NOT (starts_with(q, 'sz') OR starts_with(q, 'sh'))"""
+
+ORACLE["stock_insert_if_absent"] = f"""
+WITH d AS (
+  SELECT {code('l_partkey')} AS code, l_orderkey, l_linenumber, l_shipdate,
+         row_number() OVER (PARTITION BY {code('l_partkey')} ORDER BY l_shipdate, l_orderkey, l_linenumber) AS rn
+  FROM lineitem)
+SELECT code, l_orderkey, l_linenumber, strftime(l_shipdate, '%Y%m%d:%H') AS stock_insert_time
+FROM d WHERE rn = 1 AND code NOT IN (SELECT {code('p_partkey')} FROM part WHERE p_size <= 25)"""
+
+WATCH = f"""
+adds AS (
+  SELECT o_custkey AS user_id, {code('l_partkey')} AS code, o_orderdate + to_minutes(l_linenumber) AS added_at
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+wl AS (
+  SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY added_at, code) AS BIGINT) AS pos, code
+  FROM adds)"""
+
+ORACLE["watchlist_named"] = f"""WITH {LINES.strip()}, {WATCH.strip()}
+SELECT user_id, pos, wl.code, s.name FROM wl LEFT JOIN stocks s USING (code)"""
+
+
+def cents_str(c: str) -> str:
+    return f"(CAST({c} // 100 AS VARCHAR) || '.' || lpad(CAST({c} % 100 AS VARCHAR), 2, '0'))"
+
+
+ORACLE["watchlist_quotes"] = f"""WITH {WATCH.strip()},
+pc AS (SELECT p_partkey AS k, p_name, CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) AS c FROM part),
+ql AS (
+  SELECT {code('k')} AS code,
+         'var hq_str_' || {code('k')} || '="' || p_name || ',' || {cents_str('c')} || ',' ||
+         {cents_str('(CASE WHEN k % 13 = 0 THEN 0 ELSE c * 98 // 100 END)')} || ',' ||
+         {cents_str('(c * (100 + k % 11 - 5) // 100)')} || ',0,0,2024-01-02,15:00:00";' AS payload
+  FROM pc),
+qp AS (
+  SELECT code, string_split(payload, ',') AS d FROM ql),
+quotes AS (
+  SELECT code, substr(d[1], strpos(d[1], '"') + 1) AS name,
+         TRY_CAST(d[4] AS DOUBLE) AS cur, TRY_CAST(d[3] AS DOUBLE) AS prev FROM qp),
+q2 AS (
+  SELECT code, name, cur, cur - prev AS delta,
+         CASE WHEN prev > 0 THEN 100.0 * (cur - prev) / prev ELSE 0.0 END AS pct FROM quotes)
+SELECT user_id, pos, code,
+       CAST(pos AS VARCHAR) || '. ' || name || chr(10) || '当前价格：' || printf('%.2f', cur) ||
+       chr(9) || '跌涨幅：' || printf('%+.2f', delta) || ' (' || printf('%+.2f', pct) || ')%' AS report
+FROM wl JOIN q2 USING (code)"""
+
+ATTRS = """
+attrs AS (
+  SELECT s_suppkey, s_name AS name,
+         CASE WHEN s_nationkey % 2 = 0 THEN 'M' ELSE 'F' END AS sex,
+         CAST(30 + s_suppkey % 35 AS VARCHAR) AS age,
+         CASE s_nationkey % 3 WHEN 0 THEN 'PhD' WHEN 1 THEN 'MBA' ELSE 'BSc' END AS edu,
+         CASE WHEN s_acctbal > 0 THEN 'director' ELSE 'manager' END AS duty,
+         strftime(DATE '2010-01-01' + CAST(s_suppkey % 3000 AS INTEGER), '%Y-%m-%d') AS start_time,
+         'nation ' || CAST(s_nationkey AS VARCHAR) AS intro
+  FROM supplier),
+ids AS (SELECT *, substr(md5(concat_ws(chr(1), name, sex, age, edu)), 1, 16) AS userid FROM attrs)"""
+
+PAIRS = f"""{ATTRS.strip()},
+pairs AS (
+  SELECT ids.*, {code('l_partkey')} AS stock_id, l_orderkey, l_linenumber,
+         l_shipdate < TIMESTAMP '1995-01-01' AS in_base
+  FROM lineitem JOIN ids ON l_suppkey = s_suppkey)"""
+
+ORACLE["holder_upsert"] = f"""WITH {PAIRS},
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY userid ORDER BY (NOT in_base), l_orderkey, l_linenumber) AS rn,
+         count(*) OVER (PARTITION BY userid) AS n
+  FROM pairs)
+SELECT f.userid, f.name, f.sex, f.age, f.edu, f.duty, CAST(f.n AS BIGINT) AS n_stocks,
+       f.stock_id AS first_stock, l.stock_id AS last_stock
+FROM o f JOIN o l ON f.userid = l.userid AND f.rn = 1 AND l.rn = l.n"""
+
+ORACLE["stock_holders"] = f"""WITH {PAIRS}
+SELECT stock_id, CAST(count(*) AS BIGINT) AS n_holders,
+       arg_min(userid, l_orderkey * 100 + l_linenumber) AS first_holder,
+       arg_max(userid, l_orderkey * 100 + l_linenumber) AS last_holder
+FROM pairs GROUP BY stock_id"""
+
+ORACLE["holder_ids"] = f"WITH {ATTRS.strip()}\nSELECT s_suppkey, userid FROM ids"
+
+ORACLE["manager_json"] = f"""WITH {ATTRS.strip()}
+SELECT 'sh' || lpad(CAST(s_suppkey // 10 AS VARCHAR), 6, '0') AS stock_id,
+       name, sex, age, edu, duty, start_time, intro, userid
+FROM ids"""
+
+ORACLE["comment_counts"] = """
+SELECT event_id,
+       coalesce(TRY_CAST(CASE WHEN event_type <> 'error' THEN json_extract_string(props, '$.k') END AS INTEGER), -1)
+         AS commenters,
+       coalesce(TRY_CAST(CASE WHEN event_type = 'signup' THEN 'n/a'
+                              ELSE CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END AS INTEGER), -1)
+         AS participants
+FROM events"""
+
+ORACLE["feed_minutes"] = """
+SELECT 'https://feed.example.com/a/' || CAST(event_id AS VARCHAR) AS url,
+       concat_ws(' ', event_type, CAST(user_id AS VARCHAR)) AS title,
+       strftime(ts, '%Y-%m-%d %H:%M') AS pb_time,
+       strftime(date_trunc('minute', ts) - INTERVAL 5 DAY, '%Y%m%d:%H') AS horizon_hour
+FROM events"""
+
+SIGNUPS = """
+su AS (
+  SELECT event_id, ts, 'user' || CAST(user_id AS VARCHAR) AS username,
+         'u' || CAST(user_id % 100 AS VARCHAR) || '@example.com' AS email
+  FROM events WHERE event_type = 'signup'),
+ok AS (
+  SELECT * FROM su s
+  WHERE NOT EXISTS (SELECT 1 FROM su e WHERE e.email = s.email
+                    AND (e.ts < s.ts OR (e.ts = s.ts AND e.event_id < s.event_id)))),
+reg AS (
+  SELECT s.event_id, s.username, s.email,
+         CAST(CASE WHEN s.event_id IN (SELECT event_id FROM ok) THEN 1
+                   WHEN EXISTS (SELECT 1 FROM ok WHERE ok.username = s.username
+                                AND (ok.ts < s.ts OR (ok.ts = s.ts AND ok.event_id < s.event_id))) THEN -3
+                   ELSE -4 END AS INTEGER) AS code
+  FROM su s),
+profiles AS (SELECT username, email FROM reg WHERE code = 1),
+del_keys AS (SELECT 'user' || CAST(c_custkey AS VARCHAR) AS username FROM customer WHERE c_mktsegment = 'BUILDING')"""
+
+ORACLE["register_users"] = f"WITH {SIGNUPS.strip()}\nSELECT event_id, username, email, code FROM reg"
+
+ORACLE["delete_users"] = f"""WITH {SIGNUPS.strip()}
+SELECT username, email FROM profiles WHERE username NOT IN (SELECT username FROM del_keys)"""
+
+ORACLE["deleted_count"] = f"""WITH {SIGNUPS.strip()}
+SELECT CAST(count(*) AS BIGINT) AS n_deleted FROM profiles WHERE username IN (SELECT username FROM del_keys)"""
+
+ORACLE["update_profile"] = f"""WITH {SIGNUPS.strip()},
+d AS (SELECT 'user' || CAST(c_custkey AS VARCHAR) AS username,
+             lower(replace(c_name, '#', '.')) || '@example.org' AS email
+      FROM customer WHERE c_acctbal > 5000)
+SELECT p.username, coalesce(d.email, p.email) AS email FROM profiles p LEFT JOIN d USING (username)"""
+
+ORACLE["recent_reads"] = f"""
+WITH {CRAWL.strip()},
+r AS (
+  SELECT ev.user_id, ev.event_id, p.url, {TITLE} AS title,
+         row_number() OVER (PARTITION BY ev.user_id ORDER BY ev.ts DESC, ev.event_id DESC) AS rn
+  FROM ev JOIN pages p USING (page_id))
+SELECT user_id, CAST(rn AS BIGINT) AS pos, event_id, url, title FROM r WHERE rn <= 50"""
+
+TAGEV = """
+te AS (SELECT event_id, ts, user_id, event_type,
+              TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"""
+
+ORACLE["tag_sets"] = f"""WITH {TAGEV.strip()},
+s AS (SELECT user_id, list_sort(list_distinct(list(concat_ws('-', event_type, CAST(k % 5 AS VARCHAR))))) AS l
+      FROM te GROUP BY user_id)
+SELECT user_id, array_to_string(l, ',') AS tags, CAST(len(l) AS BIGINT) AS n_tags FROM s"""
+
+ORACLE["tag_replay"] = f"""WITH {TAGEV.strip()},
+a AS (SELECT user_id, 't' || CAST(k % 7 AS VARCHAR) AS tag, ts, event_id,
+             CASE WHEN event_type = 'error' THEN 'del' ELSE 'add' END AS action
+      FROM te WHERE event_type <> 'signup'),
+l AS (SELECT *, row_number() OVER (PARTITION BY user_id, tag ORDER BY ts DESC, event_id DESC) AS rn FROM a)
+SELECT user_id, array_to_string(list_sort(list(tag)), ',') AS tags
+FROM l WHERE rn = 1 AND action = 'add' GROUP BY user_id"""
+
+ORACLE["delete_by_position"] = f"""WITH {TAGEV.strip()},
+s AS (SELECT user_id, list_sort(list_distinct(list(concat_ws('-', event_type, CAST(k % 5 AS VARCHAR))))) AS l
+      FROM te GROUP BY user_id),
+d AS (SELECT user_id,
+             CASE WHEN user_id % 5 < 1 OR user_id % 5 > len(l) THEN l
+                  ELSE list_concat(l[1:user_id % 5 - 1], l[user_id % 5 + 1:]) END AS l
+      FROM s)
+SELECT user_id, array_to_string(l, ',') AS tags, CAST(len(l) AS BIGINT) AS n_tags FROM d"""
+
+ORACLE["watchlist_replay"] = f"""WITH {LINES.strip()}, {TAGEV.strip()},
+acts AS (
+  SELECT user_id, ts, event_id, event_type,
+         CASE WHEN event_type = 'view' THEN p_name ELSE {code('k')} END AS q
+  FROM te LEFT JOIN part ON k = p_partkey
+  WHERE event_type IN ('purchase', 'view', 'error')),
+adds AS (
+  SELECT a.user_id, a.ts, a.event_id, s.code FROM acts a JOIN stocks s ON s.code = a.q
+  WHERE a.event_type <> 'error' AND (starts_with(a.q, 'sz') OR starts_with(a.q, 'sh'))
+  UNION ALL
+  SELECT a.user_id, a.ts, a.event_id, n.code FROM acts a JOIN stock_names n ON n.name = a.q
+  WHERE a.event_type <> 'error' AND NOT (starts_with(a.q, 'sz') OR starts_with(a.q, 'sh'))),
+dels AS (SELECT user_id, q AS code, max(ts) AS last_del FROM acts WHERE event_type = 'error' GROUP BY ALL),
+kept AS (
+  SELECT adds.* FROM adds LEFT JOIN dels USING (user_id, code)
+  WHERE dels.last_del IS NULL OR adds.ts > dels.last_del)
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, code) AS BIGINT) AS pos, code
+FROM kept"""

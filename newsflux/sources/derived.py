@@ -50,3 +50,89 @@ def code_lines(t: Tables) -> DataFrame:
             .when(k % 70 == 0, F.concat(F.lit(" "), stock_code(k - 1), F.lit(" : "), "p_name", F.lit(" ")))
             .otherwise(F.concat(stock_code(k), F.lit(":"), "p_name")))
     return p.select(k.alias("line_no"), line.alias("line"))
+
+
+def stock_links(t: Tables, base: str = "http://quote.example.com/") -> DataFrame:
+    """Stock-list page links as (line_no, href, label): label ``name(code)``;
+    every 40th link is not a quote page (code length != 8); every 30th label
+    has no '('."""
+    p = t.part("p_partkey", "p_name")
+    k = F.col("p_partkey")
+    href = (F.when(k % 40 == 0, F.concat(F.lit(base), F.lit("list"), k.cast("string"), F.lit(".html")))
+            .otherwise(F.concat(F.lit(base), stock_code(k), F.lit(".html"))))
+    label = (F.when(k % 30 == 0, F.col("p_name"))
+             .otherwise(F.concat("p_name", F.lit("("), stock_code(k), F.lit(")"))))
+    return p.select(k.alias("line_no"), href.alias("href"), label.alias("label"))
+
+
+def _cents_str(c) -> Column:
+    """Integer cents -> ``d.dd`` text."""
+    return F.concat(F.floor(c / 100).cast("string"), F.lit("."),
+                    F.lpad((c % 100).cast("string"), 2, "0"))
+
+
+def quote_lines(t: Tables) -> DataFrame:
+    """Quote payloads ``var hq_str_<code>="name,open,prev,cur,…";`` per part;
+    every 13th previous close is 0."""
+    p = t.part("p_partkey", "p_name", "p_retailprice")
+    k = F.col("p_partkey")
+    c = F.floor(F.col("p_retailprice") * 100 + 0.5)
+    prev = F.when(k % 13 == 0, F.lit(0)).otherwise(F.floor(c * 98 / 100))
+    cur = F.floor(c * (100 + k % 11 - 5) / 100)
+    payload = F.concat(F.lit("var hq_str_"), stock_code(k), F.lit('="'), "p_name", F.lit(","),
+                       _cents_str(c), F.lit(","), _cents_str(prev), F.lit(","), _cents_str(cur),
+                       F.lit(",0,0,2024-01-02,15:00:00\";"))
+    return p.select(stock_code(k).alias("code"), payload.alias("payload"))
+
+
+def watch_adds(t: Tables) -> DataFrame:
+    """Watchlist additions: each line of an order adds its part's stock to the
+    customer's list at ``o_orderdate + l_linenumber minutes``."""
+    o = t.orders("o_orderkey", "o_custkey", "o_orderdate")
+    li = t.lineitem("l_orderkey", "l_linenumber", "l_partkey")
+    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.select(F.col("o_custkey").alias("user_id"), stock_code("l_partkey").alias("code"),
+                    (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("l_linenumber")))
+                    .alias("added_at"))
+
+
+def holder_attrs(t: Tables) -> DataFrame:
+    """Company-manager attributes per supplier (name, sex, age, edu, duty,
+    start_time, intro)."""
+    s = t.supplier("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    k = F.col("s_suppkey")
+    return s.select(
+        "s_suppkey",
+        F.col("s_name").alias("name"),
+        F.when(F.col("s_nationkey") % 2 == 0, "M").otherwise("F").alias("sex"),
+        (F.lit(30) + k % 35).cast("string").alias("age"),
+        F.when(F.col("s_nationkey") % 3 == 0, "PhD").when(F.col("s_nationkey") % 3 == 1, "MBA")
+        .otherwise("BSc").alias("edu"),
+        F.when(F.col("s_acctbal") > 0, "director").otherwise("manager").alias("duty"),
+        F.date_format(F.date_add(F.lit("2010-01-01").cast("date"), (k % 3000).cast("int")), "yyyy-MM-dd")
+        .alias("start_time"),
+        F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("intro"))
+
+
+def holder_pairs(t: Tables) -> DataFrame:
+    """Holder -> stock records in arrival order ``(l_orderkey, l_linenumber)``;
+    rows shipped before 1995 form the stored snapshot, the rest the delta."""
+    li = t.lineitem("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    return li.select("l_suppkey", stock_code("l_partkey").alias("stock_id"),
+                     "l_orderkey", "l_linenumber",
+                     (F.col("l_shipdate") < F.lit("1995-01-01").cast("timestamp_ntz")).alias("in_base"))
+
+
+def signups(t: Tables) -> DataFrame:
+    """signup events -> (event_id, ts, username, email); email depends on
+    user_id % 100, so two users can share one."""
+    e = t.events("event_id", "ts", "user_id", "event_type").where(F.col("event_type") == "signup")
+    return e.select("event_id", "ts",
+                    F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("username"),
+                    F.concat(F.lit("u"), (F.col("user_id") % 100).cast("string"), F.lit("@example.com"))
+                    .alias("email"))
+
+
+def event_k() -> Column:
+    """The integer ``k`` of an event's JSON props."""
+    return F.get_json_object("props", "$.k").try_cast("bigint")
