@@ -466,3 +466,90 @@ def watchlist_replay(spark, sf_dir):
             .where(F.col("last_del").isNull() | (F.col("ts") > F.col("last_del"))))
     w = M.watchlist(kept.select("user_id", "code", F.col("ts").alias("added_at"), "event_id"))
     return w.select("user_id", "pos", "code")
+
+
+# --- phase 6: corpus and vectors ---------------------------------------------
+
+from ..operators import vectors as V  # noqa: E402
+
+# fixed values: stored sources that feed the corpus (not sina, not the stock site)
+CORPUS_SINKS = ["wallstreet", "hexun", "sina_roll", "tencent"]
+
+
+def _corpus_articles(spark, t: Tables) -> DataFrame:
+    """(source, doc_key, title, paras) from every table that holds text."""
+    none = F.lit(None).cast("string")
+    docs = (t.documents("doc_id", "text", "source")
+            .join(F.broadcast(routes_df(spark)), "source")
+            .where(F.col("target").isin(CORPUS_SINKS)))
+    dl = F.split("text", "\n")
+    d = docs.select(F.col("target").alias("source"), F.col("doc_id").alias("doc_key"),
+                    F.get(dl, 0).alias("title"),
+                    F.slice(dl, 2, F.greatest(F.size(dl) - 1, F.lit(0))).alias("paras"))
+    pg = P.page_articles(t.pages("page_id", "url", "html")).select(
+        F.lit("pages").alias("source"), F.col("page_id").alias("doc_key"), "title",
+        F.col("blocks").alias("paras"))
+    bm = t.benchmark("item_id", "text").select(
+        F.lit("benchmark").alias("source"), F.col("item_id").alias("doc_key"), none.alias("title"),
+        F.split("text", "\n").alias("paras"))
+    cv = t.conversations("conv_id", "turn", "text").select(
+        F.lit("conversations").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_key"),
+        none.alias("title"), F.split("text", "\n").alias("paras"))
+    return d.unionByName(pg).unionByName(bm).unionByName(cv)
+
+
+def _corpus(spark, sf_dir) -> DataFrame:
+    return V.corpus_lines(_corpus_articles(spark, Tables(spark, sf_dir)))
+
+
+@query
+def corpus_lines(spark, sf_dir):
+    """Segmented title and paragraph lines per source."""
+    return _corpus(spark, sf_dir).select("source", "doc_key", "line_no", "line")
+
+
+@query
+def corpus_mixed(spark, sf_dir):
+    """Page paragraph lists mixing strings and [href, link] pairs, flattened."""
+    t = Tables(spark, sf_dir)
+    pg = t.pages("page_id", "url", "html")
+    blocks = P.paragraphs(P.article_inner("html"))
+    pairs = F.transform(P.links("html"), lambda h: F.array(h, U.resolve(h, F.col("url"))))
+    bj, pj = F.to_json(F.coalesce(blocks, F.array().cast("array<string>"))), F.to_json(pairs)
+    inner_b = F.expr("substring(bj, 2, length(bj) - 2)")
+    inner_p = F.expr("substring(pj, 2, length(pj) - 2)")
+    js = (pg.select("page_id", bj.alias("bj"), pj.alias("pj"))
+          .select(F.col("page_id").alias("doc_key"),
+                  F.concat(F.lit("["), F.concat_ws(",", F.when(inner_b != "", inner_b),
+                                                   F.when(inner_p != "", inner_p)), F.lit("]"))
+                  .alias("paras_json")))
+    return V.mixed_pieces(js).select(F.col("doc_key").alias("page_id"), "pos", "sub", "piece")
+
+
+@query
+def vocabulary(spark, sf_dir):
+    """Words with at least 5 occurrences in the corpus."""
+    return V.vocabulary(_corpus(spark, sf_dir)).select("word", F.col("n").cast("bigint").alias("n"))
+
+
+@query
+def word_vectors(spark, sf_dir):
+    """Word2Vec (128 dims, window 5, min count 5) over the corpus."""
+    model = V.train(_corpus(spark, sf_dir))
+    return V.model_vectors(model).select("word", F.size("vector").cast("bigint").alias("dim"))
+
+
+@query
+def word_lookup(spark, sf_dir):
+    """Word -> vector with a zero default; probes beyond the table get zeros."""
+    t = Tables(spark, sf_dir)
+    emb = t.embeddings("vec_id", "embedding")
+    vecs = emb.select(F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"),
+                      F.col("embedding").alias("vector"))
+    dim = emb.select(F.max(F.size("embedding"))).scalar()
+    probes = t.events("event_id", "user_id", "props").select(
+        "event_id", F.concat(F.lit("w"), (derived.event_k() * 7 + F.col("user_id")).cast("string")).alias("word"))
+    out = V.lookup(probes, vecs, dim)
+    return out.select("event_id", "word", "found", F.size("vector").cast("bigint").alias("dim"),
+                      F.get("vector", 0).cast("double").alias("v_first"),
+                      F.element_at("vector", -1).cast("double").alias("v_last"))

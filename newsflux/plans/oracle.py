@@ -425,3 +425,70 @@ kept AS (
   WHERE dels.last_del IS NULL OR adds.ts > dels.last_del)
 SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, code) AS BIGINT) AS pos, code
 FROM kept"""
+
+
+# --- phase 6 --------------------------------------------------------------------
+
+def segment(x: str) -> str:
+    return f"array_to_string({split_ws(x)}, ' ')"
+
+
+CORPUS = f"""
+art AS (
+  SELECT CASE source WHEN 'src0' THEN 'wallstreet' WHEN 'src1' THEN 'hexun'
+                     WHEN 'src3' THEN 'sina_roll' WHEN 'src4' THEN 'tencent' END AS source,
+         doc_id AS doc_key, string_split(text, chr(10))[1] AS title, string_split(text, chr(10))[2:] AS paras
+  FROM documents WHERE source IN ('src0', 'src1', 'src3', 'src4')
+  UNION ALL
+  SELECT 'pages', page_id, {TITLE}, {BLOCKS} FROM pages
+  UNION ALL
+  SELECT 'benchmark', item_id, NULL, string_split(text, chr(10)) FROM benchmark
+  UNION ALL
+  SELECT 'conversations', conv_id * 1000 + turn, NULL, string_split(text, chr(10)) FROM conversations),
+ll AS (
+  SELECT source, doc_key,
+         list_concat(CASE WHEN length(title) > 0 THEN [title] ELSE []::VARCHAR[] END,
+                     list_filter(coalesce(paras, []::VARCHAR[]), lambda p: NOT contains(p, '//'))) AS l
+  FROM art),
+lines AS (
+  SELECT source, doc_key, CAST(i - 1 AS BIGINT) AS line_no, {segment('l[i]')} AS line
+  FROM ll, generate_series(1, len(l)) AS g(i))"""
+
+ORACLE["corpus_lines"] = f"WITH {CORPUS.strip()}\nSELECT source, doc_key, line_no, line FROM lines"
+
+ORACLE["vocabulary"] = f"""WITH {CORPUS.strip()}
+SELECT word, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT unnest({split_ws('line')}) AS word FROM lines)
+GROUP BY word HAVING count(*) >= 5"""
+
+ORACLE["corpus_mixed"] = rf"""
+WITH pg AS (
+  SELECT page_id, url, coalesce({BLOCKS}, []::VARCHAR[]) AS b,
+         regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"[^>]*>', 1) AS h
+  FROM pages),
+pieces AS (
+  SELECT page_id, CAST(i - 1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS sub, b[i] AS piece
+  FROM pg, generate_series(1, len(b)) AS g(i)
+  UNION ALL
+  SELECT page_id, CAST(len(b) + j - 1 AS BIGINT), CAST(0 AS BIGINT), h[j]
+  FROM pg, generate_series(1, len(h)) AS g(j)
+  UNION ALL
+  SELECT page_id, CAST(len(b) + j - 1 AS BIGINT), CAST(1 AS BIGINT),
+         CASE WHEN starts_with(h[j], 'http') THEN h[j]
+              WHEN starts_with(h[j], '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) || ':' || h[j]
+              WHEN starts_with(h[j], '/') THEN {_ORIGIN} || h[j]
+              WHEN starts_with(h[j], '#') OR h[j] = '' THEN regexp_extract(url, '^([^#]*)', 1) || h[j]
+              ELSE {_DIR} || h[j] END
+  FROM pg, generate_series(1, len(h)) AS g(j))
+SELECT page_id, pos, sub, piece FROM pieces WHERE NOT contains(piece, '//')"""
+
+ORACLE["word_lookup"] = """
+WITH p AS (
+  SELECT event_id, 'w' || CAST(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) * 7 + user_id AS VARCHAR) AS word
+  FROM events),
+e AS (SELECT 'w' || CAST(vec_id AS VARCHAR) AS word, embedding FROM embeddings)
+SELECT p.event_id, p.word, e.embedding IS NOT NULL AS found,
+       CAST(coalesce(len(e.embedding), (SELECT max(len(embedding)) FROM embeddings)) AS BIGINT) AS dim,
+       CAST(coalesce(e.embedding[1], 0) AS DOUBLE) AS v_first,
+       CAST(coalesce(e.embedding[len(e.embedding)], 0) AS DOUBLE) AS v_last
+FROM p LEFT JOIN e USING (word)"""
