@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 # Whitespace code points of Python's str.isspace() in the BMP.
 WS_CLASS = (r"[\t\n\x0B\f\r\x1c-\x1f \x{85}\x{A0}\x{1680}\x{2000}-\x{200a}"
             r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+# The same code points as a character set (for btrim): tab, LF, VT, FF, CR,
+# U+001C-U+001F, space, U+0085, NBSP, U+1680, U+2000-U+200A, U+2028, U+2029,
+# U+202F, U+205F, U+3000.
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+            "\u2028\u2029\u202f\u205f\u3000")
 # HTML entities seen in landed pages, decoded in this order (&amp; last so a
 # literal "&amp;lt;" is decoded once, to "&lt;").
 HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
@@ -29,8 +35,8 @@ def _c(x) -> Column:
 
 
 def strip_ws(x) -> Column:
-    """Python ``s.strip()``."""
-    return F.regexp_replace(_c(x), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    """Python ``s.strip()`` (character-set trim, no regex)."""
+    return F.btrim(_c(x), F.lit(WS_CHARS))
 
 
 def remove_multi_space(x) -> Column:
