@@ -553,3 +553,56 @@ def word_lookup(spark, sf_dir):
     return out.select("event_id", "word", "found", F.size("vector").cast("bigint").alias("dim"),
                       F.get("vector", 0).cast("double").alias("v_first"),
                       F.element_at("vector", -1).cast("double").alias("v_last"))
+
+
+# --- phase 7: streaming (oracle = the batch SQL) -----------------------------
+
+from ..sources.tables import table_path  # noqa: E402
+from ..streaming import streams as S  # noqa: E402
+
+
+def _event_stream(spark, sf_dir) -> DataFrame:
+    path = table_path(sf_dir, "events")
+    return S.file_stream(spark, path, spark.read.parquet(path).schema)
+
+
+def _crawl_stream(spark, t: Tables, pages: DataFrame) -> DataFrame:
+    n_pages = t.pages("page_id").select(F.count(F.lit(1))).scalar()
+    ev = (_event_stream(spark, t.sf_dir)
+          .withColumn("page_id", F.col("event_id") % n_pages)
+          .withColumn("run_start", F.date_trunc("DAY", "ts").cast("timestamp_ntz")))
+    return ev.join(pages, "page_id")
+
+
+@query
+def stream_articles(spark, sf_dir):
+    """Documents drained from a file stream into keyed sinks."""
+    path = table_path(sf_dir, "documents")
+    docs = S.file_stream(spark, path, spark.read.parquet(path).schema).select(
+        "doc_id", "text", "source", "lang")
+    sink = S.run_article_stream(spark, docs, routes_df(spark))
+    out = spark.read.parquet(sink)
+    return out.select("text_key", "doc_id", "source", "lang",
+                      F.lit(0).cast("bigint").alias("reads"), F.lit(0).cast("bigint").alias("n_liked"))
+
+
+@query
+def stream_pool(spark, sf_dir):
+    """Pool admissions from a crawl stream with per-URL state."""
+    t = Tables(spark, sf_dir)
+    crawls = _crawl_stream(spark, t, _pool_articles(t).select("page_id", "url"))
+    sink = S.run_pool_stream(spark, crawls.select("url", "ts", "run_start", "event_id"))
+    adm = S.read_admissions(spark, sink)
+    return adm.select("url", day_str("run_start").alias("run_day"),
+                      ts_str("db_time").alias("db_time"), "event_id")
+
+
+@query
+def stream_reads(spark, sf_dir):
+    """Per-user reading history capped at 50, kept as stream state."""
+    t = Tables(spark, sf_dir)
+    reads = _crawl_stream(spark, t, t.pages("page_id", "url")).select("user_id", "ts", "event_id", "url", "page_id")
+    sink = S.run_reads_stream(spark, reads.drop("page_id"))
+    hist = S.read_history(spark, sink)
+    titles = t.pages("page_id", "url", "html").select("url", P.heading("html").alias("title"))
+    return hist.join(titles, "url").select("user_id", "pos", "event_id", "url", "title")

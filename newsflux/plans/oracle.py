@@ -492,3 +492,7 @@ SELECT p.event_id, p.word, e.embedding IS NOT NULL AS found,
        CAST(coalesce(e.embedding[1], 0) AS DOUBLE) AS v_first,
        CAST(coalesce(e.embedding[len(e.embedding)], 0) AS DOUBLE) AS v_last
 FROM p LEFT JOIN e USING (word)"""
+
+ORACLE["stream_articles"] = ORACLE["first_write_articles"]
+ORACLE["stream_pool"] = ORACLE["candidate_admissions"]
+ORACLE["stream_reads"] = ORACLE["recent_reads"]
