@@ -606,3 +606,52 @@ def stream_reads(spark, sf_dir):
     hist = S.read_history(spark, sink)
     titles = t.pages("page_id", "url", "html").select("url", P.heading("html").alias("title"))
     return hist.join(titles, "url").select("user_id", "pos", "event_id", "url", "title")
+
+
+# --- phase 5: headers and page nodes ----------------------------------------
+
+from ..operators import extract as X  # noqa: E402
+from ..operators.headers import parse_header  # noqa: E402
+from ..sources import nodes as N  # noqa: E402
+
+
+def _headers(t: Tables) -> DataFrame:
+    """Header lines ``<name> <priority>  <date> <time> <segment>[ <clerk>][ wire]``."""
+    o = t.orders("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    c = t.customer("c_custkey", "c_name", "c_mktsegment")
+    j = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    k = F.col("o_orderkey")
+    at = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (k % 86400).cast("decimal(18,6)"))
+    src = F.concat(F.col("c_mktsegment"),
+                   F.when(k % 2 == 0, F.concat(F.lit(" clerk"), (k % 1000).cast("string"))).otherwise(F.lit("")),
+                   F.when(k % 5 == 0, F.lit(" wire")).otherwise(F.lit("")))
+    head = F.concat_ws(" ", F.col("c_name"), F.concat(F.col("o_orderpriority"), F.lit(" ")),
+                       F.date_format(at, "yyyy-MM-dd"), F.date_format(at, "HH:mm:ss"), src)
+    return j.select("o_orderkey", head.alias("header"))
+
+
+@query
+def header_parse(spark, sf_dir):
+    """Article header lines parsed from the end."""
+    h = parse_header(_headers(Tables(spark, sf_dir)), "header")
+    return h.select("o_orderkey", "title", "pb_time", "source", "author")
+
+
+@query
+def nav_links(spark, sf_dir):
+    """X3/S5/P2 over the page tokeniser: every ``li`` of the page ``nav`` -> its
+    first link, deny-listed links dropped, numbered in page order."""
+    t = Tables(spark, sf_dir)
+    nodes = N.nodes(t.pages("page_id", "html"))
+    rows = X.column_listing(nodes, tag="nav")
+    from pyspark.sql import Window
+    w = Window.partitionBy("page_id").orderBy("item")  # bounded by one page
+    return rows.select("page_id", F.row_number().over(w).cast("bigint").alias("pos"), "url")
+
+
+@query
+def page_nodes(spark, sf_dir):
+    """Tokeniser output summarised per page and tag (count, text size)."""
+    nodes = N.nodes(Tables(spark, sf_dir).pages("page_id", "html"))
+    return (nodes.groupBy("page_id", "tag")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("own")).cast("bigint").alias("own_chars")))

@@ -496,3 +496,41 @@ FROM p LEFT JOIN e USING (word)"""
 ORACLE["stream_articles"] = ORACLE["first_write_articles"]
 ORACLE["stream_pool"] = ORACLE["candidate_admissions"]
 ORACLE["stream_reads"] = ORACLE["recent_reads"]
+
+
+# --- phase 5 --------------------------------------------------------------------
+
+_HEAD_TS = "(o_orderdate + to_seconds(o_orderkey % 86400))"
+_HEAD = f"""
+h AS (
+  SELECT o_orderkey,
+         concat_ws(' ', c_name, o_orderpriority || ' ', strftime({_HEAD_TS}, '%Y-%m-%d'),
+                   strftime({_HEAD_TS}, '%H:%M:%S'),
+                   c_mktsegment || CASE WHEN o_orderkey % 2 = 0 THEN ' clerk' || CAST(o_orderkey % 1000 AS VARCHAR) ELSE '' END
+                                || CASE WHEN o_orderkey % 5 = 0 THEN ' wire' ELSE '' END) AS header
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+t AS (SELECT o_orderkey, string_split({clean('header')}, ' ') AS tk FROM h),
+k AS (
+  SELECT o_orderkey, tk, len(tk) AS n,
+         list_max(list_transform(tk[1:len(tk) - 1],
+                  lambda x, i: CASE WHEN length(x) - length(replace(x, ':', '')) = 2 THEN i END)) AS kk
+  FROM t),
+p AS (SELECT o_orderkey, tk, n, CASE WHEN kk >= 2 THEN kk END AS k FROM k)"""
+
+ORACLE["header_parse"] = f"""WITH {_HEAD.strip()}
+SELECT o_orderkey,
+       CASE WHEN k IS NOT NULL THEN array_to_string(tk[1:k - 2], '') END AS title,
+       CASE WHEN k IS NOT NULL THEN tk[k - 1] || ' ' || tk[k] END AS pb_time,
+       CASE WHEN k IS NULL THEN NULL WHEN len(tk[k + 1:]) = 2 THEN tk[k + 1] ELSE array_to_string(tk[k + 1:], ' ') END
+         AS source,
+       CASE WHEN k IS NULL THEN NULL WHEN len(tk[k + 1:]) = 2 THEN tk[k + 2] ELSE '' END AS author
+FROM p"""
+
+ORACLE["nav_links"] = r"""
+WITH n AS (SELECT page_id, regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1) AS nav FROM pages),
+li AS (SELECT page_id, string_split_regex(nav, '<li[\s>]')[2:] AS items FROM n),
+x AS (SELECT page_id, i, regexp_extract(items[i], '<a\s[^>]*?href="([^"]*)"', 1) AS url
+      FROM li, generate_series(1, len(items)) AS g(i))
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS BIGINT) AS pos, url
+FROM x WHERE url <> '' AND NOT (contains(url, 'tv.') OR contains(url, 'guba.') OR contains(url, 'blog.')
+                                 OR contains(url, 'index.html'))"""
