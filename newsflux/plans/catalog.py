@@ -655,3 +655,14 @@ def page_nodes(spark, sf_dir):
     nodes = N.nodes(Tables(spark, sf_dir).pages("page_id", "html"))
     return (nodes.groupBy("page_id", "tag")
             .agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("own")).cast("bigint").alias("own_chars")))
+
+
+@query
+def stream_profiles(spark, sf_dir):
+    """T4: tag profile kept as per-(user, tag) stream state; equals ``tag_replay``."""
+    e = _event_stream(spark, sf_dir).where(F.col("event_type") != "signup").withColumn("k", derived.event_k())
+    acts = e.select("user_id", F.concat(F.lit("t"), (F.col("k") % 7).cast("string")).alias("tag"),
+                    "ts", "event_id",
+                    F.when(F.col("event_type") == "error", "del").otherwise("add").alias("action"))
+    sink = S.run_profile_stream(spark, acts)
+    return S.read_tags(spark, sink).select("user_id", F.array_join("tags", ",").alias("tags"))

@@ -534,3 +534,4 @@ x AS (SELECT page_id, i, regexp_extract(items[i], '<a\s[^>]*?href="([^"]*)"', 1)
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS BIGINT) AS pos, url
 FROM x WHERE url <> '' AND NOT (contains(url, 'tv.') OR contains(url, 'guba.') OR contains(url, 'blog.')
                                  OR contains(url, 'index.html'))"""
+ORACLE["stream_profiles"] = ORACLE["tag_replay"]

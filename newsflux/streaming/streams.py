@@ -184,3 +184,52 @@ def read_history(spark: SparkSession, sink: str) -> DataFrame:
     h = spark.read.parquet(sink)
     latest = h.groupBy("user_id").agg(F.max("version").alias("version"))
     return h.join(latest, ["user_id", "version"], "left_semi")
+
+
+# --- T4: profile tags from an action stream ---------------------------------------
+
+TAGS_OUT = "user_id long, tag string, version long, ts_us long, event_id long, action string"
+TAGS_STATE = "version long, ts_us long, event_id long, action string"
+
+
+def _tag_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """State per (user, tag): its latest action (O(1) per key)."""
+    version, best = (state.get[0], tuple(state.get[1:])) if state.exists else (0, None)
+    for pdf in pdfs:
+        if pdf.empty:
+            continue
+        top = pdf.nlargest(1, ["ts_us", "event_id"]).iloc[0]
+        cand = (int(top["ts_us"]), int(top["event_id"]), str(top["action"]))
+        if best is None or cand[:2] > best[:2]:
+            best = cand
+    version += 1
+    state.update((version, *best))
+    yield pd.DataFrame([(key[0], key[1], version, *best)],
+                       columns=["user_id", "tag", "version", "ts_us", "event_id", "action"])
+
+
+def run_profile_stream(spark: SparkSession, actions: DataFrame, out_dir: str | None = None) -> str:
+    """``actions`` (user_id, tag, ts, event_id, action in add/del) stream ->
+    latest action per (user, tag), versioned."""
+    out_dir = out_dir or scratch_path(spark, "stream-profiles")
+    sink = os.path.join(out_dir, "tags")
+    prepared = actions.select("user_id", "tag", "event_id", "action",
+                              F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+    latest = prepared.groupBy("user_id", "tag").applyInPandasWithState(
+        _tag_fold, TAGS_OUT, TAGS_STATE, "update", GroupStateTimeout.NoTimeout)
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink))
+
+    _drain(latest.writeStream.outputMode("update").foreachBatch(write_batch),
+           os.path.join(out_dir, "_ckpt"))
+    return sink
+
+
+def read_tags(spark: SparkSession, sink: str) -> DataFrame:
+    """Current tag set per user: tags whose latest action is an add."""
+    t = spark.read.parquet(sink)
+    last = t.groupBy("user_id", "tag").agg(F.max_by("action", "version").alias("action"))
+    return (last.where(F.col("action") == "add").groupBy("user_id")
+            .agg(F.array_sort(F.collect_set("tag")).alias("tags")))
