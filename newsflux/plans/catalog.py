@@ -30,10 +30,19 @@ def query(fn):
 # --- phase 1: pages, crawl log, candidate pool ------------------------------
 
 def _pool_articles(t: Tables) -> DataFrame:
-    """Pages that can enter the pool: followed links (P2) with a body."""
-    arts = P.page_articles(t.pages("page_id", "url", "html"))
-    return (arts.where(F.col("blocks").isNotNull() & U.is_comparable("url"))
-            .select("page_id", "url", "title"))
+    """Pages that can enter the pool: followed links (P2) with a body.
+    Body presence is the article container's presence, so no paragraph is
+    extracted here."""
+    pg = t.pages("page_id", "url", "html")
+    return (pg.where(P.article_inner("html").isNotNull() & U.is_comparable("url"))
+            .select("page_id", "url"))
+
+
+def _titles_for(t: Tables, rows: DataFrame) -> DataFrame:
+    """Attach page titles to ``rows`` (by url); titles are extracted only for
+    the pages that match."""
+    pg = t.pages("url", "html")
+    return rows.join(pg, "url").withColumn("title", P.heading("html")).drop("html")
 
 
 def _crawls(t: Tables) -> DataFrame:
@@ -45,12 +54,11 @@ def _admissions(t: Tables) -> DataFrame:
     return pool.admissions(crawls.select("event_id", "ts", "run_start", "url"))
 
 
-def _pool(t: Tables) -> DataFrame:
+def _pool(t: Tables, with_title: bool = True) -> DataFrame:
     adm = _admissions(t)
     as_of = _crawls(t).select(F.max("run_start")).scalar()
-    p = pool.pool_asof(adm, as_of=as_of)
-    return (p.join(_pool_articles(t).select("url", "title"), "url")
-            .withColumn("pb_time", minute_str("db_time")))
+    p = pool.pool_asof(adm, as_of=as_of).withColumn("pb_time", minute_str("db_time"))
+    return _titles_for(t, p) if with_title else p
 
 
 @query
@@ -69,8 +77,8 @@ def candidate_pool_asof(spark, sf_dir):
 @query
 def latest_candidates(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    top = pool.latest(_pool(t).select("url", "title", "pb_time"), n=10)
-    return top.select("rank", "title", "pb_time", "url")
+    top = pool.latest(_pool(t, with_title=False).select("url", "pb_time"), n=10)
+    return _titles_for(t, top).select("rank", "title", "pb_time", "url")
 
 
 @query
