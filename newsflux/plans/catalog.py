@@ -674,3 +674,40 @@ def stream_profiles(spark, sf_dir):
                     F.when(F.col("event_type") == "error", "del").otherwise("add").alias("action"))
     sink = S.run_profile_stream(spark, acts)
     return S.read_tags(spark, sink).select("user_id", F.array_join("tags", ",").alias("tags"))
+
+
+def _feed_rows(e: DataFrame) -> DataFrame:
+    return e.select(F.floor(F.col("event_id") / 50).alias("page"), "event_id",
+                    F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("title"),
+                    F.unix_seconds(F.col("ts").cast("timestamp")).alias("time"))
+
+
+@query
+def feed_js(spark, sf_dir):
+    """JavaScript-literal feed pages (unquoted keys, single quotes) -> rows."""
+    e = Tables(spark, sf_dir).events("event_id", "ts", "user_id", "event_type")
+    item = F.concat(F.lit("{title:'"), F.col("title"), F.lit("',time:"), F.col("time").cast("string"),
+                    F.lit(",url:'https://roll.example.com/a/"), F.col("event_id").cast("string"), F.lit("'}"))
+    pages_ = (_feed_rows(e).groupBy("page")
+              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", item.alias("s")))),
+                                            lambda x: x["s"]), ",").alias("items"))
+              .select(F.concat(F.lit("var jsonData = {serverSeconds:0,list:["), F.col("items"), F.lit("]};"))
+                      .alias("payload")))
+    return feeds.js_feed(pages_).select("url", "title", "pb_time")
+
+
+@query
+def feed_jsonp(spark, sf_dir):
+    """JSONP feed pages landed as GBK bytes -> decoded -> followed links."""
+    e = Tables(spark, sf_dir).events("event_id", "ts", "user_id", "event_type")
+    link = F.concat(F.lit("http://news.example.com/新闻/"), F.col("event_id").cast("string"))
+    host = F.when(F.col("event_type") == "error", F.lit("http://tv.example.com/v/")).otherwise(F.lit(""))
+    rows = e.select(F.floor(F.col("event_id") / 50).alias("page"), "event_id",
+                    F.when(host != "", F.concat(host, F.col("event_id").cast("string"))).otherwise(link)
+                    .alias("entityurl"))
+    payload = (rows.groupBy("page")
+               .agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("event_id", "entityurl")))
+                                       .alias("result"))).alias("j"))
+               .select(F.encode(F.concat(F.lit("hx_json("), F.col("j"), F.lit(")")), "GBK").alias("raw")))
+    decoded = payload.select(feeds.decode_payload("raw").alias("payload"))
+    return feeds.jsonp_feed(decoded).where(U.is_comparable("entityurl")).select(F.col("entityurl").alias("url"))

@@ -535,3 +535,13 @@ SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS BIGI
 FROM x WHERE url <> '' AND NOT (contains(url, 'tv.') OR contains(url, 'guba.') OR contains(url, 'blog.')
                                  OR contains(url, 'index.html'))"""
 ORACLE["stream_profiles"] = ORACLE["tag_replay"]
+
+ORACLE["feed_js"] = """
+SELECT 'https://roll.example.com/a/' || CAST(event_id AS VARCHAR) AS url,
+       concat_ws(' ', event_type, CAST(user_id AS VARCHAR)) AS title,
+       strftime(ts, '%Y-%m-%d %H:%M') AS pb_time
+FROM events"""
+
+ORACLE["feed_jsonp"] = """
+SELECT 'http://news.example.com/新闻/' || CAST(event_id AS VARCHAR) AS url
+FROM events WHERE event_type <> 'error'"""
