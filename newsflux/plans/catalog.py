@@ -659,10 +659,9 @@ def nav_links(spark, sf_dir):
 
 @query
 def page_nodes(spark, sf_dir):
-    """Tokeniser output summarised per page and tag (count, text size)."""
+    """Tokeniser output summarised per page and tag (element counts)."""
     nodes = N.nodes(Tables(spark, sf_dir).pages("page_id", "html"))
-    return (nodes.groupBy("page_id", "tag")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("own")).cast("bigint").alias("own_chars")))
+    return nodes.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query

@@ -545,3 +545,14 @@ FROM events"""
 ORACLE["feed_jsonp"] = """
 SELECT 'http://news.example.com/新闻/' || CAST(event_id AS VARCHAR) AS url
 FROM events WHERE event_type <> 'error'"""
+
+# element counts by start tags outside comments, script and style bodies
+ORACLE["page_nodes"] = r"""
+WITH c AS (
+  SELECT page_id,
+         regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+                        '(?s)(<(script|style)[^>]*>).*?(</(script|style)>)', '\1\3', 'g') AS h
+  FROM pages)
+SELECT page_id, lower(tag) AS tag, count(*) AS n
+FROM (SELECT page_id, unnest(regexp_extract_all(h, '<([A-Za-z][A-Za-z0-9]*)', 1)) AS tag FROM c)
+GROUP BY ALL"""
