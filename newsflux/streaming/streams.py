@@ -58,7 +58,8 @@ def file_stream(spark: SparkSession, path: str, schema, max_files: int = 1) -> D
 
 def run_article_stream(spark: SparkSession, docs: DataFrame, routes: DataFrame,
                        out_dir: str | None = None) -> str:
-    """Drain ``docs`` (doc_id, text, source, lang) into ``<out>/<target>/batch_id=<n>``."""
+    """Drain ``docs`` (doc_id, text, source, lang) into
+    ``<out>/tables/target=<sink>/batch_id=<n>``."""
     out_dir = out_dir or scratch_path(spark, "stream-articles")
     sink = os.path.join(out_dir, "tables")
     keyed_docs = docs.withColumn("text_key", F.md5("text")).drop("text")
@@ -73,9 +74,10 @@ def run_article_stream(spark: SparkSession, docs: DataFrame, routes: DataFrame,
             firsts = firsts.join(done, "text_key", "left_anti")
         except Exception:  # first batch: nothing stored yet
             pass
+        # one folder per sink table (K2), one sub-folder per batch (replay-safe)
         (firsts.withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(sink))
+         .partitionBy("target", "batch_id").parquet(sink))
 
     _drain(keyed_docs.writeStream.foreachBatch(write_batch), os.path.join(out_dir, "_ckpt"))
     return sink
