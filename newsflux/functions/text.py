@@ -41,12 +41,12 @@ def strip_ws(x) -> Column:
 
 def remove_multi_space(x) -> Column:
     """NBSP -> space, then every run of 2+ whitespace -> one space."""
-    return F.regexp_replace(F.regexp_replace(_c(x), NBSP, " "), f"{WS_CLASS}{{2,}}", " ")
+    return F.regexp_replace(F.replace(_c(x), F.lit(NBSP), F.lit(" ")), f"{WS_CLASS}{{2,}}", " ")
 
 
 def remove_html_space(x) -> Column:
     """delete NBSP."""
-    return F.regexp_replace(_c(x), NBSP, "")
+    return F.replace(_c(x), F.lit(NBSP), F.lit(""))
 
 
 def remove_newline(x) -> Column:
