@@ -524,3 +524,27 @@ def text_with_newlines(nodes: DataFrame, container: DataFrame) -> DataFrame:
     """Container text with each ``<br>`` as a newline, lines stripped."""
     c = container.select("page_id", F.split("text_br", "\n").alias("l"))
     return c.select("page_id", F.array_join(F.transform("l", lambda s: T.strip_ws(s)), "\n").alias("text"))
+
+
+def wallstreet_items(nodes: DataFrame, pages: DataFrame, site_word: str = "wallstreet") -> DataFrame:
+    """Listing cards joined to their article pages on the requested URL.
+
+    Free cards (``/a…``) take time and body from the article page, provided
+    the page's final URL contains the site word (P3); premium cards
+    (``/premium…``) become ``site + path`` without body; other cards keep
+    their URL, without body."""
+    listing = wallstreet_listing(nodes, pages)
+    art = (wallstreet_article(nodes).join(pages.select("page_id", "url"), "page_id")
+           .where(F.col("url").contains(site_word))
+           .select(F.col("url").alias("art_url"), "pb_time", "blocks"))
+    j = listing.join(art, listing.url == art.art_url, "left")
+    origin = U.origin(F.col("url"))
+    item_url = (F.when(F.col("free"), F.col("art_url"))
+                .when(F.col("sub_url").startswith("/premium"), F.concat(origin, F.col("sub_url")))
+                .otherwise(F.col("sub_url")))
+    return (j.where(~F.col("free") | F.col("art_url").isNotNull())
+            .select("page_id", "item", "title", "summary", "source", item_url.alias("url"),
+                    F.when(F.col("free"), F.col("pb_time")).alias("pb_time"),
+                    F.when(F.col("free"), F.col("blocks")).alias("blocks"),
+                    F.lit(0).cast("bigint").alias("reads"),
+                    F.array().cast("array<string>").alias("likedby")))

@@ -34,6 +34,11 @@ def epoch_minute(sec) -> Column:
     return F.date_format(F.timestamp_seconds(s), "yyyy-MM-dd HH:mm")
 
 
+def bounded_pages(df: DataFrame, max_pages: int | None, page: str = "page") -> DataFrame:
+    """Keep feed pages 1..max_pages (the crawler's page bound); None keeps all."""
+    return df if max_pages is None else df.where(F.col(page) <= max_pages)
+
+
 def json_feed(df: DataFrame, payload: str = "payload", keep=()) -> DataFrame:
     """Flatten ``result.data`` -> (url, title, pb_time)."""
     parsed = df.select(*keep, F.from_json(payload, JSON_FEED_SCHEMA).alias("j"))

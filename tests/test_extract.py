@@ -221,3 +221,12 @@ def test_research_report(nodes, spark):
     assert (r.author, r.img_k_url, r.img_k_alt, list(r.two_img_url)) == ("Analyst Z", "k.png", "K line", ["", ""])
     assert [(b.kind, b.text) for b in r.blocks] == [("text", ""), ("text", "Body one"), ("image", ""),
                                                     ("text", "Body two"), ("text", "")]
+
+
+def test_wallstreet_items_join_listing_to_pages(nodes, pages):
+    got = rows(X.wallstreet_items(nodes, pages), "url", "title", "pb_time", "blocks", "reads")
+    got = [(u, t, p, list(b) if b is not None else None, r) for u, t, p, b, r in got]
+    assert got == [("https://wallstreetcn.example.com/articles/1", "Rates rise", "2024-01-02 10:00",
+                    ["First", "Head", "pic.png", ""], 0),
+                   ("https://other.example.com/x", "Elsewhere", None, None, 0),
+                   ("https://wallstreetcn.example.com/premium/9", "Paid", None, None, 0)]

@@ -70,3 +70,9 @@ def test_url_rules(spark):
                                    ("http://quote.example.com/sz550001.html", "noparen")], "href string, label string")
     got = codes.select(U.code_from_link("href"), U.name_from_label("label"), U.asset_class(U.code_from_link("href"))).collect()
     assert [tuple(r) for r in got] == [("sh600000", "浦发(银行)", "stock"), ("sz550001", "noparen", "fund")]
+
+
+def test_feed_page_bound(spark):
+    df = spark.createDataFrame([(p,) for p in range(1, 9)], "page int")
+    assert feeds.bounded_pages(df, 5).count() == 5
+    assert feeds.bounded_pages(df, None).count() == 8

@@ -74,3 +74,33 @@ def test_expired_counts_handle_gaps_between_runs(spark):
         "cast(cast(d as timestamp) as timestamp_ntz) as run_start")
     got = pool.expired_counts(adm, runs).collect()
     assert [(str(r.run_start), r.n_expired) for r in got] == [("2024-01-12 00:00:00", 2)]
+
+
+def _land_events_as_files(spark, t, tmp_dir, rows_per_file=300):
+    ev = t.events()
+    land = os.path.join(tmp_dir, "events")
+    (ev.withColumn("f", (F.col("event_id") / rows_per_file).cast("int"))
+     .repartition("f").sortWithinPartitions("event_id").write.partitionBy("f").parquet(land))
+    flat = os.path.join(tmp_dir, "flat")
+    os.makedirs(flat)
+    i = 0
+    for d in sorted((x for x in os.listdir(land) if "=" in x), key=lambda x: int(x.split("=")[1])):
+        for f in sorted(os.listdir(os.path.join(land, d))):
+            if f.endswith(".parquet"):
+                os.link(os.path.join(land, d, f), os.path.join(flat, f"part-{i:05d}.parquet"))
+                i += 1
+    return S.file_stream(spark, flat, ev.schema, max_files=3)
+
+
+def test_reads_stream_over_many_files_equals_batch(spark, tmp_dir):
+    from newsflux.operators import profiles as M
+    from newsflux.sources import derived
+    t = Tables(spark, SF_SMALL)
+    stream = _land_events_as_files(spark, t, tmp_dir)
+    n_pages = t.pages("page_id").count()
+    reads = (stream.withColumn("page_id", F.col("event_id") % n_pages)
+             .join(t.pages("page_id", "url"), "page_id").select("user_id", "ts", "event_id", "url"))
+    got = S.read_history(spark, S.run_reads_stream(spark, reads)).select("user_id", "pos", "event_id")
+    ref = M.recent_reads(derived.crawl_log(t).select("user_id", "ts", "event_id", "url")).select(
+        "user_id", "pos", "event_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ref.collect()))
