@@ -8,9 +8,11 @@ it is unset (tests, local runs).
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -45,8 +47,34 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``newsflux`` importable in Python workers (mapInPandas, stateful
+    streams) whatever their working directory: zip the package once per
+    SparkContext and hand it to ``addPyFile``, which distributes it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    path = os.path.join(tempfile.mkdtemp(prefix="newsflux-pkg-"), "newsflux.zip")
+    with open(path, "wb") as fh:
+        fh.write(buf.getvalue())
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def apply_runtime_conf(spark: SparkSession) -> None:
     """Settings our jobs rely on, applied to a session someone else built."""
+    ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     try:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
