@@ -34,7 +34,7 @@ def _pool_articles(t: Tables) -> DataFrame:
     Body presence is the article container's presence, so no paragraph is
     extracted here."""
     pg = t.pages("page_id", "url", "html")
-    return (pg.where(P.article_inner("html").isNotNull() & U.is_comparable("url"))
+    return (pg.where(P.has_article("html") & U.is_comparable("url"))
             .select("page_id", "url"))
 
 

@@ -28,6 +28,12 @@ def article_inner(html) -> Column:
     return F.when(h.rlike(r"<article[\s>]"), inner)
 
 
+def has_article(html) -> Column:
+    """P1 presence: the page has an ``<article>`` body container."""
+    h = F.col(html) if isinstance(html, str) else html
+    return h.rlike(r"<article[\s>]")
+
+
 def heading(html) -> Column:
     """P17 page part: ``<h1>`` text, else ``<title>`` text, else NULL."""
     h = F.col(html) if isinstance(html, str) else html

@@ -104,3 +104,35 @@ def test_reads_stream_over_many_files_equals_batch(spark, tmp_dir):
     ref = M.recent_reads(derived.crawl_log(t).select("user_id", "ts", "event_id", "url")).select(
         "user_id", "pos", "event_id")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ref.collect()))
+
+
+def test_first_write_and_registration_with_a_hot_key(spark):
+    """A third of all rows share one key: results equal the brute-force answer."""
+    from newsflux.operators import keyed
+    from newsflux.operators import profiles as M
+    n = 3000
+    rows = [(i, "hot" if i % 3 == 0 else f"k{i % 97}", f"v{i}") for i in range(n)]
+    df = spark.createDataFrame(rows, "seq int, k string, v string")
+    got = {r.k: (r.seq, r.v) for r in keyed.first_write_wins(df, "k", ["seq"]).collect()}
+    want = {}
+    for seq, k, v in rows:
+        want.setdefault(k, (seq, v))
+    assert got == want
+    # email is a function of the username; three of five users share one hot email (60% of rows)
+    email = {f"user{u}": ("hot@example.com" if u < 3 else f"e{u}@x") for u in range(5)}
+    su_rows = [(i, (i * 7919) % n, f"user{(i * 31) % 5}") for i in range(n)]
+    su = spark.createDataFrame([(i, ts, u, email[u]) for i, ts, u in su_rows],
+                               "event_id long, ts long, username string, email string")
+    codes = {r.event_id: r.code for r in M.register(su).collect()}
+    taken_u, taken_e, want = set(), set(), {}
+    for i, ts, u in sorted(su_rows, key=lambda r: (r[1], r[0])):
+        e = email[u]
+        if u in taken_u:
+            want[i] = -3
+        elif e in taken_e:
+            want[i] = -4
+        else:
+            want[i] = 1
+            taken_u.add(u)
+            taken_e.add(e)
+    assert codes == want
