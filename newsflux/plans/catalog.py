@@ -710,3 +710,23 @@ def feed_jsonp(spark, sf_dir):
                .select(F.encode(F.concat(F.lit("hx_json("), F.col("j"), F.lit(")")), "GBK").alias("raw")))
     decoded = payload.select(feeds.decode_payload("raw").alias("payload"))
     return feeds.jsonp_feed(decoded).where(U.is_comparable("entityurl")).select(F.col("entityurl").alias("url"))
+
+
+@query
+def article_paragraphs(spark, sf_dir):
+    """X13 over the tokeniser: cleaned non-empty ``p`` texts inside ``<article>``,
+    in document order (cross-checks the tokeniser against the regex path)."""
+    from pyspark.sql import Window
+    nodes = N.nodes(Tables(spark, sf_dir).pages("page_id", "html"))
+    art = X.find(nodes, tag="article")
+    ps = (X.inside(nodes, art).where(F.col("tag") == "p")
+          .select("page_id", "ord", T.clean("text").alias("text")).where(F.length("text") > 0))
+    w = Window.partitionBy("page_id").orderBy("ord")  # bounded by one page
+    return ps.select("page_id", (F.row_number().over(w) - 1).cast("bigint").alias("ord"), "text")
+
+
+@query
+def ad_blocks(spark, sf_dir):
+    """P33/X-rule ``find``: text of the first ``div.ad`` of every page."""
+    nodes = N.nodes(Tables(spark, sf_dir).pages("page_id", "html"))
+    return X.find(nodes, tag="div", classes=["ad"]).select("page_id", T.clean("text").alias("ad_text"))

@@ -556,3 +556,9 @@ WITH c AS (
 SELECT page_id, lower(tag) AS tag, count(*) AS n
 FROM (SELECT page_id, unnest(regexp_extract_all(h, '<([A-Za-z][A-Za-z0-9]*)', 1)) AS tag FROM c)
 GROUP BY ALL"""
+
+ORACLE["article_paragraphs"] = ORACLE["page_blocks"]
+
+ORACLE["ad_blocks"] = f"""
+SELECT page_id, {html_text("regexp_extract(html, '(?s)<div class=" + '"ad"' + "[^>]*>(.*?)</div>', 1)")} AS ad_text
+FROM pages WHERE regexp_matches(html, '<div class="ad"')"""

@@ -30,6 +30,24 @@ _DEFAULT_CONF = {
 }
 
 
+# Settings for a large cluster (100 TB inputs): AQE sizes shuffle partitions
+# at run time from a generous upper bound, splits skewed join partitions and
+# only broadcasts sides whose measured size is under the threshold.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "5000",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "newsflux", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
