@@ -9,14 +9,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators import extract as X
+from ..operators import holders as H
 from ..operators import keyed, pool
-from ..sources import derived, pages as P
-from ..sources.tables import Tables
+from ..operators import profiles as M
+from ..operators import vectors as V
+from ..operators.headers import parse_header
+from ..sources import derived, feeds
+from ..sources import nodes as N
+from ..sources import pages as P
+from ..sources.tables import Tables, table_path
+from ..streaming import streams as S
 from .common import day_str, minute_str, ts_str
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,9 +191,6 @@ def br_lines(spark, sf_dir):
 
 # --- phase 3/4: stocks, quotes, profiles, holders, feeds --------------------
 
-from ..operators import holders as H  # noqa: E402
-from ..operators import profiles as M  # noqa: E402
-from ..sources import feeds  # noqa: E402
 
 
 def _stocks(t: Tables) -> DataFrame:
@@ -478,7 +483,6 @@ def watchlist_replay(spark, sf_dir):
 
 # --- phase 6: corpus and vectors ---------------------------------------------
 
-from ..operators import vectors as V  # noqa: E402
 
 # fixed values: stored sources that feed the corpus (not sina, not the stock site)
 CORPUS_SINKS = ["wallstreet", "hexun", "sina_roll", "tencent"]
@@ -565,8 +569,6 @@ def word_lookup(spark, sf_dir):
 
 # --- phase 7: streaming (oracle = the batch SQL) -----------------------------
 
-from ..sources.tables import table_path  # noqa: E402
-from ..streaming import streams as S  # noqa: E402
 
 
 def _event_stream(spark, sf_dir) -> DataFrame:
@@ -618,9 +620,6 @@ def stream_reads(spark, sf_dir):
 
 # --- phase 5: headers and page nodes ----------------------------------------
 
-from ..operators import extract as X  # noqa: E402
-from ..operators.headers import parse_header  # noqa: E402
-from ..sources import nodes as N  # noqa: E402
 
 
 def _headers(t: Tables) -> DataFrame:
@@ -652,7 +651,6 @@ def nav_links(spark, sf_dir):
     t = Tables(spark, sf_dir)
     nodes = N.nodes(t.pages("page_id", "html"))
     rows = X.column_listing(nodes, tag="nav")
-    from pyspark.sql import Window
     w = Window.partitionBy("page_id").orderBy("item")  # bounded by one page
     return rows.select("page_id", F.row_number().over(w).cast("bigint").alias("pos"), "url")
 
@@ -716,7 +714,6 @@ def feed_jsonp(spark, sf_dir):
 def article_paragraphs(spark, sf_dir):
     """X13 over the tokeniser: cleaned non-empty ``p`` texts inside ``<article>``,
     in document order (cross-checks the tokeniser against the regex path)."""
-    from pyspark.sql import Window
     nodes = N.nodes(Tables(spark, sf_dir).pages("page_id", "html"))
     art = X.find(nodes, tag="article")
     ps = (X.inside(nodes, art).where(F.col("tag") == "p")
