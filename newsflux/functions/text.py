@@ -106,3 +106,16 @@ def delete_at(arr, idx) -> Column:
     a, i = _c(arr), _c(idx)
     return F.when((i < 1) | (i > F.size(a)), a).otherwise(
         F.concat(F.slice(a, F.lit(1), i - 1), F.slice(a, i + 1, F.greatest(F.size(a) - i, F.lit(0)))))
+
+
+# fixed values: publication-time formats seen across sources (H6)
+PB_TIME_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy年MM月dd日 HH:mm", "yyyy年MM月dd日HH:mm",
+                   "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy-MM-dd"]
+
+
+def parse_pb_time(x) -> Column:
+    """H6: the raw ``pb_time`` text of any source as ``timestamp_ntz``
+    (first format that parses; NULL when none does). The raw string is kept
+    for reference-faithful ordering; this column gives a sane one."""
+    s = strip_ws(x)
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz") for f in PB_TIME_FORMATS])

@@ -548,3 +548,26 @@ def wallstreet_items(nodes: DataFrame, pages: DataFrame, site_word: str = "walls
                     F.when(F.col("free"), F.col("blocks")).alias("blocks"),
                     F.lit(0).cast("bigint").alias("reads"),
                     F.array().cast("array<string>").alias("likedby")))
+
+
+def gallery_slides(nodes: DataFrame) -> DataFrame:
+    """X15, one slide page: its picture (``div.galleryPic`` first img src)
+    followed by the caption paragraphs of ``#contTxt``."""
+    pic = inside(nodes, find(nodes, tag="div", classes=["galleryPic"])).groupBy("page_id").agg(
+        first_of(F.col("tag") == "img", T.strip_ws(F.col("attrs")["src"])).alias("img"))
+    cap = inside(nodes, find(nodes, id="contTxt")).where(F.col("tag") == "p").groupBy("page_id").agg(
+        ordered(T.strip_ws("text")).alias("captions"))
+    j = pic.join(cap, "page_id", "full_outer")
+    empty = F.array().cast("array<string>")
+    return j.select("page_id", F.concat(F.when(F.col("img").isNotNull(), F.array("img")).otherwise(empty),
+                                        F.coalesce("captions", empty)).alias("pieces"))
+
+
+def gallery_body(slides: DataFrame, slide_pages: DataFrame) -> DataFrame:
+    """A gallery's body = its slides' pieces in slide order.
+    ``slide_pages``: (gallery_id, slide int, page_id) — the ``#p=<n>`` pages."""
+    s = slide_pages.join(slides, "page_id")
+    return (s.select("gallery_id", "slide", F.posexplode("pieces").alias("pos", "piece"))
+            .groupBy("gallery_id")
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("slide", "pos", "piece"))),
+                             lambda x: x["piece"]).alias("blocks")))

@@ -230,3 +230,24 @@ def test_wallstreet_items_join_listing_to_pages(nodes, pages):
                     ["First", "Head", "pic.png", ""], 0),
                    ("https://other.example.com/x", "Elsewhere", None, None, 0),
                    ("https://wallstreetcn.example.com/premium/9", "Paid", None, None, 0)]
+
+
+def test_gallery_body_in_slide_order(spark):
+    slides_html = [
+        (101, "<div class='galleryPic'><img src=' s1.jpg '></div><div id='contTxt'><p>one</p><p> uno </p></div>"),
+        (102, "<div class='galleryPic'><img src='s2.jpg'></div><div id='contTxt'><p>two</p></div>"),
+        (103, "<div id='contTxt'><p>caption only</p></div>")]
+    pg = spark.createDataFrame([(i, f"http://g.example.com/1#p={i - 100}", h) for i, h in slides_html],
+                               "page_id long, url string, html string")
+    nd = tokenise(pg)
+    order = spark.createDataFrame([(1, 2, 102), (1, 1, 101), (1, 3, 103)], "gallery_id int, slide int, page_id long")
+    got = X.gallery_body(X.gallery_slides(nd), order).first()
+    assert list(got.blocks) == ["s1.jpg", "one", "uno", "s2.jpg", "two", "caption only"]
+
+
+def test_parse_pb_time(spark):
+    from newsflux.functions.text import parse_pb_time
+    df = spark.createDataFrame([("2024-01-02 10:11:12",), (" 2024-01-02 10:11 ",), ("2024年01月02日 10:11",),
+                                ("2024/01/02 10:11",), ("yesterday",)], "s string")
+    got = [str(r[0]) if r[0] is not None else None for r in df.select(parse_pb_time("s")).collect()]
+    assert got == ["2024-01-02 10:11:12", "2024-01-02 10:11:00", "2024-01-02 10:11:00", "2024-01-02 10:11:00", None]
