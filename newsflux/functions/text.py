@@ -66,8 +66,9 @@ def split_ws(x) -> Column:
 
 
 def segment(x) -> Column:
-    """V2 default segmenter: whitespace tokens joined by one space."""
-    return F.array_join(split_ws(x), " ")
+    """V2 default segmenter: whitespace tokens joined by one space
+    (``" ".join(s.split())``, done as one replace over the stripped text)."""
+    return F.regexp_replace(strip_ws(x), f"{WS_CLASS}+", " ")
 
 
 def count_char(x, ch: str) -> Column:
