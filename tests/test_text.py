@@ -47,3 +47,11 @@ def test_delete_at(spark):
 def test_unescape_and_tags(spark):
     df = spark.createDataFrame([("<b>A&amp;lt;B</b>&nbsp;&copy;  x",)], "h string")
     assert df.select(T.html_text("h")).first()[0] == "A&lt;B ©  x".replace("  ", " ")
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet=alphabet, max_size=15), min_size=1, max_size=20))
+def test_segment_matches_python_join_split(spark, samples):
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, s string")
+    got = {r["i"]: r["seg"] for r in df.select("i", T.segment("s").alias("seg")).collect()}
+    assert all(got[i] == " ".join(s.split()) for i, s in enumerate(samples))
