@@ -39,6 +39,15 @@ def register(signups: DataFrame, order=("ts", "event_id")) -> DataFrame:
     return j.select(*signups.columns, code.cast("int").alias("code"))
 
 
+def email_follows_username(signups: DataFrame) -> DataFrame:
+    """H5 precondition of ``register``: one row, ``ok`` true when no username
+    appears with two emails. (Without it the outcome is a greedy matching in
+    log order — sequential inside each connected (username, email)
+    component — which ``register`` does not attempt.)"""
+    per_user = signups.groupBy("username").agg(F.count_distinct("email").alias("n"))
+    return per_user.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).select((F.col("n") <= 1).alias("ok"))
+
+
 def profiles_from(registrations: DataFrame) -> DataFrame:
     """Successful registrations -> profile rows (username, email)."""
     return registrations.where(F.col("code") == 1).select("username", "email")

@@ -136,3 +136,11 @@ def test_first_write_and_registration_with_a_hot_key(spark):
             taken_u.add(u)
             taken_e.add(e)
     assert codes == want
+
+
+def test_signup_log_meets_the_registration_precondition(spark):
+    from newsflux.operators import profiles as M
+    from newsflux.sources import derived
+    assert M.email_follows_username(derived.signups(Tables(spark, SF_SMALL))).first().ok
+    bad = spark.createDataFrame([("u1", "a"), ("u1", "b")], "username string, email string")
+    assert not M.email_follows_username(bad).first().ok
