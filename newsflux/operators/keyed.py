@@ -81,12 +81,16 @@ def delete_by_key(base: DataFrame, keys_df: DataFrame, key) -> tuple[DataFrame,
 
 
 def route(records: DataFrame, routes: DataFrame, on: str,
-          target: str = "target") -> tuple[DataFrame, DataFrame]:
+          target: str = "target", strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Attach the sink of every record by an exact-match lookup;
-    records without a route go to the quarantine side with a reason.
+    records without a route go to the quarantine side with a reason, or, in
+    strict mode, fail the job (the reference raises on an unknown type).
     ``routes`` is a configuration table (a handful of rows), so it is
     broadcast."""
     routed = records.join(F.broadcast(routes), on, "left")
+    if strict:
+        routed = routed.withColumn(target, F.coalesce(
+            F.col(target), F.raise_error(F.concat(F.lit("no route for "), F.col(on).cast("string")))))
     ok = routed.where(F.col(target).isNotNull())
     bad = (routed.where(F.col(target).isNull()).drop(target)
            .withColumn("reason", F.lit("no route")))
