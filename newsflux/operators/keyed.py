@@ -51,7 +51,8 @@ def first_write_wins(delta: DataFrame, key, order: Sequence[str],
     firsts = first_per_key(delta, key, order)
     if base is None:
         return firsts
-    return firsts.join(base.select(*_keys(key)).distinct(), _keys(key), "left_anti")
+    # an anti join ignores duplicate keys on its right side: no distinct (shuffle) needed
+    return firsts.join(base.select(*_keys(key)), _keys(key), "left_anti")
 
 
 def insert_if_absent(delta: DataFrame, base: DataFrame, key, order: Sequence[str],
@@ -76,7 +77,7 @@ def update_by_key(base: DataFrame, delta: DataFrame, key, fields: Sequence[str])
 def delete_by_key(base: DataFrame, keys_df: DataFrame, key) -> tuple[DataFrame, DataFrame]:
     """K8: (remaining rows, removed rows); removed.count() is the deleted count."""
     keys = _keys(key)
-    k = keys_df.select(*keys).distinct()
+    k = keys_df.select(*keys)  # semi/anti joins ignore duplicate keys
     return base.join(k, keys, "left_anti"), base.join(k, keys, "left_semi")
 
 
