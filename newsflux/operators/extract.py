@@ -362,7 +362,7 @@ def tencent_article(nodes: DataFrame) -> DataFrame:
     bd = find(qd.drop("c_ord"), tag="div", classes=["bd"])
     body2 = _p_body(nodes, bd).select("page_id", F.col("blocks").alias("b2"))
     cnt = find(inside(nodes, bd).drop("c_ord"), tag="div", classes=["Cnt-Main-Article-QQ"]).select(
-        "page_id", F.split(T.strip_ws("text_br"), "\n").alias("b2_lines"))
+        "page_id", F.split(T.strip_ws(F.coalesce("text_br", "text")), "\n").alias("b2_lines"))
     j = (layout.join(h1, "page_id", "left").join(pbt, "page_id", "left").join(ly, "page_id", "left")
          .join(st, "page_id", "left").join(body1, "page_id", "left").join(l2_title, "page_id", "left")
          .join(l2, "page_id", "left").join(body2, "page_id", "left").join(cnt, "page_id", "left")
@@ -522,7 +522,7 @@ def research_report(nodes: DataFrame, report_type: DataFrame) -> DataFrame:
 
 def text_with_newlines(nodes: DataFrame, container: DataFrame) -> DataFrame:
     """Container text with each ``<br>`` as a newline, lines stripped."""
-    c = container.select("page_id", F.split("text_br", "\n").alias("l"))
+    c = container.select("page_id", F.split(F.coalesce("text_br", "text"), "\n").alias("l"))
     return c.select("page_id", F.array_join(F.transform("l", lambda s: T.strip_ws(s)), "\n").alias("text"))
 
 

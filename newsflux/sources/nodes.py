@@ -12,7 +12,8 @@ Output (one row per element, document order):
     page_id, ord, tag, id, classes, attrs, parent, anc, depth, text, text_br, own
 where ``anc`` lists ancestor ords (root first), ``text`` is the element's
 full visible text (``get_text()``), ``text_br`` the same with every ``<br>``
-as a newline, and ``own`` its direct text only.
+as a newline (NULL when the element holds no ``<br>``: use
+``coalesce(text_br, text)``), and ``own`` its direct text only.
 Site rules are DataFrame filters and joins over this table
 (``operators/extract.py``).
 """
@@ -115,7 +116,9 @@ class _Tree(HTMLParser):
         for n in self.nodes:
             span = range(n["start"], n["end"])
             text = "".join(self.chunks[i] for i in span)
-            text_br = "".join("\n" if i in self.brs else self.chunks[i] for i in span) if self.brs else text
+            # the <br>-as-newline text only where a <br> falls inside the element
+            has_br = self.brs and any(i in self.brs for i in span)
+            text_br = "".join("\n" if i in self.brs else self.chunks[i] for i in span) if has_br else None
             yield (page_id, n["ord"], n["tag"], n["id"], n["classes"], n["attrs"], n["parent"],
                    n["anc"], n["depth"], text, text_br, "".join(n["own"]))
 
@@ -137,5 +140,17 @@ def _tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def nodes(pages: DataFrame) -> DataFrame:
-    """pages(page_id, html, ...) -> nodes table."""
+    """pages(page_id, html, ...) -> nodes table (lazy)."""
     return pages.select("page_id", "html").mapInPandas(_tokenise, NODE_SCHEMA)
+
+
+def written_nodes(pages: DataFrame, path: str | None = None) -> DataFrame:
+    """The nodes table tokenised once and written as a table in the shared
+    folder; every site rule joins it with itself several times, and reading
+    the written table avoids re-tokenising per branch (and survives a lost
+    executor without re-running Python)."""
+    from ..session import scratch_path
+    spark = pages.sparkSession
+    path = path or scratch_path(spark, "nodes")
+    nodes(pages).write.parquet(path)
+    return spark.read.parquet(path)
