@@ -40,13 +40,19 @@ def versions(spark: SparkSession, table: str, base: str | None = None) -> list[i
     return sorted(out)
 
 
-def commit(df: DataFrame, table: str, base: str | None = None) -> DataFrame:
-    """Write ``df`` as the next version of ``table`` and return it read back."""
+def commit(df: DataFrame, table: str, base: str | None = None,
+           partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as the next version of ``table`` and return it read back.
+    ``partition_by`` lays the version out in folders (e.g. the candidate pool
+    by admission day, so the expiry scan prunes whole days)."""
     spark = df.sparkSession
     done = versions(spark, table, base)
     v = max([int(time.time() * 1000)] + [x + 1 for x in done])
     path = f"{_base(spark, base)}/{table}/version={v}"
-    df.write.mode("errorifexists").parquet(path)
+    w = df.write.mode("errorifexists")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
     return spark.read.parquet(path)
 
 

@@ -45,6 +45,11 @@ CLUSTER_CONF = {
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "5000",
     "spark.sql.session.timeZone": "UTC",
+    # stream state (pool per URL, history per user, tags per user and tag) can
+    # hold billions of keys: keep it in RocksDB with changelog checkpoints
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 

@@ -15,3 +15,11 @@ def test_first_write_wins_across_commits(spark, tmp_dir):
     assert len(snapshots.versions(spark, "t", base=tmp_dir)) == 2
     assert sorted(map(tuple, snapshots.current(spark, "t", base=tmp_dir).collect())) == \
         sorted(map(tuple, s2.collect()))
+
+
+def test_partitioned_commit_prunes_days(spark, tmp_dir):
+    df = spark.createDataFrame([("u1", "2024-01-01"), ("u2", "2024-01-09")], "url string, day string")
+    snap = snapshots.commit(df, "pool", base=tmp_dir, partition_by=["day"])
+    old = snap.where(F.col("day") < "2024-01-05")
+    plan = old._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and [r.url for r in old.collect()] == ["u1"]
