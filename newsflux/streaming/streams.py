@@ -1,11 +1,10 @@
 """Structured Streaming versions of the long-lived state.
 
-* ``run_article_stream``: landed documents -> per-sink keyed tables via
-  ``foreachBatch`` (T1 first-write-wins across batches, T5 one input many
-  sinks, T6 file source drained with ``availableNow``). Each batch writes its
-  own ``batch_id=<n>`` folder with overwrite, so a replayed batch replaces
-  itself instead of duplicating rows, and its dedup reads only earlier
-  batches.
+* ``run_article_stream``: landed documents -> per-sink keyed tables (T1
+  first-write-wins across batches kept as one flag of state per key, T5 one
+  input many sinks via ``foreachBatch``, T6 file source drained with
+  ``availableNow``). Each batch writes its own ``batch_id=<n>`` folders with
+  overwrite, so a replayed batch replaces itself instead of duplicating rows.
 * ``run_pool_stream``: crawls -> pool admissions with
   ``applyInPandasWithState`` keyed by URL; the state is the last admission
   time (one long), the per-batch work is reduced to the first crawl per run
@@ -29,7 +28,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import keyed
 from ..session import scratch_path
 
 DAY_US = 86_400_000_000
@@ -56,30 +54,50 @@ def file_stream(spark: SparkSession, path: str, schema, max_files: int = 1) -> D
 
 # --- T1/T5/T6: keyed article sinks -------------------------------------------
 
+ARTICLE_STATE = "seen boolean"
+
+
+def _first_write(schema_cols: list[str]):
+    """T1 per key: the first batch that brings a key emits its lowest-doc_id
+    row; later batches emit nothing (O(1) state per key)."""
+    def fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = None
+        for pdf in pdfs:
+            if pdf.empty:
+                continue
+            top = pdf.nsmallest(1, "doc_id")
+            if best is None or int(top["doc_id"].iloc[0]) < int(best["doc_id"].iloc[0]):
+                best = top
+        if state.exists or best is None:
+            yield pd.DataFrame(columns=schema_cols)
+            return
+        state.update((True,))
+        yield best[schema_cols]
+    return fold
+
+
 def run_article_stream(spark: SparkSession, docs: DataFrame, routes: DataFrame,
                        out_dir: str | None = None) -> str:
     """Drain ``docs`` (doc_id, text, source, lang) into
-    ``<out>/tables/target=<sink>/batch_id=<n>``."""
+    ``<out>/tables/target=<sink>/batch_id=<n>``: first write per text key
+    across all batches (stream state), one folder per sink (K2), one
+    sub-folder per batch written with overwrite (a replayed batch replaces
+    itself)."""
     out_dir = out_dir or scratch_path(spark, "stream-articles")
     sink = os.path.join(out_dir, "tables")
     keyed_docs = docs.withColumn("text_key", F.md5("text")).drop("text")
+    cols = keyed_docs.columns
+    firsts = keyed_docs.groupBy("text_key").applyInPandasWithState(
+        _first_write(cols), keyed_docs.schema, ARTICLE_STATE, "append", GroupStateTimeout.NoTimeout)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
         routed = batch.join(F.broadcast(routes), "source", "left").fillna({"target": "quarantine"})
-        firsts = keyed.first_per_key(routed, "text_key", ["doc_id"])
-        try:
-            done = (s.read.parquet(sink).where(F.col("batch_id") < batch_id)
-                    .select("text_key"))
-            firsts = firsts.join(done, "text_key", "left_anti")
-        except Exception:  # first batch: nothing stored yet
-            pass
-        # one folder per sink table (K2), one sub-folder per batch (replay-safe)
-        (firsts.withColumn("batch_id", F.lit(batch_id))
+        (routed.withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("target", "batch_id").parquet(sink))
 
-    _drain(keyed_docs.writeStream.foreachBatch(write_batch), os.path.join(out_dir, "_ckpt"))
+    _drain(firsts.writeStream.outputMode("append").foreachBatch(write_batch),
+           os.path.join(out_dir, "_ckpt"))
     return sink
 
 

@@ -144,3 +144,27 @@ def test_signup_log_meets_the_registration_precondition(spark):
     assert M.email_follows_username(derived.signups(Tables(spark, SF_SMALL))).first().ok
     bad = spark.createDataFrame([("u1", "a"), ("u1", "b")], "username string, email string")
     assert not M.email_follows_username(bad).first().ok
+
+
+def test_article_stream_over_many_files_equals_batch(spark, tmp_dir):
+    """Duplicates spread over several micro-batches; first write wins across batches."""
+    t = Tables(spark, SF_SMALL)
+    docs = t.documents("doc_id", "text", "source", "lang")
+    land = os.path.join(tmp_dir, "docs")
+    (docs.withColumn("f", (F.col("doc_id") / 40).cast("int")).repartition("f")
+     .sortWithinPartitions("doc_id").write.partitionBy("f").parquet(land))
+    flat = os.path.join(tmp_dir, "dflat")
+    os.makedirs(flat)
+    i = 0
+    for d in sorted((x for x in os.listdir(land) if "=" in x), key=lambda x: int(x.split("=")[1])):
+        for f in sorted(os.listdir(os.path.join(land, d))):
+            if f.endswith(".parquet"):
+                os.link(os.path.join(land, d, f), os.path.join(flat, f"part-{i:05d}.parquet"))
+                i += 1
+    stream = S.file_stream(spark, flat, docs.schema, max_files=1)
+    sink = S.run_article_stream(spark, stream, catalog.routes_df(spark))
+    got = spark.read.parquet(sink)
+    assert got.select("batch_id").distinct().count() > 1
+    ref = catalog.first_write_articles(spark, SF_SMALL)
+    assert sorted(map(tuple, got.select("text_key", "doc_id").collect())) == \
+        sorted(map(tuple, ref.select("text_key", "doc_id").collect()))
