@@ -21,6 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..functions import text as T
 from ..functions import urls as U
 
@@ -567,7 +568,7 @@ def gallery_body(slides: DataFrame, slide_pages: DataFrame) -> DataFrame:
     """A gallery's body = its slides' pieces in slide order.
     ``slide_pages``: (gallery_id, slide int, page_id) — the ``#p=<n>`` pages."""
     s = slide_pages.join(slides, "page_id")
-    return (s.select("gallery_id", "slide", F.posexplode("pieces").alias("pos", "piece"))
+    return (A.posexplode_rows(s, F.col("pieces"), "pos", "piece", "gallery_id", "slide")
             .groupBy("gallery_id")
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("slide", "pos", "piece"))),
                              lambda x: x["piece"]).alias("blocks")))

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
+
 HORIZON_DAYS = 5  # fixed value: pool age in days
 
 
@@ -51,7 +53,7 @@ def admissions(crawls: DataFrame, key: str = "url", ts: str = "ts", run: str = "
                                       F.concat(acc["adm"], F.array(x)).alias("adm"))).otherwise(acc)
 
     folded = runs.select(key, F.aggregate("runs", init, step)["adm"].alias("adm"))
-    return (folded.select(key, F.explode("adm").alias("a"))
+    return (A.explode_rows(folded, F.col("adm"), "a", key)
             .select(key, F.col("a.run").alias(run), F.col("a.t").alias("db_time"),
                     F.col("a.seq").cast("bigint").alias(seq)))
 

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import extract as X
@@ -106,7 +107,7 @@ def page_titles(spark, sf_dir):
 def page_blocks(spark, sf_dir):
     t = Tables(spark, sf_dir)
     arts = P.page_articles(t.pages("page_id", "url", "html"))
-    return (arts.select("page_id", F.posexplode("blocks").alias("ord", "text"))
+    return (A.posexplode_rows(arts, F.col("blocks"), "ord", "text", "page_id")
             .select("page_id", F.col("ord").cast("bigint").alias("ord"), "text"))
 
 
@@ -185,7 +186,7 @@ def br_lines(spark, sf_dir):
     """Text with line breaks -> lines, empties kept."""
     t = Tables(spark, sf_dir)
     d = t.documents("doc_id", "text")
-    return (d.select("doc_id", F.posexplode(F.split(T.strip_ws("text"), "\n")).alias("line_no", "line"))
+    return (A.posexplode_rows(d, F.split(T.strip_ws("text"), "\n"), "line_no", "line", "doc_id")
             .select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line"))
 
 

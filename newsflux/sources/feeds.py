@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..functions import text as T
 
 # {"result": {"data": [{"url", "title", "mtime"}]}}
@@ -42,7 +43,7 @@ def bounded_pages(df: DataFrame, max_pages: int | None, page: str = "page") -> D
 def json_feed(df: DataFrame, payload: str = "payload", keep=()) -> DataFrame:
     """Flatten ``result.data`` -> (url, title, pb_time)."""
     parsed = df.select(*keep, F.from_json(payload, JSON_FEED_SCHEMA).alias("j"))
-    return (parsed.select(*keep, F.explode("j.result.data").alias("r"))
+    return (A.explode_rows(parsed, F.col("j.result.data"), "r", *keep)
             .select(*keep, "r.url", "r.title",
                     epoch_minute(F.col("r.mtime").try_cast("bigint")).alias("pb_time")))
 
@@ -55,7 +56,7 @@ def js_feed(df: DataFrame, payload: str = "payload", keep=()) -> DataFrame:
     parsed = df.select(*keep, F.from_json(body, JS_FEED_SCHEMA,
                                           {"allowUnquotedFieldNames": "true",
                                            "allowSingleQuotes": "true"}).alias("j"))
-    return (parsed.select(*keep, F.explode("j.list").alias("r"))
+    return (A.explode_rows(parsed, F.col("j.list"), "r", *keep)
             .select(*keep, "r.url", "r.title", epoch_minute("r.time").alias("pb_time")))
 
 
@@ -63,13 +64,13 @@ def jsonp_feed(df: DataFrame, payload: str = "payload", keep=()) -> DataFrame:
     """S3: the substring from the first '{' to the last '}', flatten ``result``."""
     body = F.regexp_extract(F.col(payload), r"(?s)(\{.*\})", 1)
     parsed = df.select(*keep, F.from_json(body, JSONP_FEED_SCHEMA).alias("j"))
-    return parsed.select(*keep, F.explode("j.result").alias("r")).select(*keep, "r.entityurl")
+    return A.explode_rows(parsed, F.col("j.result"), "r", *keep).select(*keep, "r.entityurl")
 
 
 def manager_rows(df: DataFrame, payload: str = "payload", keep=()) -> DataFrame:
     """Flatten ``Result.RptManagerList`` to one row per person."""
     parsed = df.select(*keep, F.from_json(payload, MANAGER_SCHEMA).alias("j"))
-    return (parsed.select(*keep, F.explode("j.Result.RptManagerList").alias("m"))
+    return (A.explode_rows(parsed, F.col("j.Result.RptManagerList"), "m", *keep)
             .select(*keep, F.col("m.xm").alias("name"), F.col("m.xb").alias("sex"),
                     F.col("m.nl").alias("age"), F.col("m.xl").alias("edu"),
                     F.col("m.zw").alias("duty"), F.col("m.rzsj").alias("start_time"),

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..functions import text as T
 from ..functions import urls as U
 
@@ -67,7 +68,6 @@ def page_articles(pages: DataFrame) -> DataFrame:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """pages -> (page_id, pos, href, abs_url): one row per link."""
-    return (pages
-            .select("page_id", "url", F.posexplode(links("html")).alias("pos", "href"))
+    return (A.posexplode_rows(pages, links("html"), "pos", "href", "page_id", "url")
             .select("page_id", F.col("pos").cast("bigint").alias("pos"), "href",
                     U.resolve("href", "url").alias("abs_url")))
