@@ -65,6 +65,12 @@ def split_ws(x) -> Column:
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, f"{WS_CLASS}+"))
 
 
+def count_tokens(x) -> Column:
+    """``len(s.split())`` without building the token array."""
+    s = strip_ws(x)
+    return F.when(s == "", F.lit(0)).otherwise(F.regexp_count(s, F.lit(f"{WS_CLASS}+")) + 1)
+
+
 def segment(x) -> Column:
     """V2 default segmenter: whitespace tokens joined by one space
     (``" ".join(s.split())``, done as one replace over the stripped text)."""

@@ -178,7 +178,7 @@ def clean_text(spark, sf_dir):
                     T.clean("text").alias("clean"),
                     T.remove_newline(T.clean("text")).alias("flat"),
                     F.length(T.remove_html_space("text")).cast("bigint").alias("n_chars_no_nbsp"),
-                    F.size(T.split_ws("text")).cast("bigint").alias("n_tokens"))
+                    T.count_tokens("text").cast("bigint").alias("n_tokens"))
 
 
 @query

@@ -55,3 +55,11 @@ def test_segment_matches_python_join_split(spark, samples):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, s string")
     got = {r["i"]: r["seg"] for r in df.select("i", T.segment("s").alias("seg")).collect()}
     assert all(got[i] == " ".join(s.split()) for i, s in enumerate(samples))
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text(alphabet=alphabet, max_size=15), min_size=1, max_size=20))
+def test_count_tokens_matches_python(spark, samples):
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, s string")
+    got = {r["i"]: r["n"] for r in df.select("i", T.count_tokens("s").alias("n")).collect()}
+    assert all(got[i] == len(s.split()) for i, s in enumerate(samples))
