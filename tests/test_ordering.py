@@ -168,3 +168,19 @@ def test_article_stream_over_many_files_equals_batch(spark, tmp_dir):
     ref = catalog.first_write_articles(spark, SF_SMALL)
     assert sorted(map(tuple, got.select("text_key", "doc_id").collect())) == \
         sorted(map(tuple, ref.select("text_key", "doc_id").collect()))
+
+
+def test_number_within_carries_runs_across_arrow_batches(spark):
+    """Tiny Arrow batches: a hot key's run spans many batches and partitions; null keys number too."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(0, 1500).select(
+            F.when(F.col("id") % 10 == 0, F.lit(None)).when(F.col("id") % 3 == 0, F.lit(1))
+            .otherwise(F.col("id") % 11).cast("bigint").alias("k"),
+            F.col("id").alias("v"))
+        got = number_within(df, ["k"], ["v"], partitions=6)
+        ref = df.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("v")).cast("bigint"))
+        assert sorted(map(tuple, got.select("k", "v", "pos").collect()), key=repr) == \
+            sorted(map(tuple, ref.select("k", "v", "pos").collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
