@@ -48,8 +48,8 @@ def _pool_articles(t: Tables) -> DataFrame:
 
 
 def _titles_for(t: Tables, rows: DataFrame) -> DataFrame:
-    """Attach page titles to ``rows`` (by url); titles are extracted only for
-    the pages that match."""
+    """Attach page titles to a few ``rows`` (by url): the rows are broadcast
+    and titles are extracted only for the pages that match."""
     pg = t.pages("url", "html")
     return rows.join(pg, "url").withColumn("title", P.heading("html")).drop("html")
 
@@ -67,7 +67,12 @@ def _pool(t: Tables, with_title: bool = True) -> DataFrame:
     adm = _admissions(t)
     as_of = _crawls(t).select(F.max("run_start")).scalar()
     p = pool.pool_asof(adm, as_of=as_of).withColumn("pb_time", minute_str("db_time"))
-    return _titles_for(t, p) if with_title else p
+    if not with_title:
+        return p
+    # the pool can hold every URL crawled in five days: extract titles map-side
+    # so only (url, title) is shuffled, never the page html
+    titles = t.pages("url", "html").select("url", P.heading("html").alias("title"))
+    return p.join(titles, "url")
 
 
 @query
