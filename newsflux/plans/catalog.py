@@ -51,7 +51,8 @@ def _titles_for(t: Tables, rows: DataFrame) -> DataFrame:
     """Attach page titles to a few ``rows`` (by url): the rows are broadcast
     and titles are extracted only for the pages that match."""
     pg = t.pages("url", "html")
-    return rows.join(pg, "url").withColumn("title", P.heading("html")).drop("html")
+    # only used for the feed's top n (n = 10): a broadcast with a fixed bound
+    return pg.join(F.broadcast(rows), "url").withColumn("title", P.heading("html")).drop("html")
 
 
 def _crawls(t: Tables) -> DataFrame:
