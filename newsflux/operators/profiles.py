@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from . import keyed
 from .ordering import number_within, top_within
 
-HISTORY_CAP = 50  # fixed value: reading-history length
+# --- fixed values -----------------------------------------------------------
+HISTORY_CAP = 50                 # reading-history length
+PRICE_LABEL = "当前价格："        # quote report: current price
+CHANGE_LABEL = "跌涨幅："         # quote report: change
+# -----------------------------------------------------------------------------
 
 
 def register(signups: DataFrame, order=("ts", "event_id")) -> DataFrame:
@@ -81,6 +85,16 @@ def stock_lookup(probes: DataFrame, stocks: DataFrame, q: str = "q") -> DataFram
     return by_code.unionByName(by_name)
 
 
+def quote_report(pos, name, current, delta, percent):
+    """``"{i}. {name}\n<price>{cur:.2f}\t<change>{delta:+.2f} ({pct:+.2f})%"``."""
+    from ..functions import text as T
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    return F.concat(c(pos).cast("string"), F.lit(". "), c(name),
+                    F.lit("\n" + PRICE_LABEL), T.fmt2(c(current)),
+                    F.lit("\t" + CHANGE_LABEL), T.fmt2_signed(c(delta)),
+                    F.lit(" ("), T.fmt2_signed(c(percent)), F.lit(")%"))
+
+
 def watchlist(adds: DataFrame, user: str = "user_id", at: str = "added_at",
               code: str = "code") -> DataFrame:
     """A user's stocks in add order with 1-based positions."""

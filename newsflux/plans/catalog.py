@@ -282,10 +282,7 @@ def watchlist_quotes(spark, sf_dir):
     t = Tables(spark, sf_dir)
     qs = feeds.quotes(derived.quote_lines(t))
     w = _watchlist(t).join(qs, "code")
-    report = F.concat(F.col("pos").cast("string"), F.lit(". "), F.col("name"),
-                      F.lit("\n当前价格："), T.fmt2("current"),
-                      F.lit("\t跌涨幅："), T.fmt2_signed("delta"),
-                      F.lit(" ("), T.fmt2_signed("percent"), F.lit(")%"))
+    report = M.quote_report("pos", "name", "current", "delta", "percent")
     return w.select("user_id", "pos", "code", report.alias("report"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from ..functions.text import HTML_ENTITIES, WS_CLASS
 from ..functions.urls import DENY_SUBSTRINGS
+from ..operators.profiles import CHANGE_LABEL, PRICE_LABEL
 
 WS = WS_CLASS
 
@@ -280,8 +281,8 @@ q2 AS (
   SELECT code, name, cur, cur - prev AS delta,
          CASE WHEN prev > 0 THEN 100.0 * (cur - prev) / prev ELSE 0.0 END AS pct FROM quotes)
 SELECT user_id, pos, code,
-       CAST(pos AS VARCHAR) || '. ' || name || chr(10) || '当前价格：' || printf('%.2f', cur) ||
-       chr(9) || '跌涨幅：' || printf('%+.2f', delta) || ' (' || printf('%+.2f', pct) || ')%' AS report
+       CAST(pos AS VARCHAR) || '. ' || name || chr(10) || {q(PRICE_LABEL)} || printf('%.2f', cur) ||
+       chr(9) || {q(CHANGE_LABEL)} || printf('%+.2f', delta) || ' (' || printf('%+.2f', pct) || ')%' AS report
 FROM wl JOIN q2 USING (code)"""
 
 ATTRS = """
