@@ -2,7 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
 
 from newsflux.functions import urls as U
 from newsflux.sources import feeds

@@ -11,7 +11,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 
