@@ -29,6 +29,13 @@ def decode_payload(raw) -> Column:
     return F.coalesce(F.try_validate_utf8(b.cast("string")), F.decode(b, "GBK"))
 
 
+def landed_payloads(spark, path: str, glob: str = "*") -> DataFrame:
+    """S12 + T6 batch side: landed payload files -> (path, payload text),
+    read as bytes (``binaryFile``) and decoded UTF-8-else-GBK in the JVM."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    return raw.select("path", decode_payload("content").alias("payload"))
+
+
 def epoch_minute(sec) -> Column:
     """epoch seconds -> ``yyyy-MM-dd HH:mm`` in the session zone (UTC)."""
     s = F.col(sec) if isinstance(sec, str) else sec

@@ -75,3 +75,13 @@ def test_feed_page_bound(spark):
     df = spark.createDataFrame([(p,) for p in range(1, 9)], "page int")
     assert feeds.bounded_pages(df, 5).count() == 5
     assert feeds.bounded_pages(df, None).count() == 8
+
+
+def test_landed_payload_files(spark, tmp_dir):
+    import os
+    with open(os.path.join(tmp_dir, "a.txt"), "wb") as fh:
+        fh.write('cb({"result":[{"entityurl":"http://n.example.com/股票.html"}]})'.encode("gbk"))
+    with open(os.path.join(tmp_dir, "b.txt"), "wb") as fh:
+        fh.write('cb({"result":[{"entityurl":"http://n.example.com/ok"}]})'.encode("utf-8"))
+    got = feeds.jsonp_feed(feeds.landed_payloads(spark, tmp_dir, "*.txt"), keep=("path",)).collect()
+    assert sorted(r.entityurl for r in got) == ["http://n.example.com/ok", "http://n.example.com/股票.html"]
