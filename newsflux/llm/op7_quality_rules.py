@@ -35,8 +35,10 @@ class Rules:
     #: Percent of words in repeated 3-word windows (first occurrences included).
     max_repeat_words_pct: int = 50
     #: Window length -> largest share of characters in later copies of windows.
+    #: Twice the limits customary for web pages: texts of 50 to 100 words may
+    #: repeat one line (a title, a refrain) and be sound.
     max_window_share: tuple[tuple[int, float], ...] = (
-        (5, 0.15), (6, 0.14), (7, 0.13), (8, 0.12), (9, 0.11), (10, 0.10))
+        (5, 0.30), (6, 0.28), (7, 0.26), (8, 0.24), (9, 0.22), (10, 0.20))
     #: Largest share of characters in lines equal to an earlier line.
     max_line_share: float = 0.30
 
