@@ -3,3 +3,20 @@
 from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
+
+_KEY = (r"translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), "
+        "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+ORACLE["op1_line_dedup"] = f"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (
+  SELECT doc_id, i, lines[i] AS line
+  FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS i FROM docs)),
+keyed AS (SELECT doc_id, i, line, {_KEY} AS k FROM lines),
+common AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines,
+       count(*) FILTER (WHERE k IN (SELECT k FROM common)) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i)
+                       FILTER (WHERE k NOT IN (SELECT k FROM common)), '')) AS kept_sha256
+FROM keyed GROUP BY doc_id
+"""

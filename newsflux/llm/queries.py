@@ -6,10 +6,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from newsflux.sources.tables import load
 
 from . import common as C
+from . import op1_line_dedup as op1
 from . import op7_quality_rules as op7
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +26,13 @@ def query(fn):
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     C.prepare(spark)
     return op7.assess(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    C.prepare(spark)
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    cut = op1.apply_bitmaps(docs, op1.keep_bitmaps(docs, min_docs=10, min_key_chars=1))
+    return cut.select("doc_id", F.col("__n_lines").cast("long").alias("n_lines"),
+                      F.col("__n_dropped").cast("long").alias("n_dropped"),
+                      F.sha2("__kept_text", 256).alias("kept_sha256"))
