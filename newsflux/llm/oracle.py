@@ -20,3 +20,29 @@ SELECT doc_id, count(*) AS n_lines,
                        FILTER (WHERE k NOT IN (SELECT k FROM common)), '')) AS kept_sha256
 FROM keyed GROUP BY doc_id
 """
+
+# word arrays and shingles of whole texts; a shingle keeps its words apart by a
+# blank, which no word holds
+_WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          r"'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')")
+
+ORACLE["op5_ngram_join"] = f"""
+WITH RECURSIVE words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ')
+         ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * o >= 90 * (x.n + y.n - o)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS r FROM documents
+  UNION SELECT l.a, reach.r FROM links l JOIN reach ON reach.a = l.b)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.a = d.doc_id
+GROUP BY d.doc_id
+"""

@@ -12,6 +12,7 @@ from newsflux.sources.tables import load
 
 from . import common as C
 from . import op1_line_dedup as op1
+from . import op5_ngram_join as op5
 from . import op7_quality_rules as op7
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +37,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("__n_lines").cast("long").alias("n_lines"),
                       F.col("__n_dropped").cast("long").alias("n_dropped"),
                       F.sha2("__kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    C.prepare(spark)
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    return op5.link_components(docs, n=3, percent=90).select("doc_id", "n_shingles", "component_id")
