@@ -13,6 +13,7 @@ from newsflux.sources.tables import load
 from . import common as C
 from . import op1_line_dedup as op1
 from . import op5_ngram_join as op5
+from . import op6_decontaminate as op6
 from . import op7_quality_rules as op7
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +45,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     C.prepare(spark)
     docs = load(spark, sf_dir, "documents", "doc_id", "text")
     return op5.link_components(docs, n=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    C.prepare(spark)
+    docs, items = load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "benchmark", "item_id", "text")
+    return op6.leaks(docs, items).select("doc_id", "item_id", "n_covered", "n_item_words", "verbatim")
