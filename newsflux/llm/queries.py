@@ -12,6 +12,7 @@ from newsflux.sources.tables import load
 
 from . import common as C
 from . import op1_line_dedup as op1
+from . import op2_sentencepiece as op2
 from . import op5_ngram_join as op5
 from . import op6_decontaminate as op6
 from . import op7_quality_rules as op7
@@ -52,3 +53,9 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     C.prepare(spark)
     docs, items = load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "benchmark", "item_id", "text")
     return op6.leaks(docs, items).select("doc_id", "item_id", "n_covered", "n_item_words", "verbatim")
+
+
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    C.prepare(spark)
+    return op2.tokenize(load(spark, sf_dir, "documents", "doc_id", "text"))
