@@ -46,6 +46,7 @@ from pyspark.sql.types import LongType
 from . import common as C
 from .bloom import Bloom
 from .graph import components
+from .rows import text_key, without
 
 #: Buckets (2**bits) of the frequency table; its ranks, one byte each, are sent to every task.
 RANK_BITS = 21
@@ -162,7 +163,7 @@ def shingle_ranks(docs: DataFrame, text: str, n: int) -> np.ndarray:
 
 # --- prefixes ----------------------------------------------------------------
 
-_SET_SCHEMA = "doc_id long, n int, node long, prefix array<long>, parts binary"
+_SET_SCHEMA = "doc_id long, key long, n int, node long, prefix array<long>, parts binary"
 
 
 def _describe(ranks: Broadcast, n: int, percent: int):
@@ -171,7 +172,7 @@ def _describe(ranks: Broadcast, n: int, percent: int):
         shift = np.uint64(64 - RANK_BITS)
         for batch in batches:
             sizes, nodes, prefixes, parts = [], [], [], []
-            for _, s in _sets(batch.column(1), n):
+            for _, s in _sets(batch.column(2), n):
                 keep = prefix_length(len(s), percent) if len(s) else 0
                 order = np.argsort(rank[(s >> shift).astype(np.int64)], kind="stable")[:keep]
                 sizes.append(len(s))
@@ -182,9 +183,9 @@ def _describe(ranks: Broadcast, n: int, percent: int):
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             cuts = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()),
+                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat)), pa.array(parts, pa.binary())],
-                names=["doc_id", "n", "node", "prefix", "parts"])
+                names=["doc_id", "key", "n", "node", "prefix", "parts"])
     return run
 
 
@@ -286,12 +287,12 @@ def _mixed(postings: DataFrame) -> DataFrame:
 
 
 def link_components(docs: DataFrame, text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, node, component_id) of every row of ``docs``; node
-    identifies the document's set (equal for copies)."""
+    """(doc_id, key, n_shingles, component_id, root) of every row of ``docs``; key
+    is the text's hash, root names the component (null: empty set)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", text)
     ranks = spark.sparkContext.broadcast(shingle_ranks(docs, text, n))
-    members = C.stage(docs.select("doc_id", text).mapInArrow(_describe(ranks, n, percent), _SET_SCHEMA), "join-members")
+    members = C.stage(docs.select("doc_id", text_key(F.col(text)).alias("key"), text).mapInArrow(_describe(ranks, n, percent), _SET_SCHEMA), "join-members")
     classes = C.stage(members.where("n > 0").groupBy("node")
                       .agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")),
                       "join-classes")
@@ -333,8 +334,22 @@ def link_components(docs: DataFrame, text: str = "text", n: int = 3, percent: in
         grouped = members.withColumn("root", F.col("node"))
     else:
         grouped = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    grouped = grouped.select("doc_id", "n", "node", "root")
+    grouped = grouped.select("doc_id", "key", "n", F.when(F.col("n") > 0, F.col("root")).alias("root"))
     smallest = grouped.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return (grouped.join(smallest, "root", "left")
-            .select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node",
+            .select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"), "root",
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+
+
+def one_per_group(docs: DataFrame, text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
+    """``docs`` with one row of each group of linked documents: the smallest
+    doc_id's (then the smallest text hash's; one of equal rows). Documents with
+    an empty set all stay."""
+    found = C.stage(link_components(docs, text, n, percent).where("n_shingles > 0").select("doc_id", "key", "root"),
+                    "join-groups")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    best = found.groupBy("root").agg(F.min(rank).alias("best"))
+    judged = found.join(best, "root").select("doc_id", "key", (rank != F.col("best")).alias("gone"))
+    gone = C.stage(judged.where("gone").select("doc_id", "key").distinct(), "join-gone")
+    once = (judged.where("NOT gone").groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"))
+    return without(docs, gone, text, once=C.stage(once, "join-once"))

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .bloom import Bloom
+from .rows import text_key, without
 
 WINDOW = 8
 #: Template words of a window that must not be placeholders, per mille of its words.
@@ -158,10 +159,6 @@ def _doc_windows(wanted: Broadcast, lengths: list[int]):
     return run
 
 
-def _key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def _consistent(pairs: Column) -> Column:
     """Distinct slot pairs (item value, document value): a function, one to one on names."""
     names = F.filter(pairs, lambda p: p["b"].bitwiseAND(F.lit(3)) == _NAME)
@@ -174,7 +171,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str
     """(doc_id, key, item_id, n_covered, n_item_words, verbatim): the items that
     each document holds; key is the text's hash, to tell rows with equal ids."""
     spark = docs.sparkSession
-    bench = C.stage(items.select(F.col("item_id"), _key(F.col(item_text)).alias("key"), F.col(item_text))
+    bench = C.stage(items.select(F.col("item_id"), text_key(F.col(item_text)).alias("key"), F.col(item_text))
                     .mapInArrow(_item_windows, _ROW)
                     .select("hash", F.col("id").alias("item_id"), F.col("key").alias("item_key"), F.col("pos").alias("b_pos"),
                             "words", F.size("slots").alias("n"), F.col("slots").alias("b_slots")).distinct(),
@@ -183,7 +180,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str
     lengths = sorted(r[0] for r in bench.select("n").distinct().collect())  # MIN_ITEM_WORDS .. WINDOW at most
     if not lengths:
         lengths = [WINDOW]
-    found = (docs.select("doc_id", _key(F.col(text)).alias("key"), F.col(text))
+    found = (docs.select("doc_id", text_key(F.col(text)).alias("key"), F.col(text))
              .mapInArrow(_doc_windows(wanted, lengths), _ROW)
              .select("hash", F.col("id").alias("doc_id"), "key", F.col("pos").alias("d_pos"), F.size("slots").alias("n"),
                      F.col("slots").alias("d_slots")))
@@ -213,23 +210,6 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str
                  F.max("verbatim").alias("verbatim")))
 
 
-def without(docs: DataFrame, gone: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose (doc_id, text hash) is not in ``gone`` (doc_id,
-    key). Rows that a Bloom filter of the keys lets pass never move; only the
-    rest is shuffled, for the exact anti-join."""
-    spark = docs.sparkSession
-    gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key")).distinct()
-    mark = F.xxhash64("__gone_id", "__gone_key")
-    marked = Bloom.of(gone.select(mark.alias("m")), "m")
-    wanted = spark.sparkContext.broadcast(marked)
-
-    @F.arrow_udf("boolean")
-    def maybe_gone(m: pa.Array) -> pa.Array:
-        return pa.array(wanted.value.has(m.to_numpy(zero_copy_only=False)))
-
-    tested = docs.withColumn("__gone", maybe_gone(F.xxhash64("doc_id", _key(F.col(text)))))
-    stay = tested.where(~F.col("__gone")).drop("__gone")
-    rest = tested.where("__gone").drop("__gone")
-    rest = rest.join(gone, rest["doc_id"].eqNullSafe(F.col("__gone_id")) & (_key(rest[text]) == F.col("__gone_key")),
-                     "left_anti")
-    return stay.unionByName(rest)
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
+    return without(docs, C.stage(leaks(docs, items, text).select("doc_id", "key").distinct(), "leaks"), text)
