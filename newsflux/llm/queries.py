@@ -13,6 +13,7 @@ from newsflux.sources.tables import load
 from . import common as C
 from . import op1_line_dedup as op1
 from . import op2_sentencepiece as op2
+from . import op4_language_id as op4
 from . import op5_ngram_join as op5
 from . import op6_decontaminate as op6
 from . import op7_quality_rules as op7
@@ -59,3 +60,9 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     C.prepare(spark)
     return op2.tokenize(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    C.prepare(spark)
+    return op4.identify(load(spark, sf_dir, "documents", "doc_id", "text", "lang"))
