@@ -17,6 +17,7 @@ from . import op4_language_id as op4
 from . import op5_ngram_join as op5
 from . import op6_decontaminate as op6
 from . import op7_quality_rules as op7
+from . import op9_html_text as op9
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -66,3 +67,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     C.prepare(spark)
     return op4.identify(load(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    C.prepare(spark)
+    found = op9.extract(load(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_template_blocks")
