@@ -17,6 +17,7 @@ from . import op4_language_id as op4
 from . import op5_ngram_join as op5
 from . import op6_decontaminate as op6
 from . import op7_quality_rules as op7
+from . import op8_token_counts as op8
 from . import op9_html_text as op9
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +75,13 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     C.prepare(spark)
     found = op9.extract(load(spark, sf_dir, "pages", "page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_template_blocks")
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    C.prepare(spark)
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    trees = C.stage(op8.build_trees(docs), "token-trees")
+    edited = op8.apply_edits(docs, trees, op8.revision_edits(docs))
+    return edited.select("doc_id", "n_tokens_before", "n_tokens", "n_edits", "n_encoded",
+                         F.sha2("text", 256).alias("text_sha256"))
