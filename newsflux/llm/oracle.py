@@ -46,3 +46,46 @@ SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.a = d.doc_id
 GROUP BY d.doc_id
 """
+
+# turns with null roles and texts filled, and control marks in them opened
+_TURNS = """
+c AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+      FROM conversations WHERE conv_id IS NOT NULL),
+cuts AS (SELECT conv_id, conv_id % count(*) AS cut FROM c GROUP BY conv_id),
+chosen AS (SELECT conv_id AS pair, turn, role, text FROM c),
+rejected AS (
+  SELECT pair, turn, role, text FROM chosen JOIN cuts ON pair = conv_id WHERE turn < cut
+  UNION ALL
+  SELECT cuts.conv_id, turn, role, text FROM c JOIN cuts ON c.conv_id = cuts.conv_id + 1 WHERE turn >= cut)"""
+
+ORACLE["op10_preference"] = f"""
+WITH {_TURNS},
+a AS (SELECT pair, turn, list_sort(list({{'r': role, 't': text}})) AS m FROM chosen GROUP BY ALL),
+b AS (SELECT pair, turn, list_sort(list({{'r': role, 't': text}})) AS m FROM rejected GROUP BY ALL),
+differs AS (
+  SELECT coalesce(a.pair, b.pair) AS pair, min(coalesce(a.turn, b.turn)) AS d
+  FROM a FULL JOIN b ON a.pair = b.pair AND a.turn = b.turn WHERE a.m IS DISTINCT FROM b.m GROUP BY 1),
+parts AS (
+  SELECT chosen.*, CASE WHEN d IS NULL OR turn < d THEN 'prompt' ELSE 'chosen' END AS part
+  FROM chosen LEFT JOIN differs USING (pair)
+  UNION ALL
+  SELECT rejected.*, 'rejected' FROM rejected JOIN differs USING (pair) WHERE turn >= d),
+pieces AS (
+  SELECT pair, part, turn, role, replace(role, '<|', '< |') AS r, replace(text, '<|', '< |') AS t FROM parts),
+placed AS (
+  SELECT *, '<|' || r || '|>' || chr(10) || t || '<|end|>' || chr(10) AS piece,
+         sum(length(r) + length(t) + 13) OVER (PARTITION BY pair, part ORDER BY turn, r, t ROWS UNBOUNDED PRECEDING) AS stop
+  FROM pieces)
+SELECT pair AS conv_id,
+  coalesce(string_agg(piece, '' ORDER BY turn, r, t) FILTER (WHERE part = 'prompt'), '') AS prompt,
+  coalesce(string_agg(piece, '' ORDER BY turn, r, t) FILTER (WHERE part = 'chosen'), '') AS chosen,
+  coalesce(string_agg(piece, '' ORDER BY turn, r, t) FILTER (WHERE part = 'rejected'), '') AS rejected,
+  coalesce(string_agg((stop - length(t) - 8) || '-' || (stop - 1), ',' ORDER BY turn, r, t)
+           FILTER (WHERE part = 'chosen' AND role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg((stop - length(t) - 8) || '-' || (stop - 1), ',' ORDER BY turn, r, t)
+           FILTER (WHERE part = 'rejected' AND role = 'assistant'), '') AS rejected_spans,
+  count(DISTINCT turn) FILTER (WHERE part = 'prompt') AS n_prompt_turns,
+  count(*) FILTER (WHERE part = 'chosen' AND role = 'assistant') > 0
+  AND count(*) FILTER (WHERE part = 'rejected' AND role = 'assistant') > 0 AS usable
+FROM placed GROUP BY pair
+"""

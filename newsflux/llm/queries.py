@@ -12,6 +12,7 @@ from newsflux.sources.tables import load
 
 from . import common as C
 from . import op1_line_dedup as op1
+from . import op10_preference as op10
 from . import op2_sentencepiece as op2
 from . import op4_language_id as op4
 from . import op5_ngram_join as op5
@@ -85,3 +86,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = op8.apply_edits(docs, trees, op8.revision_edits(docs))
     return edited.select("doc_id", "n_tokens_before", "n_tokens", "n_edits", "n_encoded",
                          F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    C.prepare(spark)
+    chosen, rejected = op10.derived_pairs(load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    ranges = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["stop"])), ",")
+    return (op10.format_pairs(chosen, rejected)
+            .select(F.col("pair").alias("conv_id"), "prompt", "chosen", "rejected", ranges("chosen_spans").alias("chosen_spans"),
+                    ranges("rejected_spans").alias("rejected_spans"), "n_prompt_turns", "usable"))
