@@ -89,3 +89,22 @@ SELECT pair AS conv_id,
   AND count(*) FILTER (WHERE part = 'rejected' AND role = 'assistant') > 0 AS usable
 FROM placed GROUP BY pair
 """
+
+ORACLE["op3_merkle_audit"] = """
+WITH p AS (SELECT DISTINCT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages
+           WHERE page_id IS NOT NULL),
+bodies AS (
+  SELECT *, page_id % 97 AS damage,
+         CASE page_id % 97
+           WHEN 0 THEN (CASE WHEN html LIKE '#%' THEN '!' ELSE '#' END) || substr(html, 2)
+           WHEN 1 THEN substr(html, 1, length(html) // 2) ELSE html END AS bad FROM p),
+sized AS (
+  SELECT *, 74 + strlen(url) + length(strlen(html)::VARCHAR) + strlen(html) AS length_a,
+         74 + strlen(url) + length(strlen(bad)::VARCHAR) + strlen(bad) AS length_b FROM bodies),
+placed AS (
+  SELECT *, 'pages-' || (page_id // 256) AS archive,
+         sum(length_a) OVER (PARTITION BY page_id // 256 ORDER BY page_id) - length_a AS "offset" FROM sized)
+SELECT archive, "offset", length_a, CASE WHEN damage = 2 THEN NULL ELSE length_b END AS length_b,
+       CASE WHEN damage = 2 THEN 'missing' WHEN length_a = length_b THEN 'corrupt' ELSE 'resized' END AS status
+FROM placed WHERE damage = 2 OR bad <> html
+"""

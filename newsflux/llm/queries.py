@@ -14,6 +14,7 @@ from . import common as C
 from . import op1_line_dedup as op1
 from . import op10_preference as op10
 from . import op2_sentencepiece as op2
+from . import op3_merkle_audit as op3
 from . import op4_language_id as op4
 from . import op5_ngram_join as op5
 from . import op6_decontaminate as op6
@@ -96,3 +97,9 @@ def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (op10.format_pairs(chosen, rejected)
             .select(F.col("pair").alias("conv_id"), "prompt", "chosen", "rejected", ranges("chosen_spans").alias("chosen_spans"),
                     ranges("rejected_spans").alias("rejected_spans"), "n_prompt_turns", "usable"))
+
+
+@query
+def op3_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    C.prepare(spark)
+    return op3.compare(*op3.page_archives(load(spark, sf_dir, "pages", "page_id", "url", "html")))
