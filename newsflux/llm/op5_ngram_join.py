@@ -326,9 +326,12 @@ def link_components(docs: DataFrame, text: str = "text", n: int = 3, percent: in
                 .where((F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
                        & _may_link(percent, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
                 .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-        rest = C.stage(rest.join(done, ["a", "b"], "left_anti"), "join-candidates")
+        if done is not None:
+            rest = rest.join(done, ["a", "b"], "left_anti")
+        rest = C.stage(rest, "join-candidates")
         if not rest.isEmpty():
-            links = links.union(verify(rest))
+            found = verify(rest)
+            links = found if links is None else links.union(found)
             labels = components(links, "a", "b")
     if links is None:
         grouped = members.withColumn("root", F.col("node"))
