@@ -27,7 +27,8 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_an_oracle_or_is_listed():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    # the training-data operators state in their own tests what SQL cannot express
+    missing = set(E.queries()) - set(E.oracle_sql()) - set(E.LLM_QUERIES)
     assert missing <= SLOW
 
 
