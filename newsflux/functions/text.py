@@ -7,6 +7,9 @@ strips only U+0020, so we spell the class out.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,11 +23,6 @@ WS_CLASS = (r"[\t\n\x0B\f\r\x1c-\x1f \x{85}\x{A0}\x{1680}\x{2000}-\x{200a}"
 WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
             "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
             "\u2028\u2029\u202f\u205f\u3000")
-# HTML entities seen in landed pages, decoded in this order (&amp; last so a
-# literal "&amp;lt;" is decoded once, to "&lt;").
-HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                 ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"),
-                 ("&amp;", "&")]
 # -----------------------------------------------------------------------------
 
 NBSP = " "
@@ -82,11 +80,31 @@ def count_char(x, ch: str) -> Column:
     return F.length(_c(x)) - F.length(F.replace(_c(x), F.lit(ch), F.lit("")))
 
 
+def named_references() -> dict[str, str]:
+    """The named character references of HTML (the standard library's table)."""
+    return {name[:-1]: chars for name, chars in html5.items() if name.endswith(";")}
+
+
 def unescape_html(x) -> Column:
-    out = _c(x)
-    for ent, ch in HTML_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Character references with their semicolon, decimal, hexadecimal or named,
+    decoded once; anything else that follows an ampersand stays as it is."""
+    names = F.from_json(F.lit(json.dumps(named_references())), "map<string,string>")
+    code = lambda s: F.when(s.startswith("#x") | s.startswith("#X"), F.conv(F.substring(s, 3, 8), 16, 10)) \
+        .otherwise(F.substring(s, 2, 10)).try_cast("int")
+
+    def piece(p: Column) -> Column:
+        ref = F.regexp_extract(p, r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+        n = code(ref)
+        char = (F.when(~ref.startswith("#"), F.try_element_at(names, ref))
+                .when((n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF),
+                      F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+        rest = F.substring(p, F.length(ref) + 2, F.length(p))
+        return F.when((ref != "") & char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), p))
+
+    s = _c(x)
+    parts = F.split(s, "&", -1)
+    return F.when(~s.contains("&"), s).otherwise(
+        F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece), "")))
 
 
 def strip_tags(x) -> Column:

@@ -9,8 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
-# Links whose URL contains any of these are not followed.
-DENY_SUBSTRINGS = ["tv.", "guba.", "blog.", "index.html"]
+# Sections (first host label) of these sites, and pages, that are not followed.
+DENY_SECTIONS = ["tv", "guba", "blog"]
+DENY_SITES = ["hexun.com", "example.com", "example.net", "example.org"]
+DENY_PAGES = ["index.html"]
 # Third character of a code -> asset class (anything else is a stock).
 ASSET_CLASS_BY_DIGIT = {"2": "bond", "5": "fund"}
 # -----------------------------------------------------------------------------
@@ -22,10 +24,16 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def is_comparable(url, deny=DENY_SUBSTRINGS) -> Column:
-    """True when the URL contains none of the deny-list substrings."""
+def denied_host(sections=DENY_SECTIONS, sites=DENY_SITES) -> str:
+    """Pattern of the hosts that P2 drops: a section of one of the sites."""
+    return rf"^({'|'.join(sections)})\.(.*\.)?({'|'.join(s.replace('.', chr(92) + '.') for s in sites)})$"
+
+
+def is_comparable(url, sections=DENY_SECTIONS, sites=DENY_SITES, pages=DENY_PAGES) -> Column:
+    """True unless the host is a dropped section of a site (``news.cctv.com``
+    is none, though it holds ``tv.``) or the URL names a dropped page."""
     u = _c(url)
-    return ~reduce(lambda a, b: a | b, [u.contains(s) for s in deny])
+    return ~reduce(lambda a, b: a | b, [u.contains(s) for s in pages], host(u).rlike(denied_host(sections, sites)))
 
 
 def origin(url) -> Column:
@@ -91,8 +99,9 @@ def asset_class(code) -> Column:
 
 
 def code_from_link(href) -> Column:
-    """Text between the last '/' and a trailing '.html'."""
-    return F.regexp_extract(_c(href), r"([^/]*)\.html$", 1)
+    """Text between the last '/' before the last '.html' and that '.html',
+    whatever follows it (a query, a fragment)."""
+    return F.regexp_extract(_c(href), r"^(?:.*/)?([^/]*)\.html", 1)
 
 
 def name_from_label(label) -> Column:

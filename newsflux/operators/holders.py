@@ -22,36 +22,21 @@ def holder_id(name, sex, age, edu) -> Column:
     return F.substring(F.md5(F.concat_ws("\u0001", *[F.coalesce(p, F.lit("")) for p in parts])), 1, 16)
 
 
-def rollup(pairs: DataFrame, key: str, item: str, seq: list[str], attrs: list[str]) -> DataFrame:
-    """A1: first-seen attributes, list size, first and last item per key."""
-    order = F.struct(*[F.col(c) for c in seq])
-    aggs = [F.count(F.lit(1)).alias("n_items"),
-            F.min_by(item, order).alias("first_item"),
-            F.max_by(item, order).alias("last_item"),
-            F.min(order).alias("_first_seq"), F.max(order).alias("_last_seq")]
+def rollup(pairs: DataFrame, key: str, item: str, seq: list, attrs: list[str]) -> DataFrame:
+    """A1/K6: first-seen attributes, list size, first and last item per key, in
+    the order of ``seq`` (columns or expressions). An upsert of a delta into a
+    stored list is the same roll-up with the stored rows ordered first: absent
+    keys are inserted, present ones keep their attributes and get the delta's
+    items appended. ``list_rows`` gives the list itself."""
+    order = F.struct(*[c if isinstance(c, Column) else F.col(c) for c in [*seq, item]])  # the item settles ties
+    aggs = [F.count(F.lit(1)).alias("n_items"), F.min_by(item, order).alias("first_item"),
+            F.max_by(item, order).alias("last_item")]
     if attrs:
         aggs.append(F.min_by(F.struct(*attrs), order).alias("_attrs"))
     out = pairs.groupBy(key).agg(*aggs)
-    return out.select(key, *([F.col(f"_attrs.{a}").alias(a) for a in attrs]), "n_items",
-                      "first_item", "last_item")
-
-
-def upsert(base: DataFrame, delta: DataFrame, key: str, attrs: list[str]) -> DataFrame:
-    """K6: absent -> insert; present -> append the delta's items after the
-    base list, other fields unchanged. Both sides are ``rollup`` outputs."""
-    b = base.select(key, *[F.col(c).alias(f"b_{c}") for c in base.columns if c != key])
-    d = delta.select(key, *[F.col(c).alias(f"d_{c}") for c in delta.columns if c != key])
-    j = b.join(d, key, "full_outer")
-    return j.select(
-        key,
-        *[F.when(F.col("b_n_items").isNotNull(), F.col(f"b_{a}")).otherwise(F.col(f"d_{a}")).alias(a)
-          for a in attrs],
-        (F.coalesce(F.col("b_n_items"), F.lit(0)) + F.coalesce(F.col("d_n_items"), F.lit(0)))
-        .cast("bigint").alias("n_items"),
-        F.coalesce(F.col("b_first_item"), F.col("d_first_item")).alias("first_item"),
-        F.coalesce(F.col("d_last_item"), F.col("b_last_item")).alias("last_item"))
+    return out.select(key, *([F.col(f"_attrs.{a}").alias(a) for a in attrs]), "n_items", "first_item", "last_item")
 
 
 def list_rows(pairs: DataFrame, key: str, item: str, seq: list[str]) -> DataFrame:
     """A2 in row form: (key, pos, item) in arrival order, duplicates kept."""
-    return number_within(pairs.select(key, item, *seq), [key], seq, name="pos").select(key, "pos", item)
+    return number_within(pairs.select(key, item, *seq), [key], [*seq, item], name="pos").select(key, "pos", item)

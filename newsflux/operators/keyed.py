@@ -64,10 +64,13 @@ def insert_if_absent(delta: DataFrame, base: DataFrame, key, order: Sequence[str
     return out
 
 
-def update_by_key(base: DataFrame, delta: DataFrame, key, fields: Sequence[str]) -> DataFrame:
-    """K7: set ``fields`` from ``delta`` where present; other rows unchanged.
-    ``delta`` must hold at most one row per key (use ``last_per_key``)."""
+def update_by_key(base: DataFrame, delta: DataFrame, key, fields: Sequence[str],
+                  order: Sequence[str] = ()) -> DataFrame:
+    """K7: set ``fields`` from ``delta`` where present; other rows unchanged. Of
+    several delta rows with one key the last by ``order`` counts (without an
+    order: by the fields)."""
     keys = _keys(key)
+    delta = last_per_key(delta.select(*keys, *{*fields, *order} - {*keys}), keys, order or fields)
     d = delta.select(*keys, *[F.col(f).alias(f"_new_{f}") for f in fields])
     joined = base.join(d, keys, "left")
     return joined.select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in fields else F.col(c)
@@ -81,18 +84,16 @@ def delete_by_key(base: DataFrame, keys_df: DataFrame, key) -> tuple[DataFrame,
     return base.join(k, keys, "left_anti"), base.join(k, keys, "left_semi")
 
 
-def route(records: DataFrame, routes: DataFrame, on: str,
-          target: str = "target", strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Attach the sink of every record by an exact-match lookup;
-    records without a route go to the quarantine side with a reason, or, in
-    strict mode, fail the job (the reference raises on an unknown type).
-    ``routes`` is a configuration table (a handful of rows), so it is
-    broadcast."""
+def route(records: DataFrame, routes: DataFrame, on: str, target: str = "target", strict: bool = False,
+          quarantine: str = "quarantine") -> DataFrame:
+    """Attach the sink of every record by an exact-match lookup;
+    records without a route get the ``quarantine`` sink and a ``reason``, or, in
+    strict mode, fail the job (the reference raises on an unknown type). One pass
+    over the records; the writer splits by ``target``. ``routes`` is a
+    configuration table (a handful of rows), so it is broadcast."""
     routed = records.join(F.broadcast(routes), on, "left")
     if strict:
         routed = routed.withColumn(target, F.coalesce(
             F.col(target), F.raise_error(F.concat(F.lit("no route for "), F.col(on).cast("string")))))
-    ok = routed.where(F.col(target).isNotNull())
-    bad = (routed.where(F.col(target).isNull()).drop(target)
-           .withColumn("reason", F.lit("no route")))
-    return ok, bad
+    return (routed.withColumn("reason", F.when(F.col(target).isNull(), F.lit("no route")))
+            .withColumn(target, F.coalesce(F.col(target), F.lit(quarantine))))

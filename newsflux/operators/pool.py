@@ -77,23 +77,16 @@ def expired_counts(adm: DataFrame, run_starts: DataFrame, run: str = "run_start"
                    horizon_days: int = HORIZON_DAYS) -> DataFrame:
     """Rows purged at each run start.
 
-    An admission is purged at the first run start ``R > db_time + horizon``.
-    Admissions are first counted per candidate day (partial aggregate), then
-    each candidate day is mapped to the first run on or after it through a
-    day -> run table covering the gaps between runs. Both tables are bounded
-    by the calendar span, not by the data.
+    An admission is purged at the first run start ``R > db_time + horizon``,
+    whatever time of day runs start. Admissions are first counted per instant
+    (combined map-side); each instant looks its run up in the calendar of run
+    starts, a scalar subquery with one entry per run.
     """
-    cand = (adm.select((F.date_trunc("DAY", F.col("db_time") + _horizon(horizon_days))
-                        .cast("timestamp_ntz") + F.make_dt_interval(F.lit(1))).alias("day"))
-            .groupBy("day").agg(F.count(F.lit(1)).alias("n")))
-    runs = run_starts.select(F.col(run).alias("r")).distinct()
-    prev = F.lag("r").over(Window.orderBy("r"))  # calendar-bounded (one row per run)
-    day_to_run = (runs.select("r", prev.alias("p"))
-                  .select("r", F.explode(F.sequence(
-                      F.coalesce(F.col("p") + F.make_dt_interval(F.lit(1)), F.col("r")),
-                      F.col("r"), F.make_dt_interval(F.lit(1)))).alias("day")))
-    return (cand.join(day_to_run, "day")
-            .groupBy(F.col("r").alias(run)).agg(F.sum("n").cast("bigint").alias("n_expired")))
+    calendar = run_starts.select(F.array_sort(F.collect_set(run))).scalar()
+    due = (adm.groupBy((F.col("db_time") + _horizon(horizon_days)).alias("due")).agg(F.count(F.lit(1)).alias("n"))
+           .withColumn("runs", calendar))
+    gone = due.select(F.array_min(F.filter("runs", lambda r: r > F.col("due"))).alias(run), "n")
+    return gone.where(F.col(run).isNotNull()).groupBy(run).agg(F.sum("n").cast("bigint").alias("n_expired"))
 
 
 def latest(pool: DataFrame, n: int = 10, order_col: str = "pb_time", key: str = "url") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from . import keyed
 from .ordering import number_within, top_within
 
@@ -20,38 +21,49 @@ CHANGE_LABEL = "跌涨幅："         # quote report: change
 # -----------------------------------------------------------------------------
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: a join on it sees plain
+    files, so AQE can split a hot key, and the lineage of a loop stays short."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def register(signups: DataFrame, order=("ts", "event_id")) -> DataFrame:
     """M1: outcome code per signup in log order: 1 inserted, -3 username
     taken, -4 email taken.
 
-    When the email is a function of the username (as in our signup log) the
-    first signup of every email is the one that succeeds, and any later one
-    is -3 when it repeats that winner's username, else -4. The winners come
-    from a ``min_by`` aggregate (map-side combined, skew-safe) joined back on
-    email.
+    A signup succeeds when neither its username nor its email belongs to an
+    earlier success. That is decided in rounds over the distinct (username,
+    email) pairs, each by its first signup: open pairs that are the first of
+    both their username and their email succeed, pairs that share a username or
+    an email with a success are closed, until none is open. Every round is two
+    ``min`` aggregates (combined map-side) and joins with stored tables; no
+    connected component of names is ever gathered. The first open pair always
+    succeeds, so the rounds end; a log where each username keeps its email needs
+    two.
     """
-    winners = (signups.groupBy("email")
-               .agg(F.min_by(F.struct(*[F.col(c) for c in order], F.col("username")),
-                             F.struct(*[F.col(c) for c in order])).alias("w"))
-               .select("email", F.col("w.username").alias("_win_user"),
-                       *[F.col(f"w.{c}").alias(f"_win_{c}") for c in order]))
-    j = signups.join(winners, "email")
-    is_winner = F.lit(True)
-    for c in order:
-        is_winner = is_winner & (F.col(c) == F.col(f"_win_{c}"))
-    code = (F.when(is_winner, 1).when(F.col("username") == F.col("_win_user"), -3).otherwise(-4))
+    when = F.struct(*[F.col(c) for c in order])
+    open_ = _stored(signups.groupBy("username", "email").agg(F.min(when).alias("at")), "register-open")
+    won = None
+    while not open_.isEmpty():
+        by_user = _stored(open_.groupBy("username").agg(F.min("at").alias("user_at")), "register-users")
+        by_mail = _stored(open_.groupBy("email").agg(F.min("at").alias("mail_at")), "register-mails")
+        wins = _stored(open_.join(by_user, "username").join(by_mail, "email")
+                       .where((F.col("at") == F.col("user_at")) & (F.col("at") == F.col("mail_at")))
+                       .select("username", "email", "at"), "register-won")
+        won = wins if won is None else won.unionByName(wins)
+        open_ = _stored(open_.join(wins.select("username"), "username", "left_anti")
+                        .join(wins.select("email"), "email", "left_anti"), "register-open")
+    if won is None:
+        return signups.withColumn("code", F.lit(1))
+    winners = _stored(won, "register-winners")
+    j = (signups.join(winners.select("username", F.col("email").alias("_mail"), F.col("at").alias("_at")), "username", "left"))
+    code = (F.when((F.col("_at") == when) & (F.col("_mail") == F.col("email")), 1)
+            .when(F.col("_at") < when, -3).otherwise(-4))
     return j.select(*signups.columns, code.cast("int").alias("code"))
 
 
-def email_follows_username(signups: DataFrame) -> DataFrame:
-    """H5 precondition of ``register``: one row, ``ok`` true when no username
-    appears with two emails. (Without it the outcome is a greedy matching in
-    log order — sequential inside each connected (username, email)
-    component — which ``register`` does not attempt.)"""
-    per_user = signups.groupBy("username").agg(F.count_distinct("email").alias("n"))
-    return per_user.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).select((F.col("n") <= 1).alias("ok"))
-
-
 def profiles_from(registrations: DataFrame) -> DataFrame:
     """Successful registrations -> profile rows (username, email)."""
     return registrations.where(F.col("code") == 1).select("username", "email")
@@ -76,13 +88,14 @@ def replay_last_action(actions: DataFrame, keys, order, action: str = "action")
 
 def stock_lookup(probes: DataFrame, stocks: DataFrame, q: str = "q") -> DataFrame:
     """A probe starting with sz/sh is a code, else an exact name; names
-    shared by several stocks resolve to the lowest code. No match -> no row."""
-    is_code = F.col(q).startswith("sz") | F.col(q).startswith("sh")
-    by_code = (probes.where(is_code)
-               .join(stocks.select(F.col("code").alias(q), F.col("code")), q))
-    names = stocks.groupBy(F.col("name").alias(q)).agg(F.min("code").alias("code"))
-    by_name = probes.where(~is_code).join(names, q)
-    return by_code.unionByName(by_name)
+    shared by several stocks resolve to the lowest code. No match -> no row.
+
+    One join: codes and names are keys of one stored table (names that look like
+    codes can never match, so they are no keys)."""
+    names = (stocks.where(~(F.col("name").startswith("sz") | F.col("name").startswith("sh")))
+             .groupBy(F.col("name").alias(q)).agg(F.min("code").alias("code")))
+    keys = stocks.select(F.col("code").alias(q), "code").unionByName(names)
+    return probes.join(_stored(keys, "stock-keys"), q)
 
 
 def quote_report(pos, name, current, delta, percent):
@@ -95,7 +108,7 @@ def quote_report(pos, name, current, delta, percent):
                     F.lit(" ("), T.fmt2_signed(c(percent)), F.lit(")%"))
 
 
-def watchlist(adds: DataFrame, user: str = "user_id", at: str = "added_at",
-              code: str = "code") -> DataFrame:
-    """A user's stocks in add order with 1-based positions."""
-    return number_within(adds, [user], [at, code], name="pos")
+def watchlist(adds: DataFrame, user: str = "user_id", at: str = "added_at", seq=()) -> DataFrame:
+    """A user's stocks in add order with 1-based positions; adds of one
+    instant keep their arrival order ``seq``."""
+    return number_within(adds, [user], [at, *seq], name="pos")

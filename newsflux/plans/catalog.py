@@ -155,10 +155,10 @@ def first_write_articles(spark, sf_dir):
                          F.size(F.array().cast("array<string>")).cast("bigint").alias("n_liked"))
 
 
-# fixed values: source -> sink table of the keyed store (K2)
-ROUTES = [("src0", "wallstreet"), ("src1", "hexun"), ("src2", "sina"), ("src3", "sina_roll"),
-          ("src4", "tencent"), ("src5", "em_articles"), ("src6", "announcements"),
-          ("src7", "research_reports"), ("src8", "stocks"), ("src9", "holders")]
+# fixed values: sink tables of the keyed store (K2); the sources take them in turn, the last source has no route
+SINKS = ["wallstreet", "hexun", "sina", "sina_roll", "tencent", "em_articles", "announcements",
+         "research_reports", "stocks", "holders"]
+ROUTES = [(f"src{i}", SINKS[i % len(SINKS)]) for i in range(19)]
 
 
 def routes_df(spark: SparkSession) -> DataFrame:
@@ -170,9 +170,7 @@ def route_sources(spark, sf_dir):
     """Route documents to sinks; unrouted ones to quarantine."""
     t = Tables(spark, sf_dir)
     docs = t.documents("doc_id", "source")
-    ok, bad = keyed.route(docs, routes_df(spark), "source")
-    return (ok.select("doc_id", "source", "target")
-            .unionByName(bad.select("doc_id", "source", F.lit("quarantine").alias("target"))))
+    return keyed.route(docs, routes_df(spark), "source").select("doc_id", "source", "target", "reason")
 
 
 @query
@@ -264,7 +262,7 @@ def stock_insert_if_absent(spark, sf_dir):
 
 
 def _watchlist(t: Tables) -> DataFrame:
-    return M.watchlist(derived.watch_adds(t))
+    return M.watchlist(derived.watch_adds(t), seq=["l_orderkey", "l_linenumber", "code"])
 
 
 @query
@@ -298,17 +296,20 @@ HOLDER_ATTRS = ["name", "sex", "age", "edu", "duty"]
 @query
 def holder_upsert(spark, sf_dir):
     """Holder documents = stored snapshot upserted with the delta."""
-    t = Tables(spark, sf_dir)
-    pairs = _holder_pairs(t)
-    seq = ["l_orderkey", "l_linenumber"]
-    base = H.rollup(pairs.where("in_base"), "userid", "stock_id", seq, HOLDER_ATTRS)
-    delta = H.rollup(pairs.where(~F.col("in_base")), "userid", "stock_id", seq, HOLDER_ATTRS)
-    out = H.upsert(base, delta, "userid", HOLDER_ATTRS)
+    pairs = _holder_pairs(Tables(spark, sf_dir))
+    out = H.rollup(pairs, "userid", "stock_id", [~F.col("in_base"), "l_orderkey", "l_linenumber"], HOLDER_ATTRS)
     return out.select("userid", "name", "sex", "age", "edu", "duty",
                       F.col("n_items").alias("n_stocks"),
                       F.col("first_item").alias("first_stock"), F.col("last_item").alias("last_stock"))
 
 
+@query
+def holder_stock_list(spark, sf_dir):
+    """The whole ``stockid_list`` of every holder, stored items first."""
+    pairs = _holder_pairs(Tables(spark, sf_dir)).withColumn("is_delta", ~F.col("in_base"))
+    return H.list_rows(pairs, "userid", "stock_id", ["is_delta", "l_orderkey", "l_linenumber"])
+
+
 @query
 def stock_holders(spark, sf_dir):
     """A2/K4: holder ids per stock in arrival order (append-only, duplicates kept)."""
@@ -319,6 +320,13 @@ def stock_holders(spark, sf_dir):
                     F.col("first_item").alias("first_holder"), F.col("last_item").alias("last_holder"))
 
 
+@query
+def stock_holder_list(spark, sf_dir):
+    """A2/K4: the whole holder list of every stock, appended in arrival order."""
+    pairs = _holder_pairs(Tables(spark, sf_dir))
+    return H.list_rows(pairs, "stock_id", "userid", ["l_orderkey", "l_linenumber"])
+
+
 @query
 def holder_ids(spark, sf_dir):
     """deterministic holder id per supplier."""
@@ -478,10 +486,10 @@ def watchlist_replay(spark, sf_dir):
     stocks = _stocks(t)
     adds = M.stock_lookup(acts.where(F.col("event_type") != "error"), stocks)
     dels = (acts.where(F.col("event_type") == "error")
-            .groupBy("user_id", F.col("q").alias("code")).agg(F.max("ts").alias("last_del")))
+            .groupBy("user_id", F.col("q").alias("code")).agg(F.max(F.struct("ts", "event_id")).alias("last_del")))
     kept = (adds.join(dels, ["user_id", "code"], "left")
-            .where(F.col("last_del").isNull() | (F.col("ts") > F.col("last_del"))))
-    w = M.watchlist(kept.select("user_id", "code", F.col("ts").alias("added_at"), "event_id"))
+            .where(F.col("last_del").isNull() | (F.struct("ts", "event_id") > F.col("last_del"))))
+    w = M.watchlist(kept.select("user_id", "code", F.col("ts").alias("added_at"), "event_id"), seq=["event_id", "code"])
     return w.select("user_id", "pos", "code")
 
 
@@ -499,17 +507,17 @@ def _corpus_articles(spark, t: Tables) -> DataFrame:
             .join(F.broadcast(routes_df(spark)), "source")
             .where(F.col("target").isin(CORPUS_SINKS)))
     dl = F.split("text", "\n")
-    d = docs.select(F.col("target").alias("source"), F.col("doc_id").alias("doc_key"),
+    d = docs.select(F.col("target").alias("source"), F.col("doc_id").cast("string").alias("doc_key"),
                     F.get(dl, 0).alias("title"),
                     F.slice(dl, 2, F.greatest(F.size(dl) - 1, F.lit(0))).alias("paras"))
     pg = P.page_articles(t.pages("page_id", "url", "html")).select(
-        F.lit("pages").alias("source"), F.col("page_id").alias("doc_key"), "title",
+        F.lit("pages").alias("source"), F.col("page_id").cast("string").alias("doc_key"), "title",
         F.col("blocks").alias("paras"))
     bm = t.benchmark("item_id", "text").select(
-        F.lit("benchmark").alias("source"), F.col("item_id").alias("doc_key"), none.alias("title"),
+        F.lit("benchmark").alias("source"), F.col("item_id").cast("string").alias("doc_key"), none.alias("title"),
         F.split("text", "\n").alias("paras"))
     cv = t.conversations("conv_id", "turn", "text").select(
-        F.lit("conversations").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_key"),
+        F.lit("conversations").alias("source"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_key"),
         none.alias("title"), F.split("text", "\n").alias("paras"))
     return d.unionByName(pg).unionByName(bm).unionByName(cv)
 
@@ -568,7 +576,9 @@ def word_lookup(spark, sf_dir):
     out = V.lookup(probes, vecs, dim)
     return out.select("event_id", "word", "found", F.size("vector").cast("bigint").alias("dim"),
                       F.get("vector", 0).cast("double").alias("v_first"),
-                      F.element_at("vector", -1).cast("double").alias("v_last"))
+                      F.element_at("vector", -1).cast("double").alias("v_last"),
+                      F.aggregate(F.transform("vector", lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0),
+                                  lambda a, v: a + v).alias("v_sum"))
 
 
 # --- phase 7: streaming (oracle = the batch SQL) -----------------------------

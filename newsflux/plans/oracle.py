@@ -7,8 +7,10 @@ the recipes of derived inputs are shared.
 
 from __future__ import annotations
 
-from ..functions.text import HTML_ENTITIES, WS_CLASS
-from ..functions.urls import DENY_SUBSTRINGS
+import json
+
+from ..functions.text import WS_CLASS, named_references
+from ..functions.urls import DENY_PAGES, denied_host
 from ..operators.profiles import CHANGE_LABEL, PRICE_LABEL
 
 WS = WS_CLASS
@@ -30,11 +32,19 @@ def clean(x: str) -> str:
     return strip(multi_space(x))
 
 
+# character references: split at ampersands, decode what each piece begins with
+_REFS = f"{q(json.dumps(named_references(), ensure_ascii=False))}::JSON::MAP(VARCHAR, VARCHAR)"
+_REF = "regexp_extract(p, '^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});', 1)"
+
+
 def unescape(x: str) -> str:
-    out = x
-    for ent, ch in HTML_ENTITIES:
-        out = f"replace({out}, {q(ent)}, {q(ch)})"
-    return out
+    code = (f"(CASE WHEN lower(substr({_REF}, 1, 2)) = '#x' THEN TRY_CAST('0x' || substr({_REF}, 3) AS INTEGER) "
+            f"ELSE TRY_CAST(substr({_REF}, 2) AS INTEGER) END)")
+    char = (f"(CASE WHEN {_REF} = '' THEN NULL WHEN {_REF} NOT LIKE '#%' THEN ({_REFS})[{_REF}] "
+            f"WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr({code}) END)")
+    piece = f"(CASE WHEN {char} IS NOT NULL THEN {char} || substr(p, length({_REF}) + 2) ELSE '&' || p END)"
+    return (f"(CASE WHEN NOT contains({x}, '&') THEN {x} ELSE string_split({x}, '&')[1] || array_to_string("
+            f"list_transform(string_split({x}, '&')[2:], lambda p: {piece}), '') END)")
 
 
 def html_text(x: str) -> str:
@@ -42,7 +52,9 @@ def html_text(x: str) -> str:
 
 
 def comparable(x: str) -> str:
-    return "NOT (" + " OR ".join(f"contains({x}, {q(s)})" for s in DENY_SUBSTRINGS) + ")"
+    host = f"regexp_extract({x}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)"
+    return (f"NOT (regexp_matches({host}, {q(denied_host())}) OR "
+            + " OR ".join(f"contains({x}, {q(s)})" for s in DENY_PAGES) + ")")
 
 
 def ts_str(x: str) -> str:
@@ -134,6 +146,8 @@ _ORIGIN = r"regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
 _DIR = r"""(CASE WHEN regexp_extract(regexp_extract(url, '^([^?#]*)', 1), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(/.*)?$', 1) = ''
            THEN regexp_extract(url, '^([^?#]*)', 1) || '/'
            ELSE regexp_extract(regexp_extract(url, '^([^?#]*)', 1), '^(.*/)', 1) END)"""
+HREFS = ("list_transform(regexp_extract_all(html, '<a\\s(?:[^>\"'']|\"[^\"]*\"|''[^'']*'')*?\\bhref\\s*=\\s*(\"[^\"]*\"|''[^'']*''"
+         "|[^\\s>\"'']+)', 1, 'i'), lambda v: " + unescape("regexp_replace(v, '^[\"'']|[\"'']$', '', 'g')") + ")")
 ORACLE["page_links"] = rf"""
 SELECT page_id, CAST(i - 1 AS BIGINT) AS pos, h[i] AS href,
        CASE WHEN starts_with(h[i], 'http') THEN h[i]
@@ -141,7 +155,7 @@ SELECT page_id, CAST(i - 1 AS BIGINT) AS pos, h[i] AS href,
             WHEN starts_with(h[i], '/') THEN {_ORIGIN} || h[i]
             WHEN starts_with(h[i], '#') OR h[i] = '' THEN regexp_extract(url, '^([^#]*)', 1) || h[i]
             ELSE {_DIR} || h[i] END AS abs_url
-FROM (SELECT page_id, url, regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"[^>]*>', 1) AS h FROM pages),
+FROM (SELECT page_id, url, {HREFS} AS h FROM pages),
      generate_series(1, len(h)) AS g(i)"""
 
 ORACLE["url_denylist"] = f"SELECT page_id, url, {comparable('url')} AS followed FROM pages"
@@ -166,11 +180,11 @@ WHERE rn = 1"""
 
 ORACLE["route_sources"] = """
 SELECT doc_id, source,
-       CASE source WHEN 'src0' THEN 'wallstreet' WHEN 'src1' THEN 'hexun' WHEN 'src2' THEN 'sina'
-                   WHEN 'src3' THEN 'sina_roll' WHEN 'src4' THEN 'tencent' WHEN 'src5' THEN 'em_articles'
-                   WHEN 'src6' THEN 'announcements' WHEN 'src7' THEN 'research_reports'
-                   WHEN 'src8' THEN 'stocks' WHEN 'src9' THEN 'holders' ELSE 'quarantine' END AS target
-FROM documents"""
+       CASE WHEN n IS NULL OR n > 18 THEN 'quarantine' ELSE
+         ['wallstreet', 'hexun', 'sina', 'sina_roll', 'tencent', 'em_articles', 'announcements',
+          'research_reports', 'stocks', 'holders'][n % 10 + 1] END AS target,
+       CASE WHEN n IS NULL OR n > 18 THEN 'no route' END AS reason
+FROM (SELECT *, TRY_CAST(regexp_extract(source, '^src([0-9]+)$', 1) AS INTEGER) AS n FROM documents)"""
 
 ORACLE["clean_text"] = f"""
 SELECT doc_id, {clean('text')} AS clean, replace({clean('text')}, chr(10), ' ') AS flat,
@@ -187,9 +201,8 @@ FROM (SELECT doc_id, string_split({strip('text')}, chr(10)) AS l FROM documents)
 
 def code(k: str) -> str:
     k = f"({k})"
-    ks = f"CAST({k} AS VARCHAR)"
     return (f"((CASE WHEN {k} % 2 = 1 THEN 'sh' ELSE 'sz' END) || CAST({k} % 7 AS VARCHAR) || "
-            f"lpad({ks}, CAST(greatest(5, length({ks})) AS INTEGER), '0'))")
+            f"to_base({k} % 60466176, 36, 5))")
 
 
 LINES = f"""
@@ -220,7 +233,7 @@ WITH links AS (
               ELSE 'http://quote.example.com/' || {code('p_partkey')} || '.html' END AS href,
          CASE WHEN p_partkey % 30 = 0 THEN p_name ELSE p_name || '(' || {code('p_partkey')} || ')' END AS label
   FROM part),
-c AS (SELECT *, regexp_extract(href, '([^/]*)\.html$', 1) AS code FROM links)
+c AS (SELECT *, regexp_extract(href, '^(?:.*/)?([^/]*)\.html', 1) AS code FROM links)
 SELECT line_no, substr(code, 1, 2) AS market, substr(code, 3, 6) AS stock_id,
        CASE WHEN contains(label, '(') THEN regexp_extract(label, '^(.*)\(', 1) ELSE label END AS stock_name,
        substr(href, length(href) - 10, 6) AS id6
@@ -250,10 +263,11 @@ FROM d WHERE rn = 1 AND code NOT IN (SELECT {code('p_partkey')} FROM part WHERE
 
 WATCH = f"""
 adds AS (
-  SELECT o_custkey AS user_id, {code('l_partkey')} AS code, o_orderdate + to_minutes(l_linenumber) AS added_at
+  SELECT o_custkey AS user_id, {code('l_partkey')} AS code, o_orderdate + to_minutes(l_linenumber) AS added_at,
+         l_orderkey, l_linenumber
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 wl AS (
-  SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY added_at, code) AS BIGINT) AS pos, code
+  SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY added_at, l_orderkey, l_linenumber, code) AS BIGINT) AS pos, code
   FROM adds)"""
 
 ORACLE["watchlist_named"] = f"""WITH {LINES.strip()}, {WATCH.strip()}
@@ -305,17 +319,26 @@ pairs AS (
 
 ORACLE["holder_upsert"] = f"""WITH {PAIRS},
 o AS (
-  SELECT *, row_number() OVER (PARTITION BY userid ORDER BY (NOT in_base), l_orderkey, l_linenumber) AS rn,
+  SELECT *, row_number() OVER (PARTITION BY userid ORDER BY (NOT in_base), l_orderkey, l_linenumber, stock_id) AS rn,
          count(*) OVER (PARTITION BY userid) AS n
   FROM pairs)
 SELECT f.userid, f.name, f.sex, f.age, f.edu, f.duty, CAST(f.n AS BIGINT) AS n_stocks,
        f.stock_id AS first_stock, l.stock_id AS last_stock
 FROM o f JOIN o l ON f.userid = l.userid AND f.rn = 1 AND l.rn = l.n"""
 
+ORACLE["holder_stock_list"] = f"""WITH {PAIRS}
+SELECT userid, CAST(row_number() OVER (PARTITION BY userid ORDER BY (NOT in_base), l_orderkey, l_linenumber, stock_id) AS BIGINT) AS pos,
+       stock_id
+FROM pairs"""
+
+ORACLE["stock_holder_list"] = f"""WITH {PAIRS}
+SELECT stock_id, CAST(row_number() OVER (PARTITION BY stock_id ORDER BY l_orderkey, l_linenumber, userid) AS BIGINT) AS pos, userid
+FROM pairs"""
+
 ORACLE["stock_holders"] = f"""WITH {PAIRS}
 SELECT stock_id, CAST(count(*) AS BIGINT) AS n_holders,
-       arg_min(userid, l_orderkey * 100 + l_linenumber) AS first_holder,
-       arg_max(userid, l_orderkey * 100 + l_linenumber) AS last_holder
+       arg_min(userid, {{'a': l_orderkey, 'b': l_linenumber, 'c': userid}}) AS first_holder,
+       arg_max(userid, {{'a': l_orderkey, 'b': l_linenumber, 'c': userid}}) AS last_holder
 FROM pairs GROUP BY stock_id"""
 
 ORACLE["holder_ids"] = f"WITH {ATTRS.strip()}\nSELECT s_suppkey, userid FROM ids"
@@ -341,34 +364,34 @@ SELECT 'https://feed.example.com/a/' || CAST(event_id AS VARCHAR) AS url,
        strftime(date_trunc('minute', ts) - INTERVAL 5 DAY, '%Y%m%d:%H') AS horizon_hour
 FROM events"""
 
+# the log replayed row by row, with the names and emails taken so far
 SIGNUPS = """
 su AS (
-  SELECT event_id, ts, 'user' || CAST(user_id AS VARCHAR) AS username,
-         'u' || CAST(user_id % 100 AS VARCHAR) || '@example.com' AS email
+  SELECT event_id, 'user' || CAST(user_id AS VARCHAR) AS username,
+         'u' || CAST((user_id + CASE WHEN event_id % 3 = 0 THEN event_id ELSE 0 END) % 100 AS VARCHAR) || '@example.com'
+           AS email,
+         row_number() OVER (ORDER BY ts, event_id) AS i
   FROM events WHERE event_type = 'signup'),
-ok AS (
-  SELECT * FROM su s
-  WHERE NOT EXISTS (SELECT 1 FROM su e WHERE e.email = s.email
-                    AND (e.ts < s.ts OR (e.ts = s.ts AND e.event_id < s.event_id)))),
-reg AS (
-  SELECT s.event_id, s.username, s.email,
-         CAST(CASE WHEN s.event_id IN (SELECT event_id FROM ok) THEN 1
-                   WHEN EXISTS (SELECT 1 FROM ok WHERE ok.username = s.username
-                                AND (ok.ts < s.ts OR (ok.ts = s.ts AND ok.event_id < s.event_id))) THEN -3
-                   ELSE -4 END AS INTEGER) AS code
-  FROM su s),
+replay(i, code, users, mails) AS (
+  SELECT CAST(0 AS BIGINT), 0, []::VARCHAR[], []::VARCHAR[]
+  UNION ALL
+  SELECT su.i, CASE WHEN list_contains(users, username) THEN -3 WHEN list_contains(mails, email) THEN -4 ELSE 1 END,
+         CASE WHEN list_contains(users, username) OR list_contains(mails, email) THEN users ELSE list_append(users, username) END,
+         CASE WHEN list_contains(users, username) OR list_contains(mails, email) THEN mails ELSE list_append(mails, email) END
+  FROM replay r JOIN su ON su.i = r.i + 1),
+reg AS (SELECT su.*, CAST(code AS INTEGER) AS code FROM su JOIN replay USING (i)),
 profiles AS (SELECT username, email FROM reg WHERE code = 1),
 del_keys AS (SELECT 'user' || CAST(c_custkey AS VARCHAR) AS username FROM customer WHERE c_mktsegment = 'BUILDING')"""
 
-ORACLE["register_users"] = f"WITH {SIGNUPS.strip()}\nSELECT event_id, username, email, code FROM reg"
+ORACLE["register_users"] = f"WITH RECURSIVE {SIGNUPS.strip()}\nSELECT event_id, username, email, code FROM reg"
 
-ORACLE["delete_users"] = f"""WITH {SIGNUPS.strip()}
+ORACLE["delete_users"] = f"""WITH RECURSIVE {SIGNUPS.strip()}
 SELECT username, email FROM profiles WHERE username NOT IN (SELECT username FROM del_keys)"""
 
-ORACLE["deleted_count"] = f"""WITH {SIGNUPS.strip()}
+ORACLE["deleted_count"] = f"""WITH RECURSIVE {SIGNUPS.strip()}
 SELECT CAST(count(*) AS BIGINT) AS n_deleted FROM profiles WHERE username IN (SELECT username FROM del_keys)"""
 
-ORACLE["update_profile"] = f"""WITH {SIGNUPS.strip()},
+ORACLE["update_profile"] = f"""WITH RECURSIVE {SIGNUPS.strip()},
 d AS (SELECT 'user' || CAST(c_custkey AS VARCHAR) AS username,
              lower(replace(c_name, '#', '.')) || '@example.org' AS email
       FROM customer WHERE c_acctbal > 5000)
@@ -420,11 +443,12 @@ adds AS (
   UNION ALL
   SELECT a.user_id, a.ts, a.event_id, n.code FROM acts a JOIN stock_names n ON n.name = a.q
   WHERE a.event_type <> 'error' AND NOT (starts_with(a.q, 'sz') OR starts_with(a.q, 'sh'))),
-dels AS (SELECT user_id, q AS code, max(ts) AS last_del FROM acts WHERE event_type = 'error' GROUP BY ALL),
+dels AS (SELECT user_id, q AS code, max({{'ts': ts, 'id': event_id}}) AS last_del FROM acts WHERE event_type = 'error'
+         GROUP BY ALL),
 kept AS (
   SELECT adds.* FROM adds LEFT JOIN dels USING (user_id, code)
-  WHERE dels.last_del IS NULL OR adds.ts > dels.last_del)
-SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, code) AS BIGINT) AS pos, code
+  WHERE dels.last_del IS NULL OR {{'ts': adds.ts, 'id': adds.event_id}} > dels.last_del)
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id, code) AS BIGINT) AS pos, code
 FROM kept"""
 
 
@@ -436,16 +460,16 @@ def segment(x: str) -> str:
 
 CORPUS = f"""
 art AS (
-  SELECT CASE source WHEN 'src0' THEN 'wallstreet' WHEN 'src1' THEN 'hexun'
-                     WHEN 'src3' THEN 'sina_roll' WHEN 'src4' THEN 'tencent' END AS source,
-         doc_id AS doc_key, string_split(text, chr(10))[1] AS title, string_split(text, chr(10))[2:] AS paras
-  FROM documents WHERE source IN ('src0', 'src1', 'src3', 'src4')
+  SELECT CASE WHEN source IN ('src0', 'src10') THEN 'wallstreet' WHEN source IN ('src1', 'src11') THEN 'hexun'
+              WHEN source IN ('src3', 'src13') THEN 'sina_roll' ELSE 'tencent' END AS source,
+         CAST(doc_id AS VARCHAR) AS doc_key, string_split(text, chr(10))[1] AS title, string_split(text, chr(10))[2:] AS paras
+  FROM documents WHERE source IN ('src0', 'src1', 'src3', 'src4', 'src10', 'src11', 'src13', 'src14')
   UNION ALL
-  SELECT 'pages', page_id, {TITLE}, {BLOCKS} FROM pages
+  SELECT 'pages', CAST(page_id AS VARCHAR), {TITLE}, {BLOCKS} FROM pages
   UNION ALL
-  SELECT 'benchmark', item_id, NULL, string_split(text, chr(10)) FROM benchmark
+  SELECT 'benchmark', CAST(item_id AS VARCHAR), NULL, string_split(text, chr(10)) FROM benchmark
   UNION ALL
-  SELECT 'conversations', conv_id * 1000 + turn, NULL, string_split(text, chr(10)) FROM conversations),
+  SELECT 'conversations', concat_ws('-', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR)), NULL, string_split(text, chr(10)) FROM conversations),
 ll AS (
   SELECT source, doc_key,
          list_concat(CASE WHEN length(title) > 0 THEN [title] ELSE []::VARCHAR[] END,
@@ -462,10 +486,15 @@ SELECT word, CAST(count(*) AS BIGINT) AS n
 FROM (SELECT unnest({split_ws('line')}) AS word FROM lines)
 GROUP BY word HAVING count(*) >= 5"""
 
+ORACLE["word_vectors"] = f"""WITH {CORPUS.strip()}
+SELECT word, CAST(128 AS BIGINT) AS dim
+FROM (SELECT unnest({split_ws('line')}) AS word FROM lines)
+GROUP BY word HAVING count(*) >= 5"""
+
 ORACLE["corpus_mixed"] = rf"""
 WITH pg AS (
   SELECT page_id, url, coalesce({BLOCKS}, []::VARCHAR[]) AS b,
-         regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"[^>]*>', 1) AS h
+         {HREFS} AS h
   FROM pages),
 pieces AS (
   SELECT page_id, CAST(i - 1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS sub, b[i] AS piece
@@ -491,7 +520,8 @@ e AS (SELECT 'w' || CAST(vec_id AS VARCHAR) AS word, embedding FROM embeddings)
 SELECT p.event_id, p.word, e.embedding IS NOT NULL AS found,
        CAST(coalesce(len(e.embedding), (SELECT max(len(embedding)) FROM embeddings)) AS BIGINT) AS dim,
        CAST(coalesce(e.embedding[1], 0) AS DOUBLE) AS v_first,
-       CAST(coalesce(e.embedding[len(e.embedding)], 0) AS DOUBLE) AS v_last
+       CAST(coalesce(e.embedding[len(e.embedding)], 0) AS DOUBLE) AS v_last,
+       coalesce(list_sum(list_transform(e.embedding, lambda v, i: CAST(v AS DOUBLE) * i)), 0) AS v_sum
 FROM p LEFT JOIN e USING (word)"""
 
 ORACLE["stream_articles"] = ORACLE["first_write_articles"]
@@ -533,8 +563,7 @@ li AS (SELECT page_id, string_split_regex(nav, '<li[\s>]')[2:] AS items FROM n),
 x AS (SELECT page_id, i, regexp_extract(items[i], '<a\s[^>]*?href="([^"]*)"', 1) AS url
       FROM li, generate_series(1, len(items)) AS g(i))
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS BIGINT) AS pos, url
-FROM x WHERE url <> '' AND NOT (contains(url, 'tv.') OR contains(url, 'guba.') OR contains(url, 'blog.')
-                                 OR contains(url, 'index.html'))"""
+FROM x WHERE url <> '' AND NOT contains(url, 'index.html')"""
 ORACLE["stream_profiles"] = ORACLE["tag_replay"]
 
 ORACLE["feed_js"] = """

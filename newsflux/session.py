@@ -99,18 +99,18 @@ def apply_runtime_conf(spark: SparkSession) -> None:
     """Settings our jobs rely on, applied to a session someone else built."""
     ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    try:
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    except Exception:  # static on some deployments; decode falls back to UTF-8 only
-        pass
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # without it GBK payloads cannot be decoded: fail at once
     ensure_checkpoint_dir(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if unset."""
+    """Return the shared checkpoint folder; a local one is made only for a local
+    master that names none."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="newsflux-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not sc.getCheckpointDir():

@@ -32,12 +32,12 @@ def crawl_log(t: Tables, pages: DataFrame | None = None) -> DataFrame:
 
 def stock_code(k) -> Column:
     """Stock code of a part key: market (sh odd / sz even), a class digit
-    (key % 7: 2 = bond, 5 = fund), then the key padded to at least 5 digits."""
+    (key % 7: 2 = bond, 5 = fund), then the key in base 36 with 5 digits: always
+    8 characters. Beyond 36**5 keys codes repeat, like re-listed stocks."""
     k = F.col(k) if isinstance(k, str) else k
-    ks = k.cast("string")
     return F.concat(F.when(k % 2 == 1, F.lit("sh")).otherwise(F.lit("sz")),
                     (k % 7).cast("string"),
-                    F.lpad(ks, F.greatest(F.lit(5), F.length(ks)), F.lit("0")))
+                    F.lpad(F.conv((k % 36**5).cast("string"), 10, 36), 5, "0"))
 
 
 def code_lines(t: Tables) -> DataFrame:
@@ -91,7 +91,7 @@ def watch_adds(t: Tables) -> DataFrame:
     o = t.orders("o_orderkey", "o_custkey", "o_orderdate")
     li = t.lineitem("l_orderkey", "l_linenumber", "l_partkey")
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.select(F.col("o_custkey").alias("user_id"), stock_code("l_partkey").alias("code"),
+    return j.select(F.col("o_custkey").alias("user_id"), "l_orderkey", "l_linenumber", stock_code("l_partkey").alias("code"),
                     (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("l_linenumber")))
                     .alias("added_at"))
 
@@ -124,12 +124,13 @@ def holder_pairs(t: Tables) -> DataFrame:
 
 
 def signups(t: Tables) -> DataFrame:
-    """signup events -> (event_id, ts, username, email); email depends on
-    user_id % 100, so two users can share one."""
+    """signup events -> (event_id, ts, username, email): usernames share emails,
+    and every third signup comes with another email than its user's usual one."""
     e = t.events("event_id", "ts", "user_id", "event_type").where(F.col("event_type") == "signup")
     return e.select("event_id", "ts",
                     F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("username"),
-                    F.concat(F.lit("u"), (F.col("user_id") % 100).cast("string"), F.lit("@example.com"))
+                    F.concat(F.lit("u"), ((F.col("user_id") + F.when(F.col("event_id") % 3 == 0, F.col("event_id"))
+                                           .otherwise(0)) % 100).cast("string"), F.lit("@example.com"))
                     .alias("email"))
 
 

@@ -19,7 +19,8 @@ from ..functions import text as T
 from ..functions import urls as U
 
 P_OPEN = r"<p(?:\s[^>]*)?>"
-A_HREF = r"""<a\s[^>]*?href="([^"]*)"[^>]*>"""
+# the value of the first href of an <a>, quoted either way or not at all
+A_HREF = r"""(?i)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 
 
 def article_inner(html) -> Column:
@@ -56,7 +57,8 @@ def paragraphs(inner) -> Column:
 def links(html) -> Column:
     """Every ``<a href>`` value of a page, in document order."""
     h = F.col(html) if isinstance(html, str) else html
-    return F.regexp_extract_all(h, F.lit(A_HREF), 1)
+    return F.transform(F.regexp_extract_all(h, F.lit(A_HREF), 1),
+                       lambda v: T.unescape_html(F.regexp_replace(v, "^[\"']|[\"']$", "")))
 
 
 def page_articles(pages: DataFrame) -> DataFrame:

@@ -9,12 +9,18 @@ from newsflux.operators import keyed
 def test_route_quarantine_and_strict(spark):
     recs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "zz")], "id int, kind string")
     routes = spark.createDataFrame([("a", "t_a"), ("b", "t_b")], "kind string, target string")
-    ok, bad = keyed.route(recs, routes, "kind")
-    assert sorted((r.id, r.target) for r in ok.collect()) == [(1, "t_a"), (2, "t_b")]
-    assert [(r.id, r.reason) for r in bad.collect()] == [(3, "no route")]
-    ok_strict, _ = keyed.route(recs, routes, "kind", strict=True)
+    got = keyed.route(recs, routes, "kind").collect()
+    assert sorted((r.id, r.target, r.reason) for r in got) == [
+        (1, "t_a", None), (2, "t_b", None), (3, "quarantine", "no route")]
     with pytest.raises(Exception, match="no route for zz"):
-        ok_strict.collect()
+        keyed.route(recs, routes, "kind", strict=True).collect()
+
+
+def test_update_with_several_rows_for_a_key(spark):
+    base = spark.createDataFrame([("a", "x"), ("b", "y")], "k string, email string")
+    delta = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new")], "k string, seq int, email string")
+    got = keyed.update_by_key(base, delta, "k", ["email"], order=["seq"]).collect()
+    assert sorted(map(tuple, got)) == [("a", "new"), ("b", "y")]
 
 
 def test_insert_update_delete(spark):

@@ -18,7 +18,7 @@ import __spark_entry__ as E
 
 SINGLE_PARTITION_OK = {"latest_candidates", "candidate_expired_count"}
 STREAMS = {n for n in E.queries() if n.startswith("stream_")}
-NAMES = [n for n in E.queries() if n not in STREAMS and n != "word_vectors"]
+NAMES = [n for n in E.queries() if n not in STREAMS and n != "word_vectors" and n not in E.LLM_QUERIES]
 WIDE = {"html", "text"}
 USES_WIDE = {"candidate_admissions", "candidate_pool_asof", "latest_candidates", "candidate_expired_count",
              "page_titles", "page_blocks", "page_links", "access_class", "first_write_articles",

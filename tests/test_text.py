@@ -62,3 +62,22 @@ def test_count_tokens_matches_python(spark, samples):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, s string")
     got = {r["i"]: r["n"] for r in df.select("i", T.count_tokens("s").alias("n")).collect()}
     assert all(got[i] == len(s.split()) for i, s in enumerate(samples))
+
+
+def test_character_references_and_link_forms(spark):
+    from newsflux.functions import urls as U
+    from newsflux.sources import pages as P
+    rows = [("A &mdash; B&#8217;s &hellip; &#x1F600;&amp;lt; &bogus; &#0; a&b &eacute",
+             "A \u2014 B\u2019s \u2026 \U0001F600&lt; &bogus; &#0; a&b &eacute"), ("&", "&"), ("", ""), (None, None), ("&amp;&lt;", "&<")]
+    got = spark.createDataFrame(rows, "x string, want string").select(T.unescape_html("x").alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got), got
+    html = """<a href='/x'>1</a><A HREF="/y?a=1&amp;b=2">2</A><a class="q>r" href=/z>3</a><a name=n>4</a><abbr href="no">"""
+    row = spark.createDataFrame([(html,)], "h string").select(P.links("h").alias("l")).first()
+    assert row.l == ["/x", "/y?a=1&b=2", "/z"]
+    urls = [("http://news.cctv.com/a", True), ("http://tv.hexun.com/a", False), ("http://blog.x.example.com/a", False),
+            ("http://x.com/index.html", False), ("/blog.html", True), ("http://myblog.example.com/", True)]
+    df = spark.createDataFrame(urls, "u string, want boolean").select(U.is_comparable("u").alias("ok"), "want")
+    assert all(r.ok == r.want for r in df.collect())
+    links = [("http://q/sh600000.html", "sh600000"), ("http://q/sz1.html?x=1#y", "sz1"), ("/a.html/b.html", "b"), ("/a/b", "")]
+    df = spark.createDataFrame(links, "u string, want string").select(U.code_from_link("u").alias("c"), "want")
+    assert all(r.c == r.want for r in df.collect())
