@@ -322,8 +322,9 @@ def _p_body(nodes: DataFrame, container: DataFrame) -> DataFrame:
         first_of(F.lit(True), T.strip_ws(F.col("attrs")["src"])).alias("img"))
     k = ps.join(imgs.withColumnRenamed("c_ord", "ord"), ["page_id", "ord"], "left")
     piece = F.coalesce("img", F.when(F.length(T.strip_ws("text")) > 0, T.strip_ws("text")))
-    return (k.select("page_id", "ord", piece.alias("piece")).where(F.col("piece").isNotNull())
-            .groupBy("page_id").agg(ordered(F.col("piece")).alias("blocks"), F.count(F.lit(1)).alias("n_p")))
+    # blank paragraphs give no piece, but a page that has only those still has paragraphs
+    return (k.select("page_id", "ord", piece.alias("piece")).groupBy("page_id")
+            .agg(F.filter(ordered(F.col("piece")), lambda p: p.isNotNull()).alias("blocks")))
 
 
 def tencent_article(nodes: DataFrame) -> DataFrame:
@@ -370,15 +371,16 @@ def tencent_article(nodes: DataFrame) -> DataFrame:
          .join(bd.select("page_id", F.lit(True).alias("has_bd")), "page_id", "left"))
     two = F.size("st") >= 2
     is1, is2 = F.col("layout") == "LEFT", F.col("layout") == "qq_article"
+    meta2 = is2 | (F.col("layout") == "gallery")  # a gallery page has the header of layout 2
     empty = F.array().cast("array<string>")
     return j.select(
         "page_id", "layout",
-        F.when(is1, F.col("l1_title")).when(is2, F.col("l2_title")).alias("title"),
+        F.when(is1, F.col("l1_title")).when(meta2, F.col("l2_title")).alias("title"),
         F.when(is1, F.when(two, F.concat_ws(" ", F.element_at("st", -2), F.element_at("st", -1)))
-               .otherwise(F.col("l1_time"))).when(is2, F.col("l2_time")).alias("pb_time"),
-        F.when(is1, F.when(two, F.col("st")[0]).otherwise(F.col("l1_src"))).when(is2, F.col("l2_src")).alias("source"),
-        F.when(is2, F.col("l2_author")).alias("author"),
-        F.when(is2, F.col("l2_cat")).alias("category"),
+               .otherwise(F.col("l1_time"))).when(meta2, F.col("l2_time")).alias("pb_time"),
+        F.when(is1, F.when(two, F.col("st")[0]).otherwise(F.col("l1_src"))).when(meta2, F.col("l2_src")).alias("source"),
+        F.when(meta2, F.col("l2_author")).alias("author"),
+        F.when(meta2, F.col("l2_cat")).alias("category"),
         F.when(is1, F.coalesce("b1", empty))
         .when(is2, F.when(F.col("b2").isNotNull(), F.col("b2"))
               .when(F.col("has_bd"), F.coalesce("b2_lines", empty)).otherwise(empty))
@@ -388,7 +390,7 @@ def tencent_article(nodes: DataFrame) -> DataFrame:
 def rich_body(nodes: DataFrame, container: DataFrame, keep_img_without_alt: bool) -> DataFrame:
     """Paragraphs and ``(alt, src)`` images of ``container`` in document
     order; text before the first paragraph is prepended, text after the last
-    appended, and the final piece is cut at the cut phrase when present.
+    appended, and that tail is cut at the cut phrase when present.
     Images without ``alt`` are skipped, or kept with an empty alt."""
     d = inside(nodes, container, keep=["text"]).where(F.col("tag").isin("p", "img"))
     flat = lambda c: T.remove_newline(T.clean(c))
@@ -403,35 +405,32 @@ def rich_body(nodes: DataFrame, container: DataFrame, keep_img_without_alt: bool
     agg = items.groupBy("page_id").agg(
         F.first("all_text").alias("all_text"),
         F.array_sort(F.collect_list(F.struct("ord", "tag", "ptext", "alt", "src"))).alias("items"))
-    ps = F.filter("items", lambda x: x["tag"] == "p")
-    n_p = F.size(ps)
+    ords = F.transform(F.filter("items", lambda x: x["tag"] == "p"), lambda x: x["ord"])
+    n_p = F.size(ords)
+    cut = lambda c: T.strip_ws(F.when(F.instr(c, CUT_PHRASE) > 0, F.substring_index(c, CUT_PHRASE, 1)).otherwise(c))
 
-    def expand(x, i):
+    def expand(x):
         text = F.struct(F.lit("text").alias("kind"), x["ptext"].alias("text"), F.lit(None).cast("string").alias("src"))
         img = F.struct(F.lit("image").alias("kind"), x["alt"].alias("text"), x["src"].alias("src"))
-        # paragraph index = number of paragraphs before this item
-        pi = F.size(F.filter(F.slice("items", 1, i), lambda y: y["tag"] == "p"))
+        first, last = x["ord"] == F.get("p_ords", F.lit(0)), x["ord"] == F.element_at("p_ords", -1)
         j = F.instr(F.col("all_text"), x["ptext"])
         before = F.struct(F.lit("text").alias("kind"), F.col("all_text").substr(F.lit(1), j - 1).alias("text"),
                           F.lit(None).cast("string").alias("src"))
+        # the cut belongs to the piece the last paragraph ends with, whatever images follow it
         after = F.struct(F.lit("text").alias("kind"),
-                         F.col("all_text").substr(j + F.length(x["ptext"]), F.lit(1 << 30)).alias("text"),
+                         cut(F.col("all_text").substr(j + F.length(x["ptext"]), F.lit(1 << 30))).alias("text"),
                          F.lit(None).cast("string").alias("src"))
+        cut_text = F.struct(F.lit("text").alias("kind"), cut(x["ptext"]).alias("text"),
+                            F.lit(None).cast("string").alias("src"))
         none = F.array().cast(f"array<{BLOCK}>")
         return (F.when(x["tag"] == "img", F.array(img))
-                .when(pi == 0, F.concat(F.when(j > 0, F.array(before)).otherwise(none), F.array(text)))
-                .when(pi == n_p - 1, F.concat(F.array(text), F.when(j > 0, F.array(after)).otherwise(none)))
+                .when(first, F.concat(F.when(j > 0, F.array(before)).otherwise(none), F.array(text)))
+                .when(last, F.when(j > 0, F.array(text, after)).otherwise(F.array(cut_text)))
                 .otherwise(F.array(text)))
 
-    pieces = F.flatten(F.transform("items", lambda x, i: expand(x, i)))
-    out = agg.select("page_id", n_p.alias("n_p"), pieces.alias("blocks"))
-    last = F.element_at("blocks", -1)
-    cut_text = F.when(F.instr(last["text"], CUT_PHRASE) > 0,
-                      F.substring_index(last["text"], CUT_PHRASE, 1)).otherwise(last["text"])
-    fixed_last = F.struct(last["kind"].alias("kind"), T.strip_ws(cut_text).alias("text"), last["src"].alias("src"))
-    cut = F.when((F.col("n_p") > 1) & (F.size("blocks") > 0),
-                 F.concat(F.slice("blocks", 1, F.size("blocks") - 1), F.array(fixed_last))).otherwise(F.col("blocks"))
-    return out.select("page_id", cut.cast(f"array<{BLOCK}>").alias("blocks"))
+    pieces = F.flatten(F.transform("items", expand))
+    return (agg.withColumn("p_ords", ords)
+            .select("page_id", pieces.cast(f"array<{BLOCK}>").alias("blocks")))
 
 
 def hexun_article(nodes: DataFrame, pages: DataFrame) -> DataFrame:
@@ -530,10 +529,10 @@ def text_with_newlines(nodes: DataFrame, container: DataFrame) -> DataFrame:
 def wallstreet_items(nodes: DataFrame, pages: DataFrame, site_word: str = "wallstreet") -> DataFrame:
     """Listing cards joined to their article pages on the requested URL.
 
-    Free cards (``/a…``) take time and body from the article page, provided
-    the page's final URL contains the site word (P3); premium cards
-    (``/premium…``) become ``site + path`` without body; other cards keep
-    their URL, without body."""
+    Only pages whose URL contains the site word count (P3), free or not. Free
+    cards (``/a…``) take time and body from the article page; premium cards
+    (``/premium…``) become ``site + path`` without body; other cards keep their
+    URL, without body."""
     listing = wallstreet_listing(nodes, pages)
     art = (wallstreet_article(nodes).join(pages.select("page_id", "url"), "page_id")
            .where(F.col("url").contains(site_word))
@@ -543,7 +542,8 @@ def wallstreet_items(nodes: DataFrame, pages: DataFrame, site_word: str = "walls
     item_url = (F.when(F.col("free"), F.col("art_url"))
                 .when(F.col("sub_url").startswith("/premium"), F.concat(origin, F.col("sub_url")))
                 .otherwise(F.col("sub_url")))
-    return (j.where(~F.col("free") | F.col("art_url").isNotNull())
+    ours = F.when(F.col("free"), F.col("art_url").isNotNull()).otherwise(listing.url.contains(site_word))
+    return (j.where(ours)
             .select("page_id", "item", "title", "summary", "source", item_url.alias("url"),
                     F.when(F.col("free"), F.col("pb_time")).alias("pb_time"),
                     F.when(F.col("free"), F.col("blocks")).alias("blocks"),

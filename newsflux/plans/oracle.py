@@ -11,6 +11,7 @@ import json
 
 from ..functions.text import WS_CLASS, named_references
 from ..functions.urls import DENY_PAGES, denied_host
+from ..operators.extract import INDUSTRY_REPORT_WORD, STOCK_REPORT_WORD
 from ..operators.profiles import CHANGE_LABEL, PRICE_LABEL
 
 WS = WS_CLASS
@@ -592,3 +593,120 @@ ORACLE["article_paragraphs"] = ORACLE["page_blocks"]
 ORACLE["ad_blocks"] = f"""
 SELECT page_id, {html_text("regexp_extract(html, '(?s)<div class=" + '"ad"' + "[^>]*>(.*?)</div>', 1)")} AS ad_text
 FROM pages WHERE regexp_matches(html, '<div class="ad"')"""
+
+
+# --- site jobs: what the rules must take from the site-shaped pages -------------
+
+K = "CAST(doc_id AS VARCHAR)"
+M = "'¶'"
+LINES_OF = "string_split(coalesce(text, ''), chr(10))"
+
+
+def blocks(*parts: str) -> str:
+    return f"array_to_string(list_concat({', '.join(parts)}), {M})"
+
+
+def flat(x: str) -> str:
+    return f"replace({clean(x)}, chr(10), ' ')"
+
+
+STRIPPED = f"list_transform({LINES_OF}, lambda x: {strip('x')})"
+FILLED = f"list_filter({STRIPPED}, lambda x: length(x) > 0)"
+CLEANED = f"list_filter(list_transform({LINES_OF}, lambda x: {clean('x')}), lambda x: length(x) > 0)"
+
+ORACLE["site_wallstreet"] = f"""
+SELECT 'Title ' || {K} AS title, 'About ' || lang || ' ' || {K} AS summary,
+       CASE WHEN doc_id % 2 = 0 THEN source END AS source,
+       'https://wallstreetcn.example.com/' || CASE WHEN doc_id % 5 = 3 THEN 'premium/' ELSE 'articles/' END || {K} AS url,
+       CASE WHEN doc_id % 5 < 3 THEN '2024-01-02 10:00 #' || {K} END AS pb_time,
+       CASE WHEN doc_id % 5 < 3 THEN {blocks(f"['Head ' || {K}]", STRIPPED, f"[{K} || '.png']")} END AS blocks
+FROM documents WHERE doc_id % 5 = 3 OR (doc_id % 5 < 3 AND doc_id % 4 <> 3)"""
+
+ORACLE["site_sina"] = f"""
+SELECT doc_id AS page_id, CASE WHEN doc_id % 2 = 0 THEN 'link ' ELSE 'span ' END || source AS source,
+       CASE WHEN doc_id % 3 = 0 THEN 'editor ' || {K} END AS author,
+       CASE WHEN doc_id % 5 <> 0 THEN 'Main title ' ELSE 'Listing ' END || {K} AS title, lang AS category,
+       {blocks(CLEANED, f"['http://img.example.com/' || {K} || '.jpg']")} AS blocks
+FROM documents WHERE doc_id % 7 <> 0"""
+
+ORACLE["site_tencent_list"] = """
+SELECT p_partkey // 20 AS page_id, row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) AS pos,
+       p_brand AS category, 'http://new.example.com/' || p_partkey AS url, p_name AS title
+FROM part"""
+
+ORACLE["site_tencent"] = f"""
+SELECT doc_id AS page_id, ['LEFT', 'qq_article', 'qq_article', 'gallery', 'other'][doc_id % 5 + 1] AS layout,
+       CASE doc_id % 5 WHEN 0 THEN 'Left ' || {K} WHEN 4 THEN NULL ELSE 'QQ ' || {K} END AS title,
+       CASE doc_id % 5 WHEN 0 THEN CASE WHEN doc_id % 2 = 0 THEN '2024-01-04 08:00' ELSE '2024-01-03 09:00' END
+                       WHEN 4 THEN NULL ELSE '2024-01-05' END AS pb_time,
+       CASE doc_id % 5 WHEN 0 THEN CASE WHEN doc_id % 2 = 0 THEN source ELSE 'LY' END
+                       WHEN 4 THEN NULL ELSE source END AS source,
+       CASE WHEN doc_id % 5 IN (1, 2, 3) THEN 'author ' || {K} END AS author,
+       CASE WHEN doc_id % 5 IN (1, 2, 3) THEN lang END AS category,
+       CASE doc_id % 5
+         WHEN 0 THEN {blocks(FILLED, f"[{K} || '.png']")}
+         WHEN 1 THEN {blocks(FILLED, "[]::VARCHAR[]")}
+         WHEN 2 THEN CASE WHEN doc_id % 2 = 0 THEN ''
+                     ELSE array_to_string(string_split({strip("coalesce(text, '')")}, chr(10)), {M}) END
+         WHEN 3 THEN {blocks(f"[{K} || '-1.jpg', 'caption 1', {K} || '-2.jpg']", STRIPPED, "['caption 3']")}
+         ELSE '' END AS blocks
+FROM documents"""
+
+ORACLE["site_hexun"] = f"""
+WITH h AS (SELECT *, list_transform({LINES_OF}, lambda x: {flat('x')}) AS l FROM documents WHERE doc_id % 6 <> 0)
+SELECT doc_id AS page_id, source || {M} || lang AS cur_source, 'BigNews' || {K} AS title, '2024-01-02 10:11:12' AS pb_time,
+       source, CASE WHEN doc_id % 2 = 0 THEN 'writer' ELSE '' END AS author,
+       {blocks(f"['Lead ' || {K} || ' ', 'first §' || {K} || '§', 'Chart ' || {K} || '|b.png']", "l",
+               f"['last §§' || {K} || '§§', CASE WHEN doc_id % 3 = 2 THEN '' ELSE 'tail words' END]",
+               "CASE WHEN doc_id % 4 = 0 THEN ['after|c.png'] ELSE []::VARCHAR[] END")} AS blocks
+FROM h"""
+
+ORACLE["site_eastmoney"] = f"""
+SELECT doc_id AS page_id, lang || {M} || source AS cur_source, '2024-01-06 07:00' AS pb_time,
+       CASE WHEN doc_id % 2 = 0 THEN 'EM Source' ELSE source END AS source,
+       CASE WHEN doc_id % 3 = 0 THEN 'writer ' || {K} ELSE '' END AS author,
+       CASE WHEN doc_id % 4 <> 0 THEN 'ed ' || {K} ELSE '' END AS editor,
+       CAST(CASE WHEN doc_id % 5 < 2 THEN -1 ELSE doc_id END AS INTEGER) AS commenters, CAST(doc_id * 2 AS INTEGER) AS participants,
+       {M} || 'only §' || {K} || '§' || {M} || '|x.png' AS blocks
+FROM documents"""
+
+ORACLE["site_announcements"] = f"""
+SELECT doc_id AS page_id, '2024-01-07 ' || {K} AS anno_time, 'http://pdf.example.com/' || {K} || '.pdf' AS source_pdf_url,
+       coalesce(text, '') AS content
+FROM documents"""
+
+ORACLE["site_research"] = f"""
+SELECT doc_id AS page_id, CASE WHEN doc_id % 2 = 0 THEN {q(STOCK_REPORT_WORD)} ELSE {q(INDUSTRY_REPORT_WORD)} END AS research_report_type,
+       'Analyst ' || {K} AS author, CASE WHEN doc_id % 2 = 0 THEN 'k' || {K} || '.png' ELSE '' END AS img_k_url,
+       CASE WHEN doc_id % 2 = 0 THEN 'K line ' || {K} ELSE '' END AS img_k_alt,
+       CASE WHEN doc_id % 2 = 0 THEN {M} ELSE 'c1-' || {K} || '.png' || {M} || 'c2-' || {K} || '.png' END AS charts,
+       array_to_string(['', 'one §' || {K} || '§', '|c.png', 'two §§' || {K} || '§§', ''], {M}) AS blocks
+FROM documents"""
+
+ORACLE["site_br_text"] = f"""
+SELECT doc_id AS page_id, array_to_string({STRIPPED}, chr(10)) AS text FROM documents"""
+
+ORACLE["site_stock_list"] = ORACLE["code_from_url"].replace("SELECT line_no, substr(code, 1, 2) AS market,", """
+SELECT line_no // 50 AS page_id, row_number() OVER (PARTITION BY line_no // 50 ORDER BY line_no) AS pos,
+       substr(code, 1, 2) AS stock_market,""").replace(""",
+       substr(href, length(href) - 10, 6) AS id6""", "")
+
+_QUOTE_ID = f"substr({code('p_partkey')}, 3, 6)"
+
+
+def site_links(where: str, *kinds: tuple[str, str]) -> str:
+    rows = [f"SELECT p_partkey, p_name, {i} AS i, {q(what)} AS what, {q(kind)} AS type FROM part WHERE {where}"
+            for i, (what, kind) in enumerate(kinds)]
+    return f"""WITH l AS ({' UNION ALL '.join(rows)})
+SELECT p_partkey AS page_id, row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS pos, {_QUOTE_ID} AS id,
+       p_name || ' ' || what AS title, type, 'http://s.example.com/' || what || p_partkey AS href FROM l"""
+
+
+ORACLE["site_funds"] = site_links("p_partkey % 4 <> 0", ("f1", "fund_news"), ("f2", "fund_news"))
+ORACLE["site_bonds"] = site_links("true", ("n", "bond_news"), ("a", "bond_announce"))
+ORACLE["site_stocks"] = site_links("true", ("news", "stock_news"), ("notice", "stock_trade_news"))
+ORACLE["site_reports"] = f"""
+WITH r AS (SELECT *, 0 AS i, 's' AS kind, {q(STOCK_REPORT_WORD)} AS type FROM part
+           UNION ALL SELECT *, 1, 'i', {q(INDUSTRY_REPORT_WORD)} FROM part WHERE p_partkey % 3 <> 0)
+SELECT p_partkey AS page_id, row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS pos, p_type AS ji_gou, p_brand AS ping_ji,
+       '01-02' AS time, p_name AS title, 'http://r.example.com/' || kind || p_partkey AS href, type FROM r"""

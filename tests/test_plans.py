@@ -23,7 +23,8 @@ WIDE = {"html", "text"}
 USES_WIDE = {"candidate_admissions", "candidate_pool_asof", "latest_candidates", "candidate_expired_count",
              "page_titles", "page_blocks", "page_links", "access_class", "first_write_articles",
              "clean_text", "br_lines", "recent_reads", "corpus_lines", "corpus_mixed", "vocabulary",
-             "nav_links", "page_nodes", "article_paragraphs", "ad_blocks"}
+             "nav_links", "page_nodes", "article_paragraphs", "ad_blocks",
+             *(n for n in E.queries() if n.startswith("site_"))}
 
 
 def plan_of(df):
