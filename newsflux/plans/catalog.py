@@ -26,6 +26,7 @@ from ..sources import nodes as N
 from ..sources import pages as P
 from ..sources.tables import Tables, table_path
 from ..streaming import streams as S
+from ..session import scratch_path
 from .common import day_str, minute_str, ts_str
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -614,7 +615,10 @@ def stream_articles(spark, sf_dir):
 def stream_pool(spark, sf_dir):
     """Pool admissions from a crawl stream with per-URL state."""
     t = Tables(spark, sf_dir)
-    crawls = _crawl_stream(spark, t, _pool_articles(t).select("page_id", "url"))
+    # the pages' HTML is scanned once, not in every micro-batch
+    path = scratch_path(spark, "pool-pages")
+    _pool_articles(t).select("page_id", "url").write.parquet(path)
+    crawls = _crawl_stream(spark, t, spark.read.parquet(path))
     sink = S.run_pool_stream(spark, crawls.select("url", "ts", "run_start", "event_id"))
     adm = S.read_admissions(spark, sink)
     return adm.select("url", day_str("run_start").alias("run_day"),
@@ -741,3 +745,108 @@ def ad_blocks(spark, sf_dir):
     """P33/X-rule ``find``: text of the first ``div.ad`` of every page."""
     nodes = N.written_nodes(Tables(spark, sf_dir).pages("page_id", "html"))
     return X.find(nodes, tag="div", classes=["ad"]).select("page_id", T.clean("text").alias("ad_text"))
+
+
+# --- unions, lookups, files ---------------------------------------------------
+
+
+def _source_crawls(t: Tables) -> DataFrame:
+    """Articles of five sources as one stream of (url, ts, run_start,
+    event_id, source, title, has_body), by name with missing columns as NULL. A
+    source is an event type; the same URL is crawled by several of them. Two
+    sources bring no title of their own."""
+    types = ["view", "click", "purchase", "error", "signup"]
+    ev = t.events("event_id", "ts", "event_type")
+    n_pages = t.pages("page_id").select(F.count(F.lit(1))).scalar()
+    pg = t.pages("page_id", "url", "html").select("page_id", "url", P.has_article("html").alias("has_body"))
+    base = (ev.withColumn("page_id", F.col("event_id") % n_pages)
+            .withColumn("run_start", F.date_trunc("DAY", "ts").cast("timestamp_ntz")).join(pg, "page_id"))
+    parts = []
+    for i, kind in enumerate(types):
+        part = base.where(F.col("event_type") == kind).select(
+            "url", "ts", "run_start", "event_id", F.lit(kind).alias("source"), "has_body")
+        if i < 3:
+            part = part.withColumn("title", F.concat_ws(" ", F.lit(kind), F.col("event_id").cast("string")))
+        parts.append(part)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+@query
+def pool_union(spark, sf_dir):
+    """Five sources into one pool: rows without a body never enter, a
+    URL that any source has in the pool is not admitted again before it expires."""
+    rows = _source_crawls(Tables(spark, sf_dir)).where("has_body")
+    adm = pool.admissions(rows.select("url", "ts", "run_start", "event_id"))
+    return (adm.join(rows.select("event_id", "source", "title"), "event_id")
+            .select("url", day_str("run_start").alias("run_day"), "event_id", "source", "title"))
+
+
+@query
+def stream_two_sinks(spark, sf_dir):
+    """K3/T5: one article stream into the store and, independently, the candidate sink."""
+    t = Tables(spark, sf_dir)
+    path = scratch_path(spark, "sink-pages")
+    t.pages("page_id", "url", "html").select("page_id", "url", P.has_article("html").alias("has_body")).write.parquet(path)
+    n_pages = t.pages("page_id").select(F.count(F.lit(1))).scalar()
+    ev = _event_stream(spark, sf_dir).withColumn("page_id", F.col("event_id") % n_pages)
+    title = F.when(F.col("event_type") != "error", F.concat_ws(" ", "event_type", F.col("event_id").cast("string")))
+    store, candidates = S.run_two_sinks(spark, ev.join(spark.read.parquet(path), "page_id").select(
+        "url", "event_id", "ts", title.alias("title"), "has_body"))
+    sink = lambda path, name: spark.read.parquet(path).select(F.lit(name).alias("sink"), "event_id", "url", "title")
+    return sink(store, "store").unionByName(sink(candidates, "candidates"))
+
+
+@query
+def profile_lookup(spark, sf_dir):
+    """The profile of every asked username; unknown users come back empty."""
+    t = Tables(spark, sf_dir)
+    asked = t.customer("c_custkey").select(F.concat(F.lit("user"), F.col("c_custkey").cast("string")).alias("username"))
+    profiles = M.profiles_from(_registrations(t))
+    return (asked.join(profiles, "username", "left")
+            .select("username", "email", F.col("email").isNotNull().alias("found")))
+
+
+@query
+def parse_quarantine(spark, sf_dir):
+    """Feed payloads that do not parse and pages without their container go
+    to quarantine with a reason, instead of vanishing."""
+    t = Tables(spark, sf_dir)
+    k = F.col("event_id")
+    payload = F.when(k % 50 == 7, F.concat(F.lit("{\"url\": "), k.cast("string"))) \
+        .otherwise(F.concat(F.lit("{\"url\": \"u"), k.cast("string"), F.lit("\"}")))
+    parsed = t.events("event_id").select(
+        F.lit("feed").alias("kind"), k.cast("string").alias("record"),
+        F.try_parse_json(payload).isNull().alias("bad"), F.lit("invalid JSON").alias("reason"))
+    pages_ = t.pages("page_id", "html").select(
+        F.lit("page").alias("kind"), F.col("page_id").cast("string").alias("record"),
+        (~F.col("html").contains("<p>")).alias("bad"), F.lit("no paragraph container").alias("reason"))
+    return parsed.unionByName(pages_).where(F.coalesce("bad", F.lit(True))).select("kind", "record", "reason")
+
+
+@query
+def corpus_files(spark, sf_dir):
+    """The corpus written as one text folder per source and read back:
+    lines and tokens per source."""
+    path = scratch_path(spark, "corpus")
+    V.write_corpus(_corpus(spark, sf_dir), path)
+    return (V.read_corpus(spark, path).groupBy("source")
+            .agg(F.count(F.lit(1)).alias("n_lines"), F.sum(T.count_tokens("line")).cast("bigint").alias("n_tokens")))
+
+
+@query
+def saved_vectors(spark, sf_dir):
+    """A model trained on the benchmark's lines, saved, loaded and looked
+    up again: every word keeps its vector."""
+    t = Tables(spark, sf_dir)
+    lines = V.corpus_lines(t.benchmark("item_id", "text").select(
+        F.lit("benchmark").alias("source"), F.col("item_id").cast("string").alias("doc_key"),
+        F.lit(None).cast("string").alias("title"), F.split("text", "\n").alias("paras")))
+    model = V.train(lines)
+    path = scratch_path(spark, "vectors")
+    V.save_model(model, path)
+    old, new = V.model_vectors(model), V.model_vectors(V.load_model(path)).withColumnRenamed("vector", "loaded")
+    return old.join(new, "word").select("word", F.size("loaded").cast("bigint").alias("dim"),
+                                        (F.col("vector") == F.col("loaded")).alias("same"))

@@ -710,3 +710,49 @@ WITH r AS (SELECT *, 0 AS i, 's' AS kind, {q(STOCK_REPORT_WORD)} AS type FROM pa
            UNION ALL SELECT *, 1, 'i', {q(INDUSTRY_REPORT_WORD)} FROM part WHERE p_partkey % 3 <> 0)
 SELECT p_partkey AS page_id, row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS pos, p_type AS ji_gou, p_brand AS ping_ji,
        '01-02' AS time, p_name AS title, 'http://r.example.com/' || kind || p_partkey AS href, type FROM r"""
+
+
+# --- unions, lookups, files ------------------------------------------------------
+
+ORACLE["pool_union"] = f"""
+WITH RECURSIVE src AS (
+  SELECT event_id, ts, CAST(date_trunc('day', ts) AS TIMESTAMP) AS run_start, event_type AS source, url,
+         CASE WHEN event_type IN ('view', 'click', 'purchase') THEN event_type || ' ' || event_id END AS title
+  FROM events JOIN pages ON page_id = event_id % (SELECT count(*) FROM pages)
+  WHERE {HAS_ARTICLE} AND event_type IN ('view', 'click', 'purchase', 'error', 'signup')),
+firsts AS (
+  SELECT *, row_number() OVER (PARTITION BY url ORDER BY run_start) AS k
+  FROM (SELECT *, row_number() OVER (PARTITION BY url, run_start ORDER BY ts, event_id) AS rn FROM src) WHERE rn = 1),
+fold(url, k, run_start, event_id, source, title, last_adm, admitted) AS (
+  SELECT url, k, run_start, event_id, source, title, ts, TRUE FROM firsts WHERE k = 1
+  UNION ALL
+  SELECT f.url, f.k, f.run_start, f.event_id, f.source, f.title,
+         CASE WHEN p.last_adm < f.run_start - INTERVAL 5 DAY THEN f.ts ELSE p.last_adm END,
+         p.last_adm < f.run_start - INTERVAL 5 DAY
+  FROM fold p JOIN firsts f ON f.url = p.url AND f.k = p.k + 1)
+SELECT url, {day_str('run_start')} AS run_day, event_id, source, title FROM fold WHERE admitted"""
+
+ORACLE["stream_two_sinks"] = f"""
+WITH a AS (
+  SELECT event_id, url, {HAS_ARTICLE} AS has_body, CASE WHEN event_type <> 'error' THEN event_type || ' ' || event_id END AS title
+  FROM events JOIN pages ON page_id = event_id % (SELECT count(*) FROM pages))
+SELECT 'store' AS sink, event_id, url, title FROM a
+UNION ALL SELECT 'candidates', event_id, url, title FROM a WHERE has_body AND title IS NOT NULL"""
+
+ORACLE["profile_lookup"] = f"""WITH RECURSIVE {SIGNUPS.strip()}
+SELECT 'user' || c_custkey AS username, email, email IS NOT NULL AS found
+FROM customer LEFT JOIN profiles ON username = 'user' || c_custkey"""
+
+ORACLE["parse_quarantine"] = """
+SELECT 'feed' AS kind, CAST(event_id AS VARCHAR) AS record, 'invalid JSON' AS reason FROM events WHERE event_id % 50 = 7
+UNION ALL
+SELECT 'page', CAST(page_id AS VARCHAR), 'no paragraph container' FROM pages WHERE NOT contains(coalesce(html, ''), '<p>')"""
+
+ORACLE["corpus_files"] = f"""WITH {CORPUS.strip()}
+SELECT source, count(*) AS n_lines, CAST(sum(len({split_ws('line')})) AS BIGINT) AS n_tokens FROM lines GROUP BY source"""
+
+ORACLE["saved_vectors"] = f"""
+WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark)
+SELECT word, CAST(128 AS BIGINT) AS dim, true AS same
+FROM (SELECT unnest({split_ws('line')}) AS word FROM l WHERE NOT contains(line, '//'))
+GROUP BY word HAVING count(*) >= 5"""

@@ -7,11 +7,16 @@
   overwrite, so a replayed batch replaces itself instead of duplicating rows.
 * ``run_pool_stream``: crawls -> pool admissions with
   ``applyInPandasWithState`` keyed by URL; the state is the last admission
-  time (one long), the per-batch work is reduced to the first crawl per run
-  before the fold, so a hot URL costs one row per run.
+  time (one long).
 * ``run_reads_stream``: reads -> per-user history capped at 50, state is the
   capped list itself.
 
+Before a stream is grouped by key, a stateless ``mapInPandas`` keeps of each
+Arrow batch only what the fold can use (the first crawl per URL and run, the
+newest 50 reads per user, the last action per user and tag, the lowest doc_id
+per text): a key holding a third of the rows reaches its task as a few rows per
+batch.
+
 Sinks and checkpoints live under ``spark.checkpoint.dir`` (the shared folder
 on a cluster). Streams assume arrival in time order (files land in order);
 the batch jobs in ``operators`` are the reference results.
@@ -40,18 +45,30 @@ def _drain(writer, checkpoint: str) -> None:
         raise q.exception()
 
 
-def file_stream(spark: SparkSession, path: str, schema, max_files: int = 1) -> DataFrame:
-    """Incremental polling of landed parquet files.
+def file_stream(spark: SparkSession, path: str, schema, max_files: int | None = None,
+                max_bytes: int = 64 << 30) -> DataFrame:
+    """Incremental polling of landed parquet files, a micro-batch of up to
+    ``max_bytes`` (or ``max_files``) at a time.
 
     ``path`` is a landing folder, or one file (then its folder is watched
     with a name filter, since the file source lists folders)."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    if os.path.isfile(path):
-        reader = reader.option("pathGlobFilter", os.path.basename(path))
-        path = os.path.dirname(path)
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", max_files) if max_files else reader.option("maxBytesPerTrigger", max_bytes)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        reader = reader.option("pathGlobFilter", at.getName())
+        path = at.getParent().toString()
     return reader.parquet(path)
 
 
+def _best_per_key(df: DataFrame, keys: list[str], order: list[str], keep: int = 1, newest: bool = False) -> DataFrame:
+    """Stateless: of every Arrow batch the first (or newest) ``keep`` rows per key."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.sort_values(order, ascending=not newest).groupby(keys, sort=False, dropna=False).head(keep)
+    return df.mapInPandas(run, df.schema)
+
+
 # --- T1/T5/T6: keyed article sinks -------------------------------------------
 
 ARTICLE_STATE = "seen boolean"
@@ -87,7 +104,7 @@ def run_article_stream(spark: SparkSession, docs: DataFrame, routes: DataFrame,
     sink = os.path.join(out_dir, "tables")
     keyed_docs = docs.withColumn("text_key", F.md5("text")).drop("text")
     cols = keyed_docs.columns
-    firsts = keyed_docs.groupBy("text_key").applyInPandasWithState(
+    firsts = _best_per_key(keyed_docs, ["text_key"], ["doc_id"]).groupBy("text_key").applyInPandasWithState(
         _first_write(cols), keyed_docs.schema, ARTICLE_STATE, "append", GroupStateTimeout.NoTimeout)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
@@ -101,6 +118,23 @@ def run_article_stream(spark: SparkSession, docs: DataFrame, routes: DataFrame,
     return sink
 
 
+def run_two_sinks(spark: SparkSession, articles: DataFrame, out_dir: str | None = None) -> tuple[str, str]:
+    """K3/T5: one input, two independent sinks in one ``foreachBatch``: the keyed
+    store takes every article, the candidate sink only those with a body and a
+    title. ``articles``: (url, event_id, ts, title, has_body). Each sink writes
+    its own batch folder with overwrite, so a replayed batch repeats neither."""
+    out_dir = out_dir or scratch_path(spark, "stream-sinks")
+    store, candidates = os.path.join(out_dir, "store"), os.path.join(out_dir, "candidates")
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        for sink, rows in ((store, batch), (candidates, batch.where(F.col("has_body") & F.col("title").isNotNull()))):
+            (rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink))
+
+    _drain(articles.writeStream.outputMode("append").foreachBatch(write_batch), os.path.join(out_dir, "_ckpt"))
+    return store, candidates
+
+
 # --- T2: candidate pool --------------------------------------------------------
 
 POOL_OUT = "url string, run_us long, db_us long, event_id long"
@@ -142,7 +176,7 @@ def run_pool_stream(spark: SparkSession, crawls: DataFrame, horizon_days: int =
     prepared = crawls.select("url", "event_id",
                              F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
                              F.unix_micros(F.col("run_start").cast("timestamp")).alias("run_us"))
-    adm = prepared.groupBy("url").applyInPandasWithState(
+    adm = _best_per_key(prepared, ["url", "run_us"], ["ts_us", "event_id"]).groupBy("url").applyInPandasWithState(
         _pool_fold(horizon_days), POOL_OUT, POOL_STATE, "append", GroupStateTimeout.NoTimeout)
     _drain(adm.writeStream.format("parquet").option("path", sink).outputMode("append"),
            os.path.join(out_dir, "_ckpt"))
@@ -187,7 +221,7 @@ def run_reads_stream(spark: SparkSession, reads: DataFrame, cap: int = 50,
     sink = os.path.join(out_dir, "history")
     prepared = reads.select("user_id", "event_id", "url",
                             F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
-    hist = prepared.groupBy("user_id").applyInPandasWithState(
+    hist = _best_per_key(prepared, ["user_id"], ["ts_us", "event_id"], cap, newest=True).groupBy("user_id").applyInPandasWithState(
         _reads_fold(cap), READS_OUT, READS_STATE, "update", GroupStateTimeout.NoTimeout)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
@@ -235,7 +269,7 @@ def run_profile_stream(spark: SparkSession, actions: DataFrame, out_dir: str | N
     sink = os.path.join(out_dir, "tags")
     prepared = actions.select("user_id", "tag", "event_id", "action",
                               F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
-    latest = prepared.groupBy("user_id", "tag").applyInPandasWithState(
+    latest = _best_per_key(prepared, ["user_id", "tag"], ["ts_us", "event_id"], newest=True).groupBy("user_id", "tag").applyInPandasWithState(
         _tag_fold, TAGS_OUT, TAGS_STATE, "update", GroupStateTimeout.NoTimeout)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
