@@ -52,7 +52,7 @@ aside button canvas dialog footer form head header iframe input menu nav noscrip
 textarea title
 """.split())
 BOILERPLATE = set("""
-ad ads advert adverts advertisement advertising alert alerts banner bottombar breadcrumb breadcrumbs colophon comment
+ad adbox ads adsbygoogle adslot adunit advert adverts advertisement advertising alert alerts banner bottombar breadcrumb breadcrumbs colophon comment
 comments consent contentinfo complementary cookie cookies copyright dfp dialog disclaimer disqus feedback footer gdpr
 header login masthead menu menubar menus modal nav navbar navigation newsletter notice notices notification overlay pager
 pagination paywall popup promo promoted promotion reactions recommended related replies respond search share sharing

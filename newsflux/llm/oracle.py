@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from newsflux.plans.oracle import WS, strip, unescape
+
+from .op7_quality_rules import RULES
+
 ORACLE: dict[str, str] = {}
 
 _KEY = (r"translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), "
@@ -108,3 +112,70 @@ SELECT archive, "offset", length_a, CASE WHEN damage = 2 THEN NULL ELSE length_b
        CASE WHEN damage = 2 THEN 'missing' WHEN length_a = length_b THEN 'corrupt' ELSE 'resized' END AS status
 FROM placed WHERE damage = 2 OR bad <> html
 """
+
+# every word with its followers, so that windows of 3 to 10 words are strings;
+# words hold no blanks, so joined windows are equal only if all words are
+_LENGTHS = [n for n, _ in RULES.max_window_share]
+_LEADS = ", ".join(f"lead(w, {k}) OVER text_order AS w{k}" for k in range(1, max(_LENGTHS)))
+_WINDOWS = " UNION ALL ".join(
+    f"SELECT doc_id, i, {n} AS n, concat_ws(' ', w, {', '.join(f'w{k}' for k in range(1, n))}) AS key "
+    f"FROM followed WHERE w{n - 1} IS NOT NULL" for n in (3, *_LENGTHS))
+_TOO_MUCH = " OR ".join(f"coalesce(window_chars[{i + 1}], 0) > {share} * word_chars"
+                        for i, (_, share) in enumerate(RULES.max_window_share))
+
+ORACLE["op7_quality_rules"] = rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w,
+         generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS i FROM texts),
+followed AS (SELECT doc_id, i, w, {_LEADS} FROM words WINDOW text_order AS (PARTITION BY doc_id ORDER BY i)),
+windows AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id, n, key) AS c, row_number() OVER (PARTITION BY doc_id, n, key ORDER BY i) AS rn
+  FROM ({_WINDOWS})),
+covered AS (
+  SELECT DISTINCT doc_id, n, i + unnest(range(n)) AS i FROM windows WHERE (n = 3 AND c > 1) OR (n > 3 AND rn > 1)),
+by_length AS (SELECT doc_id, n, count(*) AS n_words, sum(length(w)) AS chars FROM covered JOIN words USING (doc_id, i) GROUP BY ALL),
+measured AS (
+  SELECT doc_id, max(n_words) FILTER (WHERE n = 3) AS n_repeat_words,
+         [{', '.join(f"coalesce(max(chars) FILTER (WHERE n = {n}), 0)" for n in _LENGTHS)}]::BIGINT[] AS window_chars
+  FROM by_length GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS rn
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (
+  SELECT doc_id, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS dup_line_chars
+  FROM lines WHERE rn > 1 GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars FROM words GROUP BY doc_id),
+base AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(dup_line_chars, 0) AS dup_line_chars,
+         coalesce(window_chars, [{', '.join('0' for _ in _LENGTHS)}]::BIGINT[]) AS window_chars
+  FROM texts LEFT JOIN counts USING (doc_id) LEFT JOIN measured USING (doc_id) LEFT JOIN dup USING (doc_id))
+SELECT *, n_words < {RULES.min_words} OR 100 * n_repeat_words > {RULES.max_repeat_words_pct} * n_words AS base_failed,
+       NOT (n_words < {RULES.min_words} OR 100 * n_repeat_words > {RULES.max_repeat_words_pct} * n_words
+            OR {_TOO_MUCH} OR dup_line_chars > {RULES.max_line_share} * word_chars) AS kept
+FROM base
+"""
+
+# the given documents hold benchmark items word for word: every such pair must be
+# found and no other (templates with other values are in the tests)
+ORACLE["op6_decontaminate"] = r"""
+SELECT doc_id, item_id, n AS n_covered, n AS n_item_words, true AS verbatim
+FROM documents d JOIN (
+  SELECT item_id, text, len(list_filter(regexp_extract_all(text, '[^\x20\x09-\x0D]+'),
+                                        lambda w: regexp_matches(w, '[0-9A-Za-z\x{80}-\x{10FFFF}]'))) AS n FROM benchmark) b
+ON contains(lower(d.text), lower(b.text))
+"""
+
+# in the given pages the article holds headings and paragraphs, with bold words
+# and line breaks inside
+_BLOCK = unescape("regexp_replace(x, '</?b>|<br>', ' ', 'g')")
+ORACLE["op9_html_text"] = rf"""
+SELECT page_id, url, text, length(text) AS n_chars FROM (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(
+           regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>'),
+           lambda x: regexp_replace({strip(_BLOCK)}, '{WS}+', ' ', 'g')), lambda x: length(x) > 0), chr(10)) AS text
+  FROM pages)
+"""

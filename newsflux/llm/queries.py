@@ -76,7 +76,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     C.prepare(spark)
     found = op9.extract(load(spark, sf_dir, "pages", "page_id", "url", "html"))
-    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_template_blocks")
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 @query
