@@ -144,13 +144,19 @@ def nodes(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(_tokenise, NODE_SCHEMA)
 
 
-def written_nodes(pages: DataFrame, path: str | None = None) -> DataFrame:
+def written_nodes(pages: DataFrame, buckets: int | None = None) -> DataFrame:
     """The nodes table tokenised once and written as a table in the shared
-    folder; every site rule joins it with itself several times, and reading
-    the written table avoids re-tokenising per branch (and survives a lost
-    executor without re-running Python)."""
+    folder, bucketed by page; every site rule joins it with itself several times.
+
+    A page's nodes lie in one bucket, so the rules' joins and groupings (all by
+    page, or by page and node) read co-located buckets and need no shuffle, no
+    branch tokenises again, and a lost executor re-reads files."""
     from ..session import scratch_path
     spark = pages.sparkSession
-    path = path or scratch_path(spark, "nodes")
-    nodes(pages).write.parquet(path)
-    return spark.read.parquet(path)
+    # a join on (page_id, node) may rely on buckets of page_id alone
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "nodes")
+    name = "nodes_" + path.rsplit("-", 1)[-1]
+    nodes(pages).repartition(n, "page_id").write.bucketBy(n, "page_id").option("path", path).saveAsTable(name)
+    return spark.table(name)
