@@ -59,15 +59,20 @@ def occurrences(docs: DataFrame, text: str, min_key_chars: int) -> DataFrame:
             .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "d", "t", "pos"))
 
 
+def _salted(occ: DataFrame) -> DataFrame:
+    return occ.withColumn("salt", F.pmod(F.xxhash64("d", "t"), F.lit(SALTS)))
+
+
 def repeated_keys(occ: DataFrame, min_docs: int) -> DataFrame:
-    """Keys found in at least ``min_docs`` documents, with their first occurrence."""
-    salted = occ.withColumn("salt", F.pmod(F.xxhash64("d", "t"), F.lit(SALTS)))
-    ranged = salted.repartitionByRange(C.shuffle_width(occ.sparkSession), "h1", "h2", "salt")
+    """Keys found in at least ``min_docs`` documents, with their first occurrence
+    and the sub-ranges that hold them."""
+    ranged = _salted(occ).repartitionByRange(C.shuffle_width(occ.sparkSession), "h1", "h2", "salt")
     stream = Window.partitionBy("h1", "h2", "salt").orderBy("d", "t", "pos")
     before = F.lag(F.struct("d", "t")).over(stream)
     seen = ranged.withColumn("new_doc", F.when(before.eqNullSafe(F.struct("d", "t")), 0).otherwise(1))
     return (seen.groupBy("h1", "h2")
-            .agg(F.sum("new_doc").alias("n_docs"), F.min(F.struct("d", "t", "pos")).alias("first"))
+            .agg(F.sum("new_doc").alias("n_docs"), F.min(F.struct("d", "t", "pos")).alias("first"),
+                 F.collect_set("salt").alias("salts"))  # SALTS at most
             .where(F.col("n_docs") >= min_docs))
 
 
@@ -89,7 +94,9 @@ def keep_bitmaps(docs: DataFrame, text: str = "text", min_docs: int = 10, min_ke
     all lines."""
     occ = C.stage(occurrences(docs, text, min_key_chars), "line-keys")
     keys = repeated_keys(occ, min_docs)
-    gone = occ.join(keys, ["h1", "h2"])
+    # one row per sub-range that holds a key: a frequent key's occurrences stay spread
+    spread = keys.select("h1", "h2", F.explode("salts").alias("salt"), "first")
+    gone = _salted(occ).join(spread, ["h1", "h2", "salt"])
     if keep_first:
         gone = gone.where(~F.col("first").eqNullSafe(F.struct("d", "t", "pos")))
     lost = gone.groupBy("d", "t").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
