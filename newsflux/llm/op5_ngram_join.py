@@ -178,8 +178,9 @@ def _describe(ranks: Broadcast, n: int, percent: int):
                 sizes.append(len(s))
                 nodes.append(_identity(s))
                 prefixes.append(s[order].view(np.int64))
-                parts.append(np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
-                             .astype(np.uint32).tobytes())
+                # held at 65535: differences only shrink, so they stay a lower bound
+                parts.append(np.minimum(np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 65535)
+                             .astype(np.uint16).tobytes())
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             cuts = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -221,8 +222,8 @@ def _may_link(percent: int, na: Column, pa_: Column, nb: Column, pb: Column) ->
 @F.arrow_udf(LongType())
 def _difference(a: pa.Array, b: pa.Array) -> pa.Array:
     """Lower bound of the sets' symmetric difference: partition sizes."""
-    x = np.frombuffer(b"".join(a.to_pylist()), np.uint32).reshape(-1, PARTS).astype(np.int64)
-    y = np.frombuffer(b"".join(b.to_pylist()), np.uint32).reshape(-1, PARTS)
+    x = np.frombuffer(b"".join(a.to_pylist()), np.uint16).reshape(-1, PARTS).astype(np.int64)
+    y = np.frombuffer(b"".join(b.to_pylist()), np.uint16).reshape(-1, PARTS).astype(np.int64)
     return pa.array(np.abs(x - y).sum(axis=1))
 
 
@@ -278,14 +279,25 @@ def _with_component(postings: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _mixed(postings: DataFrame) -> DataFrame:
-    """Postings of shingles that still join several components, with their hub."""
-    hubs = (postings.groupBy("token")
-            .agg(F.min(F.struct("pos", "n", "node", "comp")).alias("hub"),
-                 F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            .where("lo != hi").drop("lo", "hi"))
+    """Postings of shingles that still join several components, with their hub.
+    Postings are (token, rank, node) with position and size packed into rank, so
+    that the first, by far largest, shuffle carries little more than two hashes;
+    without a component column every class is its own component."""
+    if "comp" in postings.columns:
+        hubs = (postings.groupBy("token").agg(F.min(F.struct("rank", "node", "comp")).alias("hub"),
+                                              F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                .where("lo != hi").drop("lo", "hi"))
+    else:  # a set has a shingle once: several postings are several classes
+        hubs = (postings.groupBy("token").agg(F.min(F.struct("rank", "node")).alias("hub"), F.count(F.lit(1)).alias("m"))
+                .where("m > 1").drop("m"))
     return postings.join(hubs, "token")
 
 
+def _unpacked(rank: Column) -> tuple[Column, Column]:
+    """(position, size) of a packed rank."""
+    return F.shiftright(rank, 32), rank.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def link_components(docs: DataFrame, text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, key, n_shingles, component_id, root) of every row of ``docs``; key
     is the text's hash, root names the component (null: empty set)."""
@@ -298,17 +310,17 @@ def link_components(docs: DataFrame, text: str = "text", n: int = 3, percent: in
                       "join-classes")
     verify = _Verifier(docs, text, classes, n, percent)
     postings = (classes.select(F.posexplode_outer("prefix").alias("pos", "token"), "n", "node")
-                .withColumn("comp", F.col("node")))
-
-    h = lambda c: F.col(f"hub.{c}")
+                .select("token", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("rank"),
+                        "node"))
     done = links = None
     for turn in range(HUB_ROUNDS):
         left = C.stage(_mixed(postings), "join-postings")
         if left.isEmpty():
             break
-        met = (left.where((F.col("comp") != h("comp"))
-                          & _may_link(percent, F.col("n"), F.col("pos"), h("n"), h("pos")))
-               .select(*_pair(F.col("node"), h("node"))).distinct())
+        (pos, n_), (h_pos, h_n) = _unpacked(F.col("rank")), _unpacked(F.col("hub.rank"))
+        component = "comp" if "comp" in left.columns else "node"
+        met = (left.where((F.col(component) != F.col(f"hub.{component}")) & _may_link(percent, n_, pos, h_n, h_pos))
+               .select(*_pair(F.col("node"), F.col("hub.node"))).distinct())
         if done is not None:
             met = met.join(done, ["a", "b"], "left_anti")
         met = C.stage(met, "join-candidates")
@@ -316,15 +328,18 @@ def link_components(docs: DataFrame, text: str = "text", n: int = 3, percent: in
         done = met if done is None else done.union(met)
         links = found if links is None else links.union(found)
         # the hub has met all members of the posting that it could link with
-        rest = left.where(F.col("node") != h("node")).drop("hub")
+        rest = left.where(F.col("node") != F.col("hub.node")).drop("hub")
         labels = components(links, "a", "b")
         postings = _with_component(rest, labels)
     else:
         left = C.stage(_mixed(postings).drop("hub"), "join-postings")
+        if "comp" not in left.columns:
+            left = left.withColumn("comp", F.col("node"))
         x, y = left.alias("x"), left.alias("y")
+        (x_pos, x_n), (y_pos, y_n) = _unpacked(F.col("x.rank")), _unpacked(F.col("y.rank"))
         rest = (x.join(y, F.col("x.token") == F.col("y.token"))
                 .where((F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-                       & _may_link(percent, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
+                       & _may_link(percent, x_n, x_pos, y_n, y_pos))
                 .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
         if done is not None:
             rest = rest.join(done, ["a", "b"], "left_anti")
