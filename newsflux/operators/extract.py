@@ -572,3 +572,25 @@ def gallery_body(slides: DataFrame, slide_pages: DataFrame) -> DataFrame:
             .groupBy("gallery_id")
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("slide", "pos", "piece"))),
                              lambda x: x["piece"]).alias("blocks")))
+
+
+def tencent_items(articles: DataFrame, listing: DataFrame, pages: DataFrame) -> DataFrame:
+    """Articles joined to the listing row that requested them: a missing
+    title or category comes from the listing. ``articles`` is the result of
+    ``tencent_article``, ``listing`` (url, title, category)."""
+    asked = listing.select(F.col("url").alias("l_url"), F.col("title").alias("l_title"), F.col("category").alias("l_cat"))
+    j = articles.join(pages.select("page_id", "url"), "page_id")
+    j = j.join(asked, j["url"] == asked["l_url"])
+    return j.select("url", "layout", F.coalesce("title", "l_title").alias("title"), "pb_time", "source", "author",
+                    F.coalesce("category", "l_cat").alias("category"), "blocks")
+
+
+def report_items(listing: DataFrame, nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """Research reports joined to the report-table row that led to them:
+    institution, rating, time, title and type come from the table, author, images
+    and body from the report page. ``listing`` is the result of ``report_tables``."""
+    asked = listing.join(pages.select(F.col("page_id").alias("report_id"), "url"), listing["href"] == F.col("url"))
+    asked = asked.select("report_id", "url", "ji_gou", "ping_ji", "time", "title", "type")
+    body = research_report(nodes, asked.select(F.col("report_id").alias("page_id"), "type"))
+    return asked.join(body.withColumnRenamed("page_id", "report_id"), "report_id").select(
+        "url", "title", "ji_gou", "ping_ji", "time", "type", "author", "img_k_url", "two_img_url", "blocks")

@@ -850,3 +850,24 @@ def saved_vectors(spark, sf_dir):
     old, new = V.model_vectors(model), V.model_vectors(V.load_model(path)).withColumnRenamed("vector", "loaded")
     return old.join(new, "word").select("word", F.size("loaded").cast("bigint").alias("dim"),
                                         (F.col("vector") == F.col("loaded")).alias("same"))
+
+
+@query
+def watchlist_delete_position(spark, sf_dir):
+    """Every user deletes the stock at position user_id % 5 of the watchlist
+    (0 and positions beyond the end are rejected); later stocks move up."""
+    w = _watchlist(Tables(spark, sf_dir))
+    at = F.col("user_id") % 5
+    return (w.where((at < 1) | (F.col("pos") != at))
+            .select("user_id", (F.col("pos") - F.when((at >= 1) & (F.col("pos") > at), 1).otherwise(0)).alias("pos"), "code"))
+
+
+@query
+def stream_stocks(spark, sf_dir):
+    """T4/M7: the stock half of the profile as stream state: purchases add a code,
+    errors delete it, the last action per (user, code) counts."""
+    e = _event_stream(spark, sf_dir).where(F.col("event_type").isin("purchase", "error")).withColumn("k", derived.event_k() % 50)
+    acts = e.select("user_id", derived.stock_code("k").alias("tag"), "ts", "event_id",
+                    F.when(F.col("event_type") == "error", "del").otherwise("add").alias("action"))
+    sink = S.run_profile_stream(spark, acts)
+    return S.read_tags(spark, sink).select("user_id", F.array_join("tags", ",").alias("codes"))

@@ -756,3 +756,25 @@ WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark)
 SELECT word, CAST(128 AS BIGINT) AS dim, true AS same
 FROM (SELECT unnest({split_ws('line')}) AS word FROM l WHERE NOT contains(line, '//'))
 GROUP BY word HAVING count(*) >= 5"""
+
+ORACLE["site_tencent_items"] = f"""
+SELECT 'http://new.example.com/' || {K} AS url, ['LEFT', 'qq_article', 'qq_article', 'gallery', 'other'][doc_id % 5 + 1] AS layout,
+       CASE doc_id % 5 WHEN 0 THEN 'Left ' WHEN 4 THEN 'Listed ' ELSE 'QQ ' END || {K} AS title,
+       CASE WHEN doc_id % 5 IN (1, 2, 3) THEN lang ELSE 'cat ' || lang END AS category
+FROM documents"""
+
+ORACLE["site_report_items"] = f"""
+SELECT 'http://r.example.com/s' || p_partkey AS url, p_name AS title, p_type AS ji_gou, p_brand AS ping_ji, '01-02' AS time,
+       {q(STOCK_REPORT_WORD)} AS type, 'Analyst ' || p_partkey AS author, 'k' || p_partkey || '.png' AS img_k_url,
+       {M} || 'one §' || p_partkey || '§ ' || p_brand AS blocks
+FROM part"""
+
+ORACLE["watchlist_delete_position"] = f"""WITH {WATCH.strip()}
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY pos) AS BIGINT) AS pos, code
+FROM wl WHERE NOT (user_id % 5 >= 1 AND pos = user_id % 5)"""
+
+ORACLE["stream_stocks"] = f"""WITH {TAGEV.strip()},
+a AS (SELECT user_id, {code('k % 50')} AS code, ts, event_id, event_type FROM te WHERE event_type IN ('purchase', 'error')),
+l AS (SELECT *, row_number() OVER (PARTITION BY user_id, code ORDER BY ts DESC, event_id DESC) AS rn FROM a)
+SELECT user_id, array_to_string(list_sort(list(code)), ',') AS codes
+FROM l WHERE rn = 1 AND event_type = 'purchase' GROUP BY user_id"""

@@ -143,3 +143,26 @@ def site_reports(spark, sf_dir):
     pages = P.stock_pages(Tables(spark, sf_dir))
     got = X.report_tables(N.written_nodes(pages))
     return _numbered(got, "row", "ji_gou", "ping_ji", "time", "title", "href", "type")
+
+
+@query
+def site_tencent_items(spark, sf_dir):
+    """Articles with the title and category of their listing row where
+    the page has none (left-column pages bring no category, other layouts nothing)."""
+    t = Tables(spark, sf_dir)
+    pages = P.tencent(t)
+    listing = t.documents("doc_id", "lang").select(
+        F.concat(F.lit("http://new.example.com/"), F.col("doc_id").cast("string")).alias("url"),
+        F.concat(F.lit("Listed "), F.col("doc_id").cast("string")).alias("title"), F.concat(F.lit("cat "), "lang").alias("category"))
+    got = X.tencent_items(X.tencent_article(N.written_nodes(pages)), listing, pages)
+    return got.select("url", "layout", "title", "category")
+
+
+@query
+def site_report_items(spark, sf_dir):
+    """Report-table rows joined to the report pages they lead to."""
+    t = Tables(spark, sf_dir)
+    listing, reports = P.stock_pages(t), P.reports_of_parts(t)
+    rows = X.report_tables(N.written_nodes(listing))
+    got = X.report_items(rows, N.written_nodes(reports), reports)
+    return got.select("url", "title", "ji_gou", "ping_ji", "time", "type", "author", "img_k_url", _pieces().alias("blocks"))

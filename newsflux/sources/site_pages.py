@@ -208,3 +208,13 @@ def stock_pages(t: Tables) -> DataFrame:
         X.STOCK_REPORT_WORD, "</h3>", table("linehleft w100p", "s"), '</div><div class="fr w390 mb10"><h3>', X.COMPANY_NOTICE_WORD, "</h3>",
         _link("notice"), "</div>", when(k % 3 != 0, '<div class="fr w390 mb10"><h3>' + X.INDUSTRY_REPORT_WORD + "</h3>",
                                         table("linehleft w100p txtUL", "i"), "</div>"), "</div>"))
+
+
+def reports_of_parts(t: Tables) -> DataFrame:
+    """The report pages that the tables of ``stock_pages`` lead to (their first
+    table only; ids are negative)."""
+    k = F.col("p_partkey")
+    return _page(t.part("p_partkey", "p_brand"), -k - 1, cat("http://r.example.com/s", text(k)), cat(
+        '<div class="report-infos"><span>org</span><span>Analyst ', text(k), '</span></div><div class="report-body Body" id="ContentBody"><p style="',
+        X.REPORT_IMG_STYLE, '"><img border="0" alt="K" src="k', text(k), '.png"></p><div class="newsContent"><p>one §', text(k), "§ ",
+        F.col("p_brand"), "</p></div></div>"))
