@@ -33,8 +33,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from . import common as C
+from .bloom import Bloom
 
 #: A subtree is template on this many different pages of a host, and on this share of them.
 MIN_PAGES = 5
@@ -222,16 +224,28 @@ def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float =
 
 
 def extract(pages: DataFrame, html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(page_id, url, text, n_blocks, n_template_blocks) of every row of ``pages``."""
+    """(page_id, url, text, n_blocks, n_template_blocks) of every row of ``pages``;
+    template blocks are those that only the site's other pages give away."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col("page_id").cast("long"), "url", F.xxhash64("page_id", "url", html).alias("name"),
                         F.when(host != "", host).alias("host"), html)
     parsed = C.stage(rows.mapInArrow(_parse_pages, _PARSED), "html-blocks")
     site = C.stage(templates(parsed, min_pages, min_share), "html-templates")
-    hits = (parsed.select("name", "host", F.explode("subtrees").alias("subtree")).join(site, ["host", "subtree"])
-            .groupBy("name").agg(F.collect_set("subtree").alias("hits")))
-    own = parsed.join(hits, "name", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<long>")))
+    # only pages with a template around a block that the page itself keeps are shuffled; a
+    # Bloom filter of their names (2 MB) lets all others stay where they are
+    open_trees = F.flatten(F.transform(F.filter("blocks", lambda b: ~b["out"]), lambda b: b["trees"]))
+    hits = C.stage(parsed.select("name", "host", F.explode(F.array_distinct(open_trees)).alias("subtree"))
+                   .join(site, ["host", "subtree"]).groupBy("name").agg(F.collect_set("subtree").alias("hits")), "html-hits")
+    wanted = pages.sparkSession.sparkContext.broadcast(Bloom.of(hits, "name"))
+
+    def maybe(names: pa.Array) -> pa.Array:
+        return pa.array(wanted.value.has(names.to_numpy(zero_copy_only=False)))
+
+    tested = parsed.withColumn("touched", F.arrow_udf(maybe, BooleanType())("name"))
+    joined = tested.where("touched").join(hits, "name", "left")
+    stay = tested.where("NOT touched").withColumn("hits", F.lit(None).cast("array<long>"))
+    own = stay.unionByName(joined).withColumn("hits", F.coalesce("hits", F.array().cast("array<long>")))
     kept = F.filter("blocks", lambda b: ~b["out"] & ~F.arrays_overlap(b["trees"], F.col("hits")))
-    cut = F.filter("blocks", lambda b: F.arrays_overlap(b["trees"], F.col("hits")))
+    cut = F.filter("blocks", lambda b: ~b["out"] & F.arrays_overlap(b["trees"], F.col("hits")))
     return own.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"),
                       F.size("blocks").alias("n_blocks"), F.size(cut).alias("n_template_blocks"))
