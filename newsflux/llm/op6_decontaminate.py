@@ -11,8 +11,11 @@ document holds an item when its matched windows cover ``min_covered`` words of
 the item, or all of a shorter one.
 
 Names cannot be told from sentence starts without context, so every window is
-hashed twice: with capitalised words as names, and with all words in lower case
-(which also finds passages whose case was changed).
+hashed with capitalised words as names, and with all words in lower case (which
+also finds passages whose case was changed). Both ask for a share of literal
+words, as few literals between placeholders fit anything; a third reading takes
+every word's own value, without such a share, so that passages full of numbers
+and units are found word for word.
 
 Documents' windows are first held against a Bloom filter of the benchmark's
 windows, of fixed size; only survivors (and the few false positives) are
@@ -106,18 +109,19 @@ def _template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _windows(value: np.ndarray, kind: np.ndarray, first: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(hash, start, text, placeholder class of every word) of all windows of n
-    words, for both readings of capitalised words."""
+    words: for both readings of capitalised words, and with no placeholders."""
     at, text = C.windows_per_text(first, n, len(value))
     if not len(at):
         return
     lower = np.where(kind == _NAME, np.int8(0), kind)
     named = np.concatenate([[0], np.cumsum(kind == _NAME)])
-    for k, again in ((kind, False), (lower, True)):
+    slotted = np.concatenate([[0], np.cumsum(lower > 0)])
+    for k, differs in ((kind, None), (lower, named), (np.zeros_like(kind), slotted)):
         words = np.where(k > 0, _PLACEHOLDER[k], value)
         literal = np.concatenate([[0], np.cumsum(k == 0)])
         ok = 1000 * (literal[at + n] - literal[at]) >= MIN_LITERAL * n
-        if again:  # windows without names read alike, unless too few words were left
-            ok &= (named[at + n] > named[at])
+        if differs is not None:  # windows without names, or without other slots, read like those before
+            ok &= (differs[at + n] > differs[at])
         yield C.window_hash(words, n)[at[ok]].view(np.int64), at[ok], text[ok], k
 
 

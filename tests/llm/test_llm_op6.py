@@ -51,6 +51,17 @@ def test_slots_must_be_consistent(spark):
     assert set(found(spark, [f"{FILL} {same} {FILL}", f"{FILL} {mixed} {FILL}"], [(1, item)])) == {(0, 1)}
 
 
+def test_items_full_of_numbers_are_found_word_for_word(spark):
+    texts = ["A train travels 120 miles in 2 hours and then 180 miles in 3 hours. What is its average speed?",
+             "Tom ran 5 km on day 1, 7 km on day 2 and 9 km on day 3. How far did Tom run?",
+             "Convert 3 hours 25 minutes 40 seconds to seconds.", "What is 12 plus 30 minus 4 times 7?"]
+    items = list(enumerate(texts))
+    other = [t.replace("3", "8").replace("12", "15") for t in texts]  # too few literals to tell a template by
+    got = found(spark, [f"{FILL} {t} {FILL}" for t in texts] + [f"{FILL} {t.upper()} {FILL}" for t in texts]
+                + [f"{FILL} {t} {FILL}" for t in other[2:]], items)
+    assert got == {(d, d % 4): True for d in range(8)}
+
+
 def test_rows_without_leaks_stay(spark):
     rows = [(1, f"{FILL} {ITEM}"), (2, FILL), (2, FILL), (1, FILL), (None, f"{OTHER} x"), (None, None), (6, "")]
     docs = docs_frame(spark, rows)
