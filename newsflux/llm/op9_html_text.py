@@ -89,47 +89,39 @@ def _says_boilerplate(attrs: str) -> bool:
 
 
 class _Element:
-    __slots__ = ("tag", "attrs", "hidden", "by_name", "article", "parts", "text", "subtree", "parent")
+    __slots__ = ("tag", "attrs", "hidden", "by_name", "article", "parts", "subtree", "parent")
 
     def __init__(self, tag, attrs, parent):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.hidden = tag in NO_CONTENT
         self.by_name = bool(attrs) and tag not in ("body", "html") and _says_boilerplate(attrs)
         self.article = tag == "article" or tag == "main" or 'role="main"' in attrs
-        self.parts, self.text, self.subtree = [], False, 0
+        self.parts, self.subtree = [], 0
 
 
 def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int], int]:
     """(blocks, subtree hashes, prose hash): a block is its text, whether the
     page itself rules it out, and the hashes of the subtrees around it."""
     root = _Element("html", "", None)
-    stack, blocks, run, closed = [root], [], [], []
+    # a run's pieces stand in one block element, each in the inline elements open at it
+    stack, elements, runs, run = [root], [root], [], []
 
     def flush():
-        text = " ".join(unescape("".join(run)).split()) if run else ""
+        if any(not piece.isspace() for piece, _ in run):
+            runs.append(run.copy())
+            stack[-1].parts.append(len(runs) - 1)
         run.clear()
-        if text:
-            blocks.append((text, stack[-1]))
-            stack[-1].parts.append(text)
-            stack[-1].text = True
 
     def close(k: int):
         """End the open elements from the k-th on."""
         if any(e.tag in BLOCK for e in stack[k:]):
             flush()
-        while len(stack) > k:
-            e = stack.pop()
-            if e.text:
-                e.subtree = xxhash.xxh64_intdigest("\0".join([e.tag, e.attrs, *e.parts])) - (1 << 63)
-                stack[-1].text = True
-                stack[-1].parts.append(str(e.subtree))
-                if e.tag in BLOCK:
-                    closed.append(e)
+        del stack[k:]
 
     at = 0
     for m in _MARKUP.finditer(html):
         if m.start() > at:
-            run.append(html[at:m.start()])
+            run.append((html[at:m.start()], stack[-1]))
         at = m.end()
         tag = m["tag"]
         if tag is None:
@@ -143,7 +135,7 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int], int]
                 flush()
             continue
         if tag == "br":
-            run.append(" ")
+            run.append((" ", stack[-1]))
             continue
         if tag in BLOCK:
             flush()
@@ -169,35 +161,59 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int], int]
             while up is not None:
                 up.by_name = False
                 up = up.parent
+        stack[-1].parts.append(e)
         stack.append(e)
-    run.append(html[at:])
+        elements.append(e)
+    if at < len(html):
+        run.append((html[at:], stack[-1]))
     close(1)
     flush()
 
-    seen: dict[int, tuple[bool, bool, list[int], bool]] = {}
+    seen: dict[int, tuple[bool, bool]] = {}
 
-    def around(e: _Element) -> tuple[bool, bool, list[int]]:
-        """(ruled out, in a marked article, subtrees) of what stands in e."""
+    def around(e: _Element) -> tuple[bool, bool]:
+        """(ruled out, in a marked article) of what stands in e."""
         chain = []
         while e is not None and id(e) not in seen:
             chain.append(e)
             e = e.parent
-        out, inside, trees = seen[id(e)] if e is not None else (False, False, [])
+        out, inside = seen[id(e)] if e is not None else (False, False)
         for e in reversed(chain):
-            out = out or e.hidden or e.by_name
-            prose = inside and e.tag in PROSE
-            inside = inside or e.article
-            if e.tag in BLOCK and e.subtree and not prose and not e.article and e.tag not in ("html", "body"):
-                trees = [*trees, e.subtree]
-            seen[id(e)] = out, inside, trees
-        return out, inside, trees
-
-    found = [(text, *around(e)) for text, e in blocks]
-    marked = any(inside and not out for _, out, inside, _ in found)
-    kept = [(text, out or (marked and not inside), trees) for text, out, inside, trees in found]
+            out, inside = out or e.hidden or e.by_name, inside or e.article
+            seen[id(e)] = out, inside
+        return out, inside
+
+    def read(pieces: list[tuple[str, _Element]]) -> str:
+        return " ".join(unescape("".join(p for p, _ in pieces)).split())
+
+    blocks = []  # text, ruled out, in a marked article, of every run
+    for pieces in runs:
+        stays = [p for p in pieces if not around(p[1])[0]]
+        text = read(stays)
+        of = stays if text else pieces
+        blocks.append((text or read(pieces), not text, any(around(e)[1] for _, e in of)))
+
+    for e in reversed(elements):  # children before parents
+        parts = [str(p.subtree) if isinstance(p, _Element) else blocks[p][0] for p in e.parts
+                 if (p.subtree if isinstance(p, _Element) else blocks[p][0] and not blocks[p][1])]
+        if parts:
+            e.subtree = xxhash.xxh64_intdigest("\0".join([e.tag, e.attrs, *parts])) - (1 << 63)
+
+    trees: dict[int, list[int]] = {}  # the subtrees around what stands in an element
+    counted = set()
+    for e in elements:  # parents before children
+        up = trees[id(e.parent)] if e.parent else []
+        prose = e.parent is not None and around(e.parent)[1] and e.tag in PROSE
+        if e.tag in BLOCK and e.subtree and not prose and not e.article and e.tag not in ("html", "body"):
+            up = [*up, e.subtree]
+            counted.add(e.subtree)
+        trees[id(e)] = up
+
+    marked = any(inside and not out for _, out, inside in blocks)
+    kept = [(text, out or (marked and not inside), trees[id(pieces[-1][1])])
+            for (text, out, inside), pieces in zip(blocks, runs) if text]
     prose = "\0".join(t for t, out, _ in kept if not out) or html
-    subtrees = {t for e in closed for t in around(e)[2][-1:] if t == e.subtree}
-    return kept, sorted(subtrees), xxhash.xxh64_intdigest(prose) - (1 << 63)
+    return kept, sorted(counted), xxhash.xxh64_intdigest(prose) - (1 << 63)
 
 
 _PARSED = ("page_id long, url string, name long, host string, prose long, subtrees array<long>, "
