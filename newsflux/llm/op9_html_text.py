@@ -9,6 +9,13 @@ blocks inside them are deleted. What is boilerplate by its markup on any site
 whose class, id or role says advert, notice, comments and the like) is left out
 too, and where a page marks its article (or main part), only that is taken.
 
+Names mislead: headings and sections get ids made of their titles, wrappers say
+which parts they have. So ids of headings and words after has, with or no do not
+count, names of prose and sections (and ids of inline elements) only where all
+their words are of boilerplate or layout, and where no prose is left on a page, the
+names around its least nested and then longest prose are ignored. Prose is a
+paragraph, quote or preformatted text, or any run of ``PROSE_WORDS`` words.
+
 Copies of one article must not turn its own text into a template: pages count
 as different by their prose, and prose elements (paragraphs, headings, quotes,
 preformatted text) of a marked article are never template.
@@ -26,6 +33,7 @@ one page; empty tables give empty results; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -60,6 +68,17 @@ header login masthead menu menubar menus modal nav navbar navigation newsletter
 pagination paywall popup promo promoted promotion reactions recommended related replies respond search share sharing
 sidebar signup skip social sponsor sponsored sponsors subscribe subscription tabbar toolbar topbar widget widgets
 """.split())
+#: Words that stand beside those in names of parts of a page.
+LAYOUT = set("""
+area articles bar block blocks body bottom box btn button buttons caption container content count heading icon icons inner item
+items label left line link links list main media message outer panel post posts right row section slot small stories text
+thread title top unit wrap wrapper
+""".split())
+#: Words after which a name tells what an element has or lacks.
+QUALIFIER = {"has", "have", "with", "no", "non", "not", "without"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+RUNNING = {"p", "blockquote", "pre"}
+PROSE_WORDS = 10
 #: Open elements that the start of one of these ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
         "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"},
@@ -76,25 +95,36 @@ _TOKEN = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _says_boilerplate(attrs: str) -> bool:
+def _names_boilerplate(name: str, whole: bool) -> bool:
+    """Does a class, id or role name boilerplate (``whole``: and nothing else)?"""
+    words = [t.lower() for t in _TOKEN.findall(name)]
+    words = words[:next((i for i, w in enumerate(words) if w in QUALIFIER), len(words))]
+    return any(w in BOILERPLATE for w in words) and (
+        not whole or all(w in BOILERPLATE or w in LAYOUT or w.isdigit() for w in words))
+
+
+def _says_boilerplate(tag: str, attrs: str, in_heading: bool) -> tuple[bool, bool]:
+    """(hidden, called boilerplate) by an element's attributes."""
+    hidden, names = False, []
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and _HIDDEN.search(value):
-            return True
-        if name in ("class", "id", "role") and any(t.lower() in BOILERPLATE for t in _TOKEN.findall(value)):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
+            hidden = True
+        elif name in ("class", "id", "role") and not (name == "id" and in_heading):
+            names += [(name, n) for n in value.split()]
+    text = tag in PROSE or tag == "section" or ("class", "section") in names
+    return hidden, any(_names_boilerplate(n, text or name == "id" and tag not in BLOCK) for name, n in names)
 
 
 class _Element:
-    __slots__ = ("tag", "attrs", "hidden", "by_name", "article", "parts", "subtree", "parent")
+    __slots__ = ("tag", "attrs", "hidden", "by_name", "unseen", "heading", "article", "parts", "subtree", "parent")
 
     def __init__(self, tag, attrs, parent):
         self.tag, self.attrs, self.parent = tag, attrs, parent
+        self.heading = tag in HEADINGS or parent is not None and parent.heading
         self.hidden = tag in NO_CONTENT
-        self.by_name = bool(attrs) and tag not in ("body", "html") and _says_boilerplate(attrs)
+        self.unseen, named = _says_boilerplate(tag, attrs, self.heading) if attrs and tag not in ("body", "html") else (False, False)
+        self.by_name = self.unseen or named
         self.article = tag == "article" or tag == "main" or 'role="main"' in attrs
         self.parts, self.subtree = [], 0
 
@@ -186,12 +216,47 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int], int]
     def read(pieces: list[tuple[str, _Element]]) -> str:
         return " ".join(unescape("".join(p for p, _ in pieces)).split())
 
-    blocks = []  # text, ruled out, in a marked article, of every run
-    for pieces in runs:
-        stays = [p for p in pieces if not around(p[1])[0]]
-        text = read(stays)
-        of = stays if text else pieces
-        blocks.append((text or read(pieces), not text, any(around(e)[1] for _, e in of)))
+    def judge() -> list[tuple[str, bool, bool]]:
+        """(text, ruled out, in a marked article) of every run."""
+        got = []
+        for pieces in runs:
+            stays = [p for p in pieces if not around(p[1])[0]]
+            text = read(stays)
+            of = stays if text else pieces
+            got.append((text or read(pieces), not text, any(around(e)[1] for _, e in of)))
+        return got
+
+    def is_prose(text: str, e: _Element) -> bool:
+        while e is not None and e.tag not in BLOCK:
+            e = e.parent
+        return bool(text) and (e is not None and e.tag in RUNNING or text.count(" ") + 1 >= PROSE_WORDS)
+
+    def misnamed() -> list[_Element]:
+        """The named elements around the least nested, then longest prose that only names rule out."""
+        held, named = defaultdict(int), {}
+        for pieces in runs:
+            hidden, names = False, []
+            lead = e = next(e for piece, e in pieces if not piece.isspace())
+            while e is not None:
+                hidden = hidden or e.hidden or e.by_name and e.unseen
+                if e.by_name:
+                    names.append(e)
+                e = e.parent
+            text = read(pieces)
+            if names and not hidden and is_prose(text, lead):
+                held[id(names[0])] += len(text)
+                named[id(names[0])] = names
+        return min(named.items(), key=lambda kv: (len(kv[1]), -held[kv[0]]), default=(0, []))[1]
+
+    blocks = judge()
+    marked = any(inside and not out for _, out, inside in blocks)
+    if any(e.by_name for e in elements) and not any(
+            not out and (inside or not marked) and is_prose(text, pieces[0][1])
+            for (text, out, inside), pieces in zip(blocks, runs)):
+        for e in misnamed():
+            e.by_name = False
+        seen.clear()
+        blocks = judge()
 
     for e in reversed(elements):  # children before parents
         parts = [str(p.subtree) if isinstance(p, _Element) else blocks[p][0] for p in e.parts

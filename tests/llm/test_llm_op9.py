@@ -48,6 +48,23 @@ def test_removed_inline_elements():
     assert a == b  # what is removed anyway does not tell boxes apart
 
 
+def test_names_that_mislead():
+    assert one('<div class="content has-sidebar"><p>all text</p></div>') == "all text"
+    assert one('<div id="page" class="with-social no-ads"><p>all text</p><div class="share">share</div></div>') == "all text"
+    assert one('<div id="page" class="social"><span>date</span><p>all text</p><div class=ad><p>Buy this</p></div></div>') == "date\nall text"
+    assert one('<div class="notice">small print</div><p>text</p>') == "text"
+    assert one('<div class="ad">Buy</div>') == ""
+    assert one('<div class="social" hidden><p>gone</p></div>') == ""
+    assert one('<div style="display:none"><article><p>shown by a script</p></article></div>') == "shown by a script"
+    art = ('<article><h1>T</h1><p>text</p><h2 id="related-work">Work</h2><h2><span id="Social_history">History</span></h2>'
+           '<section id="search-methods"><p>how</p></section><p class="notice-period">three months</p>'
+           '<div class="section" id="comment-analysis"><p>why</p></div>%s</article>')
+    assert one(art % "") == "T\ntext\nWork\nHistory\nhow\nthree months\nwhy"
+    gone = ('<section id="comments"><p>x</p></section><section class="related-posts"><p>x</p></section><p class="ad-text">x</p>'
+            '<div id="cookie-law"><p>x</p></div><p><a class="share-facebook">x</a></p>')
+    assert one(art % gone) == one(art % "")
+
+
 def page(body, host="a.example", n=0):
     return (n, f"https://user@{host}:8080/p/{n}", body)
 
