@@ -4,7 +4,11 @@ Every page is cut into blocks (runs of inline text between block borders) and
 every block element's subtree gets a hash of its tag, attributes, text and child
 subtrees. Spark counts, per host, on how many different pages a subtree stands;
 subtrees that recur on many pages of their host are the site's template, and
-blocks inside them are deleted. What is boilerplate by its markup on any site
+blocks inside them are deleted. Many is a share of a small host's pages and a fixed
+number on a large one, where section boxes, rotating adverts and notices are on few of
+all pages; only short paragraphs, headings, list items, table cells and elements
+without attributes, which articles of their own may have in common ("Yes"), need the
+share on any host. What is boilerplate by its markup on any site
 (navigation, headers, footers, asides, forms, scripts, hidden parts, and elements
 whose class, id or role says advert, notice, comments and the like) is left out
 too, and where a page marks its article (or main part), only that is taken.
@@ -46,9 +50,12 @@ from pyspark.sql.types import BooleanType
 from . import common as C
 from .bloom import Bloom
 
-#: A subtree is template on this many different pages of a host, and on this share of them.
+#: A subtree is template on this many different pages of a host, and on this share of them,
 MIN_PAGES = 5
 MIN_SHARE = 0.3
+#: or on this many whatever the share is, unless it is short and may be anyone's text.
+MANY_PAGES = 50
+SHORT_WORDS = 8
 
 # Elements by their role in HTML, and words of class, id and role that name boilerplate.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,6 +63,7 @@ BLOCK = set("""
 address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul
 """.split())
+PARTS = set("caption dd dt legend li summary tbody td tfoot th thead tr".split())
 PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption".split())
 NO_CONTENT = set("""
 aside button canvas dialog footer form head header iframe input menu nav noscript object script select style svg template
@@ -117,7 +125,7 @@ def _says_boilerplate(tag: str, attrs: str, in_heading: bool) -> tuple[bool, boo
 
 
 class _Element:
-    __slots__ = ("tag", "attrs", "hidden", "by_name", "unseen", "heading", "article", "parts", "subtree", "parent")
+    __slots__ = ("tag", "attrs", "hidden", "by_name", "unseen", "heading", "article", "parts", "subtree", "words", "parent")
 
     def __init__(self, tag, attrs, parent):
         self.tag, self.attrs, self.parent = tag, attrs, parent
@@ -126,7 +134,7 @@ class _Element:
         self.unseen, named = _says_boilerplate(tag, attrs, self.heading) if attrs and tag not in ("body", "html") else (False, False)
         self.by_name = self.unseen or named
         self.article = tag == "article" or tag == "main" or 'role="main"' in attrs
-        self.parts, self.subtree = [], 0
+        self.parts, self.subtree, self.words = [], 0, 0
 
 
 def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int], int]:
@@ -259,10 +267,19 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int], int]
         blocks = judge()
 
     for e in reversed(elements):  # children before parents
-        parts = [str(p.subtree) if isinstance(p, _Element) else blocks[p][0] for p in e.parts
-                 if (p.subtree if isinstance(p, _Element) else blocks[p][0] and not blocks[p][1])]
+        parts = []
+        for p in e.parts:
+            if isinstance(p, _Element):
+                if p.subtree:
+                    parts.append(str(p.subtree))
+                    e.words += p.words
+            elif blocks[p][0] and not blocks[p][1]:
+                parts.append(blocks[p][0])
+                e.words += blocks[p][0].count(" ") + 1
         if parts:
-            e.subtree = xxhash.xxh64_intdigest("\0".join([e.tag, e.attrs, *parts])) - (1 << 63)
+            h = xxhash.xxh64_intdigest("\0".join([e.tag, e.attrs, *parts])) - (1 << 63)
+            short = e.words < SHORT_WORDS and (e.tag in PROSE or e.tag in PARTS or not e.attrs)
+            e.subtree = h & ~1 if short else h | 1  # the last bit: may MANY_PAGES decide
 
     trees: dict[int, list[int]] = {}  # the subtrees around what stands in an element
     counted = set()
@@ -295,23 +312,26 @@ def _parse_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["page_id", "url", "name", "host", "prose", "subtrees", "blocks"])
 
 
-def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+              many_pages: int = MANY_PAGES) -> DataFrame:
     """(host, subtree): subtrees that recur on many different pages of their host."""
     sited = parsed.where("host IS NOT NULL")
     pages = sited.select("host", "prose").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = (sited.select("host", "prose", F.explode("subtrees").alias("subtree")).distinct()
               .groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages))
-    return counts.join(pages, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
+    many = (F.col("n") >= many_pages) & (F.col("subtree").bitwiseAND(F.lit(1)) == 1)
+    return counts.join(pages, "host").where(many | (F.col("n") >= min_share * F.col("pages"))).select("host", "subtree")
 
 
-def extract(pages: DataFrame, html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+            many_pages: int = MANY_PAGES) -> DataFrame:
     """(page_id, url, text, n_blocks, n_template_blocks) of every row of ``pages``;
     template blocks are those that only the site's other pages give away."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col("page_id").cast("long"), "url", F.xxhash64("page_id", "url", html).alias("name"),
                         F.when(host != "", host).alias("host"), html)
     parsed = C.stage(rows.mapInArrow(_parse_pages, _PARSED), "html-blocks")
-    site = C.stage(templates(parsed, min_pages, min_share), "html-templates")
+    site = C.stage(templates(parsed, min_pages, min_share, many_pages), "html-templates")
     # only pages with a template around a block that the page itself keeps are shuffled; a
     # Bloom filter of their names (2 MB) lets all others stay where they are
     open_trees = F.flatten(F.transform(F.filter("blocks", lambda b: ~b["out"]), lambda b: b["trees"]))

@@ -92,5 +92,17 @@ def test_templates_without_a_marked_article(spark):
     assert sorted(extract(spark, rows)) == [(i, f"story {i}") for i in range(10)]
 
 
+def test_boxes_of_a_large_host(spark):
+    def body(i):
+        advert = f"<div class=r{i % 10}>Buy this {i % 10}</div>"
+        notice = "<p>In this month the site is read only on every Sunday night</p>" if 100 <= i < 160 else ""
+        return f"<body><div class=s>Own story {i}</div><p>Yes.</p><h2>Part {i % 9}</h2>{advert}{notice}<p>end of {i}</p></body>"
+
+    rows = [page(body(i), n=i) for i in range(600)]
+    got = dict(extract(spark, rows))
+    assert got == {i: f"Own story {i}\nPart {i % 9}\nend of {i}" for i in range(600)}  # "Yes." by its share
+    assert dict(extract(spark, rows[:480]))[7] == "Own story 7\nPart 7\nBuy this 7\nend of 7"  # 48 pages each
+
+
 def test_empty_table(spark):
     assert op9.extract(spark.createDataFrame([], SCHEMA)).count() == 0
