@@ -3,7 +3,10 @@
 For every text, rolling hashes of its word windows of several lengths find the
 windows that occur again in the same text; the rule measures which share of
 the word characters lies inside such later copies, and which share lies in
-lines that repeat an earlier line. Windows of length n + 1 are looked for only
+lines that repeat an earlier line. A share is too large beyond the limits customary
+for web pages where the later copies are more than one repeated title or refrain,
+that is more than ``max_copy_words`` words or at several places; one such copy alone
+is too much beyond twice these limits. Windows of length n + 1 are looked for only
 where windows of length n repeat, so the long lengths cost little.
 
 The operator is a scalar Arrow function on the text column: no shuffle, no
@@ -34,13 +37,18 @@ class Rules:
     min_words: int = 50
     #: Percent of words in repeated 3-word windows (first occurrences included).
     max_repeat_words_pct: int = 50
-    #: Window length -> largest share of characters in later copies of windows.
-    #: Twice the limits customary for web pages: texts of 50 to 100 words may
-    #: repeat one line (a title, a refrain) and be sound.
+    #: Window length -> largest share of characters in later copies of windows,
+    #: for any copies. Twice the limits customary for web pages: texts of 50 to
+    #: 100 words may repeat one line (a title, a refrain) and be sound.
     max_window_share: tuple[tuple[int, float], ...] = (
         (5, 0.30), (6, 0.28), (7, 0.26), (8, 0.24), (9, 0.22), (10, 0.20))
     #: Largest share of characters in lines equal to an earlier line.
     max_line_share: float = 0.30
+    #: The customary limits, for later copies of more than ``max_copy_words`` words
+    #: or at more than one place.
+    max_copies_share: tuple[tuple[int, float], ...] = (
+        (5, 0.15), (6, 0.14), (7, 0.13), (8, 0.12), (9, 0.11), (10, 0.10))
+    max_copy_words: int = 15
 
 
 RULES = Rules()
@@ -101,7 +109,7 @@ def _measure(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) ->
     out["n_repeat_words"] = np.bincount(text[_cover(at[again], 3, words)], minlength=n_texts)
     # a window can only repeat where its first 3 words repeat, and then where
     # the next shorter window does
-    near, rows = at[again], []
+    near, rows, n_words, n_places = at[again], [], [], []
     for n in lengths:
         ok = (near + n <= words)
         ok[ok] = text[near[ok]] == text[near[ok] + n - 1]
@@ -112,8 +120,13 @@ def _measure(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) ->
         again, later = _repeats(key, text[near])
         inside = _cover(near[later], n, words)
         rows.append(per_text(chars[inside], text[inside]))
+        n_words.append(np.bincount(text[inside], minlength=n_texts))
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1] | (text[1:] != text[:-1])
+        n_places.append(np.bincount(text[begins], minlength=n_texts))
         near = near[again]
-    out["window_chars"] = np.stack(rows, 1) if rows else np.zeros((n_texts, 0), np.int64)
+    for name, per_length in (("window_chars", rows), ("window_words", n_words), ("window_places", n_places)):
+        out[name] = np.stack(per_length, 1) if per_length else np.zeros((n_texts, 0), np.int64)
     return out
 
 
@@ -121,6 +134,7 @@ def quality(rules: Rules = RULES) -> Callable[[Column | str], Column]:
     """Column function: text -> struct of counts and verdict (see RESULT)."""
     lengths = tuple(n for n, _ in rules.max_window_share)
     shares = np.array([s for _, s in rules.max_window_share])
+    customary = np.array([dict(rules.max_copies_share).get(n, 1.0) for n in lengths])
 
     @F.arrow_udf(RESULT)
     def measure(texts: pa.Array) -> pa.Array:
@@ -129,10 +143,12 @@ def quality(rules: Rules = RULES) -> Callable[[Column | str], Column]:
         if not parts:
             got = {k: np.zeros(0, np.int64) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines",
                                                      "n_repeat_words", "dup_line_chars")}
-            got["window_chars"] = np.zeros((0, len(lengths)), np.int64)
+            got |= {k: np.zeros((0, len(lengths)), np.int64) for k in ("window_chars", "window_words", "window_places")}
         n = got["n_words"]
         failed = (n < rules.min_words) | (100 * got["n_repeat_words"] > rules.max_repeat_words_pct * n)
-        repeated = ((got["window_chars"] > shares * got["word_chars"][:, None]).any(axis=1)
+        copies = (got["window_words"] > rules.max_copy_words) | (got["window_places"] > 1)
+        limits = np.where(copies, np.minimum(customary, shares), shares)
+        repeated = ((got["window_chars"] > limits * got["word_chars"][:, None]).any(axis=1)
                     | (got["dup_line_chars"] > rules.max_line_share * got["word_chars"]))
         windows = pa.ListArray.from_arrays(
             pa.array(np.arange(len(n) + 1) * len(lengths), pa.int32()), pa.array(got["window_chars"].ravel(), pa.int64()))

@@ -33,6 +33,23 @@ def test_rules_equal_plain_python(spark):
     assert op7.assess(docs_frame(spark, [])).count() == 0
 
 
+def test_long_copies_meet_the_customary_limits(spark):
+    def words(n, mark="w"):
+        return [f"{mark}{i:03}" for i in range(n)]
+
+    passage, title = words(190, "p"), words(9, "t")
+    texts = [" ".join(passage + words(620) + passage),                      # 0 a passage of 190 of 1000 words twice
+             " ".join(words(40) + title + words(20, "x") + title),           # 1 one title twice
+             " ".join(title + words(30) + title[:6] + words(30, "x") + title[2:8]),  # 2 copies at two places
+             " ".join(words(900) + title + words(80, "x") + title),          # 3 a small share
+             " ".join(words(100) + title * 2)]                               # 4 one short copy
+    got = {r.doc_id: r for r in op7.assess(docs_frame(spark, list(enumerate(texts)))).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {d: r.kept for d, r in got.items()} == {0: False, 1: True, 2: False, 3: True, 4: True}
+    for d, t in enumerate(texts):  # the doubled limits alone would keep all of them
+        assert quality(t, op7.RULES.max_window_share, op7.RULES.max_line_share)[1], d
+
+
 def test_query_equals_plain_python(spark):
     from newsflux.llm.queries import QUERIES
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
