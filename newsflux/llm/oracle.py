@@ -179,3 +179,72 @@ SELECT page_id, url, text, length(text) AS n_chars FROM (
            lambda x: regexp_replace({strip(_BLOCK)}, '{WS}+', ' ', 'g')), lambda x: length(x) > 0), chr(10)) AS text
   FROM pages)
 """
+
+ORACLE["op12_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, v.vec_id, v.label,
+         list_sum(list_transform(list_zip(a.e, v.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE label <> anchor_label AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+# crc32 of a doc_id in decimals: a byte, then eight shifts (-1) for it
+_CRC32 = ("xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''), "
+          "lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), "
+          "lambda c, t: CASE WHEN t >= 0 THEN xor(c, t) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))")
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"
+_LEAF = "sha256({})".format(" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text")))
+
+
+def _merkle(name: str, levels: int) -> str:
+    """CTEs {name}0 (tree, pos, d, n) up to {name}{levels}: runs of 3 hashed into one."""
+    return ", ".join(f"""{name}{k + 1} AS MATERIALIZED (
+  SELECT tree, pos // 3 AS pos, CASE WHEN any_value(n) = 1 THEN min(d) ELSE sha256(string_agg(d, '' ORDER BY pos)) END AS d,
+         (any_value(n) + 2) // 3 AS n FROM {name}{k} GROUP BY tree, {name}{k}.pos // 3)""" for k in range(levels))
+
+
+def _climb(name: str, nodes: str, levels: int) -> str:
+    """CTEs {name}0 (id, tree, pos, h, proof) up to {name}{levels}: h hashed with the run's others."""
+    return ", ".join(f"""{name}{k + 1} AS MATERIALIZED (
+  SELECT w.id, w.tree, w.pos // 3 AS pos,
+         CASE WHEN any_value(n) = 1 THEN any_value(h)
+              ELSE sha256(string_agg(CASE WHEN s.pos = w.pos THEN h ELSE d END, '' ORDER BY s.pos)) END AS h,
+         any_value(proof) || coalesce(string_agg(d, '' ORDER BY s.pos) FILTER (WHERE s.pos <> w.pos), '') AS proof
+  FROM {name}{k} w JOIN {nodes}{k} s ON s.tree = w.tree AND s.pos // 3 = w.pos // 3
+  GROUP BY w.id, w.tree, w.pos)""" for k in range(levels))
+
+
+# levels enough for 3 ** 10 documents of a source and as many sources
+_LEVELS = 10
+ORACLE["op13_manifest"] = f"""
+WITH base AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS id, {_LEAF} AS leaf,
+         {_LEAF.replace('text', 't2')} AS offered,
+         dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS tree, source
+  FROM (SELECT *, CASE WHEN {_CRC32} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS t2 FROM documents)),
+a0 AS MATERIALIZED (
+  SELECT id, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, leaf AS d,
+         count(*) OVER (PARTITION BY tree) AS n FROM base),
+{_merkle('a', _LEVELS)},
+b0 AS MATERIALIZED (SELECT 0 AS tree, tree AS pos, d, count(*) OVER () AS n FROM a{_LEVELS}),
+{_merkle('b', _LEVELS)},
+u0 AS MATERIALIZED (SELECT a0.id, a0.tree, pos, offered AS h, '' AS proof FROM a0 JOIN base USING (id)),
+{_climb('u', 'a', _LEVELS)},
+w0 AS MATERIALIZED (SELECT id, 0 AS tree, tree AS pos, h, proof FROM u{_LEVELS}),
+{_climb('w', 'b', _LEVELS)}
+SELECT doc_id, leaf, s.d AS subroot, r.d AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = r.d AS verified
+FROM base JOIN w{_LEVELS} USING (id) JOIN a{_LEVELS} s ON s.tree = base.tree CROSS JOIN b{_LEVELS} r
+"""

@@ -13,6 +13,9 @@ from newsflux.sources.tables import load
 from . import common as C
 from . import op1_line_dedup as op1
 from . import op10_preference as op10
+from . import op11_toxicity as op11
+from . import op12_hard_negatives as op12
+from . import op13_manifest as op13
 from . import op2_sentencepiece as op2
 from . import op3_merkle_audit as op3
 from . import op4_language_id as op4
@@ -103,3 +106,22 @@ def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     C.prepare(spark)
     return op3.compare(*op3.page_archives(load(spark, sf_dir, "pages", "page_id", "url", "html")))
+
+
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    C.prepare(spark)
+    return op11.assess(load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    C.prepare(spark)
+    rows = op12.given_rows(load(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    return op12.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+@query
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    C.prepare(spark)
+    return op13.audit(load(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text"))
