@@ -44,6 +44,7 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 1.0
 #: Bytes of a word beginning: words formed from one stem share it.
 STEM_BYTES = 5
 _BLOCKS = 64
+_SALTED = 8
 _STATE = "block int, z binary, n binary, met binary"
 
 # bytes of words: ASCII letters in lower case, digits and every byte beyond ASCII; 0 elsewhere
@@ -208,10 +209,9 @@ def _one_round(rows: DataFrame, before: State) -> State:
 def train(rows: DataFrame, text: str = "text", label: str = "toxic") -> Model:
     """Learn from all rows with a label (1 toxic, else not)."""
     rows = rows.where(F.col(label).isNotNull()).select(text, (F.col(label) == 1).cast("int").alias("label"))
-    shards = -(-rows.count() // SHARD_ROWS)
     state = State()
-    for _ in range(ROUNDS if shards else 0):
-        state = _one_round(rows.repartition(shards), state)
+    for _ in range(0 if rows.isEmpty() else ROUNDS):
+        state = _one_round(rows, state)
     w = state.weights(slice(0, BUCKETS))
     kept = np.flatnonzero(w)
     return Model(kept, w[kept], float(state.intercept()))
@@ -222,15 +222,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text") -> Dat
     once. Documents that no label names, by a Bloom filter, are not shuffled."""
     spark = docs.sparkSession
     learned = lambda t: t.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    names = learned(labels.where("toxic IS NOT NULL")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    names = C.stage(learned(labels.where("toxic IS NOT NULL")).groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxicity-labels")
     wanted = spark.sparkContext.broadcast(Bloom.of(names.select(F.xxhash64("doc_id").alias("m")), "m"))
 
     @F.arrow_udf("boolean")
     def maybe(m: pa.Array) -> pa.Array:
         return pa.array(wanted.value.has(m.to_numpy(zero_copy_only=False)))
 
-    near = learned(docs.select("doc_id", text)).where(maybe(F.xxhash64("doc_id")))
-    return C.stage(near.join(names, "doc_id").select(text, "toxic"), "toxicity-rows")
+    # texts move once, to their label and into shards; a doc_id of many rows is spread by a salt
+    shards = max(1, -(-names.count() // SHARD_ROWS))
+    near = (learned(docs.select("doc_id", text)).where(maybe(F.xxhash64("doc_id")))
+            .withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(_SALTED)).cast("int")))
+    names = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTED - 1))))
+    keys = ["doc_id", "salt"]
+    joined = near.repartition(shards, *keys).join(names.repartition(shards, *keys).hint("merge"), keys)
+    return C.stage(joined.select(text, "toxic"), "toxicity-rows")
 
 
 # --- scores ------------------------------------------------------------------
