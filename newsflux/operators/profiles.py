@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..session import scratch_path
 from . import keyed
 from .ordering import number_within, top_within
@@ -34,34 +35,45 @@ def register(signups: DataFrame, order=("ts", "event_id")) -> DataFrame:
     taken, -4 email taken.
 
     A signup succeeds when neither its username nor its email belongs to an
-    earlier success. That is decided in rounds over the distinct (username,
-    email) pairs, each by its first signup: open pairs that are the first of
-    both their username and their email succeed, pairs that share a username or
-    an email with a success are closed, until none is open. Every round is two
-    ``min`` aggregates (combined map-side) and joins with stored tables; no
-    connected component of names is ever gathered. The first open pair always
-    succeeds, so the rounds end; a log where each username keeps its email needs
-    two.
+    earlier success. NULL is a value like any other: a lookup of a missing field
+    finds the profiles that miss it too, so one profile may lack an email (or a
+    username) and the next signup without it is rejected.
+
+    That is decided in rounds over the distinct (username, email) pairs, each by
+    its first signup: open pairs that are the first of both their username and
+    their email succeed, pairs that share a username or an email with a success
+    are closed, until none is open. A round stores two tables, the first signup of
+    every name (one ``min`` aggregate, combined map-side) and the pairs it judged;
+    no connected component of names is ever gathered. The first open pair always
+    succeeds, so the rounds end (a round without a success raises); a log where
+    each username keeps its email needs two.
     """
-    when = F.struct(*[F.col(c) for c in order])
-    open_ = _stored(signups.groupBy("username", "email").agg(F.min(when).alias("at")), "register-open")
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    keyed_ = signups.withColumns({"_user": key("username"), "_mail": key("email")})
+    when = F.struct(*[F.col(c) for c in order], F.col("_user"), F.col("_mail"))
+    open_ = keyed_.groupBy("_user", "_mail").agg(F.min(when).alias("_at"))
     won = None
-    while not open_.isEmpty():
-        by_user = _stored(open_.groupBy("username").agg(F.min("at").alias("user_at")), "register-users")
-        by_mail = _stored(open_.groupBy("email").agg(F.min("at").alias("mail_at")), "register-mails")
-        wins = _stored(open_.join(by_user, "username").join(by_mail, "email")
-                       .where((F.col("at") == F.col("user_at")) & (F.col("at") == F.col("mail_at")))
-                       .select("username", "email", "at"), "register-won")
+    while True:
+        names = A.explode_rows(open_, F.array(F.struct(F.lit("user").alias("kind"), F.col("_user").alias("name")),
+                                              F.struct(F.lit("mail").alias("kind"), F.col("_mail").alias("name"))), "n", "_at")
+        firsts = _stored(names.groupBy("n.kind", "n.name").agg(F.min("_at").alias("first")), "register-firsts")
+        of = lambda kind: firsts.where(F.col("kind") == kind).select(F.col("name").alias(f"_{kind}"), F.col("first").alias(f"_{kind}_at"))
+        judged = _stored(open_.join(of("user"), "_user").join(of("mail"), "_mail")
+                         .select("_user", "_mail", "_at", (F.col("_at").eqNullSafe(F.col("_user_at"))
+                                                           & F.col("_at").eqNullSafe(F.col("_mail_at"))).alias("_won")), "register-judged")
+        counts = judged.agg(F.count(F.lit(1)).alias("n"), F.count_if("_won").alias("won")).first()
+        if counts["n"] > 0 and counts["won"] == 0:
+            raise RuntimeError("registration: a round closed no signup")
+        wins = judged.where("_won").drop("_won")
         won = wins if won is None else won.unionByName(wins)
-        open_ = _stored(open_.join(wins.select("username"), "username", "left_anti")
-                        .join(wins.select("email"), "email", "left_anti"), "register-open")
-    if won is None:
-        return signups.withColumn("code", F.lit(1))
-    winners = _stored(won, "register-winners")
-    j = (signups.join(winners.select("username", F.col("email").alias("_mail"), F.col("at").alias("_at")), "username", "left"))
-    code = (F.when((F.col("_at") == when) & (F.col("_mail") == F.col("email")), 1)
-            .when(F.col("_at") < when, -3).otherwise(-4))
-    return j.select(*signups.columns, code.cast("int").alias("code"))
+        if counts["n"] == counts["won"]:
+            break
+        open_ = (judged.where("NOT _won").drop("_won").join(wins.select("_user"), "_user", "left_anti")
+                 .join(wins.select("_mail"), "_mail", "left_anti"))
+    winners = won.select("_user", F.col("_mail").alias("_won_mail"), F.col("_at").alias("_won_at"))
+    code = (F.when((F.col("_won_at") == when) & (F.col("_won_mail") == F.col("_mail")), 1)
+            .when(F.col("_won_at") < when, -3).otherwise(-4))
+    return keyed_.join(winners, "_user", "left").select(*signups.columns, code.cast("int").alias("code"))
 
 
 def profiles_from(registrations: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ from ..operators import extract as X
 from ..operators import holders as H
 from ..operators import keyed, pool
 from ..operators import profiles as M
+from ..operators import ranking as RANK
+from ..operators import segmentation as SEG
 from ..operators import vectors as V
 from ..operators.headers import parse_header
 from ..sources import derived, feeds
@@ -533,6 +535,33 @@ def corpus_lines(spark, sf_dir):
     return _corpus(spark, sf_dir).select("source", "doc_key", "line_no", "line")
 
 
+# fixed values: ideographs that stand for the letters a-z, at the begin of a word and within it
+INITIALS = "".join(chr(0x4E00 + i) for i in range(26))
+INNERS = "".join(chr(0x5200 + i) for i in range(26))
+
+
+def _written_together(t: Tables) -> DataFrame:
+    """(doc_id, line_no, words, joined): the ASCII words of every document line, written in
+    ideographs with one set for the first letter and another for the rest, and
+    joined without blanks: there is one way to cut such a line into words."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda w: F.concat(F.translate(F.substring(w, 1, 1), letters, INITIALS),
+                              F.translate(F.substring(w, 2, 1 << 30), letters, INNERS))
+    lines = A.posexplode_rows(t.documents("doc_id", "text"), F.split(F.lower("text"), "\n"), "line_no", "line", "doc_id")
+    words = F.transform(F.regexp_extract_all("line", F.lit("[a-z]+"), 0), word)
+    return (lines.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), F.array_join(words, " ").alias("words"))
+            .where("words != ''").withColumn("joined", F.replace("words", F.lit(" "), F.lit(""))))
+
+
+@query
+def segmented_lines(spark, sf_dir):
+    """V2: lines of a script without blanks cut into words by a dictionary and
+    model counted on the same words written apart."""
+    lines = _written_together(Tables(spark, sf_dir))
+    cut = SEG.segmenter(spark, SEG.learn(lines, "words"))
+    return lines.select("doc_id", "line_no", cut(F.col("joined")).alias("words"))
+
+
 @query
 def corpus_mixed(spark, sf_dir):
     """Page paragraph lists mixing strings and [href, link] pairs, flattened."""
@@ -804,9 +833,22 @@ def profile_lookup(spark, sf_dir):
     """The profile of every asked username; unknown users come back empty."""
     t = Tables(spark, sf_dir)
     asked = t.customer("c_custkey").select(F.concat(F.lit("user"), F.col("c_custkey").cast("string")).alias("username"))
-    profiles = M.profiles_from(_registrations(t))
+    profiles = M.profiles_from(_registrations(t)).withColumn("found", F.lit(True))
     return (asked.join(profiles, "username", "left")
-            .select("username", "email", F.col("email").isNotNull().alias("found")))
+            .select("username", "email", F.coalesce("found", F.lit(False)).alias("found")))
+
+
+@query
+def personal_topk(spark, sf_dir):
+    """For every reader the ten articles nearest to the last 50 reads that are not among them."""
+    t = Tables(spark, sf_dir)
+    articles = t.embeddings("vec_id", "embedding").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    n = articles.agg(F.count(F.lit(1))).scalar()
+    reads = t.events("event_id", "ts", "user_id").withColumn("item_id", F.col("event_id") % n)
+    history = M.recent_reads(reads).withColumn("pos", F.col("pos").cast("long"))
+    ranked = RANK.topk(articles, RANK.user_vectors(history, articles))
+    return ranked.select("user_id", F.col("pos").cast("bigint").alias("pos"), "item_id",
+                         F.rint(F.col("score") * 1e9).cast("bigint").alias("cosine_e9"))
 
 
 @query

@@ -368,18 +368,19 @@ FROM events"""
 # the log replayed row by row, with the names and emails taken so far
 SIGNUPS = """
 su AS (
-  SELECT event_id, 'user' || CAST(user_id AS VARCHAR) AS username,
-         'u' || CAST((user_id + CASE WHEN event_id % 3 = 0 THEN event_id ELSE 0 END) % 100 AS VARCHAR) || '@example.com'
-           AS email,
+  SELECT event_id, CASE WHEN event_id % 13 <> 0 THEN 'user' || CAST(user_id AS VARCHAR) END AS username,
+         CASE WHEN event_id % 11 <> 0 THEN
+           'u' || CAST((user_id + CASE WHEN event_id % 3 = 0 THEN event_id ELSE 0 END) % 100 AS VARCHAR) || '@example.com'
+           END AS email,
          row_number() OVER (ORDER BY ts, event_id) AS i
   FROM events WHERE event_type = 'signup'),
 replay(i, code, users, mails) AS (
   SELECT CAST(0 AS BIGINT), 0, []::VARCHAR[], []::VARCHAR[]
   UNION ALL
-  SELECT su.i, CASE WHEN list_contains(users, username) THEN -3 WHEN list_contains(mails, email) THEN -4 ELSE 1 END,
-         CASE WHEN list_contains(users, username) OR list_contains(mails, email) THEN users ELSE list_append(users, username) END,
-         CASE WHEN list_contains(users, username) OR list_contains(mails, email) THEN mails ELSE list_append(mails, email) END
-  FROM replay r JOIN su ON su.i = r.i + 1),
+  SELECT su.i, CASE WHEN list_contains(users, u) THEN -3 WHEN list_contains(mails, m) THEN -4 ELSE 1 END,
+         CASE WHEN list_contains(users, u) OR list_contains(mails, m) THEN users ELSE list_append(users, u) END,
+         CASE WHEN list_contains(users, u) OR list_contains(mails, m) THEN mails ELSE list_append(mails, m) END
+  FROM replay r JOIN (SELECT *, coalesce(username, '(none)') AS u, coalesce(email, '(none)') AS m FROM su) su ON su.i = r.i + 1),
 reg AS (SELECT su.*, CAST(code AS INTEGER) AS code FROM su JOIN replay USING (i)),
 profiles AS (SELECT username, email FROM reg WHERE code = 1),
 del_keys AS (SELECT 'user' || CAST(c_custkey AS VARCHAR) AS username FROM customer WHERE c_mktsegment = 'BUILDING')"""
@@ -387,7 +388,7 @@ del_keys AS (SELECT 'user' || CAST(c_custkey AS VARCHAR) AS username FROM custom
 ORACLE["register_users"] = f"WITH RECURSIVE {SIGNUPS.strip()}\nSELECT event_id, username, email, code FROM reg"
 
 ORACLE["delete_users"] = f"""WITH RECURSIVE {SIGNUPS.strip()}
-SELECT username, email FROM profiles WHERE username NOT IN (SELECT username FROM del_keys)"""
+SELECT username, email FROM profiles WHERE coalesce(username, '') NOT IN (SELECT username FROM del_keys)"""
 
 ORACLE["deleted_count"] = f"""WITH RECURSIVE {SIGNUPS.strip()}
 SELECT CAST(count(*) AS BIGINT) AS n_deleted FROM profiles WHERE username IN (SELECT username FROM del_keys)"""
@@ -740,8 +741,35 @@ SELECT 'store' AS sink, event_id, url, title FROM a
 UNION ALL SELECT 'candidates', event_id, url, title FROM a WHERE has_body AND title IS NOT NULL"""
 
 ORACLE["profile_lookup"] = f"""WITH RECURSIVE {SIGNUPS.strip()}
-SELECT 'user' || c_custkey AS username, email, email IS NOT NULL AS found
-FROM customer LEFT JOIN profiles ON username = 'user' || c_custkey"""
+SELECT 'user' || c_custkey AS username, email, p.username IS NOT NULL AS found
+FROM customer LEFT JOIN profiles p ON p.username = 'user' || c_custkey"""
+
+ORACLE["personal_topk"] = """
+WITH items AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, (SELECT count(*) FROM embeddings) AS n FROM embeddings),
+reads AS (
+  SELECT user_id, event_id % (SELECT count(*) FROM embeddings) AS item_id FROM events
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 50),
+parts AS (
+  SELECT user_id, d, sum(v[d]) AS x FROM reads JOIN items ON vec_id = item_id, generate_series(1, len(v)) AS g(d) GROUP BY ALL),
+users AS (SELECT user_id, list(x ORDER BY d) AS u FROM parts GROUP BY user_id),
+scored AS (
+  SELECT user_id, vec_id AS item_id,
+         round(list_dot_product(u, v) / (sqrt(list_dot_product(u, u)) * sqrt(list_dot_product(v, v))), 9) AS score
+  FROM users, items WHERE (user_id, vec_id) NOT IN (SELECT (user_id, item_id) FROM reads))
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS pos, item_id, CAST(round(score * 1e9) AS BIGINT) AS cosine_e9
+FROM scored QUALIFY pos <= 10"""
+
+ORACLE["segmented_lines"] = """
+WITH lines AS (
+  SELECT doc_id, i - 1 AS line_no, string_split(lower(text), chr(10))[i] AS line
+  FROM (SELECT doc_id, text, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)),
+words AS (SELECT doc_id, line_no, regexp_extract_all(line, '[a-z]+') AS w FROM lines)
+SELECT doc_id, line_no, array_to_string(list_transform(w, lambda x:
+         translate(substr(x, 1, 1), {letters}, {initials}) || translate(substr(x, 2), {letters}, {inners})), ' ') AS words
+FROM words WHERE len(w) > 0""".format(letters="'abcdefghijklmnopqrstuvwxyz'",
+                                      initials="'" + "".join(chr(0x4E00 + i) for i in range(26)) + "'",
+                                      inners="'" + "".join(chr(0x5200 + i) for i in range(26)) + "'")
 
 ORACLE["parse_quarantine"] = """
 SELECT 'feed' AS kind, CAST(event_id AS VARCHAR) AS record, 'invalid JSON' AS reason FROM events WHERE event_id % 50 = 7

@@ -125,12 +125,13 @@ def holder_pairs(t: Tables) -> DataFrame:
 
 def signups(t: Tables) -> DataFrame:
     """signup events -> (event_id, ts, username, email): usernames share emails,
-    and every third signup comes with another email than its user's usual one."""
+    every third signup comes with another email than its user's usual one, every
+    eleventh without an email and every thirteenth without a username."""
     e = t.events("event_id", "ts", "user_id", "event_type").where(F.col("event_type") == "signup")
     return e.select("event_id", "ts",
-                    F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("username"),
-                    F.concat(F.lit("u"), ((F.col("user_id") + F.when(F.col("event_id") % 3 == 0, F.col("event_id"))
-                                           .otherwise(0)) % 100).cast("string"), F.lit("@example.com"))
+                    F.when(F.col("event_id") % 13 != 0, F.concat(F.lit("user"), F.col("user_id").cast("string"))).alias("username"),
+                    F.when(F.col("event_id") % 11 != 0, F.concat(F.lit("u"), ((F.col("user_id") + F.when(F.col("event_id") % 3 == 0, F.col("event_id"))
+                                           .otherwise(0)) % 100).cast("string"), F.lit("@example.com")))
                     .alias("email"))
 
 

@@ -226,3 +226,9 @@ def test_registration_with_free_pairs(spark):
         rows = [(i, rng.randrange(n), f"u{rng.randrange(users)}", f"e{rng.randrange(mails)}") for i in range(n)]
         assert codes(rows) == replay(rows)
     assert codes([]) == []
+    # NULL is a value like any other: one profile may lack it
+    assert codes([(1, 1, "u1", None), (2, 2, "u2", "e2")]) == [1, 1]
+    assert codes([(1, 1, "u1", None), (2, 2, "u2", None), (3, 3, None, "e3"), (4, 4, None, None), (5, 5, None, "e5")]) == [1, -4, 1, -3, -3]
+    rows = [(i, rng.randrange(9), rng.choice(["a", "b", "c", None]), rng.choice(["x", "y", "z", "w", None])) for i in range(80)]
+    assert codes(rows) == replay(rows)
+    assert codes([(1, None, "u", "e"), (2, None, "u", "e2")]) == [1, -3]
