@@ -18,7 +18,13 @@ which parts they have. So ids of headings and words after has, with or no do not
 count, names of prose and sections (and ids of inline elements) only where all
 their words are of boilerplate or layout, and where no prose is left on a page, the
 names around its least nested and then longest prose are ignored. Prose is a
-paragraph, quote or preformatted text, or any run of ``PROSE_WORDS`` words.
+paragraph, quote or preformatted text, or any run of ``PROSE_WORDS`` words. The
+page's main prose is its longest outside what is hidden, what is named without doubt
+and reader comments: no form, no name that also speaks of content ("promo-content",
+"post share-post") and no name round a marked article removes it; article marks
+count only if it stands in one or they hold most of the page's prose. A header stays
+where it is an article's headline: it holds a heading, and stands in a marked
+article or is named after one.
 
 Copies of one article must not turn its own text into a template: pages count
 as different by their prose, and prose elements (paragraphs, headings, quotes,
@@ -29,7 +35,8 @@ turned into single blanks; blocks are joined by one newline in page order.
 
 Defined cases: null or empty html gives an empty text; broken markup is read as
 browsers do (open paragraphs and list items end where the next one begins,
-unclosed elements end with their parent); a page without a host has no site, so
+unclosed elements end with their parent, an open head where the body's content
+begins, an open menu where an article does; a quote that no value opens is part of a name); a page without a host has no site, so
 only the page's own markup counts; repeated rows get equal results and count as
 one page; empty tables give empty results; other columns are not read.
 """
@@ -82,6 +89,13 @@ area articles bar block blocks body bottom box btn button buttons caption contai
 items label left line link links list main media message outer panel post posts right row section slot small stories text
 thread title top unit wrap wrapper
 """.split())
+#: Words of names that speak of the article, beside which a word of boilerplate is in doubt.
+CONTENT = {"article", "body", "content", "entry", "main", "post", "story", "text"}
+COMMENTS = {"comment", "comments", "disqus", "feedback", "reactions", "replies", "respond"}
+#: What may stand in a head; the start of anything else ends it.
+HEAD = {"base", "basefont", "bgsound", "link", "meta", "noscript", "script", "style", "template", "title"}
+#: Open elements that the start of an article or main part ends: they cannot hold one.
+OUTSIDE = {"article": {"nav"}, "main": {"nav", "aside", "header", "footer"}}
 #: Words after which a name tells what an element has or lacks.
 QUALIFIER = {"has", "have", "with", "no", "non", "not", "without"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -96,45 +110,58 @@ SCOPE = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "body"}
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|iframe|noscript|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_ATTR = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+    r"|<(?P<raw>script|style|textarea|title|iframe|noscript|svg)\b(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>", re.S | re.I)
+_ATTR = re.compile(r"([^\s=/>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _TOKEN = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _names_boilerplate(name: str, whole: bool) -> bool:
-    """Does a class, id or role name boilerplate (``whole``: and nothing else)?"""
+def _name_words(name: str) -> list[str]:
     words = [t.lower() for t in _TOKEN.findall(name)]
-    words = words[:next((i for i, w in enumerate(words) if w in QUALIFIER), len(words))]
-    return any(w in BOILERPLATE for w in words) and (
-        not whole or all(w in BOILERPLATE or w in LAYOUT or w.isdigit() for w in words))
-
-
-def _says_boilerplate(tag: str, attrs: str, in_heading: bool) -> tuple[bool, bool]:
-    """(hidden, called boilerplate) by an element's attributes."""
-    hidden, names = False, []
-    for name, a, b, c in _ATTR.findall(attrs):
-        name, value = name.lower(), a or b or c
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
-            hidden = True
-        elif name in ("class", "id", "role") and not (name == "id" and in_heading):
-            names += [(name, n) for n in value.split()]
-    text = tag in PROSE or tag == "section" or ("class", "section") in names
-    return hidden, any(_names_boilerplate(n, text or name == "id" and tag not in BLOCK) for name, n in names)
+    return words[:next((i for i, w in enumerate(words) if w in QUALIFIER), len(words))]
 
 
 class _Element:
-    __slots__ = ("tag", "attrs", "hidden", "by_name", "unseen", "heading", "article", "parts", "subtree", "words", "parent")
+    """An element with what its tag and attributes say of it: ``hidden`` by the tag, ``unseen`` by an
+    attribute, ``by_name`` for any such attribute or name, ``doubted`` if a name also speaks of
+    content, ``comments`` if it is of reader comments, ``headline`` if named as an article's header."""
+
+    __slots__ = ("tag", "attrs", "hidden", "by_name", "unseen", "doubted", "comments", "headline", "heading", "article", "parts",
+                 "subtree", "words", "parent")
 
     def __init__(self, tag, attrs, parent):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.heading = tag in HEADINGS or parent is not None and parent.heading
         self.hidden = tag in NO_CONTENT
-        self.unseen, named = _says_boilerplate(tag, attrs, self.heading) if attrs and tag not in ("body", "html") else (False, False)
-        self.by_name = self.unseen or named
-        self.article = tag == "article" or tag == "main" or 'role="main"' in attrs
+        self.by_name = self.unseen = self.doubted = self.comments = self.headline = False
+        self.article = tag == "article" or tag == "main"
         self.parts, self.subtree, self.words = [], 0, 0
+        if attrs and tag not in ("body", "html"):
+            self._read(attrs)
+
+    def _read(self, attrs: str) -> None:
+        names = []
+        for name, a, b, c in _ATTR.findall(attrs):
+            name, value = name.lower(), a or b or c
+            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
+                self.unseen = True
+            elif name in ("class", "id", "role") and not (name == "id" and self.heading):
+                names += [(name, n) for n in value.split()]
+                self.article = self.article or name == "role" and value.lower() == "main"
+        text = self.tag in PROSE or self.tag == "section" or ("class", "section") in names
+        every = set()
+        for name, n in names:
+            words = _name_words(n)
+            every.update(words)
+            whole = text or name == "id" and self.tag not in BLOCK  # such names count if they say nothing else
+            if any(w in BOILERPLATE for w in words) and (
+                    not whole or all(w in BOILERPLATE or w in LAYOUT or w.isdigit() for w in words)):
+                self.by_name = True
+        self.doubted = self.by_name and not self.unseen and bool(every & CONTENT)
+        self.comments = self.by_name and bool(every & COMMENTS)
+        self.headline = bool(every & CONTENT) and bool(every & {"header", "masthead"})
+        self.by_name = self.by_name or self.unseen
 
 
 def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int], int]:
@@ -143,6 +170,7 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int], int]
     root = _Element("html", "", None)
     # a run's pieces stand in one block element, each in the inline elements open at it
     stack, elements, runs, run = [root], [root], [], []
+    open_now: dict[str, int] = defaultdict(int)  # elements on the stack by tag
 
     def flush():
         if any(not piece.isspace() for piece, _ in run):
@@ -154,6 +182,8 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int], int]
         """End the open elements from the k-th on."""
         if any(e.tag in BLOCK for e in stack[k:]):
             flush()
+        for e in stack[k:]:
+            open_now[e.tag] -= 1
         del stack[k:]
 
     at = 0
@@ -166,7 +196,7 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int], int]
             continue
         tag = tag.lower()
         if m["end"]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0) if open_now[tag] else 0
             if k and (tag in BLOCK or all(e.tag not in BLOCK for e in stack[k + 1:])):
                 close(k)
             elif tag in BLOCK:
@@ -177,14 +207,17 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int], int]
             continue
         if tag in BLOCK:
             flush()
-            if stack[-1].tag != "html":
+            if open_now["p"]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == "p":
                         close(k)
                         break
                     if stack[k].tag in BLOCK:
                         break
-        if tag in ENDS:
+        for ended in {"head"} - {tag} if tag not in HEAD else (), OUTSIDE.get(tag, ()):
+            if any(open_now[t] for t in ended):
+                close(next(k for k in range(1, len(stack)) if stack[k].tag in ended))
+        if tag in ENDS and any(open_now[t] for t in ENDS[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in ENDS[tag]:
                     close(k)
@@ -194,13 +227,9 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int], int]
         if tag in VOID:
             continue
         e = _Element(tag, m["attrs"].strip().rstrip("/").strip(), stack[-1])
-        if e.article and not e.by_name:  # what holds the article is no boilerplate, whatever it is called
-            up = e.parent
-            while up is not None:
-                up.by_name = False
-                up = up.parent
         stack[-1].parts.append(e)
         stack.append(e)
+        open_now[tag] += 1
         elements.append(e)
     if at < len(html):
         run.append((html[at:], stack[-1]))
@@ -239,6 +268,15 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int], int]
             e = e.parent
         return bool(text) and (e is not None and e.tag in RUNNING or text.count(" ") + 1 >= PROSE_WORDS)
 
+    def believed(blocks: list[tuple[str, bool, bool]]) -> bool:
+        """Do the page's article marks hold its longest or most of its prose (or is there none)?"""
+        if not any(inside and not out for _, out, inside in blocks):
+            return False
+        sizes = [(len(text), inside) for (text, out, inside), pieces in zip(blocks, runs, strict=True)
+                 if not out and is_prose(text, pieces[0][1])]
+        inner = sum(n for n, inside in sizes if inside)
+        return not sizes or max(sizes)[1] or 2 * inner >= sum(n for n, _ in sizes)
+
     def misnamed() -> list[_Element]:
         """The named elements around the least nested, then longest prose that only names rule out."""
         held, named = defaultdict(int), {}
@@ -256,8 +294,35 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int], int]
                 named[id(names[0])] = names
         return min(named.items(), key=lambda kv: (len(kv[1]), -held[kv[0]]), default=(0, []))[1]
 
+    # one pass down and one up the tree, so that deep nesting costs no more than wide
+    in_article, shut, marks, headed = {0: False}, {0: False}, set(), set()
+    for e in reversed(elements):  # children before parents
+        if e.tag in ("h1", "h2") or id(e) in headed:
+            headed.add(id(e.parent))
+    for e in elements:  # parents before children
+        up = id(e.parent) if e.parent else 0
+        in_article[id(e)] = in_article[up] or e.article and not e.by_name
+    for e in reversed(elements):
+        if id(e) in marks or e.article and not e.by_name and not in_article[id(e.parent)]:
+            marks.add(id(e.parent))  # a marked article, in no other article, is inside
+    for e in elements:
+        up = id(e.parent) if e.parent else 0
+        if (e.tag == "header" or e.headline) and not e.unseen and id(e) in headed and (e.headline or in_article[up]):
+            e.hidden = e.by_name = False
+        shut[id(e)] = (shut[up] or e.comments or e.hidden and e.tag != "form"
+                       or e.by_name and not ((e.doubted or e.article) and not e.unseen or id(e) in marks))
+    longest = (0, None)
+    for pieces in runs:
+        lead = next(e for piece, e in pieces if not piece.isspace())
+        text = "" if shut[id(lead)] else read(pieces)
+        if len(text) > longest[0] and is_prose(text, lead):
+            longest = len(text), lead
+    e = longest[1]
+    while e is not None:  # nothing round the main prose removes it
+        e.hidden, e.by_name = e.hidden and e.tag != "form", False
+        e = e.parent
     blocks = judge()
-    marked = any(inside and not out for _, out, inside in blocks)
+    marked = believed(blocks)
     if any(e.by_name for e in elements) and not any(
             not out and (inside or not marked) and is_prose(text, pieces[0][1])
             for (text, out, inside), pieces in zip(blocks, runs)):
@@ -265,6 +330,7 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int], int]
             e.by_name = False
         seen.clear()
         blocks = judge()
+    marked = believed(blocks)
 
     for e in reversed(elements):  # children before parents
         parts = []
@@ -285,13 +351,12 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int], int]
     counted = set()
     for e in elements:  # parents before children
         up = trees[id(e.parent)] if e.parent else []
-        prose = e.parent is not None and around(e.parent)[1] and e.tag in PROSE
+        prose = marked and e.parent is not None and around(e.parent)[1] and e.tag in PROSE
         if e.tag in BLOCK and e.subtree and not prose and not e.article and e.tag not in ("html", "body"):
             up = [*up, e.subtree]
             counted.add(e.subtree)
         trees[id(e)] = up
 
-    marked = any(inside and not out for _, out, inside in blocks)
     kept = [(text, out or (marked and not inside), trees[id(pieces[-1][1])])
             for (text, out, inside), pieces in zip(blocks, runs) if text]
     prose = "\0".join(t for t, out, _ in kept if not out) or html

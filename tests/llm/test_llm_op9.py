@@ -1,3 +1,7 @@
+import random
+from html import escape
+from html.parser import HTMLParser
+
 from newsflux.llm import op9_html_text as op9
 
 SCHEMA = "page_id long, url string, html string, text string, name string, host string, hits string"
@@ -106,3 +110,112 @@ def test_boxes_of_a_large_host(spark):
 
 def test_empty_table(spark):
     assert op9.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+LONG = "A paragraph of some eighteen words that stands here only to be long enough for prose in this page."
+
+
+def test_no_article_is_lost_on_legal_pages():
+    assert one(f"<html><head><title>x</title><meta a=b><body><p>{LONG}") == LONG
+    assert one(f"<body><nav><a>Home</a><main><p>{LONG}</main>") == LONG
+    assert one(f'<body><form id="aspnetForm"><div><nav>m</nav><article><h1>T</h1><p>{LONG}</p></article><input></div></form>') == f"T\n{LONG}"
+    for head in ("<header>", '<header class="entry-header">', '<div class="article-header">'):
+        end = "</header>" if "<header" in head else "</div>"
+        assert one(f"<article>{head}<h1>Title</h1>{end}<p>{LONG}</p></article>") == f"Title\n{LONG}"
+    assert one(f"<header><h1>Site</h1></header><p>{LONG}</p>") == LONG
+    teasers = "<article><h3>Teaser one</h3></article><article><h3>Teaser two</h3></article>"
+    assert one(f"<div><p>{LONG}</p><p>{LONG}</p></div>{teasers}").startswith(f"{LONG}\n{LONG}")
+    side = '<div class="sidebar"><p>short side text</p></div>'
+    assert one(f'<div class="post share-post"><p>{LONG}</p></div>{side}') == LONG
+    assert one(f'<div class="post share-post"><p>{LONG}</p></div><p>other text</p>') == f"{LONG}\nother text"
+    assert one(f'<div id="promo-content"><p>{LONG}</p></div><p>other text</p>') == f"{LONG}\nother text"
+    assert one(f'<div class="widget"><article><p>{LONG}</p></article></div><p>{LONG[:60]}</p>') == LONG
+    assert one(f'<article><p>{LONG}</p><section id="comments"><article><p>{LONG} {LONG}</p></article></section></article>') == LONG
+    assert one(f'<div><p>short text</p></div><div id="comments"><p>{LONG}</p></div>') == "short text"
+    assert one(f'<p>Before <a title="5" screen">link</a> after {LONG}</p>') == f"Before link after {LONG}"
+    assert one(f"<form><label>Name</label><input><button>Send</button></form><p>{LONG}</p>") == LONG
+
+
+class _Plain(HTMLParser):
+    """Blocks of well-formed markup, by the standard library's parser: text outside of ruled-out elements."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.out, self.blocks, self.now = [], [], ""
+        self.feed(page)
+        self.close()
+        self.end_block()
+
+    def end_block(self):
+        if self.now.split():
+            self.blocks.append(" ".join(self.now.split()))
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in op9.BLOCK:
+            self.end_block()
+        if tag == "br":
+            self.now += " "
+        elif tag not in op9.VOID:
+            self.out.append((tag, tag in ("nav", "footer", "aside", "button") or "ad" in (dict(attrs).get("class") or "").split()))
+
+    def handle_endtag(self, tag):
+        if tag in op9.BLOCK:
+            self.end_block()
+        self.out.pop()
+
+    def handle_data(self, data):
+        if not any(gone for _, gone in self.out):
+            self.now += data
+
+
+def test_random_markup_equals_an_independent_parser():
+    rng = random.Random(9)
+    words = ["alpha", "beta", "a < b", "x & y", "été", "one two", "  spaced\n out "]
+
+    def inline(depth):
+        got = []
+        for _ in range(rng.randint(1, 4)):
+            text = escape(rng.choice(words))
+            kind = rng.random()
+            got.append(f"<b>{text}</b>" if kind < 0.2 else f"{text}<br>" if kind < 0.3 else f"<span class=ad>{text}</span>" if kind < 0.35
+                       else f"<a href='x?a=1&b=2' title=\"{escape(text)}\">{inline(depth + 1)}</a>" if kind < 0.45 and depth < 2 else text)
+        return " ".join(got)
+
+    def block(depth):
+        kind = rng.random()
+        if depth > 3 or kind < 0.4:
+            return f"<p>{inline(0)}</p>"
+        if kind < 0.6:
+            return "<ul>" + "".join(f"<li>{inline(0)}</li>" for _ in range(rng.randint(1, 3))) + "</ul>"
+        tag = rng.choice(["div", "section", "blockquote", "div class=ad", "nav", "aside"])
+        return f"<{tag}>" + "".join(block(depth + 1) for _ in range(rng.randint(0, 3))) + f"</{tag.split()[0]}>"
+
+    for _ in range(300):
+        page = "<article>" + f"<p>{LONG}</p>" + "".join(block(0) for _ in range(rng.randint(1, 6))) + "</article>"
+        assert one(page).split("\n") == _Plain(page).blocks, page
+
+
+def test_templates_decide_as_plain_counting_does(spark):
+    """A site whose boxes no markup gives away: subtrees are counted over the pages in plain Python."""
+    rng = random.Random(4)
+    boxes = [f"<div class=q{i}><span>Box {i}</span><p>Read all {i} stories of the week here and now</p></div>" for i in range(6)]
+    share = [1.0, 0.7, 0.5, 0.18, 0.12, 0.05]
+    pages, held = [], []
+    for i in range(60):
+        have = [k for k in range(6) if rng.random() < share[k]]
+        body = f"<div class=story{i}><p>Page {i} tells its own tale in more than ten words of text, number {i}.</p></div>"
+        order = [boxes[k] for k in have[:2]] + [body] + [boxes[k] for k in have[2:]]
+        pages.append((i, f"http://site.example/{i}", "<body>" + "".join(order) + "</body>"))
+        held.append(have)
+    many = {k for k in range(6) if sum(k in h for h in held) >= max(op9.MIN_SHARE * 60, op9.MIN_PAGES)}
+    assert many == {0, 1, 2}
+    got = dict(extract(spark, pages))
+    for i, have in enumerate(held):
+        want = []
+        for k in have[:2] + [None] + have[2:]:
+            if k is None:
+                want.append(f"Page {i} tells its own tale in more than ten words of text, number {i}.")
+            elif k not in many:
+                want += [f"Box {k}", f"Read all {k} stories of the week here and now"]
+        assert got[i] == "\n".join(want)
