@@ -41,23 +41,35 @@ def origin(url) -> Column:
     return F.regexp_extract(_c(url), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
 
 
-def base_dir(url) -> Column:
-    """The URL up to and including the last '/' of its path."""
-    u = F.regexp_extract(_c(url), r"^([^?#]*)", 1)
-    return F.when(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(/.*)?$", 1) == "",
-                  F.concat(u, F.lit("/"))).otherwise(F.regexp_extract(u, r"^(.*/)", 1))
+def remove_dots(path) -> Column:
+    """A path that begins with '/', its '.' and '..' segments resolved: a fold over the segments
+    with the path so far as a stack."""
+    p = _c(path)
+    step = lambda done, s: (F.when(s == "..", F.regexp_replace(done, "/[^/]*$", "")).when(s == ".", done)
+                            .otherwise(F.concat(done, F.lit("/"), s)))
+    # a dot segment at the end leaves its directory: an empty segment follows it
+    ended = F.when(p.rlike(r"/\.{1,2}$"), F.concat(p, F.lit("/"))).otherwise(p)
+    segments = F.split(F.substring(ended, 2, 1 << 30), "/", -1)
+    return F.when(p.startswith("/") & p.rlike(r"/\.{1,2}(/|$)"), F.aggregate(segments, F.lit(""), step)).otherwise(p)
 
 
 def resolve(href, page_url) -> Column:
-    """P5: absolute links stay; '//' takes the page scheme; '/x' joins the
-    origin; anything else joins the page's directory."""
-    h, u = _c(href), _c(page_url)
-    scheme = F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
-    return (F.when(h.startswith("http"), h)
-            .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-            .when(h.startswith("/"), F.concat(origin(u), h))
-            .when(h.startswith("#") | (h == ""), F.concat(F.regexp_extract(u, r"^([^#]*)", 1), h))
-            .otherwise(F.concat(base_dir(u), h)))
+    """P5: a reference resolved against its page's URL by the rules of RFC 3986 (a
+    reference with the page's own scheme and no host counts as relative, as browsers
+    and the crawler take it)."""
+    r, u = F.trim(_c(href)), _c(page_url)
+    part = lambda x, i: F.regexp_extract(x, r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$", i)
+    scheme, base = part(r, 1), part(u, 1)
+    authority, path, query, fragment = (part(r, i) for i in (2, 3, 4, 5))
+    other = (scheme != "") & ((F.lower(scheme) != F.lower(base)) | (authority != ""))
+    site, base_path = F.concat(base, F.lit(":"), part(u, 2)), part(u, 3)
+    joined = F.when((base_path == "") & (part(u, 2) != ""), F.concat(F.lit("/"), path)).otherwise(
+        F.concat(F.regexp_extract(base_path, r"(?s)^(.*/)", 1), path))
+    return (F.when(other, F.concat(scheme, F.lit(":"), authority, remove_dots(path), query, fragment))
+            .when(authority != "", F.concat(base, F.lit(":"), authority, remove_dots(path), query, fragment))
+            .when(path == "", F.concat(site, base_path, F.when(query != "", query).otherwise(part(u, 4)), fragment))
+            .when(path.startswith("/"), F.concat(site, remove_dots(path), query, fragment))
+            .otherwise(F.concat(site, remove_dots(joined), query, fragment)))
 
 
 def host(url) -> Column:

@@ -8,6 +8,7 @@ oracle in ``plans/oracle.py``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -126,6 +127,15 @@ def page_links(spark, sf_dir):
     return P.page_links(t.pages("page_id", "url", "html"))
 
 
+@query
+def relative_links(spark, sf_dir):
+    """References of every form resolved against each page's URL."""
+    pages_ = Tables(spark, sf_dir).pages("page_id", "url")
+    refs = F.array(*[F.lit(r) for r in derived.REFERENCES])
+    return (A.explode_rows(pages_, refs, "ref", "page_id", "url")
+            .select("page_id", "ref", U.resolve("ref", "url").alias("abs_url")))
+
+
 @query
 def url_denylist(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -178,9 +188,11 @@ def route_sources(spark, sf_dir):
 
 @query
 def clean_text(spark, sf_dir):
-    """F1-F5 over whole documents."""
+    """F1-F5 over whole documents, set with the blanks of web pages: fixed ones after
+    sentences and commas, some at both ends."""
     t = Tables(spark, sf_dir)
-    d = t.documents("doc_id", "text")
+    spaced = F.replace(F.replace("text", F.lit(". "), F.lit(".\u00a0\u00a0")), F.lit(", "), F.lit(",\u00a0"))
+    d = t.documents("doc_id", "text").select("doc_id", F.concat(F.lit("\u00a0 "), spaced, F.lit(" \t")).alias("text"))
     return d.select("doc_id",
                     T.clean("text").alias("clean"),
                     T.remove_newline(T.clean("text")).alias("flat"),
@@ -385,6 +397,39 @@ def feed_minutes(spark, sf_dir):
                        F.date_format(horizon, "yyyyMMdd:HH").alias("horizon_hour"))
 
 
+@query
+def feed_bounded(spark, sf_dir):
+    """Feeds of nine pages each, of which the first five are read."""
+    e = Tables(spark, sf_dir).events("event_id", "ts", "user_id", "event_type")
+    row = F.struct(F.col("event_id").cast("string").alias("url"), "title", F.col("time").cast("string").alias("mtime"))
+    pages_ = (_feed_rows(e).groupBy("page").agg(F.to_json(F.struct(F.struct(F.collect_list(row).alias("data")).alias("result"))).alias("payload"))
+              .withColumn("page_no", F.col("page") % 9 + 1))
+    return feeds.json_feed(feeds.bounded_pages(pages_, 5, "page_no"), keep=("page_no",)).select("page_no", "url", "title", "pb_time")
+
+
+@query
+def feed_quarantine(spark, sf_dir):
+    """Pages of all four feeds, some cut in the middle: per page the rows read and whether
+    it went to quarantine, from one scan each."""
+    e = _feed_rows(Tables(spark, sf_dir).events("event_id", "ts", "user_id", "event_type"))
+    item = F.struct(F.col("event_id").cast("string").alias("url"), "title", F.col("time").alias("mtime"), "time",
+                    F.col("event_id").cast("string").alias("entityurl"), F.col("title").alias("xm"))
+    made = e.groupBy("page").agg(F.collect_list(item).alias("i"))
+    wrapped = lambda *path: F.to_json(reduce(lambda x, name: F.struct(x.alias(name)), path, F.col("i")))
+    bodies = {"json": (feeds.json_feed, wrapped("data", "result"), "url"),
+              "js": (feeds.js_feed, F.concat(F.lit("var x = "), wrapped("list"), F.lit(";")), "url"),
+              "jsonp": (feeds.jsonp_feed, F.concat(F.lit("cb("), wrapped("result"), F.lit(")")), "entityurl"),
+              "managers": (feeds.manager_rows, wrapped("RptManagerList", "Result"), "name")}
+    out = []
+    for k, (kind, (parse, body, field)) in enumerate(bodies.items()):
+        cut = made.select("page", F.when(F.col("page") % 5 == k, F.substring(body, F.lit(1), (F.length(body) / 2).cast("int")))
+                          .otherwise(body).alias("payload"))
+        rows = parse(cut, keep=("page",), bad="bad_record")
+        out.append(rows.groupBy("page").agg(F.count(field).alias("n_rows"), F.count("bad_record").alias("n_bad"))
+                   .select(F.lit(kind).alias("kind"), "page", "n_rows", "n_bad"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def _registrations(t: Tables) -> DataFrame:
     return M.register(derived.signups(t))
 
@@ -728,7 +773,7 @@ def _feed_rows(e: DataFrame) -> DataFrame:
 
 @query
 def feed_js(spark, sf_dir):
-    """JavaScript-literal feed pages (unquoted keys, single quotes) -> rows."""
+    """JavaScript-literal feed pages (unquoted keys, single quotes) -> rows."""
     e = Tables(spark, sf_dir).events("event_id", "ts", "user_id", "event_type")
     item = F.concat(F.lit("{title:'"), F.col("title"), F.lit("',time:"), F.col("time").cast("string"),
                     F.lit(",url:'https://roll.example.com/a/"), F.col("event_id").cast("string"), F.lit("'}"))

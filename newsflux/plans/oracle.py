@@ -13,6 +13,7 @@ from ..functions.text import WS_CLASS, named_references
 from ..functions.urls import DENY_PAGES, denied_host
 from ..operators.extract import INDUSTRY_REPORT_WORD, STOCK_REPORT_WORD
 from ..operators.profiles import CHANGE_LABEL, PRICE_LABEL
+from ..sources.derived import REFERENCES
 
 WS = WS_CLASS
 
@@ -144,21 +145,40 @@ SELECT page_id, CAST(i - 1 AS BIGINT) AS ord, b[i] AS text
 FROM (SELECT page_id, {BLOCKS} AS b FROM pages) , generate_series(1, len(b)) AS g(i)"""
 
 _ORIGIN = r"regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
-_DIR = r"""(CASE WHEN regexp_extract(regexp_extract(url, '^([^?#]*)', 1), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(/.*)?$', 1) = ''
-           THEN regexp_extract(url, '^([^?#]*)', 1) || '/'
-           ELSE regexp_extract(regexp_extract(url, '^([^?#]*)', 1), '^(.*/)', 1) END)"""
+# a URL's parts, and a path without dot segments: a fold over its segments
+_PART = r"regexp_extract({0}, '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$', {1})"
+
+
+def without_dots(p: str) -> str:
+    return f"""(CASE WHEN starts_with({p}, '/') THEN list_reduce(
+      list_concat([''], string_split(substr({p} || CASE WHEN regexp_matches({p}, '/\\.\\.?$') THEN '/' ELSE '' END, 2), '/')),
+      lambda done, s: CASE s WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN '.' THEN done ELSE done || '/' || s END) ELSE {p} END)"""
+
+
+def resolved(ref: str, url: str) -> str:
+    """Reference resolution of RFC 3986 for absolute page URLs."""
+    r = [_PART.format(ref, i) for i in range(6)]
+    u = [_PART.format(url, i) for i in range(6)]
+    site = f"({u[1]} || ':' || {u[2]})"
+    joined = f"(CASE WHEN {u[3]} = '' THEN '/' || {r[3]} ELSE regexp_extract({u[3]}, '^(.*/)', 1) || {r[3]} END)"
+    return f"""(CASE WHEN {r[1]} <> '' THEN {r[1]} || ':' || {r[2]} || {without_dots(r[3])} || {r[4]} || {r[5]}
+      WHEN {r[2]} <> '' THEN {u[1]} || ':' || {r[2]} || {without_dots(r[3])} || {r[4]} || {r[5]}
+      WHEN {r[3]} = '' THEN {site} || {u[3]} || (CASE WHEN {r[4]} <> '' THEN {r[4]} ELSE {u[4]} END) || {r[5]}
+      WHEN starts_with({r[3]}, '/') THEN {site} || {without_dots(r[3])} || {r[4]} || {r[5]}
+      ELSE {site} || {without_dots(joined)} || {r[4]} || {r[5]} END)"""
+
+
 HREFS = ("list_transform(regexp_extract_all(html, '<a\\s(?:[^>\"'']|\"[^\"]*\"|''[^'']*'')*?\\bhref\\s*=\\s*(\"[^\"]*\"|''[^'']*''"
          "|[^\\s>\"'']+)', 1, 'i'), lambda v: " + unescape("regexp_replace(v, '^[\"'']|[\"'']$', '', 'g')") + ")")
 ORACLE["page_links"] = rf"""
-SELECT page_id, CAST(i - 1 AS BIGINT) AS pos, h[i] AS href,
-       CASE WHEN starts_with(h[i], 'http') THEN h[i]
-            WHEN starts_with(h[i], '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) || ':' || h[i]
-            WHEN starts_with(h[i], '/') THEN {_ORIGIN} || h[i]
-            WHEN starts_with(h[i], '#') OR h[i] = '' THEN regexp_extract(url, '^([^#]*)', 1) || h[i]
-            ELSE {_DIR} || h[i] END AS abs_url
+SELECT page_id, CAST(i - 1 AS BIGINT) AS pos, h[i] AS href, {resolved('h[i]', 'url')} AS abs_url
 FROM (SELECT page_id, url, {HREFS} AS h FROM pages),
      generate_series(1, len(h)) AS g(i)"""
 
+ORACLE["relative_links"] = f"""
+SELECT page_id, ref, {resolved('ref', 'url')} AS abs_url
+FROM pages, (SELECT unnest([{', '.join(q(r) for r in REFERENCES)}]) AS ref)"""
+
 ORACLE["url_denylist"] = f"SELECT page_id, url, {comparable('url')} AS followed FROM pages"
 
 _HOST = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)"
@@ -191,7 +211,8 @@ ORACLE["clean_text"] = f"""
 SELECT doc_id, {clean('text')} AS clean, replace({clean('text')}, chr(10), ' ') AS flat,
        CAST(length(replace(text, chr(160), '')) AS BIGINT) AS n_chars_no_nbsp,
        CAST(len({split_ws('text')}) AS BIGINT) AS n_tokens
-FROM documents"""
+FROM (SELECT doc_id, chr(160) || ' ' || replace(replace(text, '. ', '.' || chr(160) || chr(160)), ', ', ',' || chr(160))
+             || ' ' || chr(9) AS text FROM documents)"""
 
 ORACLE["br_lines"] = f"""
 SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, l[i] AS line
@@ -506,11 +527,7 @@ pieces AS (
   FROM pg, generate_series(1, len(h)) AS g(j)
   UNION ALL
   SELECT page_id, CAST(len(b) + j - 1 AS BIGINT), CAST(1 AS BIGINT),
-         CASE WHEN starts_with(h[j], 'http') THEN h[j]
-              WHEN starts_with(h[j], '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) || ':' || h[j]
-              WHEN starts_with(h[j], '/') THEN {_ORIGIN} || h[j]
-              WHEN starts_with(h[j], '#') OR h[j] = '' THEN regexp_extract(url, '^([^#]*)', 1) || h[j]
-              ELSE {_DIR} || h[j] END
+         {resolved('h[j]', 'url')}
   FROM pg, generate_series(1, len(h)) AS g(j))
 SELECT page_id, pos, sub, piece FROM pieces WHERE NOT contains(piece, '//')"""
 
@@ -574,6 +591,17 @@ SELECT 'https://roll.example.com/a/' || CAST(event_id AS VARCHAR) AS url,
        strftime(ts, '%Y-%m-%d %H:%M') AS pb_time
 FROM events"""
 
+ORACLE["feed_bounded"] = """
+SELECT (event_id // 50) % 9 + 1 AS page_no, CAST(event_id AS VARCHAR) AS url,
+       concat_ws(' ', event_type, CAST(user_id AS VARCHAR)) AS title, strftime(ts, '%Y-%m-%d %H:%M') AS pb_time
+FROM events WHERE (event_id // 50) % 9 < 5"""
+
+ORACLE["feed_quarantine"] = """
+SELECT kind, page, CAST(CASE WHEN page % 5 = k THEN 0 ELSE n END AS BIGINT) AS n_rows,
+       CAST(CASE WHEN page % 5 = k THEN 1 ELSE 0 END AS BIGINT) AS n_bad
+FROM (SELECT event_id // 50 AS page, count(*) AS n FROM events GROUP BY 1),
+     (VALUES ('json', 0), ('js', 1), ('jsonp', 2), ('managers', 3)) AS f(kind, k)"""
+
 ORACLE["feed_jsonp"] = """
 SELECT 'http://news.example.com/新闻/' || CAST(event_id AS VARCHAR) AS url
 FROM events WHERE event_type <> 'error'"""

@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from .tables import Tables
 
 
+# fixed values: forms of references on pages (up, here, query, fragment, root, host, scheme)
+REFERENCES = ["../x", "./x", "?q=1", "#f", "/r/../s", "a/./b/../c", "//other.example/p/../q", "..", ".", "", "x?y=../z",
+              "../../../up", "a/b/..", "mailto:a@b.example", "http://third.example/a/../b?c=d/./e"]
+
+
 def crawl_log(t: Tables, pages: DataFrame | None = None) -> DataFrame:
     """events ⋈ pages on ``page_id = event_id % count(pages)``.
 

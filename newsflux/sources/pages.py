@@ -18,7 +18,8 @@ from ..functions import arrays as A
 from ..functions import text as T
 from ..functions import urls as U
 
-P_OPEN = r"<p(?:\s[^>]*)?>"
+P_OPEN = r"(?i)<p(?:\s[^>]*)?>"
+P_CLOSE = r"(?i)</p\s*>"
 # the value of the first href of an <a>, quoted either way or not at all
 A_HREF = r"""(?i)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 
@@ -26,21 +27,21 @@ A_HREF = r"""(?i)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?\bhref\s*=\s*("[^"]*"|'[^']*'|[
 def article_inner(html) -> Column:
     """Inner HTML of ``<article>``; NULL when the page has no article body."""
     h = F.col(html) if isinstance(html, str) else html
-    inner = F.regexp_extract(h, r"(?s)<article[^>]*>(.*?)(?:</article>|$)", 1)
-    return F.when(h.rlike(r"<article[\s>]"), inner)
+    inner = F.regexp_extract(h, r"(?is)<article(?:\s[^>]*)?>(.*?)(?:</article\s*>|$)", 1)
+    return F.when(h.rlike(r"(?i)<article[\s>]"), inner)
 
 
 def has_article(html) -> Column:
     """P1 presence: the page has an ``<article>`` body container."""
     h = F.col(html) if isinstance(html, str) else html
-    return h.rlike(r"<article[\s>]")
+    return h.rlike(r"(?i)<article[\s>]")
 
 
 def heading(html) -> Column:
     """P17 page part: ``<h1>`` text, else ``<title>`` text, else NULL."""
     h = F.col(html) if isinstance(html, str) else html
-    h1 = T.html_text(F.regexp_extract(h, r"(?s)<h1[^>]*>(.*?)</h1>", 1))
-    tt = T.html_text(F.regexp_extract(h, r"(?s)<title[^>]*>(.*?)</title>", 1))
+    h1 = T.html_text(F.regexp_extract(h, r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1\s*>", 1))
+    tt = T.html_text(F.regexp_extract(h, r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1))
     return F.when(h1 != "", h1).when(tt != "", tt)
 
 
@@ -50,7 +51,7 @@ def paragraphs(inner) -> Column:
     i = F.col(inner) if isinstance(inner, str) else inner
     pieces = F.split(i, P_OPEN)
     texts = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
-                        lambda x: T.html_text(F.substring_index(x, "</p>", 1)))
+                        lambda x: T.html_text(F.get(F.split(x, P_CLOSE, 2), F.lit(0))))
     return F.filter(texts, lambda x: F.length(x) > 0)
 
 

@@ -71,6 +71,41 @@ def test_url_rules(spark):
     assert [tuple(r) for r in got] == [("sh600000", "浦发(银行)", "stock"), ("sz550001", "noparen", "fund")]
 
 
+def test_references_of_the_standard(spark):
+    """The normal and abnormal examples of RFC 3986, 5.4."""
+    base = "http://a/b/c/d;p?q"
+    cases = {
+        "g:h": "g:h", "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g",
+        "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q#s", "g#s": "http://a/b/c/g#s",
+        "g?y#s": "http://a/b/c/g?y#s", ";x": "http://a/b/c/;x", "g;x": "http://a/b/c/g;x", "g;x?y#s": "http://a/b/c/g;x?y#s",
+        "": "http://a/b/c/d;p?q", ".": "http://a/b/c/", "./": "http://a/b/c/", "..": "http://a/b/", "../": "http://a/b/",
+        "../g": "http://a/b/g", "../..": "http://a/", "../../": "http://a/", "../../g": "http://a/g",
+        "../../../g": "http://a/g", "../../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.",
+        ".g": "http://a/b/c/.g", "g..": "http://a/b/c/g..", "..g": "http://a/b/c/..g", "./../g": "http://a/b/g", "./g/.": "http://a/b/c/g/",
+        "g/./h": "http://a/b/c/g/h", "g/../h": "http://a/b/c/h", "g;x=1/./y": "http://a/b/c/g;x=1/y", "g;x=1/../y": "http://a/b/c/y",
+        "g?y/./x": "http://a/b/c/g?y/./x", "g?y/../x": "http://a/b/c/g?y/../x", "g#s/./x": "http://a/b/c/g#s/./x",
+        "g#s/../x": "http://a/b/c/g#s/../x", "http:g": "http://a/b/c/g"}
+    df = spark.createDataFrame([(h, base) for h in cases], "href string, page string")
+    assert {r.href: r.u for r in df.select("href", U.resolve("href", "page").alias("u")).collect()} == cases
+
+
+def test_references_as_the_standard_library_resolves_them(spark):
+    import random
+    from urllib.parse import urljoin
+    rng = random.Random(8)
+    part = lambda: rng.choice(["a", "b.html", "..", ".", "x y", "é", "g;p", ".hid", "a..b"])
+    rows = []
+    for _ in range(400):
+        page = "https://h.example.com" + "".join("/" + rng.choice(["d", "e.html"]) for _ in range(rng.randint(0, 3))) + rng.choice(["", "/", "?k=v/w"])
+        ref = rng.choice(["", "/", "./", "../", "//o.example.com/", "http://o.example.com/"]) + "/".join(part() for _ in range(rng.randint(1, 4)))
+        rows.append((ref + rng.choice(["", "/", "?q=../x", "#f/.."]), page))
+    got = spark.createDataFrame(rows, "href string, page string").select("href", "page", U.resolve("href", "page").alias("u")).collect()
+    # the library leaves dot segments of absolute references as they are
+    assert [r.u for r in got if "//" not in r.href] == [urljoin(r.page, r.href) for r in got if "//" not in r.href]
+    assert spark.createDataFrame([(None, "http://a/"), ("x", None)], rows and "href string, page string").select(
+        U.resolve("href", "page").alias("u")).collect() == [(None,), (None,)]
+
+
 def test_feed_page_bound(spark):
     df = spark.createDataFrame([(p,) for p in range(1, 9)], "page int")
     assert feeds.bounded_pages(df, 5).count() == 5
@@ -85,3 +120,28 @@ def test_landed_payload_files(spark, tmp_dir):
         fh.write('cb({"result":[{"entityurl":"http://n.example.com/ok"}]})'.encode("utf-8"))
     got = feeds.jsonp_feed(feeds.landed_payloads(spark, tmp_dir, "*.txt"), keep=("path",)).collect()
     assert sorted(r.entityurl for r in got) == ["http://n.example.com/ok", "http://n.example.com/股票.html"]
+
+
+def test_payloads_that_do_not_parse_are_returned(spark):
+    from pyspark.sql import Observation
+    good = {"json": '{"result":{"data":[{"url":"u","title":"t","mtime":"60"}]}}', "js": "var x = {list:[{title:'t',time:60,url:'u'}]};",
+            "jsonp": 'cb({"result":[{"entityurl":"u"}]})', "managers": '{"Result":{"RptManagerList":[{"xm":"n"}]}}'}
+    parsers = {"json": feeds.json_feed, "js": feeds.js_feed, "jsonp": feeds.jsonp_feed, "managers": feeds.manager_rows}
+    for kind, parse in parsers.items():
+        bad = [good[kind][:-12], "", "no payload", None, "{}", "[1]"]
+        df = spark.createDataFrame([(i, p) for i, p in enumerate([good[kind], *bad])], "id int, payload string")
+        seen = Observation(kind)
+        ok, wrong = feeds.split_bad(feeds.watch(parse(df, keep=("id",), bad="bad_record"), "bad_record", seen), "bad_record")
+        assert [r.id for r in ok.collect()] == [0], kind
+        assert sorted((r.id, r.bad_record) for r in wrong.collect()) == [(i, p or "") for i, p in enumerate(bad, 1)], kind
+        assert seen.get == {"n_good": 1, "n_bad": 6}
+        assert parse(df, keep=("id",)).count() == 1  # without a place for them they are left out
+
+
+def test_markup_in_upper_case(spark):
+    from newsflux.sources import pages as P
+    rows = [(1, "http://h/", "<HTML><TITLE>T</TITLE><ARTICLE CLASS=x><H1>Head</H1><P>One</P><P>Two</ARTICLE>"),
+            (2, "http://h/", "<article><p>One</P><P id=a>Two</p ></article>"), (3, "http://h/", "<title >T</title><articles>no</articles>")]
+    got = {r.page_id: r for r in P.page_articles(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert (got[1].title, got[1].blocks) == ("Head", ["One", "Two"]) and got[2].blocks == ["One", "Two"]
+    assert (got[3].title, got[3].blocks) == ("T", None)
