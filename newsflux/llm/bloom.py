@@ -1,4 +1,5 @@
-"""A Bloom filter of fixed size, filled by Spark tasks and held by every task."""
+"""A Bloom filter whose size follows the number of its keys, filled by Spark tasks
+and held by every task."""
 
 from __future__ import annotations
 
@@ -8,19 +9,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix
+from .common import mix, shuffle_width
 
-#: Bits of a filter: 2 MB to send, whatever was put in. Beyond some millions of
-#: keys it lets more through, which the exact join behind it sorts out.
-BITS = 1 << 24
+#: Bits per key at least, and the bits of the smallest and the largest filter. The largest
+#: has 128 MB and serves 10**8 keys; beyond that more is let through, up to
+#: everything, which the exact join behind the filter sorts out.
+BITS_PER_KEY = 10
+MIN_BITS, MAX_BITS = 1 << 20, 1 << 30
 _HASHES = 3
+_BLOCK = 1 << 20
 
 
-def _places(keys: np.ndarray) -> Iterator[np.ndarray]:
+def _places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
     h = keys.view(np.uint64)
     for k in range(_HASHES):
         h = mix(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64))
-        yield (h & np.uint64(BITS - 1)).astype(np.int64)
+        yield (h & np.uint64(bits - 1)).astype(np.int64)
+
+
+def bits_for(keys: int) -> int:
+    return min(max(MIN_BITS, 1 << (max(keys, 1) * BITS_PER_KEY - 1).bit_length()), MAX_BITS)
 
 
 class Bloom:
@@ -30,42 +38,38 @@ class Bloom:
     def has(self, keys: np.ndarray) -> np.ndarray:
         """For each int64 key: False only if it was never put in."""
         ok = np.ones(len(keys), bool)
-        for at in _places(np.ascontiguousarray(keys)):
+        for at in _places(np.ascontiguousarray(keys), 8 * len(self.raw)):
             ok &= (self.raw[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         return ok
 
     @classmethod
     def of(cls, keys: DataFrame, column: str) -> Bloom:
-        """Of a long column. Tasks fill whole filters, which are or-ed in blocks
-        by Spark; the driver receives one filter."""
-        block = BITS // 8 // 64
+        """Of a long column of a stored table (it is read twice). Tasks turn keys into
+        places, every block of bits is set by one task, and the driver receives the bits."""
+        bits = bits_for(keys.count())
+        blocks = bits // _BLOCK
 
-        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            raw = None
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                raw = np.zeros(BITS, bool) if raw is None else raw
-                for at in _places(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)):
-                    raw[at] = True
-            if raw is not None:
-                packed = np.packbits(raw, bitorder="little").reshape(64, block)
-                used = np.flatnonzero(packed.any(axis=1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(used, pa.int32()), pa.array([packed[i].tobytes() for i in used], pa.binary())],
-                    names=["block", "bits"])
-
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, np.ndarray] = {}
+                found = batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+                at = np.concatenate(list(_places(found, bits)))
+                yield pa.RecordBatch.from_arrays([pa.array((at // _BLOCK).astype(np.int32)), pa.array((at % _BLOCK).astype(np.int32))],
+                                                 names=["block", "at"])
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
             for batch in batches:
-                for b, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    sums.setdefault(b, np.zeros(block, np.uint8))
-                    sums[b] |= np.frombuffer(raw, np.uint8)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())],
-                names=["block", "bits"])
-
-        parts = (keys.select(column).mapInArrow(fill, "block int, bits binary")
-                 .repartition(8, "block").mapInArrow(merge, "block int, bits binary"))
-        raw = np.zeros((64, block), np.uint8)
-        for b, bits in parts.collect():  # BITS / 8 bytes in all
-            raw[b] = np.frombuffer(bits, np.uint8)
+                block, at = (c.to_numpy() for c in batch.columns)
+                for b in np.unique(block).tolist():
+                    held.setdefault(b, np.zeros(_BLOCK, bool))[at[block == b]] = True
+            for b, x in held.items():
+                raw = np.packbits(x, bitorder="little").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([raw], pa.binary())], names=["block", "bits"])
+
+        width = min(blocks, shuffle_width(keys.sparkSession))
+        parts = (keys.select(column).mapInArrow(place, "block int, at int").repartition(width, "block")
+                 .mapInArrow(fill, "block int, bits binary"))
+        raw = np.zeros((blocks, _BLOCK // 8), np.uint8)
+        for b, x in parts.collect():  # bits / 8 bytes in all
+            raw[b] = np.frombuffer(x, np.uint8)
         return cls(raw.ravel())

@@ -260,7 +260,7 @@ class _Verifier:
         bound = _bytes_bound(self.percent, F.col("na"), F.col("nb"))
         near = C.stage(pairs.join(ends[0], "a").join(ends[1], "b")
                        .where(_difference("pa", "pb") <= bound).select("a", "b", "na", "nb"), "join-pairs")
-        wanted = spark.sparkContext.broadcast(Bloom.of(near.select("a").union(near.select("b")).distinct(), "a"))
+        wanted = spark.sparkContext.broadcast(Bloom.of(C.stage(near.select("a").union(near.select("b")).distinct(), "join-ends"), "a"))
         sets = C.stage(self.docs.select(self.text).mapInArrow(_needed_sets(wanted, self.n), "node long, members binary")
                        .groupBy("node").agg(F.first("members").alias("members")), "join-sets")
         sa, sb = (sets.select(F.col("node").alias(k), F.col("members").alias(f"s{k}")) for k in "ab")

@@ -15,15 +15,21 @@ hashed with capitalised words as names, and with all words in lower case (which
 also finds passages whose case was changed). Both ask for a share of literal
 words, as few literals between placeholders fit anything; a third reading takes
 every word's own value, without such a share, so that passages full of numbers
-and units are found word for word.
+and units are found word for word. With names, a run of words of one class is one
+placeholder, as a name or a quantity may have several words.
+
+Scripts without blanks (ideographs, kana, Thai) are cut into characters, which count as words.
+Items of fewer than ``MIN_TEMPLATE_WORDS`` words fit anything as templates: they are
+looked for word for word.
 
 Documents' windows are first held against a Bloom filter of the benchmark's
-windows, of fixed size; only survivors (and the few false positives) are
+windows; only survivors (and the few false positives) are
 shuffled, and the join on the hash is exact. A benchmark of any size works; a
 large one merely lets more windows through to the join.
 
 Defined cases: null, empty or blank texts match nothing; items of fewer than
-``MIN_ITEM_WORDS`` words are not looked for (they occur everywhere); repeated
+``MIN_ITEM_CHARS`` characters (blanks and outer punctuation not counted) are not looked for ("yes",
+"the cat": they occur everywhere); repeated
 rows are judged alike, pairs are distinct; a null doc_id or item_id is reported
 as null; empty tables give empty results; other columns are not read.
 """
@@ -45,7 +51,9 @@ from .rows import text_key, without
 WINDOW = 8
 #: Template words of a window that must not be placeholders, per mille of its words.
 MIN_LITERAL = 600
-MIN_ITEM_WORDS = 5
+#: Items of fewer words are found word for word only, and of fewer characters not at all.
+MIN_TEMPLATE_WORDS = 5
+MIN_ITEM_CHARS = 10
 MIN_COVERED = 13
 
 # Words of measures, and number words.
@@ -84,6 +92,24 @@ def _hash_of(words: list[str]) -> np.ndarray:
 _UNIT_HASHES, _NUMBER_HASHES = _hash_of(UNITS), _hash_of(NUMBER_WORDS)
 
 
+def _characters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word spans with every character of a script without blanks as a word of its own: of the
+    three bytes of U+3000-U+9FFF or of Thai (U+0E00-U+0E7F), by the first."""
+    lead = (data >= 0xE3) & (data <= 0xE9)
+    lead[:-1] |= (data[:-1] == 0xE0) & (data[1:] >= 0xB8) & (data[1:] <= 0xB9)
+    at = np.flatnonzero(lead)
+    if not len(at):
+        return starts, ends
+    first, last = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+    first[starts] = last[ends] = True
+    last[at[~first[at]]] = True  # a word before it ends
+    first[at] = True
+    after = np.minimum(at + 3, len(data))
+    first[after[~last[after]]] = True  # a word behind it goes on
+    last[after] = True
+    return np.flatnonzero(first), np.flatnonzero(last)
+
+
 def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
 
@@ -91,7 +117,9 @@ def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
 def _template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Value hash and class (0: literal) of every word of a block, stripped of
     outer punctuation, and each text's first word."""
-    starts, ends, first = C.word_spans(data, offsets)
+    starts, ends, _ = C.word_spans(data, offsets)
+    starts, ends = _characters(data, starts, ends)
+    first = np.searchsorted(starts, offsets)
     core = np.concatenate([np.flatnonzero(_CORE[data]), [len(data)]])
     a = core[np.searchsorted(core, starts)]
     b = core[np.maximum(np.searchsorted(core, ends) - 1, 0)] + 1
@@ -107,22 +135,39 @@ def _template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return value, kind, first
 
 
-def _windows(value: np.ndarray, kind: np.ndarray, first: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(hash, start, text, placeholder class of every word) of all windows of n
-    words: for both readings of capitalised words, and with no placeholders."""
-    at, text = C.windows_per_text(first, n, len(value))
-    if not len(at):
-        return
-    lower = np.where(kind == _NAME, np.int8(0), kind)
-    named = np.concatenate([[0], np.cumsum(kind == _NAME)])
-    slotted = np.concatenate([[0], np.cumsum(lower > 0)])
-    for k, differs in ((kind, None), (lower, named), (np.zeros_like(kind), slotted)):
-        words = np.where(k > 0, _PLACEHOLDER[k], value)
+def _merged(value: np.ndarray, kind: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words with each run of placeholders of one class as one word."""
+    if not len(kind):
+        return value, kind, first
+    begins = np.ones(len(kind), bool)
+    begins[1:] = (kind[1:] == 0) | (kind[1:] != kind[:-1])
+    begins[first[:-1][first[:-1] < len(kind)]] = True
+    at = np.flatnonzero(begins)
+    # a run's value: the sum of its words' values, each turned by its place
+    place = np.arange(len(kind)) - np.repeat(at, np.diff(np.append(at, len(kind))))
+    turned = np.where(place == 0, value, C.mix(value + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return np.add.reduceat(turned, at), kind[at], np.searchsorted(at, first)
+
+
+def _readings(value: np.ndarray, kind: np.ndarray, first: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hash, start, text, values, placeholder classes, first words) of all windows of n words. The
+    reading with names counts words of its own, so each count has all its windows: with
+    names and merged runs, and with capitalised words as any others; of the reading without placeholders
+    only windows that read differently are added."""
+    lower, plain = np.where(kind == _NAME, np.int8(0), kind), np.zeros_like(kind)
+    readings = [(value, plain, first, None)]
+    if n >= MIN_TEMPLATE_WORDS:
+        readings = [(*_merged(value, kind, first), None), (value, lower, first, None), (value, plain, first, lower > 0)]
+    for v, k, f, of in readings:
+        at, text = C.windows_per_text(f, n, len(v))
+        if not len(at):
+            continue
         literal = np.concatenate([[0], np.cumsum(k == 0)])
         ok = 1000 * (literal[at + n] - literal[at]) >= MIN_LITERAL * n
-        if differs is not None:  # windows without names, or without other slots, read like those before
-            ok &= (differs[at + n] > differs[at])
-        yield C.window_hash(words, n)[at[ok]].view(np.int64), at[ok], text[ok], k
+        if of is not None:
+            differs = np.concatenate([[0], np.cumsum(of)])
+            ok &= differs[at + n] > differs[at]
+        yield C.window_hash(np.where(k > 0, _PLACEHOLDER[k], v), n)[at[ok]].view(np.int64), at[ok], text[ok], v, k, f
 
 
 def _rows(ids: pa.Array, keys: pa.Array, texts: pa.Array, lengths: list[int] | None, wanted: Bloom | None):
@@ -130,20 +175,22 @@ def _rows(ids: pa.Array, keys: pa.Array, texts: pa.Array, lengths: list[int] | N
     window length, or a shorter item's own)."""
     for base, data, offsets in C.text_blocks(texts):
         value, kind, first = _template(data, offsets)
-        count = np.diff(first)
-        for n in lengths or range(MIN_ITEM_WORDS, WINDOW + 1):
-            for h, at, text, k in _windows(value, kind, first, n):
+        core = np.concatenate([[0], np.cumsum(_CORE[data] & ((data & 0xC0) != 0x80))])
+        large = core[offsets[1:]] - core[offsets[:-1]] >= MIN_ITEM_CHARS
+        for n in lengths or range(1, WINDOW + 1):
+            for h, at, text, v, k, f in _readings(value, kind, first, n):
+                count = np.diff(f)
                 ok = np.ones(len(h), bool) if wanted is None else wanted.has(h)
                 if lengths is None:
-                    ok &= (count[text] >= WINDOW) if n == WINDOW else (count[text] == n)
+                    ok &= large[text] & ((count[text] >= WINDOW) if n == WINDOW else (count[text] == n))
                 h, at, text = h[ok], at[ok], text[ok]
                 inside = at[:, None] + np.arange(n)
-                slots = np.where(k[inside] > 0, (value[inside] & ~np.uint64(3)) | k[inside].astype(np.uint64), np.uint64(0))
+                slots = np.where(k[inside] > 0, (v[inside] & ~np.uint64(3)) | k[inside].astype(np.uint64), np.uint64(0))
                 cuts = np.arange(len(h) + 1) * n
                 rows = pa.array(base + text)
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(rows).cast(pa.int64()), keys.take(rows), pa.array(h),
-                     pa.array((at - first[text]).astype(np.int32)), pa.array(count[text].astype(np.int32)),
+                     pa.array((at - f[text]).astype(np.int32)), pa.array(count[text].astype(np.int32)),
                      pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(slots.view(np.int64).ravel()))],
                     names=["id", "key", "hash", "pos", "words", "slots"])
 
@@ -173,7 +220,8 @@ def _consistent(pairs: Column) -> Column:
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text",
           min_covered: int = MIN_COVERED) -> DataFrame:
     """(doc_id, key, item_id, n_covered, n_item_words, verbatim): the items that
-    each document holds; key is the text's hash, to tell rows with equal ids."""
+    each document holds; key is the text's hash, to tell rows with equal ids; verbatim
+    if windows that are word for word the same cover enough of the item."""
     spark = docs.sparkSession
     bench = C.stage(items.select(F.col("item_id"), text_key(F.col(item_text)).alias("key"), F.col(item_text))
                     .mapInArrow(_item_windows, _ROW)
@@ -181,7 +229,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str
                             "words", F.size("slots").alias("n"), F.col("slots").alias("b_slots")).distinct(),
                     "bench-windows")
     wanted = spark.sparkContext.broadcast(Bloom.of(bench, "hash"))
-    lengths = sorted(r[0] for r in bench.select("n").distinct().collect())  # MIN_ITEM_WORDS .. WINDOW at most
+    lengths = sorted(r[0] for r in bench.select("n").distinct().collect())  # 1 .. WINDOW at most
     if not lengths:
         lengths = [WINDOW]
     found = (docs.select("doc_id", text_key(F.col(text)).alias("key"), F.col(text))
@@ -203,12 +251,13 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str
     hits = kept.select("doc_id", "key", "item_id", "item_key", "words", F.explode("hits").alias("hit"))
     whole = (hits.groupBy("doc_id", "key", "item_id", "item_key", "words")
              .agg(F.sort_array(F.collect_set("hit.b_pos")).alias("at"), F.max("hit.n").alias("n"),
-                  F.min("hit.verbatim").alias("verbatim")))
-    covered = F.aggregate(
-        F.sequence(F.lit(1), F.size("at")), F.lit(0),
-        lambda s, i: s + F.least(F.col("n"), F.coalesce(F.get(F.col("at"), i), F.lit(1 << 30)) - F.element_at("at", i)))
-    return (whole.withColumn("n_covered", covered)
-            .where(F.col("n_covered") >= F.least(F.lit(min_covered), F.col("words")))
+                  F.sort_array(F.collect_set(F.when(F.col("hit.verbatim"), F.col("hit.b_pos")))).alias("same_at")))
+    covered = lambda at: F.aggregate(
+        F.sequence(F.lit(1), F.size(at)), F.lit(0),
+        lambda s, i: s + F.least(F.col("n"), F.coalesce(F.get(F.col(at), i), F.lit(1 << 30)) - F.element_at(at, i)))
+    enough = F.least(F.lit(min_covered), F.col("words"))
+    return (whole.withColumn("n_covered", covered("at")).where(F.col("n_covered") >= enough)
+            .withColumn("verbatim", F.when(F.size("same_at") > 0, covered("same_at") >= enough).otherwise(F.lit(False)))
             .groupBy("doc_id", "key", "item_id")
             .agg(F.max("n_covered").alias("n_covered"), F.max("words").alias("n_item_words"),
                  F.max("verbatim").alias("verbatim")))

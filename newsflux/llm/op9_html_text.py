@@ -398,7 +398,7 @@ def extract(pages: DataFrame, html: str = "html", min_pages: int = MIN_PAGES, mi
     parsed = C.stage(rows.mapInArrow(_parse_pages, _PARSED), "html-blocks")
     site = C.stage(templates(parsed, min_pages, min_share, many_pages), "html-templates")
     # only pages with a template around a block that the page itself keeps are shuffled; a
-    # Bloom filter of their names (2 MB) lets all others stay where they are
+    # Bloom filter of their names lets all others stay where they are
     open_trees = F.flatten(F.transform(F.filter("blocks", lambda b: ~b["out"]), lambda b: b["trees"]))
     hits = C.stage(parsed.select("name", "host", F.explode(F.array_distinct(open_trees)).alias("subtree"))
                    .join(site, ["host", "subtree"]).groupBy("name").agg(F.collect_set("subtree").alias("hits")), "html-hits")

@@ -14,15 +14,15 @@ _KEY = (r"translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) ||
 ORACLE["op1_line_dedup"] = f"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 lines AS (
-  SELECT doc_id, i, lines[i] AS line
+  SELECT doc_id, lines, i, lines[i] AS line
   FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS i FROM docs)),
-keyed AS (SELECT doc_id, i, line, {_KEY} AS k FROM lines),
-common AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+keyed AS (SELECT doc_id, lines, i, line, {_KEY} AS k FROM lines),
+common AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT (doc_id, lines)) >= 10)
 SELECT doc_id, count(*) AS n_lines,
        count(*) FILTER (WHERE k IN (SELECT k FROM common)) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i)
                        FILTER (WHERE k NOT IN (SELECT k FROM common)), '')) AS kept_sha256
-FROM keyed GROUP BY doc_id
+FROM keyed GROUP BY doc_id, lines
 """
 
 # word arrays and shingles of whole texts; a shingle keeps its words apart by a
@@ -120,8 +120,14 @@ _LEADS = ", ".join(f"lead(w, {k}) OVER text_order AS w{k}" for k in range(1, max
 _WINDOWS = " UNION ALL ".join(
     f"SELECT doc_id, i, {n} AS n, concat_ws(' ', w, {', '.join(f'w{k}' for k in range(1, n))}) AS key "
     f"FROM followed WHERE w{n - 1} IS NOT NULL" for n in (3, *_LENGTHS))
-_TOO_MUCH = " OR ".join(f"coalesce(window_chars[{i + 1}], 0) > {share} * word_chars"
-                        for i, (_, share) in enumerate(RULES.max_window_share))
+# customary limits where the later copies are long or stand at several places, else the wider ones
+_TOO_MUCH = " OR ".join(
+    f"window_chars[{i + 1}] > (CASE WHEN window_words[{i + 1}] > {RULES.max_copy_words} OR window_places[{i + 1}] > 1 "
+    f"THEN {min(share, dict(RULES.max_copies_share)[n])} ELSE {share} END) * word_chars"
+    for i, (n, share) in enumerate(RULES.max_window_share))
+_PER_LENGTH = lambda column: ("[" + ", ".join(f"coalesce(max({column}) FILTER (WHERE n = {n}), 0)" for n in _LENGTHS)
+                              + "]::BIGINT[]")
+_NO_LENGTHS = f"[{', '.join('0' for _ in _LENGTHS)}]::BIGINT[]"
 
 ORACLE["op7_quality_rules"] = rf"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -134,10 +140,13 @@ windows AS (
   FROM ({_WINDOWS})),
 covered AS (
   SELECT DISTINCT doc_id, n, i + unnest(range(n)) AS i FROM windows WHERE (n = 3 AND c > 1) OR (n > 3 AND rn > 1)),
-by_length AS (SELECT doc_id, n, count(*) AS n_words, sum(length(w)) AS chars FROM covered JOIN words USING (doc_id, i) GROUP BY ALL),
+places AS (SELECT *, i - 1 IS DISTINCT FROM lag(i) OVER (PARTITION BY doc_id, n ORDER BY i) AS begins FROM covered),
+by_length AS (
+  SELECT doc_id, n, count(*) AS n_words, sum(length(w)) AS chars, count(*) FILTER (WHERE begins) AS n_places
+  FROM places JOIN words USING (doc_id, i) GROUP BY ALL),
 measured AS (
-  SELECT doc_id, max(n_words) FILTER (WHERE n = 3) AS n_repeat_words,
-         [{', '.join(f"coalesce(max(chars) FILTER (WHERE n = {n}), 0)" for n in _LENGTHS)}]::BIGINT[] AS window_chars
+  SELECT doc_id, max(n_words) FILTER (WHERE n = 3) AS n_repeat_words, {_PER_LENGTH('chars')} AS window_chars,
+         {_PER_LENGTH('n_words')} AS window_words, {_PER_LENGTH('n_places')} AS window_places
   FROM by_length GROUP BY doc_id),
 lines AS (
   SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS rn
@@ -151,9 +160,10 @@ base AS (
   SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
          coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(dup_line_chars, 0) AS dup_line_chars,
-         coalesce(window_chars, [{', '.join('0' for _ in _LENGTHS)}]::BIGINT[]) AS window_chars
+         coalesce(window_chars, {_NO_LENGTHS}) AS window_chars, coalesce(window_words, {_NO_LENGTHS}) AS window_words,
+         coalesce(window_places, {_NO_LENGTHS}) AS window_places
   FROM texts LEFT JOIN counts USING (doc_id) LEFT JOIN measured USING (doc_id) LEFT JOIN dup USING (doc_id))
-SELECT *, n_words < {RULES.min_words} OR 100 * n_repeat_words > {RULES.max_repeat_words_pct} * n_words AS base_failed,
+SELECT * EXCLUDE (window_words, window_places), n_words < {RULES.min_words} OR 100 * n_repeat_words > {RULES.max_repeat_words_pct} * n_words AS base_failed,
        NOT (n_words < {RULES.min_words} OR 100 * n_repeat_words > {RULES.max_repeat_words_pct} * n_words
             OR {_TOO_MUCH} OR dup_line_chars > {RULES.max_line_share} * word_chars) AS kept
 FROM base

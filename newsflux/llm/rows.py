@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from . import common as C
 from .bloom import Bloom
 
 
@@ -26,7 +27,7 @@ def without(docs: DataFrame, gone: DataFrame, text: str = "text", once: DataFram
     gone = names(gone)
     touched = gone if once is None else gone.union(names(once))
     wanted = spark.sparkContext.broadcast(
-        Bloom.of(touched.select(F.xxhash64("__gone_id", "__gone_key").alias("m")), "m"))
+        Bloom.of(C.stage(touched.select(F.xxhash64("__gone_id", "__gone_key").alias("m")), "rows-touched"), "m"))
 
     def maybe(m: pa.Array) -> pa.Array:
         return pa.array(wanted.value.has(m.to_numpy(zero_copy_only=False)))

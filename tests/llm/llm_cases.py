@@ -59,7 +59,7 @@ def common_lines(texts, min_docs):
     return {k for k, v in held.items() if len(v) >= min_docs and k}
 
 
-def quality(text, windows, line_share, min_words=50, pct=50):
+def quality(text, windows, line_share, min_words=50, pct=50, copies=(), copy_words=1 << 60):
     """(base counts, kept) of the quality rules."""
     text = text or ""
     words = WORD.findall(text)
@@ -89,5 +89,9 @@ def quality(text, windows, line_share, min_words=50, pct=50):
             "base_failed": len(words) < min_words or 100 * repeat > pct * len(words)}
     bad = dup_chars > line_share * chars
     for n, share in windows:
-        bad |= sum(len(words[i]) for i in covered(n, False)) > share * chars
+        later = covered(n, False)
+        places = sum(i - 1 not in later for i in later)
+        if len(later) > copy_words or places > 1:
+            share = min(share, dict(copies).get(n, share))
+        bad |= sum(len(words[i]) for i in later) > share * chars
     return base, not base["base_failed"] and not bad

@@ -54,3 +54,66 @@ def test_awkward_rows(spark):
     only = op4.identify(docs_frame(spark, [(i, "some words", "en") for i in range(6)])).collect()
     assert {r.lang_pred for r in only} == {"en"}
     assert op4.identify(docs_frame(spark, [])).count() == 0
+
+
+def _plain_grams(text):
+    """Byte n-grams by their definition: runs of anything but letters are one blank."""
+    import re
+    low = re.sub(rb"[^a-z\x80-\xff]+", b" ", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))
+    framed = b" " + low + b" "
+    return [framed[i:i + n] for n in op4.ORDERS for i in range(len(framed) - n + 1)]
+
+
+def _plain_bucket(gram):
+    h = gram[0]
+    for b in gram[1:]:
+        h = (h * 0x01000193 % 2**32) ^ b
+    return ((h ^ (h >> 15)) * (0x2C1B3C6D + 2 * len(gram)) % 2**32) >> 18
+
+
+def test_equals_plain_classifiers_and_decoding(spark):
+    """Counts, log-odds per bit, trust and loss-weighted decoding in plain Python."""
+    import math
+    import random
+    import zlib
+    from collections import Counter
+    rng = random.Random(3)
+    stems = {"en": "the and ing tion of wh", "de": "der und sch ung ei ch", "fr": "le et eau ou ai que", "es": "el y cion os ue ll"}
+    rows = [(i, " ".join("".join(rng.choices(stems[g].split(), k=rng.randint(1, 3))) for _ in range(rng.randint(2, 12))).title(), g)
+            for i, g in ((i, rng.choice(list(stems))) for i in range(240))]
+    learned = [(t, g) for i, t, g in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    names = sorted(stems)
+    code = op4.codewords(len(names)).tolist()
+    bits = range(len(code[0]))
+    counts = {g: Counter() for g in names}
+    for t, g in learned:
+        counts[g].update(_plain_bucket(x) for x in _plain_grams(t))
+    total = {g: sum(counts[g].values()) + 0.5 * op4.FEATURES for g in names}
+
+    def odds(bucket, b):
+        share = lambda sign: [(counts[g][bucket] + 0.5) / total[g] for g, c in zip(names, code, strict=True) if c[b] == sign]
+        one, zero = share(1), share(-1)
+        return math.log(sum(one) / len(one)) - math.log(sum(zero) / len(zero))
+
+    known = {}
+
+    def margins(text):
+        grams = [_plain_bucket(x) for x in _plain_grams(text)]
+        for x in set(grams) - set(known):
+            known[x] = [odds(x, b) for b in bits]
+        return [sum(known[x][b] for x in grams) / math.sqrt(len(grams)) for b in bits]
+
+    right, seen = {g: [0] * len(bits) for g in names}, Counter(g for _, g in learned)
+    for t, g in learned:
+        m = margins(t)
+        for b in bits:
+            right[g][b] += (m[b] > 0) - (m[b] < 0) == code[names.index(g)][b]
+    trust = {g: [(right[g][b] + 1) / (seen[g] + 2) for b in bits] for g in names}
+    got = {r.doc_id: r for r in op4.identify(docs_frame(spark, rows)).collect()}
+    for i, t, _ in rows:
+        m = margins(t)
+        d = {g: sum(trust[g][b] / sum(trust[g]) * math.log1p(math.exp(-m[b] * c[b])) for b in bits)
+             for g, c in zip(names, code, strict=True)}
+        best = min(names, key=lambda g: (d[g], g))
+        assert got[i].lang_pred == best
+        assert abs(got[i].score - 1 / sum(math.exp(-(x - d[best]) * len(bits)) for x in d.values())) < 1e-6

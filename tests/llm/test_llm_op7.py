@@ -16,7 +16,8 @@ TEXTS = [None, "", " ", "\n", "a b c " * 30, "one two three four five six\n" * 9
 
 def check(texts, got):
     for t, r in zip(texts, got, strict=True):
-        base, kept = quality(t, op7.RULES.max_window_share, op7.RULES.max_line_share)
+        base, kept = quality(t, op7.RULES.max_window_share, op7.RULES.max_line_share, copies=op7.RULES.max_copies_share,
+                        copy_words=op7.RULES.max_copy_words)
         assert {k: r[k] for k in base} == base, t
         assert r["kept"] == kept, t
 
@@ -48,6 +49,8 @@ def test_long_copies_meet_the_customary_limits(spark):
     assert {d: r.kept for d, r in got.items()} == {0: False, 1: True, 2: False, 3: True, 4: True}
     for d, t in enumerate(texts):  # the doubled limits alone would keep all of them
         assert quality(t, op7.RULES.max_window_share, op7.RULES.max_line_share)[1], d
+        assert quality(t, op7.RULES.max_window_share, op7.RULES.max_line_share, copies=op7.RULES.max_copies_share,
+                       copy_words=op7.RULES.max_copy_words)[1] == got[d].kept
 
 
 def test_query_equals_plain_python(spark):

@@ -19,7 +19,8 @@ def test_stages():
 
 def brute(docs, items):
     rows = [(d, t or "") for d, t in docs
-            if quality(t, op7.RULES.max_window_share, op7.RULES.max_line_share)[1]]
+            if quality(t, op7.RULES.max_window_share, op7.RULES.max_line_share, copies=op7.RULES.max_copies_share,
+                        copy_words=op7.RULES.max_copy_words)[1]]
     gone = common_lines([t for _, t in rows], 10)
     rows = [(d, "\n".join(x for x in t.split("\n") if line_key(x) not in gone)) for d, t in rows]
     rows.sort()
