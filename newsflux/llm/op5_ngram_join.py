@@ -20,10 +20,13 @@ itself: every member meets the posting's *hub* (the member whose shared shingle
 is nearest to the front, hence the one with the fewest rare shingles of its
 own). Links merge classes into components. Afterwards a posting is looked at
 again only while it holds several components, each time without the hubs that
-have met all its members, and in the last step all remaining pairs that lie in
-different components, pass the filters and are not verified yet are verified.
-So no pair is skipped that could join two components: the components are those
-of the full join.
+have met all its members. The classes that still lie in a mixed posting after
+``HUB_ROUNDS`` are joined by partitions instead of postings, as a posting may hold any number of
+unlike classes: sets that link differ in at most d shingles, so of d + 1 parts of their shingles
+(dealt by hash) at least one is equal in both. Classes of one or two neighbouring size
+bands meet where such a part is equal, which unlike sets hardly ever share; pairs in
+different components that are not verified yet are verified. So no pair is skipped that could
+join two components: the components are those of the full join.
 
 Defined cases: null, empty or blank texts have an empty set and are linked with
 nothing; a text of fewer than n words has its whole word sequence as its one
@@ -54,7 +57,7 @@ RANK_BITS = 21
 _BLOCK = 1 << 14
 #: Pivots of the suffix filter.
 PARTS = 64
-#: Hubs that a posting's members meet before the rest is paired directly.
+#: Hubs that a posting's members meet before the rest is joined by equal parts.
 HUB_ROUNDS = 3
 
 
@@ -210,6 +213,57 @@ def _needed_sets(wanted: Broadcast, n: int):
     return run
 
 
+# --- equal parts ---------------------------------------------------------------
+
+def size_bands(largest: int, percent: int) -> np.ndarray:
+    """Lower ends of size bands: linked sets are in one band or in neighbouring ones."""
+    ends = [1]
+    while ends[-1] <= largest:
+        ends.append(max(ends[-1] + 1, 100 * ends[-1] // percent + 1))
+    return np.array(ends, np.int64)
+
+
+def parts_of(band: int, bands: np.ndarray, percent: int) -> int:
+    """One more than the most shingles in which linked sets differ, the larger of them in this band."""
+    n = int(bands[band + 1]) - 1
+    return 2 * n * (100 - percent) // (100 + percent) + 1
+
+
+def _equal_parts(wanted: Broadcast, n: int, percent: int, largest: int):
+    bands = size_bands(largest, percent)
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("part", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        for batch in batches:
+            nodes, sizes, parts = [], [], []
+            for _, s in _sets(batch.column(0), n):
+                node = _identity(s)
+                if not len(s) or node in sent or not wanted.value.has(np.array([node], np.int64))[0]:
+                    continue
+                sent.add(node)
+                own = int(np.searchsorted(bands, len(s), side="right")) - 1
+                for band in (own, own + 1):  # as the larger set of a pair, or as one of the band below it
+                    if band + 1 >= len(bands):
+                        continue
+                    m = parts_of(band, bands, percent)
+                    mixed = C.mix(s)
+                    of = (mixed % np.uint64(m)).astype(np.int64)
+                    order = np.argsort(of, kind="stable")  # s is sorted: a part's shingles are in one order
+                    held = np.searchsorted(of[order], np.arange(m + 1))
+                    run_ = np.concatenate([[np.uint64(0)], np.cumsum(C.mix(mixed[order]), dtype=np.uint64)])
+                    total = run_[held[1:]] - run_[held[:-1]]  # a part's shingles, whatever their order
+                    key = C.mix(C.mix(total + np.diff(held).astype(np.uint64)) + np.uint64(band * 0x9E3779B97F4A7C15 % 2**64)
+                                + np.arange(m, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+                    parts.append(key.view(np.int64))
+                    nodes.append(np.full(m, node))
+                    sizes.append(np.full(m, len(s), np.int32))
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in
+                                                  zip((nodes, sizes, parts), schema.types, strict=True)], schema=schema)
+    return run
+
+
 # --- filters and verification ------------------------------------------------
 
 def _may_link(percent: int, na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
@@ -332,15 +386,23 @@ def link_components(docs: DataFrame, text: str = "text", n: int = 3, percent: in
         labels = components(links, "a", "b")
         postings = _with_component(rest, labels)
     else:
-        left = C.stage(_mixed(postings).drop("hub"), "join-postings")
+        mixed = _mixed(postings)
+        left = C.stage(mixed.select("node", *(["comp"] if "comp" in mixed.columns else [])).distinct(), "join-left")
         if "comp" not in left.columns:
             left = left.withColumn("comp", F.col("node"))
-        x, y = left.alias("x"), left.alias("y")
-        (x_pos, x_n), (y_pos, y_n) = _unpacked(F.col("x.rank")), _unpacked(F.col("y.rank"))
-        rest = (x.join(y, F.col("x.token") == F.col("y.token"))
-                .where((F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-                       & _may_link(percent, x_n, x_pos, y_n, y_pos))
-                .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+        rest = left.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+        largest = left.join(classes.select("node", "n"), "node").agg(F.max("n")).first()[0]
+        if largest is not None:
+            wanted = spark.sparkContext.broadcast(Bloom.of(left.select("node"), "node"))
+            parts = (docs.select(text).mapInArrow(_equal_parts(wanted, n, percent, largest), "node long, n int, part long")
+                     .join(left, "node").dropDuplicates(["part", "node"]))
+            shared = (parts.groupBy("part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("part"))
+            met = C.stage(parts.join(shared, "part"), "join-parts")
+            x, y = met.alias("x"), met.alias("y")
+            near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+            rest = (x.join(y, F.col("x.part") == F.col("y.part"))
+                    .where((F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & near)
+                    .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
         if done is not None:
             rest = rest.join(done, ["a", "b"], "left_anti")
         rest = C.stage(rest, "join-candidates")

@@ -72,3 +72,50 @@ def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(500, 300), (300, 500), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert all(got[i] == 0 for i in range(61)) and all(got[i] == 100 for i in range(100, 140)) and got[500] == 300
+
+
+def test_linked_sets_share_an_equal_part(spark):
+    """Of d + 1 parts at least one is equal, whatever the sizes, and sets meet in the larger one's band."""
+    import numpy as np
+    import pyarrow as pa
+
+    class Everything:
+        value = type("All", (), {"has": staticmethod(lambda keys: np.ones(len(keys), bool))})
+
+    rng = random.Random(11)
+    for n, percent in ((1, 90), (2, 80), (1, 60)):
+        texts = []
+        for size in (1, 2, 5, 9, 10, 11, 30, 31, 80, 200):
+            base = [f"w{size}-{i}" for i in range(size)]
+            for _ in range(6):
+                words = base[:rng.randint(max(1, size * percent // 100), size)]
+                texts.append(" ".join([*words, *(f"x{rng.randrange(10**6)}" for _ in range(rng.randint(0, 1 + size // 20)))]))
+        sets = [shingles(t, n) for t in texts]
+        run = op5._equal_parts(Everything, n, percent, max(map(len, sets)))
+        held = {}
+        for t in texts:
+            rows = [r for b in run(iter([pa.RecordBatch.from_arrays([pa.array([t])], names=["text"])])) for r in b.to_pylist()]
+            held[t] = {r["part"] for r in rows}
+        linked = 0
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if 100 * len(a & b) >= percent * len(a | b):
+                    linked += 1
+                    assert held[texts[i]] & held[texts[j]], (texts[i], texts[j])
+        assert linked > 60
+
+
+def test_unlike_texts_of_few_words_are_not_paired(spark, monkeypatch):
+    """Texts that share most shingles, none a link: candidates grow about as their number."""
+    counts = []
+    verify = op5._Verifier.__call__
+    monkeypatch.setattr(op5._Verifier, "__call__", lambda self, pairs: (counts.append(pairs.count()), verify(self, pairs))[1])
+    totals = []
+    for n in (400, 800):
+        rng = random.Random(5)
+        rows = [(i, " ".join(rng.choice("abcde") for _ in range(60))) for i in range(n)]
+        counts.clear()
+        got = op5.link_components(docs_frame(spark, rows), n=3, percent=90)
+        assert got.select("component_id").distinct().count() == n
+        totals.append(sum(counts))
+    assert totals[1] <= totals[0] * 2 ** 1.3 and totals[1] < 10 * 800
