@@ -860,7 +860,8 @@ def pool_union(spark, sf_dir):
 
 @query
 def stream_two_sinks(spark, sf_dir):
-    """K3/T5: one article stream into the store and, independently, the candidate sink."""
+    """One article stream into the store (first write per URL) and, independently, the
+    expiring candidate pool."""
     t = Tables(spark, sf_dir)
     path = scratch_path(spark, "sink-pages")
     t.pages("page_id", "url", "html").select("page_id", "url", P.has_article("html").alias("has_body")).write.parquet(path)
@@ -868,9 +869,9 @@ def stream_two_sinks(spark, sf_dir):
     ev = _event_stream(spark, sf_dir).withColumn("page_id", F.col("event_id") % n_pages)
     title = F.when(F.col("event_type") != "error", F.concat_ws(" ", "event_type", F.col("event_id").cast("string")))
     store, candidates = S.run_two_sinks(spark, ev.join(spark.read.parquet(path), "page_id").select(
-        "url", "event_id", "ts", title.alias("title"), "has_body"))
-    sink = lambda path, name: spark.read.parquet(path).select(F.lit(name).alias("sink"), "event_id", "url", "title")
-    return sink(store, "store").unionByName(sink(candidates, "candidates"))
+        "url", "event_id", "ts", F.date_trunc("day", "ts").alias("run_start"), title.alias("title"), "has_body"))
+    return (spark.read.parquet(store).unionByName(spark.read.parquet(candidates))
+            .select("sink", "event_id", "url", "title"))
 
 
 @query

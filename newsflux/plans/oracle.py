@@ -762,11 +762,23 @@ fold(url, k, run_start, event_id, source, title, last_adm, admitted) AS (
 SELECT url, {day_str('run_start')} AS run_day, event_id, source, title FROM fold WHERE admitted"""
 
 ORACLE["stream_two_sinks"] = f"""
-WITH a AS (
-  SELECT event_id, url, {HAS_ARTICLE} AS has_body, CASE WHEN event_type <> 'error' THEN event_type || ' ' || event_id END AS title
-  FROM events JOIN pages ON page_id = event_id % (SELECT count(*) FROM pages))
-SELECT 'store' AS sink, event_id, url, title FROM a
-UNION ALL SELECT 'candidates', event_id, url, title FROM a WHERE has_body AND title IS NOT NULL"""
+WITH RECURSIVE a AS (
+  SELECT event_id, ts, date_trunc('day', ts) AS run_start, url, {HAS_ARTICLE} AS has_body,
+         CASE WHEN event_type <> 'error' THEN event_type || ' ' || event_id END AS title
+  FROM events JOIN pages ON page_id = event_id % (SELECT count(*) FROM pages)),
+store AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts, event_id) = 1),
+fit AS (
+  SELECT *, row_number() OVER (PARTITION BY url ORDER BY run_start) AS k FROM (
+    SELECT * FROM a WHERE has_body AND title IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY url, run_start ORDER BY ts, event_id) = 1)),
+fold(url, k, event_id, title, last, admitted) AS (
+  SELECT url, k, event_id, title, ts, true FROM fit WHERE k = 1
+  UNION ALL
+  SELECT f.url, f.k, f.event_id, f.title, CASE WHEN p.last < f.run_start - INTERVAL 5 DAY THEN f.ts ELSE p.last END,
+         p.last < f.run_start - INTERVAL 5 DAY
+  FROM fold p JOIN fit f ON f.url = p.url AND f.k = p.k + 1)
+SELECT 'store' AS sink, event_id, url, title FROM store
+UNION ALL SELECT 'candidates', event_id, url, title FROM fold WHERE admitted"""
 
 ORACLE["profile_lookup"] = f"""WITH RECURSIVE {SIGNUPS.strip()}
 SELECT 'user' || c_custkey AS username, email, p.username IS NOT NULL AS found

@@ -7,7 +7,9 @@
   overwrite, so a replayed batch replaces itself instead of duplicating rows.
 * ``run_pool_stream``: crawls -> pool admissions with
   ``applyInPandasWithState`` keyed by URL; the state is the last admission
-  time (one long).
+  time (one long), and an event-time timer drops it once the URL has left the pool.
+* ``run_two_sinks``: one stream into a keyed store (first write per URL) and the
+  expiring pool, each by its own rule, with one recovery point.
 * ``run_reads_stream``: reads -> per-user history capped at 50, state is the
   capped list itself.
 
@@ -38,11 +40,21 @@ from ..session import scratch_path
 DAY_US = 86_400_000_000
 
 
-def _drain(writer, checkpoint: str) -> None:
+def _drain(writer, checkpoint: str) -> list:
+    """Run a stream over all that has landed; the progress of its batches."""
     q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+    return list(q.recentProgress)
+
+
+def _stored_before(spark: SparkSession, sink: str, batch_id: int) -> DataFrame | None:
+    """What earlier batches wrote to ``sink``; a replayed batch does not see itself."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(sink)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.parquet(sink).where(F.col("batch_id") < batch_id)
 
 
 def file_stream(spark: SparkSession, path: str, schema, max_files: int | None = None,
@@ -118,23 +130,6 @@ def run_article_stream(spark: SparkSession, docs: DataFrame, routes: DataFrame,
     return sink
 
 
-def run_two_sinks(spark: SparkSession, articles: DataFrame, out_dir: str | None = None) -> tuple[str, str]:
-    """K3/T5: one input, two independent sinks in one ``foreachBatch``: the keyed
-    store takes every article, the candidate sink only those with a body and a
-    title. ``articles``: (url, event_id, ts, title, has_body). Each sink writes
-    its own batch folder with overwrite, so a replayed batch repeats neither."""
-    out_dir = out_dir or scratch_path(spark, "stream-sinks")
-    store, candidates = os.path.join(out_dir, "store"), os.path.join(out_dir, "candidates")
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        for sink, rows in ((store, batch), (candidates, batch.where(F.col("has_body") & F.col("title").isNotNull()))):
-            (rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink))
-
-    _drain(articles.writeStream.outputMode("append").foreachBatch(write_batch), os.path.join(out_dir, "_ckpt"))
-    return store, candidates
-
-
 # --- T2: candidate pool --------------------------------------------------------
 
 POOL_OUT = "url string, run_us long, db_us long, event_id long"
@@ -145,6 +140,9 @@ def _pool_fold(horizon_days: int):
     horizon = horizon_days * DAY_US
 
     def fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         firsts: dict[int, tuple[int, int]] = {}
         for pdf in pdfs:
             if pdf.empty:
@@ -161,28 +159,111 @@ def _pool_fold(horizon_days: int):
             if last is None or last < run - horizon:
                 rows.append((key[0], run, ts, eid))
                 last = ts
-        if last is not None:
-            state.update((last,))
+        _keep_until_expiry(state, last, horizon)
         yield pd.DataFrame(rows, columns=["url", "run_us", "db_us", "event_id"])
 
     return fold
 
 
+def _keep_until_expiry(state: GroupState, last: int | None, horizon: int) -> None:
+    """Store the last admission, with a timer for when it no longer matters: every run later
+    than it by more than the horizon admits the URL anyway."""
+    if last is None:
+        return
+    due = -(-(last + horizon) // 1000) + 1
+    if due > state.getCurrentWatermarkMs():
+        state.update((last,))
+        state.setTimeoutTimestamp(due)
+    elif state.exists:
+        state.remove()
+
+
+def _by_url_with_timers(reduced: DataFrame, fold, out: str, lateness: str) -> DataFrame:
+    """The fold per URL, with the runs' start as event time."""
+    timed = reduced.withColumn("run_at", F.timestamp_micros("run_us")).withWatermark("run_at", lateness)
+    return timed.groupBy("url").applyInPandasWithState(fold, out, POOL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_pool_stream(spark: SparkSession, crawls: DataFrame, horizon_days: int = 5,
-                    out_dir: str | None = None) -> str:
-    """``crawls`` (url, ts, run_start, event_id) stream -> admissions parquet."""
+                    out_dir: str | None = None, lateness: str = "1 day", progress: list | None = None) -> str:
+    """``crawls`` (url, ts, run_start, event_id) stream -> admissions parquet. State lives for
+    the horizon: crawls of runs that are older than the newest by more than ``lateness`` are
+    not looked at. ``progress`` receives the progress of the batches."""
     out_dir = out_dir or scratch_path(spark, "stream-pool")
     sink = os.path.join(out_dir, "admissions")
     prepared = crawls.select("url", "event_id",
                              F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
                              F.unix_micros(F.col("run_start").cast("timestamp")).alias("run_us"))
-    adm = _best_per_key(prepared, ["url", "run_us"], ["ts_us", "event_id"]).groupBy("url").applyInPandasWithState(
-        _pool_fold(horizon_days), POOL_OUT, POOL_STATE, "append", GroupStateTimeout.NoTimeout)
-    _drain(adm.writeStream.format("parquet").option("path", sink).outputMode("append"),
-           os.path.join(out_dir, "_ckpt"))
+    adm = _by_url_with_timers(_best_per_key(prepared, ["url", "run_us"], ["ts_us", "event_id"]), _pool_fold(horizon_days),
+                              POOL_OUT, lateness)
+    done = _drain(adm.writeStream.format("parquet").option("path", sink).outputMode("append"),
+                  os.path.join(out_dir, "_ckpt"))
+    if progress is not None:
+        progress += done
     return sink
 
 
+# --- K3: keyed store and pool from one stream --------------------------------------
+
+SINKS_OUT = "sink string, url string, event_id long, ts_us long, run_us long, title string"
+
+
+def _two_sinks_fold(horizon_days: int):
+    horizon = horizon_days * DAY_US
+    names = ["sink", "url", "event_id", "ts_us", "run_us", "title"]
+
+    def fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        got = pd.concat([p for p in pdfs if not p.empty]).sort_values(["ts_us", "event_id"])
+        first = got.iloc[0]
+        rows = [("store", key[0], int(first.event_id), int(first.ts_us), int(first.run_us), first.title)]
+        last = state.get[0] if state.exists else None
+        for r in got[got["fits"]].drop_duplicates("run_us").sort_values("run_us").itertuples():
+            if last is None or last < r.run_us - horizon:
+                rows.append(("candidates", key[0], int(r.event_id), int(r.ts_us), int(r.run_us), r.title))
+                last = int(r.ts_us)
+        _keep_until_expiry(state, last, horizon)
+        yield pd.DataFrame(rows, columns=names)
+
+    return fold
+
+
+def run_two_sinks(spark: SparkSession, articles: DataFrame, out_dir: str | None = None, horizon_days: int = 5,
+                  lateness: str = "1 day") -> tuple[str, str]:
+    """One stream of ``articles`` (url, event_id, ts, run_start, title, has_body) into two
+    sinks that know nothing of each other's rejections: the store keeps the first article of every
+    URL, whatever it lacks; the pool admits articles with a body and a title by the rule of expiry and
+    re-admission. Pool state is kept per URL until it expires; the store is its own
+    memory (URLs of earlier batches are left out by an anti join). Both are written per batch with
+    overwrite, so a replayed batch repeats neither."""
+    out_dir = out_dir or scratch_path(spark, "stream-sinks")
+    store, candidates = os.path.join(out_dir, "store"), os.path.join(out_dir, "candidates")
+    prepared = articles.select(
+        "url", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+        F.unix_micros(F.col("run_start").cast("timestamp")).alias("run_us"), "title",
+        (F.coalesce(F.col("has_body"), F.lit(False)) & F.col("title").isNotNull()).alias("fits"))
+    folded = _by_url_with_timers(_best_per_key(prepared, ["url", "run_us", "fits"], ["ts_us", "event_id"]),
+                                 _two_sinks_fold(horizon_days), SINKS_OUT, lateness)
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # both sinks read it: the fold runs once
+        try:
+            known = _stored_before(spark, store, batch_id)
+            fresh = batch.where("sink = 'store'")
+            if known is not None:
+                fresh = fresh.join(known.select("url"), "url", "left_anti").select(*batch.columns)
+            for sink, rows in ((store, fresh), (candidates, batch.where("sink = 'candidates'"))):
+                (rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+                 .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink))
+        finally:
+            batch.unpersist()
+
+    _drain(folded.writeStream.outputMode("append").foreachBatch(write_batch), os.path.join(out_dir, "_ckpt"))
+    return store, candidates
+
+
 def read_admissions(spark: SparkSession, sink: str) -> DataFrame:
     a = spark.read.schema(POOL_OUT).parquet(sink)
     return a.select("url",
