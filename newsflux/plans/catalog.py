@@ -24,6 +24,7 @@ from ..operators import ranking as RANK
 from ..operators import segmentation as SEG
 from ..operators import vectors as V
 from ..operators.headers import parse_header
+from ..operators.keyed_tables import KeyedTable
 from ..sources import derived, feeds
 from ..sources import nodes as N
 from ..sources import pages as P
@@ -462,6 +463,31 @@ def deleted_count(spark, sf_dir):
     return removed.agg(F.count(F.lit(1)).alias("n_deleted"))
 
 
+@query
+def keyed_merges(spark, sf_dir):
+    """K1/K5-K8 on one stored table: customers with even keys, then the first writes of those
+    divisible by 3, another segment for the rich ones, upserts of those divisible by 5, and
+    deletes of those divisible by 7; every step touches its keys' buckets only."""
+    c = Tables(spark, sf_dir).customer("c_custkey", "c_name", "c_mktsegment", "c_acctbal").withColumnsRenamed(
+        {"c_custkey": "k", "c_name": "name", "c_mktsegment": "segment", "c_acctbal": "balance"})
+    row = lambda where, by: c.where(where).select("k", "name", "segment", F.lit(by).alias("source"))
+    table = KeyedTable.create(row("k % 2 = 0", "base"), scratch_path(spark, "keyed-table"), "k", buckets=16)
+    table.insert_if_absent(row("k % 3 = 0", "insert"), ["name"])
+    table.update(row("balance > 9000", "update").withColumn("segment", F.lit("PRIVATE")), ["segment"])
+    table.upsert(row("k % 5 = 0", "upsert"), ["source"], ["name"])
+    table.delete(c.where("k % 7 = 0").select("k"))
+    return table.read()
+
+
+@query
+def append_only(spark, sf_dir):
+    """K4: a log that two runs append to; the second reads nothing of the first."""
+    e = Tables(spark, sf_dir).events("event_id", "user_id", "event_type")
+    log = KeyedTable.create(e.where("event_id % 2 = 0"), scratch_path(spark, "append-log"), "event_id", buckets=16)
+    log.append(e.where("event_id % 2 = 1"))
+    return log.read().groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("users"))
+
+
 @query
 def update_profile(spark, sf_dir):
     """M3/K7: set the email of profiles named in the customer delta."""

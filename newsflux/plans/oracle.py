@@ -414,6 +414,15 @@ SELECT username, email FROM profiles WHERE coalesce(username, '') NOT IN (SELECT
 ORACLE["deleted_count"] = f"""WITH RECURSIVE {SIGNUPS.strip()}
 SELECT CAST(count(*) AS BIGINT) AS n_deleted FROM profiles WHERE username IN (SELECT username FROM del_keys)"""
 
+ORACLE["keyed_merges"] = """
+SELECT c_custkey AS k, c_name AS name,
+       CASE WHEN c_acctbal > 9000 AND (c_custkey % 2 = 0 OR c_custkey % 3 = 0) THEN 'PRIVATE' ELSE c_mktsegment END AS segment,
+       CASE WHEN c_custkey % 5 = 0 THEN 'upsert' WHEN c_custkey % 2 = 0 THEN 'base' ELSE 'insert' END AS source
+FROM customer WHERE (c_custkey % 2 = 0 OR c_custkey % 3 = 0 OR c_custkey % 5 = 0) AND c_custkey % 7 <> 0"""
+
+ORACLE["append_only"] = """
+SELECT event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users FROM events GROUP BY event_type"""
+
 ORACLE["update_profile"] = f"""WITH RECURSIVE {SIGNUPS.strip()},
 d AS (SELECT 'user' || CAST(c_custkey AS VARCHAR) AS username,
              lower(replace(c_name, '#', '.')) || '@example.org' AS email
