@@ -21,6 +21,7 @@ from ..operators import holders as H
 from ..operators import keyed, pool
 from ..operators import profiles as M
 from ..operators import ranking as RANK
+from ..operators import redirects as R
 from ..operators import segmentation as SEG
 from ..operators import vectors as V
 from ..operators.headers import parse_header
@@ -137,6 +138,18 @@ def relative_links(spark, sf_dir):
             .select("page_id", "ref", U.resolve("ref", "url").alias("abs_url")))
 
 
+@query
+def final_urls(spark, sf_dir):
+    """Requested and final URL of every page: short links of seven pages in a row form a chain to
+    the last one's page, every tenth chain runs in a circle."""
+    k = F.col("page_id")
+    short = lambda n: F.concat(F.lit("http://r.example/"), n.cast("string"))
+    pages_ = Tables(spark, sf_dir).pages("page_id", "url")
+    hops = pages_.select(short(k).alias("url"), F.when(k % 7 != 6, short(k + 1)).when(F.floor(k / 7) % 10 == 3, short(k - 6))
+                         .otherwise(F.col("url")).alias("target"))
+    return R.with_final(pages_.select("page_id", short(k).alias("requested")), hops, "requested")
+
+
 @query
 def url_denylist(spark, sf_dir):
     t = Tables(spark, sf_dir)

@@ -179,6 +179,14 @@ ORACLE["relative_links"] = f"""
 SELECT page_id, ref, {resolved('ref', 'url')} AS abs_url
 FROM pages, (SELECT unnest([{', '.join(q(r) for r in REFERENCES)}]) AS ref)"""
 
+ORACLE["final_urls"] = """
+WITH p AS (SELECT page_id AS k, page_id // 7 AS chain, url FROM pages),
+ends AS (SELECT chain, max(k) AS last, max_by(url, k) AS url FROM p GROUP BY chain)
+SELECT k AS page_id, 'http://r.example/' || k AS requested,
+       CASE WHEN last % 7 <> 6 THEN 'http://r.example/' || (last + 1) WHEN chain % 10 = 3 THEN NULL ELSE e.url END AS final_url,
+       last % 7 = 6 AND chain % 10 = 3 AS looped
+FROM p JOIN ends e USING (chain)"""
+
 ORACLE["url_denylist"] = f"SELECT page_id, url, {comparable('url')} AS followed FROM pages"
 
 _HOST = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)"
