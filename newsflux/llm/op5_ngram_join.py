@@ -20,9 +20,9 @@ itself: every member meets the posting's *hub* (the member whose shared shingle
 is nearest to the front, hence the one with the fewest rare shingles of its
 own). Links merge classes into components. Afterwards a posting is looked at
 again only while it holds several components, each time without the hubs that
-have met all its members. The classes that still lie in a mixed posting after
-``HUB_ROUNDS`` are joined by partitions instead of postings, as a posting may hold any number of
-unlike classes: sets that link differ in at most d shingles, so of d + 1 parts of their shingles
+have met all its members. Of postings that are still mixed after ``HUB_ROUNDS`` those of up to ``FEW``
+classes are paired. The classes of larger ones are joined by partitions instead of postings, as a posting
+may hold any number of unlike classes: sets that link differ in at most d shingles, so of d + 1 parts of their shingles
 (dealt by hash) at least one is equal in both. Classes of one or two neighbouring size
 bands meet where such a part is equal, which unlike sets hardly ever share; pairs in
 different components that are not verified yet are verified. So no pair is skipped that could
@@ -59,6 +59,8 @@ _BLOCK = 1 << 14
 PARTS = 64
 #: Hubs that a posting's members meet before the rest is joined by equal parts.
 HUB_ROUNDS = 3
+#: Classes of a mixed posting that are simply paired (so pairs stay within a constant times the postings).
+FEW = 16
 
 
 # --- sets --------------------------------------------------------------------
@@ -231,12 +233,12 @@ def parts_of(band: int, bands: np.ndarray, percent: int) -> int:
 
 def _equal_parts(wanted: Broadcast, n: int, percent: int, largest: int):
     bands = size_bands(largest, percent)
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("part", pa.int64())])
+    schema = pa.schema([("node", pa.int64()), ("part", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
-            nodes, sizes, parts = [], [], []
+            nodes, parts = [], []
             for _, s in _sets(batch.column(0), n):
                 node = _identity(s)
                 if not len(s) or node in sent or not wanted.value.has(np.array([node], np.int64))[0]:
@@ -257,10 +259,9 @@ def _equal_parts(wanted: Broadcast, n: int, percent: int, largest: int):
                                 + np.arange(m, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
                     parts.append(key.view(np.int64))
                     nodes.append(np.full(m, node))
-                    sizes.append(np.full(m, len(s), np.int32))
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in
-                                                  zip((nodes, sizes, parts), schema.types, strict=True)], schema=schema)
+                                                  zip((nodes, parts), schema.types, strict=True)], schema=schema)
     return run
 
 
@@ -333,17 +334,17 @@ def _with_component(postings: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _mixed(postings: DataFrame) -> DataFrame:
-    """Postings of shingles that still join several components, with their hub.
+    """Postings of shingles that still join several components, with their hub and number.
     Postings are (token, rank, node) with position and size packed into rank, so
     that the first, by far largest, shuffle carries little more than two hashes;
     without a component column every class is its own component."""
     if "comp" in postings.columns:
         hubs = (postings.groupBy("token").agg(F.min(F.struct("rank", "node", "comp")).alias("hub"),
-                                              F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                                              F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
                 .where("lo != hi").drop("lo", "hi"))
     else:  # a set has a shingle once: several postings are several classes
         hubs = (postings.groupBy("token").agg(F.min(F.struct("rank", "node")).alias("hub"), F.count(F.lit(1)).alias("m"))
-                .where("m > 1").drop("m"))
+                .where("m > 1"))
     return postings.join(hubs, "token")
 
 
@@ -382,27 +383,33 @@ def link_components(docs: DataFrame, text: str = "text", n: int = 3, percent: in
         done = met if done is None else done.union(met)
         links = found if links is None else links.union(found)
         # the hub has met all members of the posting that it could link with
-        rest = left.where(F.col("node") != F.col("hub.node")).drop("hub")
+        rest = left.where(F.col("node") != F.col("hub.node")).drop("hub", "m")
         labels = components(links, "a", "b")
         postings = _with_component(rest, labels)
     else:
-        mixed = _mixed(postings)
-        left = C.stage(mixed.select("node", *(["comp"] if "comp" in mixed.columns else [])).distinct(), "join-left")
+        left = C.stage(_mixed(postings).drop("hub"), "join-postings")
         if "comp" not in left.columns:
             left = left.withColumn("comp", F.col("node"))
-        rest = left.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
-        largest = left.join(classes.select("node", "n"), "node").agg(F.max("n")).first()[0]
+        few = left.where(F.col("m") <= FEW)
+        x, y = few.alias("x"), few.alias("y")
+        (x_pos, x_n), (y_pos, y_n) = _unpacked(F.col("x.rank")), _unpacked(F.col("y.rank"))
+        other = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
+        ends = [F.col("x.node").alias("a"), F.col("y.node").alias("b")]
+        rest = (x.join(y, F.col("x.token") == F.col("y.token")).where(other & _may_link(percent, x_n, x_pos, y_n, y_pos))
+                .select(*ends))
+        many = C.stage(left.where(F.col("m") > FEW).select("node", "comp", F.col("rank").bitwiseAND(F.lit(0xFFFFFFFF)).alias("n"))
+                       .distinct(), "join-many")
+        largest = many.agg(F.max("n")).first()[0]
         if largest is not None:
-            wanted = spark.sparkContext.broadcast(Bloom.of(left.select("node"), "node"))
-            parts = (docs.select(text).mapInArrow(_equal_parts(wanted, n, percent, largest), "node long, n int, part long")
-                     .join(left, "node").dropDuplicates(["part", "node"]))
+            wanted = spark.sparkContext.broadcast(Bloom.of(many.select("node"), "node"))
+            parts = C.stage(docs.select(text).mapInArrow(_equal_parts(wanted, n, percent, largest), "node long, part long")
+                            .join(many, "node").select("part", "node", "comp", "n").distinct(), "join-parts")
             shared = (parts.groupBy("part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("part"))
-            met = C.stage(parts.join(shared, "part"), "join-parts")
+            met = C.stage(parts.join(shared, "part"), "join-shared")
             x, y = met.alias("x"), met.alias("y")
             near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-            rest = (x.join(y, F.col("x.part") == F.col("y.part"))
-                    .where((F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & near)
-                    .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+            rest = rest.union(x.join(y, F.col("x.part") == F.col("y.part")).where(other & near).select(*ends))
+        rest = rest.distinct()
         if done is not None:
             rest = rest.join(done, ["a", "b"], "left_anti")
         rest = C.stage(rest, "join-candidates")

@@ -38,9 +38,10 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed,n,percent,hubs", [(1, 3, 90, 3), (2, 5, 80, 1), (3, 3, 90, 0)])
-def test_components_are_those_of_the_full_join(spark, monkeypatch, seed, n, percent, hubs):
+@pytest.mark.parametrize("seed,n,percent,hubs,few", [(1, 3, 90, 3, 16), (2, 5, 80, 1, 1), (3, 3, 90, 0, 4)])
+def test_components_are_those_of_the_full_join(spark, monkeypatch, seed, n, percent, hubs, few):
     monkeypatch.setattr(op5, "HUB_ROUNDS", hubs)
+    monkeypatch.setattr(op5, "FEW", few)
     texts = corpus(seed)
     sets = [shingles(t, n) for t in texts]
     want = groups(sets, percent)
