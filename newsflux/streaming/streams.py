@@ -11,12 +11,13 @@
 * ``run_two_sinks``: one stream into a keyed store (first write per URL) and the
   expiring pool, each by its own rule, with one recovery point.
 * ``run_reads_stream``: reads -> per-user history capped at 50, state is the
-  capped list itself.
+  capped list itself; ``run_profile_stream``: the last action per (user, tag), a native
+  aggregate. Both are read from the state (state data source), and write per batch only
+  what changed.
 
-Before a stream is grouped by key, a stateless ``mapInPandas`` keeps of each
+Before a stream is grouped by key for a Python fold, a stateless ``mapInPandas`` keeps of each
 Arrow batch only what the fold can use (the first crawl per URL and run, the
-newest 50 reads per user, the last action per user and tag, the lowest doc_id
-per text): a key holding a third of the rows reaches its task as a few rows per
+newest 50 reads per user, the lowest doc_id per text): a key holding a third of the rows reaches its task as a few rows per
 batch.
 
 Sinks and checkpoints live under ``spark.checkpoint.dir`` (the shared folder
@@ -273,98 +274,78 @@ def read_admissions(spark: SparkSession, sink: str) -> DataFrame:
 
 # --- T3: capped reading history -------------------------------------------------
 
-READS_OUT = "user_id long, version long, pos long, ts_us long, event_id long, url string"
-READS_STATE = "version long, items string"
+READS_OUT = "user_id long, ts_us long, event_id long, url string"
+READS_STATE = "items string"
+READS_ITEMS = "array<struct<ts_us: long, event_id: long, url: string>>"
 
 
 def _reads_fold(cap: int):
     def fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        version, items = (state.get[0], json.loads(state.get[1])) if state.exists else (0, [])
+        items = [tuple(r.values()) for r in json.loads(state.get[0])] if state.exists else []
+        old = set(items)
         for pdf in pdfs:
             if pdf.empty:
                 continue
             newest = pdf.nlargest(cap, ["ts_us", "event_id"])
-            items.extend([int(a), int(b), str(c)] for a, b, c in
-                         zip(newest["ts_us"], newest["event_id"], newest["url"]))
+            items.extend((int(a), int(b), str(c)) for a, b, c in zip(newest["ts_us"], newest["event_id"], newest["url"]))
             items = sorted(items, key=lambda r: (r[0], r[1]), reverse=True)[:cap]
-        version += 1
-        state.update((version, json.dumps(items)))
-        yield pd.DataFrame([(key[0], version, i + 1, r[0], r[1], r[2]) for i, r in enumerate(items)],
-                           columns=["user_id", "version", "pos", "ts_us", "event_id", "url"])
+        state.update((json.dumps([{"ts_us": a, "event_id": b, "url": c} for a, b, c in items]),))
+        yield pd.DataFrame([(key[0], *r) for r in items if r not in old], columns=["user_id", "ts_us", "event_id", "url"])
 
     return fold
 
 
 def run_reads_stream(spark: SparkSession, reads: DataFrame, cap: int = 50,
                      out_dir: str | None = None) -> str:
-    """``reads`` (user_id, ts, event_id, url) stream -> versioned history rows."""
+    """``reads`` (user_id, ts, event_id, url) stream. The history is the state
+    (``read_history``); per batch only the reads that entered a history are written, under
+    ``<out>/entered/batch_id=<n>``."""
     out_dir = out_dir or scratch_path(spark, "stream-reads")
-    sink = os.path.join(out_dir, "history")
     prepared = reads.select("user_id", "event_id", "url",
                             F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
     hist = _best_per_key(prepared, ["user_id"], ["ts_us", "event_id"], cap, newest=True).groupBy("user_id").applyInPandasWithState(
         _reads_fold(cap), READS_OUT, READS_STATE, "update", GroupStateTimeout.NoTimeout)
+    _drain(hist.writeStream.outputMode("update").foreachBatch(_changes_to(os.path.join(out_dir, "entered"))),
+           os.path.join(out_dir, "_ckpt"))
+    return out_dir
+
 
+def _changes_to(sink: str):
+    """Writes a batch's rows to a folder of its own; a replayed batch replaces itself."""
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink))
+    return write_batch
 
-    _drain(hist.writeStream.outputMode("update").foreachBatch(write_batch),
-           os.path.join(out_dir, "_ckpt"))
-    return sink
 
+def _state(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The state of a stream's last batch (key, value), read from its checkpoint."""
+    return spark.read.format("statestore").load(os.path.join(out_dir, "_ckpt"))
 
-def read_history(spark: SparkSession, sink: str) -> DataFrame:
-    """Latest version of every user's history."""
-    h = spark.read.parquet(sink)
-    latest = h.groupBy("user_id").agg(F.max("version").alias("version"))
-    return h.join(latest, ["user_id", "version"], "left_semi")
-
-
-# --- T4: profile tags from an action stream ---------------------------------------
 
-TAGS_OUT = "user_id long, tag string, version long, ts_us long, event_id long, action string"
-TAGS_STATE = "version long, ts_us long, event_id long, action string"
+def read_history(spark: SparkSession, out_dir: str) -> DataFrame:
+    """(user_id, pos, ts_us, event_id, url): every user's current history, newest first."""
+    items = F.from_json("value.groupState.items", READS_ITEMS)
+    return (_state(spark, out_dir).select(F.col("key.user_id").alias("user_id"), F.posexplode(items).alias("pos", "r"))
+            .select("user_id", (F.col("pos") + 1).cast("long").alias("pos"), "r.*"))
 
 
-def _tag_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State per (user, tag): its latest action (O(1) per key)."""
-    version, best = (state.get[0], tuple(state.get[1:])) if state.exists else (0, None)
-    for pdf in pdfs:
-        if pdf.empty:
-            continue
-        top = pdf.nlargest(1, ["ts_us", "event_id"]).iloc[0]
-        cand = (int(top["ts_us"]), int(top["event_id"]), str(top["action"]))
-        if best is None or cand[:2] > best[:2]:
-            best = cand
-    version += 1
-    state.update((version, *best))
-    yield pd.DataFrame([(key[0], key[1], version, *best)],
-                       columns=["user_id", "tag", "version", "ts_us", "event_id", "action"])
+# --- T4: profile tags from an action stream ---------------------------------------
 
 
 def run_profile_stream(spark: SparkSession, actions: DataFrame, out_dir: str | None = None) -> str:
-    """``actions`` (user_id, tag, ts, event_id, action in add/del) stream ->
-    latest action per (user, tag), versioned."""
+    """``actions`` (user_id, tag, ts, event_id, action in add/del) stream -> latest action per
+    (user, tag): a streaming aggregate inside the JVM, whose state is the profile (``read_tags``); the
+    pairs that a batch touched are written to ``<out>/touched/batch_id=<n>``."""
     out_dir = out_dir or scratch_path(spark, "stream-profiles")
-    sink = os.path.join(out_dir, "tags")
-    prepared = actions.select("user_id", "tag", "event_id", "action",
-                              F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
-    latest = _best_per_key(prepared, ["user_id", "tag"], ["ts_us", "event_id"], newest=True).groupBy("user_id", "tag").applyInPandasWithState(
-        _tag_fold, TAGS_OUT, TAGS_STATE, "update", GroupStateTimeout.NoTimeout)
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink))
-
-    _drain(latest.writeStream.outputMode("update").foreachBatch(write_batch),
+    last = F.max(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_id", "action")).alias("last")
+    latest = actions.groupBy("user_id", "tag").agg(last).select("user_id", "tag", "last.*")
+    _drain(latest.writeStream.outputMode("update").foreachBatch(_changes_to(os.path.join(out_dir, "touched"))),
            os.path.join(out_dir, "_ckpt"))
-    return sink
+    return out_dir
 
 
-def read_tags(spark: SparkSession, sink: str) -> DataFrame:
+def read_tags(spark: SparkSession, out_dir: str) -> DataFrame:
     """Current tag set per user: tags whose latest action is an add."""
-    t = spark.read.parquet(sink)
-    last = t.groupBy("user_id", "tag").agg(F.max_by("action", "version").alias("action"))
-    return (last.where(F.col("action") == "add").groupBy("user_id")
-            .agg(F.array_sort(F.collect_set("tag")).alias("tags")))
+    return (_state(spark, out_dir).where(F.col("value.max.action") == "add")
+            .groupBy(F.col("key.user_id").alias("user_id")).agg(F.array_sort(F.collect_set("key.tag")).alias("tags")))
