@@ -22,7 +22,7 @@ NAMES = [n for n in E.queries() if n not in STREAMS and n != "word_vectors" and
 WIDE = {"html", "text"}
 USES_WIDE = {"candidate_admissions", "candidate_pool_asof", "latest_candidates", "candidate_expired_count",
              "page_titles", "page_blocks", "page_links", "access_class", "first_write_articles",
-             "clean_text", "br_lines", "recent_reads", "corpus_lines", "corpus_mixed", "vocabulary",
+             "clean_text", "br_lines", "recent_reads", "corpus_lines", "segmented_lines", "corpus_mixed", "vocabulary",
              "nav_links", "page_nodes", "article_paragraphs", "ad_blocks",
              "pool_union", "parse_quarantine", "corpus_files", "saved_vectors",
              *(n for n in E.queries() if n.startswith("site_"))}
