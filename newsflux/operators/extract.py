@@ -1,17 +1,18 @@
-"""Site rules over the ``nodes`` table.
+"""Site rules over tokenised pages.
 
-The reference walks a parse tree per page; here every rule is a DataFrame
-job over ``nodes`` (see ``sources/nodes.py``):
+The reference walks a parse tree per page; here every rule is one column
+expression over a page's array of elements (see ``sources/nodes.py``), so that a
+page is read, ruled and reported in one pass without joining its elements:
 
 * ``find`` / ``find_all``  = filters on tag / classes / id / attributes;
-* "inside a container"     = an equi-join on (page_id, ancestor ord) after
-  exploding each node's ancestor list (bounded by tree depth), never a
-  pairing of nodes within a page;
-* "first match"            = ``min_by(..., ord)`` per container;
-* ordered lists of pieces  = ``array_sort(collect_list(struct(ord, ...)))``
-  per page (bounded by the page).
-
-Class selectors match when the element carries all listed classes.
+* "inside a container"     = elements that list the container's ord among their
+  ancestors;
+* "first match"            = the first element of the filtered array (arrays are
+  in document order);
+* ordered lists of pieces  = the filtered array itself.
+
+Every rule takes trees (one row per page) or element rows, which it gathers
+per page. Class selectors match when the element carries all listed classes.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import text as T
 from ..functions import urls as U
+from ..session import scratch_path
 
 # --- fixed values -----------------------------------------------------------
 CUT_PHRASE = "看全文"             # X10: body text is cut here
@@ -46,157 +48,210 @@ REPORT_IMG_STYLE = "text-align: center;text-indent:0em;"
 BLOCK = "struct<kind:string,text:string,src:string>"
 
 
-def _cond(tag=None, classes: Sequence[str] = (), id=None, attrs: dict | None = None,
-          tag_re: str | None = None) -> Column:
+def trees(nodes: DataFrame) -> DataFrame:
+    """(page_id, nodes) from trees (as they are) or from element rows."""
+    if "nodes" in nodes.columns:
+        return nodes
+    fields = [c for c in nodes.columns if c != "page_id"]
+    by_ord = lambda a, b: a["ord"] - b["ord"]
+    return (nodes.where(F.col("page_id").isNotNull()).groupBy("page_id")
+            .agg(F.collect_list(F.struct(*fields)).alias("nodes")).select("page_id", F.array_sort("nodes", by_ord).alias("nodes")))
+
+
+def _is(n: Column, tag=None, classes: Sequence[str] = (), id=None, attrs: dict | None = None,
+        tag_re: str | None = None) -> Column:
     c = F.lit(True)
     if tag is not None:
-        c = c & (F.col("tag") == tag)
+        c = c & (n["tag"] == tag)
     if tag_re is not None:
-        c = c & F.col("tag").rlike(tag_re)
+        c = c & n["tag"].rlike(tag_re)
     for cl in classes:
-        c = c & F.array_contains("classes", cl)
+        c = c & F.array_contains(n["classes"], cl)
     if id is not None:
-        c = c & (F.col("id") == id)
+        c = c & (n["id"] == id)
     for k, v in (attrs or {}).items():
-        c = c & (F.col("attrs")[k].isNotNull() if v is None else (F.col("attrs")[k] == v))
+        c = c & (n["attrs"][k].isNotNull() if v is None else (n["attrs"][k] == v))
     return c
 
 
-def find_all(nodes: DataFrame, **sel) -> DataFrame:
-    return nodes.where(_cond(**sel))
+def let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` evaluated once, also where it is used inside a lambda."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def find(nodes: DataFrame, **sel) -> DataFrame:
-    """First match per page (``soup.find``)."""
-    m = find_all(nodes, **sel)
-    return (m.groupBy("page_id").agg(F.min_by(F.struct(*[c for c in m.columns if c != "page_id"]), "ord")
-                                     .alias("n"))
-            .select("page_id", "n.*"))
+def every(ns, **sel) -> Column:
+    """The matching elements of an array."""
+    return F.filter(ns, lambda n: _is(n, **sel))
+
+
+def one(ns, **sel) -> Column:
+    """The first matching element, or NULL (``soup.find``)."""
+    return F.get(every(ns, **sel), F.lit(0))
+
+
+def last(ns, **sel) -> Column:
+    return F.try_element_at(every(ns, **sel), F.lit(-1))
+
+
+def under(ns, box: Column) -> Column:
+    """Descendants of the element ``box`` (none when it is NULL)."""
+    return let(box["ord"], lambda o: F.filter(ns, lambda n: F.array_contains(n["anc"], o)))
+
+
+def under_each(ns, boxes: Column) -> Column:
+    """Descendants of every element of ``boxes``, one after the other."""
+    return F.flatten(F.transform(boxes, lambda b: under(ns, b)))
 
 
-def inside(nodes: DataFrame, containers: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Descendants of ``containers`` (rows with page_id, ord); ``keep`` columns
-    of the container come along prefixed ``c_``; ``c_ord`` names the container."""
-    cont = containers.select("page_id", F.col("ord").alias("c_ord"),
-                             *[F.col(k).alias(f"c_{k}") for k in keep])
-    ex = nodes.select("*", F.explode("anc").alias("c_ord"))
-    return ex.join(cont, ["page_id", "c_ord"])
+def once(ns: Column) -> Column:
+    """An array of elements in document order without repeats of an ord."""
+    return let(ns, lambda a: F.filter(a, lambda n, i: (i == 0) | (n["ord"] != F.get(a, i - 1)["ord"])))
 
 
-def first_of(cond: Column, value: Column) -> Column:
-    """Value of the first (lowest ord) row satisfying ``cond`` in a group."""
-    return F.min_by(value, F.when(cond, F.col("ord")))
+def within(ns, container: dict, *more: dict) -> Column:
+    """Descendants of the first ``container``, of the first of the next kind in it, and so on."""
+    found = under(ns, one(ns, **container))
+    for sel in more:
+        found = under(ns, one(found, **sel))
+    return found
 
 
-def last_of(cond: Column, value: Column) -> Column:
-    return F.max_by(value, F.when(cond, F.col("ord")))
+def _rows(t: DataFrame, structs: Column) -> DataFrame:
+    """One row (page_id, fields) per struct of an array."""
+    return t.select("page_id", F.explode(structs).alias("_r")).select("page_id", "_r.*")
+
+
+def _div(*classes: str) -> dict:
+    return {"tag": "div", "classes": list(classes)}
+
+
+def _text(n: Column) -> Column:
+    return T.strip_ws(n["text"])
+
+
+def _src(n: Column) -> Column:
+    return T.strip_ws(n["attrs"]["src"])
+
+
+def find_all(nodes: DataFrame, **sel) -> DataFrame:
+    """Every match as a row."""
+    return trees(nodes).select("page_id", F.inline(every("nodes", **sel)))
+
+
+def find(nodes: DataFrame, **sel) -> DataFrame:
+    """First match per page (``soup.find``) as a row."""
+    return trees(nodes).select("page_id", F.inline(F.slice(every("nodes", **sel), 1, 1)))
 
 
-def has(cond: Column) -> Column:
-    return F.coalesce(F.max(F.when(cond, F.lit(True))), F.lit(False))
+def inside(nodes: DataFrame, **container) -> DataFrame:
+    """Descendants of a page's first matching element as rows."""
+    return trees(nodes).select("page_id", F.inline(within("nodes", container)))
 
 
-def href() -> Column:
-    return F.col("attrs")["href"]
+def href(n: Column) -> Column:
+    return n["attrs"]["href"]
 
 
-def ordered(pieces: Column, ord_col: str = "ord") -> Column:
-    """Aggregate: pieces in document order."""
-    arr = F.array_sort(F.collect_list(F.struct(F.col(ord_col).alias("o"), pieces.alias("v"))))
-    return F.transform(arr, lambda x: x["v"])
+def _none() -> Column:
+    return F.array().cast("array<string>")
 
 
 # --- listings (S5) ----------------------------------------------------------------
 
+def _wallstreet_cards(ns) -> Column:
+    """``div.article.article-item`` cards that hold anything."""
+    def card(c: Column) -> Column:
+        return let(under(ns, c), lambda d: F.struct(
+            c["ord"].alias("item"), F.size(d).alias("size"), href(one(d, tag="a")).alias("sub_url"),
+            _text(one(d, tag="a", classes=["title"])).alias("title"),
+            _text(one(d, tag="a", classes=["content"])).alias("summary"),
+            F.when(F.exists(d, lambda n: _is(n, **_div("left-item"))),
+                   T.strip_ws(F.replace(_text(one(d, **_div("author"))), F.lit(SOURCE_LABEL), F.lit("")))).alias("source")))
+
+    return F.filter(F.transform(once(every(ns, **_div("article", "article-item"))), card), lambda r: r["size"] > 0)
+
+
+def _wallstreet_rows(cards: DataFrame, pages: DataFrame) -> DataFrame:
+    out = cards.join(pages.select("page_id", F.col("url").alias("page_url")), "page_id")
+    return out.select("page_id", "item", "sub_url", U.resolve("sub_url", "page_url").alias("url"), "title", "summary",
+                      "source", F.col("sub_url").startswith("/a").alias("free"))
+
+
 def wallstreet_listing(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     """``div.article.article-item`` cards -> listing rows."""
-    cards = find_all(nodes, tag="div", classes=["article", "article-item"])
-    d = inside(nodes, cards)
-    a = F.col("tag") == "a"
-    rows = d.groupBy("page_id", "c_ord").agg(
-        first_of(a, href()).alias("sub_url"),
-        first_of(a & F.array_contains("classes", "title"), T.strip_ws("text")).alias("title"),
-        first_of(a & F.array_contains("classes", "content"), T.strip_ws("text")).alias("summary"),
-        has((F.col("tag") == "div") & F.array_contains("classes", "left-item")).alias("_left"),
-        first_of((F.col("tag") == "div") & F.array_contains("classes", "author"), F.col("text")).alias("_author"))
-    src = T.strip_ws(F.replace(T.strip_ws("_author"), F.lit(SOURCE_LABEL), F.lit("")))
-    out = rows.join(pages.select("page_id", F.col("url").alias("page_url")), "page_id")
-    return out.select("page_id", F.col("c_ord").alias("item"), "sub_url",
-                      U.resolve("sub_url", "page_url").alias("url"), "title", "summary",
-                      F.when(F.col("_left"), src).alias("source"),
-                      F.col("sub_url").startswith("/a").alias("free"))
+    return _wallstreet_rows(_rows(trees(nodes), _wallstreet_cards("nodes")), pages)
 
 
 def tencent_listing(nodes: DataFrame) -> DataFrame:
     """``div.list.c`` -> each ``li``: category ``[x]`` -> ``x``, link, title."""
-    box = find(nodes, tag="div", classes=["list", "c"])
-    lis = inside(nodes, box).where(F.col("tag") == "li").drop("c_ord")
-    d = inside(nodes, lis)
-    rows = d.groupBy("page_id", "c_ord").agg(
-        first_of((F.col("tag") == "span") & F.array_contains("classes", "t-tit"), T.strip_ws("text")).alias("cate"),
-        first_of(F.col("tag") == "a", href()).alias("url"),
-        first_of(F.col("tag") == "a", T.strip_ws("text")).alias("title"))
-    return rows.select("page_id", F.col("c_ord").alias("item"),
-                       F.expr("substring(cate, 2, length(cate) - 2)").alias("category"), "url", "title")
+    def item(ns: Column, li: Column) -> Column:
+        return let(under(ns, li), lambda d: F.struct(
+            li["ord"].alias("item"), F.size(d).alias("size"),
+            let(_text(one(d, tag="span", classes=["t-tit"])), lambda c: c.substr(F.lit(2), F.length(c) - 2)).alias("category"),
+            href(one(d, tag="a")).alias("url"), _text(one(d, tag="a")).alias("title")))
+
+    rows = _rows(trees(nodes), let(within("nodes", _div("list", "c")), lambda ns: F.transform(
+        once(every(ns, tag="li")), lambda li: item(ns, li))))
+    return rows.where("size > 0").select("page_id", "item", "category", "url", "title")
 
 
 def column_listing(nodes: DataFrame, container_class: str | None = None, tag: str = "div") -> DataFrame:
     """Every ``li`` of every ``div.<class>`` -> its first link, deny-listed out."""
-    boxes = find_all(nodes, tag=tag, classes=[container_class] if container_class else [])
-    lis = inside(nodes, boxes).where(F.col("tag") == "li").drop("c_ord").dropDuplicates(["page_id", "ord"])
-    d = inside(nodes, lis)
-    rows = d.groupBy("page_id", "c_ord").agg(first_of(F.col("tag") == "a", href()).alias("url"))
-    return (rows.where(F.col("url").isNotNull() & U.is_comparable("url"))
-            .select("page_id", F.col("c_ord").alias("item"), "url"))
+    boxes = F.transform(every("nodes", tag=tag, classes=[container_class] if container_class else []), lambda b: b["ord"])
+    lis = let(boxes, lambda os: F.filter("nodes", lambda n: _is(n, tag="li") & F.arrays_overlap(n["anc"], os)))
+    # only links are looked at within an item
+    rows = _rows(trees(nodes), let(every("nodes", tag="a"), lambda links: F.transform(once(lis), lambda li: F.struct(
+        li["ord"].alias("item"), href(F.get(under(links, li), F.lit(0))).alias("url")))))
+    return rows.where(F.col("url").isNotNull() & U.is_comparable("url"))
 
 
 def stock_list(nodes: DataFrame) -> DataFrame:
     """``div.quotebody`` links -> (market, stock_id, stock_name)."""
-    box = find(nodes, tag="div", classes=["quotebody"])
-    links = inside(nodes, box).where((F.col("tag") == "a") & href().isNotNull())
-    code = U.code_from_link(href())
-    return (links.select("page_id", "ord", code.alias("code"), "text")
-            .where(F.length("code") == 8)
+    links = F.filter(within("nodes", _div("quotebody")), lambda n: _is(n, tag="a", attrs={"href": None}))
+    rows = _rows(trees(nodes), F.transform(links, lambda n: F.struct(n["ord"].alias("ord"), U.code_from_link(href(n)).alias("code"),
+                                                                     n["text"].alias("text"))))
+    return (rows.where(F.length("code") == 8)
             .select("page_id", "ord", F.substring("code", 1, 2).alias("stock_market"),
                     F.substring("code", 3, 6).alias("stock_id"),
                     U.name_from_label("text").alias("stock_name")))
 
 
-def titled_links(nodes: DataFrame, container: DataFrame, kind: str, pages: DataFrame) -> DataFrame:
-    """Links with a ``title`` attribute inside ``container``."""
-    links = inside(nodes, container).where((F.col("tag") == "a") & F.col("attrs")["title"].isNotNull())
-    return (links.join(pages.select("page_id", "url"), "page_id")
-            .select("page_id", "ord", F.substring("url", -11, 6).alias("id"),
-                    F.col("attrs")["title"].alias("title"), F.lit(kind).alias("type"),
-                    href().alias("href")))
+def _titled(found: Column, kind: str) -> Column:
+    """The links with a ``title`` attribute among elements."""
+    return F.transform(every(found, tag="a", attrs={"title": None}), lambda n: F.struct(
+        n["ord"].alias("ord"), n["attrs"]["title"].alias("title"), F.lit(kind).alias("type"), href(n).alias("href")))
+
+
+def _titled_links(nodes: DataFrame, links: Column, pages: DataFrame) -> DataFrame:
+    """Titled links with the id in their page's URL."""
+    return (_rows(trees(nodes), links).join(pages.select("page_id", "url"), "page_id")
+            .select("page_id", "ord", F.substring("url", -11, 6).alias("id"), "title", "type", "href"))
 
 
 def fund_links(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     """Fund page -> fund news links (pages without the report box yield nothing, P33)."""
-    report = find(nodes, tag="div", classes=["report"])
-    news = find(inside(nodes, report).drop("c_ord"), tag="div", classes=["news_list", "fl"])
-    return titled_links(nodes, news, "fund_news", pages)
+    return _titled_links(nodes, _titled(within("nodes", _div("report"), _div("news_list", "fl")), "fund_news"), pages)
 
 
 def bond_links(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     """Bond page -> news links and announcement links."""
-    news = find(nodes, tag="div", classes=["news_list", "tabExchangeCon"])
-    anno = find(nodes, tag="div", classes=["news_list", "mL10", "fr"])
-    return titled_links(nodes, news, "bond_news", pages).unionByName(
-        titled_links(nodes, anno, "bond_announce", pages))
+    return _titled_links(nodes, F.concat(
+        _titled(within("nodes", _div("news_list", "tabExchangeCon")), "bond_news"),
+        _titled(within("nodes", _div("news_list", "mL10", "fr")), "bond_announce")), pages)
+
+
+def _boxes(ns, side: str, word: str, other: str | None = None) -> Column:
+    """Boxes of one side of a stock page's layout headed by ``word`` and not by ``other``."""
+    boxes = every(within(ns, _div("layout", "mt10")), **_div(side, "w390", "mb10"))
+    return F.filter(boxes, lambda b: b["text"].contains(word) & (F.lit(True) if other is None else ~b["text"].contains(other)))
 
 
 def stock_page_links(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     """Stock page -> news (left boxes headed by the stock-news word) and
     announcements (right boxes headed by the company-notice word)."""
-    lay = find(nodes, tag="div", classes=["layout", "mt10"])
-    boxes = inside(nodes, lay).where(F.col("tag") == "div").drop("c_ord")
-    left = boxes.where(F.array_contains("classes", "fl") & F.array_contains("classes", "w390")
-                       & F.array_contains("classes", "mb10") & F.col("text").contains(STOCK_NEWS_WORD))
-    right = boxes.where(F.array_contains("classes", "fr") & F.array_contains("classes", "w390")
-                        & F.array_contains("classes", "mb10") & F.col("text").contains(COMPANY_NOTICE_WORD))
-    return titled_links(nodes, left, "stock_news", pages).unionByName(
-        titled_links(nodes, right, "stock_trade_news", pages))
+    return _titled_links(nodes, F.concat(
+        _titled(under_each("nodes", _boxes("nodes", "fl", STOCK_NEWS_WORD)), "stock_news"),
+        _titled(under_each("nodes", _boxes("nodes", "fr", COMPANY_NOTICE_WORD)), "stock_trade_news")), pages)
 
 
 def report_tables(nodes: DataFrame) -> DataFrame:
@@ -204,49 +259,33 @@ def report_tables(nodes: DataFrame) -> DataFrame:
 
     A box headed by the stock-report word (left column, ``table.linehleft.w100p``)
     or the industry-report word (right column, ``table.linehleft.w100p.txtUL``)."""
-    lay = find(nodes, tag="div", classes=["layout", "mt10"])
-    boxes = inside(nodes, lay).where(F.col("tag") == "div").drop("c_ord")
-    left = boxes.where(F.array_contains("classes", "fl") & F.array_contains("classes", "w390")
-                       & ~F.col("text").contains(STOCK_NEWS_WORD) & F.col("text").contains(STOCK_REPORT_WORD))
-    right = boxes.where(F.array_contains("classes", "fr") & F.array_contains("classes", "w390")
-                        & ~F.col("text").contains(COMPANY_NOTICE_WORD)
-                        & F.col("text").contains(INDUSTRY_REPORT_WORD))
-    out = None
-    for box, classes, kind in ((left, ["linehleft", "w100p"], STOCK_REPORT_WORD),
-                               (right, ["linehleft", "w100p", "txtUL"], INDUSTRY_REPORT_WORD)):
-        table = find(inside(nodes, box).drop("c_ord"), tag="table", classes=classes)
-        trs = inside(nodes, table).where(F.col("tag") == "tr").drop("c_ord")
-        tds = inside(nodes, trs, keep=["text"]).where(F.col("tag") == "td")
-        cells = tds.groupBy("page_id", "c_ord").agg(
-            F.count(F.lit(1)).alias("n"), F.first("c_text").alias("row_text"),
-            F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("cells"))
-        cells = cells.where((F.col("n") == 3) & ~F.col("row_text").contains(REPORT_HEADER_WORD))
-        third = F.col("cells")[2]["ord"]
-        inner = inside(nodes, cells.select("page_id", third.alias("ord"), F.col("c_ord").alias("tr")), keep=["tr"])
-        parts = inner.groupBy("page_id", "c_tr").agg(
-            first_of((F.col("tag") == "span") & F.array_contains("classes", "dt"), F.col("text")).alias("time"),
-            first_of(F.col("tag") == "a", F.col("text")).alias("title"),
-            first_of(F.col("tag") == "a", href()).alias("href"))
-        rows = (cells.join(parts, (cells.page_id == parts.page_id) & (cells.c_ord == parts.c_tr))
-                .select(cells.page_id, F.col("c_ord").alias("row"), F.col("cells")[0]["text"].alias("ji_gou"),
-                        F.col("cells")[1]["text"].alias("ping_ji"), "time", "title", "href",
-                        F.lit(kind).alias("type")))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    def row(ns: Column, tr: Column, kind: str) -> Column:
+        def of(tds: Column) -> Column:
+            return let(under(ns, F.get(tds, F.lit(2))), lambda d: F.struct(
+                tr["ord"].alias("row"), F.get(tds, F.lit(0))["text"].alias("ji_gou"), F.get(tds, F.lit(1))["text"].alias("ping_ji"),
+                one(d, tag="span", classes=["dt"])["text"].alias("time"), one(d, tag="a")["text"].alias("title"),
+                href(one(d, tag="a")).alias("href"), F.lit(kind).alias("type"),
+                ((F.size(tds) == 3) & ~tr["text"].contains(REPORT_HEADER_WORD) & (F.size(d) > 0)).alias("kept")))
+        return let(every(under(ns, tr), tag="td"), of)
+
+    def table(ns, boxes: Column, classes: list[str], kind: str) -> Column:
+        # the first table of all boxes in document order
+        tables = every(under_each(ns, boxes), tag="table", classes=classes)
+        first = F.get(F.array_sort(tables, lambda a, b: a["ord"] - b["ord"]), F.lit(0))
+        rows = let(under(ns, first), lambda d: F.transform(once(every(d, tag="tr")), lambda tr: row(d, tr, kind)))
+        return F.filter(rows, lambda r: r["kept"])
+
+    return _rows(trees(nodes), F.concat(
+        table("nodes", _boxes("nodes", "fl", STOCK_REPORT_WORD, STOCK_NEWS_WORD), ["linehleft", "w100p"], STOCK_REPORT_WORD),
+        table("nodes", _boxes("nodes", "fr", INDUSTRY_REPORT_WORD, COMPANY_NOTICE_WORD), ["linehleft", "w100p", "txtUL"],
+              INDUSTRY_REPORT_WORD))).drop("kept")
 
 
 # --- article bodies (S6) ----------------------------------------------------------
 
-def breadcrumb(nodes: DataFrame, container: DataFrame) -> DataFrame:
-    """Link texts of a navigation container, in order."""
-    links = inside(nodes, container).where(F.col("tag") == "a")
-    return links.groupBy("page_id").agg(ordered(F.col("text")).alias("cur_source"))
-
-
-def hexun_breadcrumb(nodes: DataFrame) -> DataFrame:
-    nav = find(nodes, tag="div", classes=["logonav", "clearfix"])
-    links = find(inside(nodes, nav).drop("c_ord"), tag="div", classes=["links"])
-    return breadcrumb(nodes, links)
+def breadcrumb(ns, found: Column) -> Column:
+    """Link texts of a navigation container's elements, in order; NULL without links."""
+    return let(F.transform(every(found, tag="a"), lambda n: n["text"]), lambda c: F.when(F.size(c) > 0, c))
 
 
 def sina_article(nodes: DataFrame, listing: DataFrame | None = None) -> DataFrame:
@@ -254,22 +293,29 @@ def sina_article(nodes: DataFrame, listing: DataFrame | None = None) -> DataFram
     ``#artibody`` (image src, adverts dropped, or non-empty ``p`` text), plus
     source, author, title and category. Pages without the body container are
     not articles (P33)."""
-    body = find(nodes, id="artibody")
-    kids = nodes.join(body.select("page_id", F.col("ord").alias("parent")), ["page_id", "parent"]) \
-        .where(F.col("tag").rlike("^[pd]"))
-    imgs = inside(nodes, kids).where(F.col("tag") == "img")
-    first_img = imgs.groupBy("page_id", "c_ord").agg(first_of(F.lit(True), T.strip_ws(F.col("attrs")["src"])).alias("img"))
-    k = kids.join(first_img.withColumnRenamed("c_ord", "ord"), ["page_id", "ord"], "left")
-    ad = F.lit(False)
-    for w in AD_IMAGE_WORDS:
-        ad = ad | F.col("img").contains(w)
-    piece = (F.when(F.col("img").isNotNull(), F.when(~ad & (F.length("img") > 0), F.col("img")))
-             .when(F.col("tag") == "p", F.when(F.length(T.clean("text")) > 0, T.clean("text"))))
-    blocks = (k.select("page_id", "ord", piece.alias("piece")).where(F.col("piece").isNotNull())
-              .groupBy("page_id").agg(ordered(F.col("piece")).alias("blocks")))
-    meta = _sina_meta(nodes)
-    out = body.select("page_id").join(blocks, "page_id", "left").join(meta, "page_id", "left") \
-        .withColumn("blocks", F.coalesce("blocks", F.array().cast("array<string>")))
+    def piece(imgs: Column, k: Column) -> Column:
+        def of(img: Column) -> Column:
+            ad = F.lit(False)
+            for w in AD_IMAGE_WORDS:
+                ad = ad | img.contains(w)
+            clean = T.clean(k["text"])
+            return (F.when(img.isNotNull(), F.when(~ad & (F.length(img) > 0), img))
+                    .when(k["tag"] == "p", F.when(F.length(clean) > 0, clean)))
+        return let(_src(F.get(under(imgs, k), F.lit(0))), of)
+
+    body = one("nodes", id="artibody")
+    kids = let(body["ord"], lambda o: F.filter("nodes", lambda n: (n["parent"] == o) & n["tag"].rlike("^[pd]")))
+    imgs = every(within("nodes", {"id": "artibody"}), tag="img")
+    blocks = let(imgs, lambda im: F.filter(F.transform(kids, lambda k: piece(im, k)), lambda x: x.isNotNull()))
+    ds = within("nodes", _div("date-source"))
+    ed = _text(one("nodes", tag="p", classes=["article-editor"]))
+    out = trees(nodes).select(
+        "page_id", body.isNotNull().alias("_is"), blocks.alias("blocks"),
+        let(ds, lambda d: F.coalesce(_text(one(d, tag="a", classes=["source"])), _text(one(d, tag="span", classes=["source"]))))
+        .alias("source"),
+        let(ed, lambda e: F.when(F.instr(e, "：") > 0, e.substr(F.instr(e, "：") + 1, F.length(e)))).alias("author"),
+        T.clean(one("nodes", **_div("main-title"))["text"]).alias("page_title"),
+        _text(one(within("nodes", _div("channel-path")), tag="a")).alias("category")).where("_is").drop("_is")
     if listing is not None:
         out = out.join(listing.select("page_id", F.col("title").alias("listing_title")), "page_id", "left")
         out = out.withColumn("title", F.coalesce("page_title", "listing_title")).drop("listing_title")
@@ -278,238 +324,187 @@ def sina_article(nodes: DataFrame, listing: DataFrame | None = None) -> DataFram
     return out
 
 
-def _sina_meta(nodes: DataFrame) -> DataFrame:
-    ds = find(nodes, tag="div", classes=["date-source"])
-    src = inside(nodes, ds).groupBy("page_id").agg(
-        first_of((F.col("tag") == "a") & F.array_contains("classes", "source"), T.strip_ws("text")).alias("a_src"),
-        first_of((F.col("tag") == "span") & F.array_contains("classes", "source"), T.strip_ws("text")).alias("s_src"))
-    editor = find(nodes, tag="p", classes=["article-editor"]).select(
-        "page_id", T.strip_ws("text").alias("ed"))
-    title = find(nodes, tag="div", classes=["main-title"]).select("page_id", T.clean("text").alias("page_title"))
-    chan = find(nodes, tag="div", classes=["channel-path"])
-    cat = inside(nodes, chan).groupBy("page_id").agg(
-        first_of(F.col("tag") == "a", T.strip_ws("text")).alias("category"))
-    pages_ = nodes.select("page_id").distinct()
-    m = (pages_.join(src, "page_id", "left").join(editor, "page_id", "left")
-         .join(title, "page_id", "left").join(cat, "page_id", "left"))
-    author = F.when(F.instr("ed", "：") > 0, F.expr("substring(ed, instr(ed, '：') + 1)"))
-    return m.select("page_id", F.coalesce("a_src", "s_src").alias("source"), author.alias("author"),
-                    "page_title", "category")
+def _wallstreet_body(ns) -> Column:
+    """(pb_time, blocks) of ``div.rich-text``; NULL without it."""
+    time = _text(one(within(ns, _div("info")), tag="time", classes=["meta-item", "time"]))
+
+    def blocks(d: Column) -> Column:
+        return let(every(d, tag="img"), lambda imgs: F.transform(
+            every(d, tag_re="^[ph]"), lambda p: F.coalesce(_src(F.get(under(imgs, p), F.lit(0))), _text(p))))
+
+    return F.when(one(ns, **_div("rich-text")).isNotNull(), F.struct(
+        time.alias("pb_time"), let(within(ns, _div("rich-text")), blocks).alias("blocks")))
 
 
 def wallstreet_article(nodes: DataFrame) -> DataFrame:
     """Publication time and body of ``div.rich-text`` (every ``p*``/``h*``:
     image src when it holds one, else its stripped text; empty kept)."""
-    info = find(nodes, tag="div", classes=["info"])
-    t = inside(nodes, info).groupBy("page_id").agg(
-        first_of((F.col("tag") == "time") & F.array_contains("classes", "meta-item")
-                 & F.array_contains("classes", "time"), T.strip_ws("text")).alias("pb_time"))
-    rich = find(nodes, tag="div", classes=["rich-text"])
-    parts = inside(nodes, rich).where(F.col("tag").rlike("^[ph]")).drop("c_ord")
-    imgs = inside(nodes, parts).where(F.col("tag") == "img").groupBy("page_id", "c_ord").agg(
-        first_of(F.lit(True), T.strip_ws(F.col("attrs")["src"])).alias("img"))
-    k = parts.join(imgs.withColumnRenamed("c_ord", "ord"), ["page_id", "ord"], "left")
-    blocks = k.groupBy("page_id").agg(ordered(F.coalesce("img", T.strip_ws("text"))).alias("blocks"))
-    return rich.select("page_id").join(t, "page_id", "left").join(blocks, "page_id", "left") \
-        .withColumn("blocks", F.coalesce("blocks", F.array().cast("array<string>")))
-
-
-def _p_body(nodes: DataFrame, container: DataFrame) -> DataFrame:
+    return (trees(nodes).select("page_id", _wallstreet_body("nodes").alias("_a")).where("_a IS NOT NULL")
+            .select("page_id", "_a.*"))
+
+
+def _p_body(found: Column) -> Column:
     """Tencent paragraphs: each ``p`` -> its first image src, else its
-    non-empty stripped text."""
-    ps = inside(nodes, container).where(F.col("tag") == "p").drop("c_ord")
-    imgs = inside(nodes, ps).where(F.col("tag") == "img").groupBy("page_id", "c_ord").agg(
-        first_of(F.lit(True), T.strip_ws(F.col("attrs")["src"])).alias("img"))
-    k = ps.join(imgs.withColumnRenamed("c_ord", "ord"), ["page_id", "ord"], "left")
-    piece = F.coalesce("img", F.when(F.length(T.strip_ws("text")) > 0, T.strip_ws("text")))
-    # blank paragraphs give no piece, but a page that has only those still has paragraphs
-    return (k.select("page_id", "ord", piece.alias("piece")).groupBy("page_id")
-            .agg(F.filter(ordered(F.col("piece")), lambda p: p.isNotNull()).alias("blocks")))
+    non-empty stripped text; NULL without paragraphs (blank ones give no piece,
+    but a page that has only those still has paragraphs)."""
+    def piece(imgs: Column, p: Column) -> Column:
+        return F.coalesce(_src(F.get(under(imgs, p), F.lit(0))), F.when(F.length(_text(p)) > 0, _text(p)))
+
+    def body(d: Column) -> Column:
+        return let(every(d, tag="img"), lambda imgs: let(every(d, tag="p"), lambda ps: F.when(
+            F.size(ps) > 0, F.filter(F.transform(ps, lambda p: piece(imgs, p)), lambda x: x.isNotNull()))))
+
+    return let(found, body)
 
 
 def tencent_article(nodes: DataFrame) -> DataFrame:
     """Layout by first match (LEFT, gallery, qq_article,
     other) with per-layout metadata and body; ``other`` is quarantined by
     the caller (``layout = 'other'``)."""
-    pages_ = nodes.select("page_id").distinct()
-    left = find(nodes, tag="div", classes=["LEFT"]).select("page_id", F.col("ord").alias("left_ord"))
-    gallery = find(nodes, tag="div", classes=["gallery"]).select("page_id", F.lit(True).alias("is_gallery"))
-    qq = find(nodes, tag="div", classes=["qq_article"])
-    layout = (pages_.join(left, "page_id", "left").join(gallery, "page_id", "left")
-              .join(qq.select("page_id", F.lit(True).alias("is_qq")), "page_id", "left")
-              .select("page_id", F.when(F.col("left_ord").isNotNull(), "LEFT")
-                      .when(F.col("is_gallery"), "gallery").when(F.col("is_qq"), "qq_article")
-                      .otherwise("other").alias("layout")))
-    # layout 1
-    h1 = inside(nodes, find(nodes, tag="div", classes=["LEFT"])).groupBy("page_id").agg(
-        first_of(F.col("tag") == "h1", T.strip_ws("text")).alias("l1_title"))
-    pbt = find(nodes, attrs={"name": "_pbtime"}).select("page_id", T.strip_ws(F.col("attrs")["content"]).alias("l1_time"))
-    ly = inside(nodes, find(nodes, tag="div", classes=["LeftTool"])).groupBy("page_id").agg(
-        first_of((F.col("tag") == "span") & (F.col("attrs")["data-bosszone"] == "ly"), T.strip_ws("text")).alias("l1_src"))
-    st = inside(nodes, find(nodes, tag="div", classes=["a-src-time"])).groupBy("page_id").agg(
-        first_of(F.col("tag") == "a", T.split_ws(T.strip_ws("text"))).alias("st"))
-    body1 = _p_body(nodes, find(nodes, tag="div", classes=["content-article"])).select(
-        "page_id", F.col("blocks").alias("b1"))
-    # layout 2
-    qd = inside(nodes, qq)
-    hd = find(qd.drop("c_ord"), tag="div", classes=["hd"])
-    l2_title = inside(nodes, hd).groupBy("page_id").agg(first_of(F.col("tag") == "h1", T.strip_ws("text")).alias("l2_title"))
-    info = find(qd.drop("c_ord"), tag="div", classes=["a_Info"])
-    sp = F.col("tag") == "span"
-    l2 = inside(nodes, info).groupBy("page_id").agg(
-        first_of(sp & F.array_contains("classes", "a_source"), T.strip_ws("text")).alias("l2_src"),
-        first_of(sp & F.array_contains("classes", "a_time"), T.strip_ws("text")).alias("l2_time"),
-        first_of(sp & F.array_contains("classes", "a_author"), T.strip_ws("text")).alias("l2_author"),
-        first_of(sp & F.array_contains("classes", "a_catelog"), T.strip_ws("text")).alias("l2_cat"))
-    bd = find(qd.drop("c_ord"), tag="div", classes=["bd"])
-    body2 = _p_body(nodes, bd).select("page_id", F.col("blocks").alias("b2"))
-    cnt = find(inside(nodes, bd).drop("c_ord"), tag="div", classes=["Cnt-Main-Article-QQ"]).select(
-        "page_id", F.split(T.strip_ws(F.coalesce("text_br", "text")), "\n").alias("b2_lines"))
-    j = (layout.join(h1, "page_id", "left").join(pbt, "page_id", "left").join(ly, "page_id", "left")
-         .join(st, "page_id", "left").join(body1, "page_id", "left").join(l2_title, "page_id", "left")
-         .join(l2, "page_id", "left").join(body2, "page_id", "left").join(cnt, "page_id", "left")
-         .join(bd.select("page_id", F.lit(True).alias("has_bd")), "page_id", "left"))
+    ns = "nodes"
+    qq = _div("qq_article")
+    has = lambda *c: one(ns, **_div(*c)).isNotNull()
+    sp = lambda d, c: _text(one(d, tag="span", classes=[c]))
+    j = trees(nodes).select(
+        "page_id", F.when(has("LEFT"), "LEFT").when(has("gallery"), "gallery").when(has("qq_article"), "qq_article")
+        .otherwise("other").alias("layout"),
+        # layout 1
+        _text(one(within(ns, _div("LEFT")), tag="h1")).alias("l1_title"),
+        T.strip_ws(one(ns, attrs={"name": "_pbtime"})["attrs"]["content"]).alias("l1_time"),
+        _text(one(within(ns, _div("LeftTool")), tag="span", attrs={"data-bosszone": "ly"})).alias("l1_src"),
+        T.split_ws(_text(one(within(ns, _div("a-src-time")), tag="a"))).alias("st"),
+        _p_body(within(ns, _div("content-article"))).alias("b1"),
+        # layout 2
+        _text(one(within(ns, qq, _div("hd")), tag="h1")).alias("l2_title"),
+        let(within(ns, qq, _div("a_Info")), lambda d: F.struct(
+            sp(d, "a_source").alias("src"), sp(d, "a_time").alias("time"), sp(d, "a_author").alias("author"),
+            sp(d, "a_catelog").alias("cat"))).alias("l2"),
+        _p_body(within(ns, qq, _div("bd"))).alias("b2"),
+        let(one(within(ns, qq, _div("bd")), **_div("Cnt-Main-Article-QQ")),
+            lambda c: F.split(T.strip_ws(F.coalesce(c["text_br"], c["text"])), "\n")).alias("b2_lines"))
     two = F.size("st") >= 2
     is1, is2 = F.col("layout") == "LEFT", F.col("layout") == "qq_article"
     meta2 = is2 | (F.col("layout") == "gallery")  # a gallery page has the header of layout 2
-    empty = F.array().cast("array<string>")
+    empty = _none()
     return j.select(
         "page_id", "layout",
         F.when(is1, F.col("l1_title")).when(meta2, F.col("l2_title")).alias("title"),
         F.when(is1, F.when(two, F.concat_ws(" ", F.element_at("st", -2), F.element_at("st", -1)))
-               .otherwise(F.col("l1_time"))).when(meta2, F.col("l2_time")).alias("pb_time"),
-        F.when(is1, F.when(two, F.col("st")[0]).otherwise(F.col("l1_src"))).when(meta2, F.col("l2_src")).alias("source"),
-        F.when(meta2, F.col("l2_author")).alias("author"),
-        F.when(meta2, F.col("l2_cat")).alias("category"),
+               .otherwise(F.col("l1_time"))).when(meta2, F.col("l2.time")).alias("pb_time"),
+        F.when(is1, F.when(two, F.col("st")[0]).otherwise(F.col("l1_src"))).when(meta2, F.col("l2.src")).alias("source"),
+        F.when(meta2, F.col("l2.author")).alias("author"),
+        F.when(meta2, F.col("l2.cat")).alias("category"),
         F.when(is1, F.coalesce("b1", empty))
-        .when(is2, F.when(F.col("b2").isNotNull(), F.col("b2"))
-              .when(F.col("has_bd"), F.coalesce("b2_lines", empty)).otherwise(empty))
-        .otherwise(empty).alias("blocks"))
+        .when(is2, F.coalesce("b2", "b2_lines", empty)).otherwise(empty).alias("blocks"))
 
 
-def rich_body(nodes: DataFrame, container: DataFrame, keep_img_without_alt: bool) -> DataFrame:
+def rich_body(ns, container: Column, keep_img_without_alt: bool) -> Column:
     """Paragraphs and ``(alt, src)`` images of ``container`` in document
     order; text before the first paragraph is prepended, text after the last
     appended, and that tail is cut at the cut phrase when present.
-    Images without ``alt`` are skipped, or kept with an empty alt."""
-    d = inside(nodes, container, keep=["text"]).where(F.col("tag").isin("p", "img"))
+    Images without ``alt`` are skipped, or kept with an empty alt. NULL when there
+    are none of either. The container's whole text is cleaned once per page."""
     flat = lambda c: T.remove_newline(T.clean(c))
-    items = d.select(
-        "page_id", "ord", "tag", flat("c_text").alias("all_text"),
-        F.when(F.col("tag") == "p", flat("text")).alias("ptext"),
-        F.when(F.col("tag") == "img", F.when(F.col("attrs")["alt"].isNotNull(), flat(F.col("attrs")["alt"]))
-               .otherwise(F.lit("") if keep_img_without_alt else F.lit(None))).alias("alt"),
-        F.col("attrs")["src"].alias("src"))
-    if not keep_img_without_alt:
-        items = items.where((F.col("tag") == "p") | F.col("alt").isNotNull())
-    agg = items.groupBy("page_id").agg(
-        F.first("all_text").alias("all_text"),
-        F.array_sort(F.collect_list(F.struct("ord", "tag", "ptext", "alt", "src"))).alias("items"))
-    ords = F.transform(F.filter("items", lambda x: x["tag"] == "p"), lambda x: x["ord"])
-    n_p = F.size(ords)
     cut = lambda c: T.strip_ws(F.when(F.instr(c, CUT_PHRASE) > 0, F.substring_index(c, CUT_PHRASE, 1)).otherwise(c))
-
-    def expand(x):
-        text = F.struct(F.lit("text").alias("kind"), x["ptext"].alias("text"), F.lit(None).cast("string").alias("src"))
-        img = F.struct(F.lit("image").alias("kind"), x["alt"].alias("text"), x["src"].alias("src"))
-        first, last = x["ord"] == F.get("p_ords", F.lit(0)), x["ord"] == F.element_at("p_ords", -1)
-        j = F.instr(F.col("all_text"), x["ptext"])
-        before = F.struct(F.lit("text").alias("kind"), F.col("all_text").substr(F.lit(1), j - 1).alias("text"),
-                          F.lit(None).cast("string").alias("src"))
-        # the cut belongs to the piece the last paragraph ends with, whatever images follow it
-        after = F.struct(F.lit("text").alias("kind"),
-                         cut(F.col("all_text").substr(j + F.length(x["ptext"]), F.lit(1 << 30))).alias("text"),
-                         F.lit(None).cast("string").alias("src"))
-        cut_text = F.struct(F.lit("text").alias("kind"), cut(x["ptext"]).alias("text"),
-                            F.lit(None).cast("string").alias("src"))
-        none = F.array().cast(f"array<{BLOCK}>")
-        return (F.when(x["tag"] == "img", F.array(img))
-                .when(first, F.concat(F.when(j > 0, F.array(before)).otherwise(none), F.array(text)))
-                .when(last, F.when(j > 0, F.array(text, after)).otherwise(F.array(cut_text)))
-                .otherwise(F.array(text)))
-
-    pieces = F.flatten(F.transform("items", expand))
-    return (agg.withColumn("p_ords", ords)
-            .select("page_id", pieces.cast(f"array<{BLOCK}>").alias("blocks")))
+    block = lambda kind, text, src: F.struct(F.lit(kind).alias("kind"), text.alias("text"), src.alias("src"))
+    null, none = F.lit(None).cast("string"), F.array().cast(f"array<{BLOCK}>")
+
+    def image(x: Column) -> Column:
+        return F.array(block("image", F.when(x["attrs"]["alt"].isNotNull(), flat(x["attrs"]["alt"])).otherwise(F.lit("")),
+                             x["attrs"]["src"]))
+
+    def edge(x: Column, whole: Column, first: Column) -> Column:
+        def of(both: Column) -> Column:
+            p, j = both["p"], both["j"]
+            before = block("text", whole.substr(F.lit(1), j - 1), null)
+            # the cut belongs to the piece the last paragraph ends with, whatever images follow it
+            after = block("text", cut(whole.substr(j + F.length(p), F.lit(1 << 30))), null)
+            text = block("text", p, null)
+            return (F.when(first, F.concat(F.when(j > 0, F.array(before)).otherwise(none), F.array(text)))
+                    .otherwise(F.when(j > 0, F.array(text, after)).otherwise(F.array(block("text", cut(p), null)))))
+        return let(flat(x["text"]), lambda p: let(F.struct(p.alias("p"), F.instr(whole, p).alias("j")), of))
+
+    def pieces(items: Column, whole: Column) -> Column:
+        def of(ends: Column) -> Column:
+            first, last_ = ends["first"], ends["last"]
+            return F.flatten(F.transform(items, lambda x: F.when(x["tag"] == "img", image(x))
+                                         .when((x["ord"] == first) | (x["ord"] == last_), edge(x, whole, x["ord"] == first))
+                                         .otherwise(F.array(block("text", flat(x["text"]), null)))))
+        return let(F.struct(one(items, tag="p")["ord"].alias("first"), last(items, tag="p")["ord"].alias("last")), of)
+
+    def body(box: Column) -> Column:
+        kept = lambda n: (n["tag"] == "p") | ((n["tag"] == "img")
+                                              & (F.lit(True) if keep_img_without_alt else n["attrs"]["alt"].isNotNull()))
+        return let(F.filter(under(ns, box), kept), lambda items: F.when(
+            F.size(items) > 0, let(flat(box["text"]), lambda whole: pieces(items, whole))).cast(f"array<{BLOCK}>"))
+
+    return let(container, body)
 
 
 def hexun_article(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     """X9/X10/X17/P20 for the Hexun layout; pages without the breadcrumb are skipped."""
-    crumbs = hexun_breadcrumb(nodes)
-    head = find(nodes, tag="div", classes=["layout", "mg", "articleName"]).select(
-        "page_id", T.strip_ws(T.remove_multi_space("text")).alias("head"))
-    body = rich_body(nodes, find(nodes, tag="div", classes=["art_context"]), keep_img_without_alt=False)
     from .headers import parse_header
-    h = parse_header(head, "head")
-    return (crumbs.join(h, "page_id", "left").join(body, "page_id", "left")
+    ns = "nodes"
+    got = trees(nodes).select(
+        "page_id", breadcrumb(ns, within(ns, _div("logonav", "clearfix"), _div("links"))).alias("cur_source"),
+        T.strip_ws(T.remove_multi_space(one(ns, **_div("layout", "mg", "articleName"))["text"])).alias("head"),
+        rich_body(ns, one(ns, **_div("art_context")), keep_img_without_alt=False).alias("blocks"))
+    h = parse_header(got.where("cur_source IS NOT NULL"), "head")
+    return (h.select("page_id", "cur_source", "head", "title", "source", "author", "pb_time", "blocks")
             .join(pages.select("page_id", "url"), "page_id"))
 
 
 def em_article(nodes: DataFrame) -> DataFrame:
     """EastMoney article header and body."""
-    crumbs = breadcrumb(nodes, find(nodes, tag="div", id="Column_Navigation"))
-    left = find(nodes, tag="div", classes=["left-content"])
-    info = find(inside(nodes, left).drop("c_ord"), tag="div", classes=["Info"])
-    di = inside(nodes, info)
-    divc = lambda c: (F.col("tag") == "div") & F.array_contains("classes", c)
-    h = di.groupBy("page_id").agg(
-        first_of(divc("time"), F.col("text")).alias("pb_time"),
-        first_of(divc("source"), F.col("ord")).alias("src_ord"),
-        first_of(divc("source"), F.col("text")).alias("src_text"),
-        first_of(divc("author"), F.col("text")).alias("author"),
-        last_of((F.col("tag") == "span") & F.col("text").contains(EDITOR_WORD), F.col("ord")).alias("ed_span"))
-    src_img = inside(nodes, h.select("page_id", F.col("src_ord").alias("ord")).where("ord is not null")) \
-        .groupBy("page_id").agg(first_of(F.col("tag") == "img", F.col("attrs")["alt"]).alias("src_alt"))
-    ed = inside(nodes, h.select("page_id", F.col("ed_span").alias("ord")).where("ord is not null")) \
-        .groupBy("page_id").agg(first_of(F.col("tag") == "a", F.col("text")).alias("editor"))
-    about = find(inside(nodes, left).drop("c_ord"), tag="div", classes=["AboutCtrl"])
-    sp = (F.col("tag") == "span")
-    cm = inside(nodes, about).groupBy("page_id").agg(
-        first_of(sp & F.array_contains("classes", "cNumShow") & F.array_contains("classes", "num"), F.col("text")).alias("c1"),
-        first_of(sp & F.array_contains("classes", "num") & F.array_contains("classes", "ml5"), F.col("text")).alias("c2"))
-    body = rich_body(nodes, find(nodes, tag="div", id="ContentBody", classes=["Body"]), keep_img_without_alt=True)
-    j = (crumbs.join(h, "page_id", "left").join(src_img, "page_id", "left").join(ed, "page_id", "left")
-         .join(cm, "page_id", "left").join(body, "page_id", "left"))
-    return j.select("page_id", "cur_source", "pb_time",
-                    F.coalesce("src_alt", "src_text").alias("source"),
-                    F.coalesce("author", F.lit("")).alias("author"),
-                    F.coalesce("editor", F.lit("")).alias("editor"),
-                    F.struct(F.coalesce(F.col("c1").try_cast("int"), F.lit(-1)).alias("commenters"),
-                             F.coalesce(F.col("c2").try_cast("int"), F.lit(-1)).alias("participants"))
-                    .alias("comment_list"),
-                    "blocks")
+    ns, left = "nodes", _div("left-content")
+
+    def header(d: Column) -> Column:
+        def of(ends: Column) -> Column:
+            alt = one(under(ns, ends["src"]), tag="img")["attrs"]["alt"]
+            return F.struct(one(d, **_div("time"))["text"].alias("pb_time"), F.coalesce(alt, ends["src"]["text"]).alias("source"),
+                            one(d, **_div("author"))["text"].alias("author"),
+                            one(under(ns, ends["ed"]), tag="a")["text"].alias("editor"))
+        editors = F.filter(d, lambda n: (n["tag"] == "span") & n["text"].contains(EDITOR_WORD))
+        return let(F.struct(one(d, **_div("source")).alias("src"), F.try_element_at(editors, F.lit(-1)).alias("ed")), of)
+
+    def count(d: Column, *classes: str) -> Column:
+        return F.coalesce(one(d, tag="span", classes=classes)["text"].try_cast("int"), F.lit(-1))
+
+    j = trees(nodes).select(
+        "page_id", breadcrumb(ns, within(ns, {"tag": "div", "id": "Column_Navigation"})).alias("cur_source"),
+        let(within(ns, left, _div("Info")), header).alias("h"),
+        let(within(ns, left, _div("AboutCtrl")), lambda d: F.struct(
+            count(d, "cNumShow", "num").alias("commenters"), count(d, "num", "ml5").alias("participants"))).alias("comment_list"),
+        rich_body(ns, one(ns, tag="div", id="ContentBody", classes=["Body"]), keep_img_without_alt=True).alias("blocks"))
+    return j.where("cur_source IS NOT NULL").select(
+        "page_id", "cur_source", "h.pb_time", "h.source", F.coalesce("h.author", F.lit("")).alias("author"),
+        F.coalesce("h.editor", F.lit("")).alias("editor"), "comment_list", "blocks")
 
 
 def announcement(nodes: DataFrame) -> DataFrame:
     """Announcement time, PDF link and content."""
-    content = find(nodes, tag="div", classes=["content"])
-    d = inside(nodes, content)
-    st = F.col("attrs")["style"]
-    return d.groupBy("page_id").agg(
-        first_of((F.col("tag") == "div") & (st == ANNO_TIME_STYLE), F.col("text")).alias("anno_time"),
-        first_of((F.col("tag") == "a") & (st == ANNO_PDF_STYLE), href()).alias("source_pdf_url"),
-        first_of((F.col("tag") == "div") & (st == ANNO_BODY_STYLE), F.col("text")).alias("content"))
+    def styled(d: Column, tag: str, style: str) -> Column:
+        return one(d, tag=tag, attrs={"style": style})
+
+    got = trees(nodes).select("page_id", let(within("nodes", _div("content")), lambda d: F.struct(
+        F.size(d).alias("size"), styled(d, "div", ANNO_TIME_STYLE)["text"].alias("anno_time"),
+        href(styled(d, "a", ANNO_PDF_STYLE)).alias("source_pdf_url"),
+        styled(d, "div", ANNO_BODY_STYLE)["text"].alias("content"))).alias("a"))
+    return got.where("a.size > 0").select("page_id", "a.anno_time", "a.source_pdf_url", "a.content")
 
 
 def research_report(nodes: DataFrame, report_type: DataFrame) -> DataFrame:
     """author = last span of ``div.report-infos``; chart images by type
     (stock report: the centred image with alt; industry report: two charts);
     body as X9 with alt-less images kept. ``report_type``: (page_id, type)."""
-    infos = find(nodes, tag="div", classes=["report-infos"])
-    author = inside(nodes, infos).groupBy("page_id").agg(last_of(F.col("tag") == "span", F.col("text")).alias("author"))
-    rb = find(nodes, tag="div", id="ContentBody", classes=["report-body", "Body"])
-    d = inside(nodes, rb)
-    centred = find(d.drop("c_ord"), tag="p", attrs={"style": REPORT_IMG_STYLE})
-    k_img = inside(nodes, centred).groupBy("page_id").agg(
-        first_of((F.col("tag") == "img") & (F.col("attrs")["border"] == "0"), F.col("attrs")).alias("k"))
-    charts = []
-    for i in (1, 2):
-        box = find(d.drop("c_ord"), tag="div", classes=["report-img-cont", f"img-chart{i}"])
-        charts.append(inside(nodes, box).groupBy("page_id").agg(
-            first_of(F.col("tag") == "img", F.col("attrs")["src"]).alias(f"chart{i}")))
-    body = rich_body(nodes, find(d.drop("c_ord"), tag="div", classes=["newsContent"]), keep_img_without_alt=True)
-    j = (report_type.join(author, "page_id", "left").join(k_img, "page_id", "left")
-         .join(charts[0], "page_id", "left").join(charts[1], "page_id", "left").join(body, "page_id", "left"))
+    ns, body = "nodes", {"tag": "div", "id": "ContentBody", "classes": ["report-body", "Body"]}
+    chart = lambda i: one(within(ns, body, _div("report-img-cont", f"img-chart{i}")), tag="img")["attrs"]["src"]
+    parts = trees(nodes).select(
+        "page_id", last(within(ns, _div("report-infos")), tag="span")["text"].alias("author"),
+        one(within(ns, body, {"tag": "p", "attrs": {"style": REPORT_IMG_STYLE}}), tag="img", attrs={"border": "0"})["attrs"].alias("k"),
+        chart(1).alias("chart1"), chart(2).alias("chart2"),
+        rich_body(ns, one(within(ns, body), **_div("newsContent")), keep_img_without_alt=True).alias("blocks"))
+    j = report_type.join(parts, "page_id", "left")
     stock = F.col("type") == STOCK_REPORT_WORD
     ind = F.col("type") == INDUSTRY_REPORT_WORD
     return (j.where(stock | ind)
@@ -520,6 +515,12 @@ def research_report(nodes: DataFrame, report_type: DataFrame) -> DataFrame:
                     "blocks"))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_with_newlines(nodes: DataFrame, container: DataFrame) -> DataFrame:
     """Container text with each ``<br>`` as a newline, lines stripped."""
     c = container.select("page_id", F.split(F.coalesce("text_br", "text"), "\n").alias("l"))
@@ -533,8 +534,11 @@ def wallstreet_items(nodes: DataFrame, pages: DataFrame, site_word: str = "walls
     cards (``/a…``) take time and body from the article page; premium cards
     (``/premium…``) become ``site + path`` without body; other cards keep their
     URL, without body."""
-    listing = wallstreet_listing(nodes, pages)
-    art = (wallstreet_article(nodes).join(pages.select("page_id", "url"), "page_id")
+    # cards and article of a page in one pass over it, written: both sides of the join read them
+    both = _written(trees(nodes).select("page_id", _wallstreet_cards("nodes").alias("cards"), _wallstreet_body("nodes").alias("article")),
+                    "wallstreet")
+    listing = _wallstreet_rows(_rows(both, F.col("cards")), pages)
+    art = (both.where("article IS NOT NULL").select("page_id", "article.*").join(pages.select("page_id", "url"), "page_id")
            .where(F.col("url").contains(site_word))
            .select(F.col("url").alias("art_url"), "pb_time", "blocks"))
     j = listing.join(art, listing.url == art.art_url, "left")
@@ -554,14 +558,12 @@ def wallstreet_items(nodes: DataFrame, pages: DataFrame, site_word: str = "walls
 def gallery_slides(nodes: DataFrame) -> DataFrame:
     """X15, one slide page: its picture (``div.galleryPic`` first img src)
     followed by the caption paragraphs of ``#contTxt``."""
-    pic = inside(nodes, find(nodes, tag="div", classes=["galleryPic"])).groupBy("page_id").agg(
-        first_of(F.col("tag") == "img", T.strip_ws(F.col("attrs")["src"])).alias("img"))
-    cap = inside(nodes, find(nodes, id="contTxt")).where(F.col("tag") == "p").groupBy("page_id").agg(
-        ordered(T.strip_ws("text")).alias("captions"))
-    j = pic.join(cap, "page_id", "full_outer")
-    empty = F.array().cast("array<string>")
-    return j.select("page_id", F.concat(F.when(F.col("img").isNotNull(), F.array("img")).otherwise(empty),
-                                        F.coalesce("captions", empty)).alias("pieces"))
+    pic = within("nodes", _div("galleryPic"))
+    got = trees(nodes).select(
+        "page_id", let(pic, lambda d: F.struct(F.size(d).alias("n"), _src(one(d, tag="img")).alias("img"))).alias("pic"),
+        F.transform(every(within("nodes", {"id": "contTxt"}), tag="p"), _text).alias("captions"))
+    return got.where("pic.n > 0 OR size(captions) > 0").select(
+        "page_id", F.concat(F.when(F.col("pic.img").isNotNull(), F.array("pic.img")).otherwise(_none()), "captions").alias("pieces"))
 
 
 def gallery_body(slides: DataFrame, slide_pages: DataFrame) -> DataFrame:
@@ -590,7 +592,8 @@ def report_items(listing: DataFrame, nodes: DataFrame, pages: DataFrame) -> Data
     institution, rating, time, title and type come from the table, author, images
     and body from the report page. ``listing`` is the result of ``report_tables``."""
     asked = listing.join(pages.select(F.col("page_id").alias("report_id"), "url"), listing["href"] == F.col("url"))
-    asked = asked.select("report_id", "url", "ji_gou", "ping_ji", "time", "title", "type")
+    # read twice: the listing is not tokenised for both
+    asked = _written(asked.select("report_id", "url", "ji_gou", "ping_ji", "time", "title", "type"), "report-items")
     body = research_report(nodes, asked.select(F.col("report_id").alias("page_id"), "type"))
     return asked.join(body.withColumnRenamed("page_id", "report_id"), "report_id").select(
         "url", "title", "ji_gou", "ping_ji", "time", "type", "author", "img_k_url", "two_img_url", "blocks")

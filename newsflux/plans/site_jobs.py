@@ -38,7 +38,7 @@ def _numbered(rows: DataFrame, by: str, *keep) -> DataFrame:
 def site_wallstreet(spark, sf_dir):
     """Listing cards joined to their article pages."""
     pages = P.wallstreet(Tables(spark, sf_dir))
-    got = X.wallstreet_items(N.written_nodes(pages), pages)
+    got = X.wallstreet_items(N.trees(pages), pages)
     return got.select("title", "summary", "source", "url", "pb_time", _joined().alias("blocks"))
 
 
@@ -47,14 +47,14 @@ def site_sina(spark, sf_dir):
     """Direct children of the body, adverts and blanks dropped."""
     t = Tables(spark, sf_dir)
     listing = t.documents("doc_id").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("Listing "), "doc_id").alias("title"))
-    got = X.sina_article(N.written_nodes(P.sina(t)), listing)
+    got = X.sina_article(N.trees(P.sina(t)), listing)
     return got.select("page_id", "source", "author", "title", "category", _joined().alias("blocks"))
 
 
 @query
 def site_tencent_list(spark, sf_dir):
     """Rolling listing."""
-    got = X.tencent_listing(N.written_nodes(P.tencent_lists(Tables(spark, sf_dir))))
+    got = X.tencent_listing(N.trees(P.tencent_lists(Tables(spark, sf_dir))))
     return _numbered(got, "item", "category", "url", "title")
 
 
@@ -62,9 +62,9 @@ def site_tencent_list(spark, sf_dir):
 def site_tencent(spark, sf_dir):
     """Four layouts; a gallery's body comes from its slide pages."""
     t = Tables(spark, sf_dir)
-    got = X.tencent_article(N.written_nodes(P.tencent(t)))
+    got = X.tencent_article(N.trees(P.tencent(t)))
     slides = P.gallery_slides(t)
-    body = X.gallery_body(X.gallery_slides(N.written_nodes(slides)), slides.select("gallery_id", "slide", "page_id"))
+    body = X.gallery_body(X.gallery_slides(N.trees(slides)), slides.select("gallery_id", "slide", "page_id"))
     return (got.join(body.select(F.col("gallery_id").alias("page_id"), F.col("blocks").alias("slides")), "page_id", "left")
             .select("page_id", "layout", "title", "pb_time", "source", "author", "category",
                     _joined(F.coalesce("slides", "blocks")).alias("blocks")))
@@ -74,7 +74,7 @@ def site_tencent(spark, sf_dir):
 def site_hexun(spark, sf_dir):
     """Body with images in order, edges and the cut phrase."""
     pages = P.hexun(Tables(spark, sf_dir))
-    got = X.hexun_article(N.written_nodes(pages), pages)
+    got = X.hexun_article(N.trees(pages), pages)
     return got.select("page_id", F.array_join("cur_source", MARK).alias("cur_source"), "title", "pb_time", "source", "author",
                       _pieces().alias("blocks"))
 
@@ -82,7 +82,7 @@ def site_hexun(spark, sf_dir):
 @query
 def site_eastmoney(spark, sf_dir):
     """Article header, counts and body."""
-    got = X.em_article(N.written_nodes(P.eastmoney(Tables(spark, sf_dir))))
+    got = X.em_article(N.trees(P.eastmoney(Tables(spark, sf_dir))))
     return got.select("page_id", F.array_join("cur_source", MARK).alias("cur_source"), "pb_time", "source", "author", "editor",
                       "comment_list.commenters", "comment_list.participants", _pieces().alias("blocks"))
 
@@ -90,14 +90,14 @@ def site_eastmoney(spark, sf_dir):
 @query
 def site_announcements(spark, sf_dir):
     """Time, PDF link and content."""
-    return X.announcement(N.written_nodes(P.announcements(Tables(spark, sf_dir))))
+    return X.announcement(N.trees(P.announcements(Tables(spark, sf_dir))))
 
 
 @query
 def site_research(spark, sf_dir):
     """Author, chart images by report type, body with alt-less images."""
     pages = P.research_reports(Tables(spark, sf_dir))
-    got = X.research_report(N.written_nodes(pages), pages.select("page_id", "type"))
+    got = X.research_report(N.trees(pages), pages.select("page_id", "type"))
     return got.select("page_id", "research_report_type", "author", "img_k_url", "img_k_alt",
                       F.array_join("two_img_url", MARK).alias("charts"), _pieces().alias("blocks"))
 
@@ -105,14 +105,14 @@ def site_research(spark, sf_dir):
 @query
 def site_br_text(spark, sf_dir):
     """Container text with br as newline."""
-    nodes = N.written_nodes(P.br_texts(Tables(spark, sf_dir)))
+    nodes = N.trees(P.br_texts(Tables(spark, sf_dir)))
     return X.text_with_newlines(nodes, X.find(nodes, tag="div", classes=["brs"]))
 
 
 @query
 def site_stock_list(spark, sf_dir):
     """Stock-list links."""
-    got = X.stock_list(N.written_nodes(P.stock_lists(Tables(spark, sf_dir))))
+    got = X.stock_list(N.trees(P.stock_lists(Tables(spark, sf_dir))))
     return _numbered(got, "ord", "stock_market", "stock_id", "stock_name")
 
 
@@ -120,28 +120,28 @@ def site_stock_list(spark, sf_dir):
 def site_funds(spark, sf_dir):
     """Fund news links."""
     pages = P.fund_pages(Tables(spark, sf_dir))
-    return _numbered(X.fund_links(N.written_nodes(pages), pages), "ord", "id", "title", "type", "href")
+    return _numbered(X.fund_links(N.trees(pages), pages), "ord", "id", "title", "type", "href")
 
 
 @query
 def site_bonds(spark, sf_dir):
     """Bond news and announcement links."""
     pages = P.bond_pages(Tables(spark, sf_dir))
-    return _numbered(X.bond_links(N.written_nodes(pages), pages), "ord", "id", "title", "type", "href")
+    return _numbered(X.bond_links(N.trees(pages), pages), "ord", "id", "title", "type", "href")
 
 
 @query
 def site_stocks(spark, sf_dir):
     """News and notice links of the stock page's boxes."""
     pages = P.stock_pages(Tables(spark, sf_dir))
-    return _numbered(X.stock_page_links(N.written_nodes(pages), pages), "ord", "id", "title", "type", "href")
+    return _numbered(X.stock_page_links(N.trees(pages), pages), "ord", "id", "title", "type", "href")
 
 
 @query
 def site_reports(spark, sf_dir):
     """Rows of the two report tables, header and short rows dropped."""
     pages = P.stock_pages(Tables(spark, sf_dir))
-    got = X.report_tables(N.written_nodes(pages))
+    got = X.report_tables(N.trees(pages))
     return _numbered(got, "row", "ji_gou", "ping_ji", "time", "title", "href", "type")
 
 
@@ -154,7 +154,7 @@ def site_tencent_items(spark, sf_dir):
     listing = t.documents("doc_id", "lang").select(
         F.concat(F.lit("http://new.example.com/"), F.col("doc_id").cast("string")).alias("url"),
         F.concat(F.lit("Listed "), F.col("doc_id").cast("string")).alias("title"), F.concat(F.lit("cat "), "lang").alias("category"))
-    got = X.tencent_items(X.tencent_article(N.written_nodes(pages)), listing, pages)
+    got = X.tencent_items(X.tencent_article(N.trees(pages)), listing, pages)
     return got.select("url", "layout", "title", "category")
 
 
@@ -163,6 +163,6 @@ def site_report_items(spark, sf_dir):
     """Report-table rows joined to the report pages they lead to."""
     t = Tables(spark, sf_dir)
     listing, reports = P.stock_pages(t), P.reports_of_parts(t)
-    rows = X.report_tables(N.written_nodes(listing))
-    got = X.report_items(rows, N.written_nodes(reports), reports)
+    rows = X.report_tables(N.trees(listing))
+    got = X.report_items(rows, N.trees(reports), reports)
     return got.select("url", "title", "ji_gou", "ping_ji", "time", "type", "author", "img_k_url", _pieces().alias("blocks"))
