@@ -27,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import bound_batches, scratch_path
 
 SAMPLE_ROWS = 20_000
 MAX_LISTS = 1024
 BLOCK_ROWS = 1 << 14
 CHUNK_ROWS = 1 << 14
+#: Cosines that a task holds at once, and rows of readers handed over at once.
+CELLS = 1 << 20
+VISIT_ROWS = 1 << 12
 _SLACK = 1e-9
 
 
@@ -112,12 +115,38 @@ def inverted_lists(units: DataFrame, item: str, c: np.ndarray) -> DataFrame:
     return units.select(item, "unit", nearest("unit").alias("n")).select(item, "unit", "n.*")
 
 
+def best_of_block(left: pa.Table, right: pa.Table, size: int, k: int, item: str, user: str) -> pa.Table:
+    """(user, item, score): the k best items of ``left`` for every reader of ``right``, scored
+    a few readers at a time, so that only ``CELLS`` cosines are held at once."""
+    users, ids, scores = [], [], []
+    if left.num_rows and right.num_rows:
+        of = np.array(left[item].to_pylist())
+        order = np.argsort(of, kind="stable")
+        items, of = _matrix(left["unit"], size)[order], of[order]
+        step = max(1, CELLS // len(of))
+        for at in range(0, right.num_rows, step):
+            some = right.slice(at, step)
+            score = np.round(_matrix(some["unit"], size) @ items.T, 9)
+            for u, s, seen in zip(some[user].to_pylist(), score, some["seen"].to_pylist(), strict=True):
+                if seen:
+                    s[np.isin(of, seen)] = -np.inf
+                first = np.argsort(-s, kind="stable")[:k]
+                first = first[s[first] > -np.inf]
+                users += [u] * len(first)
+                ids.append(of[first])
+                scores.append(s[first])
+    return pa.table({user: pa.array(users, right.schema.field(user).type),
+                     item: pa.array(np.concatenate(ids) if ids else [], left.schema.field(item).type),
+                     "score": pa.array(np.concatenate(scores) if scores else [], pa.float64())})
+
+
 def topk(articles: DataFrame, readers: DataFrame, k: int = 10, item: str = "item_id", user: str = "user_id",
          lists: int | None = None) -> DataFrame:
     """(user, pos, item, score, n_scored) for ``articles`` (item, vector) and ``readers`` (user,
     vector, seen): the k articles of highest cosine that are not in ``seen``. ``n_scored``
     is the number of articles that were scored for the reader."""
     spark = articles.sparkSession
+    bound_batches(spark)
     units, size = _unit(articles.dropDuplicates([item]).select(item, "vector"), item)
     c = centres(units, size, lists)
     stored = _stored(inverted_lists(units, item, c), "ranking-lists")
@@ -152,9 +181,11 @@ def topk(articles: DataFrame, readers: DataFrame, k: int = 10, item: str = "item
                 order = np.argsort(-bound, axis=1, kind="stable")[:, done:done + step]
                 wanted = np.take_along_axis(bound, order, 1) >= kth_[:, None] - _SLACK
                 rows, cols = np.nonzero(wanted)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(i).take(pa.array(rows)) for i in range(3)] + [pa.array(used[order[rows, cols]], pa.int32())],
-                    names=[user, "unit", "seen", "list"])
+                for at in range(0, len(rows), VISIT_ROWS):  # a reader's vector goes to each of the lists
+                    of, to = rows[at:at + VISIT_ROWS], cols[at:at + VISIT_ROWS]
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(i).take(pa.array(of)) for i in range(3)] + [pa.array(used[order[of, to]], pa.int32())],
+                        names=[user, "unit", "seen", "list"])
 
         asked = _stored(who.join(kth, user, "left").select(user, "unit", "seen", "kth")
                         .mapInArrow(visits, f"{user} {user_type}, unit binary, seen array<{item_type}>, list int"), "ranking-visits")
@@ -168,21 +199,7 @@ def topk(articles: DataFrame, readers: DataFrame, k: int = 10, item: str = "item
                   .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.try_element_at(chunks, F.col("list")) - 1))))
 
         def meet(_, left: pa.Table, right: pa.Table) -> pa.Table:
-            users, ids, scores = [], [], []
-            if left.num_rows and right.num_rows:
-                score = np.round(_matrix(right["unit"], size) @ _matrix(left["unit"], size).T, 9)
-                of = left[item].to_pylist()
-                order = np.argsort(np.array(of), kind="stable")
-                score, of = score[:, order], np.array(of)[order]
-                for u, s, seen in zip(right[user].to_pylist(), score, right["seen"].to_pylist(), strict=True):
-                    s = np.where(np.isin(of, seen), -np.inf, s) if seen else s
-                    first = np.argsort(-s, kind="stable")[:k]
-                    first = first[s[first] > -np.inf]
-                    users += [u] * len(first)
-                    ids += of[first].tolist()
-                    scores += s[first].tolist()
-            return pa.table({user: pa.array(users, right.schema.field(user).type), item: pa.array(ids, left.schema.field(item).type),
-                             "score": pa.array(scores, pa.float64())})
+            return best_of_block(left, right, size, k, item, user)
 
         keys = ["list", "block", "chunk"]
         found = (items_.groupBy(*keys).cogroup(readers_.groupBy(*keys))

@@ -75,3 +75,26 @@ def test_user_vector_is_the_sum_of_the_history(spark):
     reads = spark.createDataFrame([(7, 1, 1), (7, 2, 2), (7, 2, 3), (8, 5, 1)], "user_id long, item_id long, pos long")
     got_ = R.user_vectors(reads, a).collect()
     assert [(r.user_id, r.vector, r.seen) for r in got_] == [(7, [1.0, 4.0], [1, 2])]
+
+
+def test_a_block_is_scored_in_slices():
+    import tracemalloc
+
+    import pyarrow as pa
+    from newsflux.operators import ranking as RANK
+    n, size = 4096, 8
+    rng = np.random.default_rng(3)
+    unit = rng.normal(size=(2 * n, size))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    packed = [x.tobytes() for x in unit]
+    left = pa.table({"item_id": pa.array(range(n), pa.int64()), "unit": pa.array(packed[:n], pa.binary())})
+    right = pa.table({"user_id": pa.array(range(n), pa.int64()), "unit": pa.array(packed[n:], pa.binary()),
+                      "seen": pa.array([[i] for i in range(n)], pa.list_(pa.int64()))})
+    tracemalloc.start()
+    got = RANK.best_of_block(left, right, size, 3, "item_id", "user_id")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * n * n // 2  # less than half of the whole matrix of cosines
+    score = np.round(unit[n:] @ unit[:n].T, 9)
+    np.fill_diagonal(score, -np.inf)
+    assert got["item_id"].to_pylist() == np.argsort(-score, axis=1, kind="stable")[:, :3].ravel().tolist()
