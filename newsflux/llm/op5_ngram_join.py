@@ -24,7 +24,9 @@ have met all its members. Of postings that are still mixed after ``HUB_ROUNDS``
 classes are paired. The classes of larger ones are joined by partitions instead of postings, as a posting
 may hold any number of unlike classes: sets that link differ in at most d shingles, so of d + 1 parts of their shingles
 (dealt by hash) at least one is equal in both. Classes of one or two neighbouring size
-bands meet where such a part is equal, which unlike sets hardly ever share; pairs in
+bands meet where such a part is equal, which unlike sets hardly ever share. Near copies that just miss the limit do, so
+classes of a part with more than ``FEW_EQUAL`` members are not paired but taken as one group with those they are tied to by
+such parts, and compared by their deviations from the group's centre (``_by_deviations``). Pairs in
 different components that are not verified yet are verified. So no pair is skipped that could
 join two components: the components are those of the full join.
 
@@ -61,6 +63,12 @@ PARTS = 64
 HUB_ROUNDS = 3
 #: Classes of a mixed posting that are simply paired (so pairs stay within a constant times the postings).
 FEW = 16
+#: Classes of a shared part that are simply paired.
+FEW_EQUAL = 4
+#: Times that groups are split by a shared deviation from their centre before they are paired whatever their size,
+#: and members of a group after a split that is simply paired: positions then exclude nearly all of its pairs.
+SPLITS = 2
+FEW_SPLIT = 256
 
 
 # --- sets --------------------------------------------------------------------
@@ -234,12 +242,12 @@ def parts_of(band: int, bands: np.ndarray, percent: int) -> int:
 
 def _equal_parts(wanted: Broadcast, n: int, percent: int, largest: int):
     bands = size_bands(largest, percent)
-    schema = pa.schema([("node", pa.int64()), ("part", pa.int64())])
+    schema = pa.schema([("node", pa.int64()), ("part", pa.int64()), ("members", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
-            nodes, parts = [], []
+            nodes, parts, members = [], [], []
             for _, s in _sets(batch.column(0), n):
                 node = _identity(s)
                 if not len(s) or node in sent or not wanted.value.has(np.array([node], np.int64))[0]:
@@ -260,12 +268,98 @@ def _equal_parts(wanted: Broadcast, n: int, percent: int, largest: int):
                                 + np.arange(m, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
                     parts.append(key.view(np.int64))
                     nodes.append(np.full(m, node))
+                    # a class's set goes with the first of its parts
+                    members += [s.view(np.int64) if band == own else None] + [None] * (m - 1)
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in
-                                                  zip((nodes, parts), schema.types, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(parts)),
+                                                  pa.array(members, schema.types[2])], schema=schema)
     return run
 
 
+# --- deviations from a centre --------------------------------------------------
+
+_DEVIATION_SCHEMA = "g long, node long, comp long, n long, c int, size int, weight long, tokens array<long>"
+
+
+def _deviations(ranks: Broadcast, percent: int):
+    """What a set lacks of its group's centre and has beyond it, rarest first: as many as a linked set may lack of it, and one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = ranks.value
+        shift = np.uint64(64 - RANK_BITS)
+        for batch in batches:
+            col = {k: batch.column(k) for k in batch.schema.names}
+            out = {"c": [], "size": [], "weight": [], "tokens": []}
+            for n, m, members, centre, held in zip(col["n"].to_pylist(), col["m"].to_pylist(), col["members"], col["centre"],
+                                                   col["held"], strict=True):
+                s, c = (v.values.to_numpy().view(np.uint64) for v in (members, centre))
+                more = s[~np.isin(s, c, assume_unique=True)]
+                lacks = ~np.isin(c, s, assume_unique=True)
+                less = m - held.values.to_numpy()[lacks]  # members that lack it
+                often = np.concatenate([rank[(more >> shift).astype(np.int64)], np.round(6 * np.log2(1 + less))])
+                tokens = np.concatenate([more, C.mix(~c[lacks])])
+                order = np.lexsort((tokens, often))[:n * (100 - percent) // percent + 1]
+                out["c"].append(len(c))
+                out["size"].append(len(tokens))
+                out["weight"].append(100 * int(lacks.sum()) + percent * len(more))
+                out["tokens"].append(tokens[order].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [col["g"], col["node"], col["comp"], col["n"], pa.array(out["c"], pa.int32()), pa.array(out["size"], pa.int32()),
+                 pa.array(out["weight"], pa.int64()), pa.array(out["tokens"], pa.list_(pa.int64()))],
+                names=["g", "node", "comp", "n", "c", "size", "weight", "tokens"])
+    return run
+
+
+def _by_deviations(groups: DataFrame, sets: DataFrame, ranks: Broadcast, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs of a group's classes (g, node, comp, n) that may link, and pairs that do.
+
+    A group's centre C holds the shingles that more than half of its members have; D(x) = x ^ C. As x ^ y = D(x) ^ D(y),
+    linked sets with a common deviation have one among their first d + 1 in any fixed order, its position in either no
+    larger than what that set has beyond the other; near copies deviate by edits of their own, so in a rare-first order few
+    share one. Sets without a common one link exactly if ``w(x) + w(y) <= (100 - percent) |C|`` with
+    ``w = 100 |C - x| + percent |x - C|``, and any sets with that link; then both link with the
+    member of the least w, so a star of these links stands for all of them. The members that share a deviation are a group
+    again: paired if they are few, else split once more around their own centre."""
+    groups = groups.select("g", "node", "comp", "n", F.lit(0).alias("pos"), F.lit(0).alias("size"))
+    pairs = sure = None
+    for split in range(SPLITS + 1):
+        mixed = (groups.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
+                 .where("lo != hi").select("g", "m"))
+        groups = C.stage(groups.join(mixed, "g"), "join-groups")
+        enough = FEW_SPLIT if split else FEW
+        few = groups if split == SPLITS else groups.where(F.col("m") <= enough)
+        x, y = few.alias("x"), few.alias("y")
+        bound = _bytes_bound(percent, F.col("x.n"), F.col("y.n"))
+        apart = F.col("x.size") - F.col("y.size")
+        found = (x.join(y, F.col("x.g") == F.col("y.g"))
+                 .where((F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
+                        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+                        & (2 * F.col("x.pos") <= bound + apart) & (2 * F.col("y.pos") <= bound - apart))
+                 .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+        pairs = found if pairs is None else pairs.union(found)
+        many = groups.where(F.col("m") > enough).select("g", "node", "comp", "n", "m")
+        if split == SPLITS or many.isEmpty():
+            break
+        held = C.stage(many.join(sets, "node"), "join-held")
+        centre = (held.select("g", "m", F.explode("members").alias("token")).groupBy("g", "m", "token").count()
+                  .where(2 * F.col("count") > F.col("m"))  # fewer than twice a member's largest set
+                  .groupBy("g").agg(F.collect_list(F.struct("token", "count")).alias("centre"))
+                  .select("g", F.col("centre.token").alias("centre"), F.col("centre.count").alias("held")))
+        none = F.array().cast("array<long>")
+        own = C.stage(held.join(centre, "g", "left")
+                      .select("g", "node", "comp", "n", "m", "members", F.coalesce("centre", none).alias("centre"),
+                              F.coalesce("held", none).alias("held"))
+                      .mapInArrow(_deviations(ranks, percent), _DEVIATION_SCHEMA), "join-deviations")
+        least = own.groupBy("g").agg(F.min(F.struct("weight", "node", "comp")).alias("least"))
+        close = F.col("weight") + F.col("least.weight") <= (100 - percent) * F.col("c")
+        own = own.join(least, "g")
+        star = own.where(close & (F.col("node") != F.col("least.node"))).select(*_pair(F.col("node"), F.col("least.node")))
+        sure = star if sure is None else sure.union(star)
+        groups = (own.withColumn("comp", F.when(close, F.col("least.comp")).otherwise(F.col("comp")))
+                  .select("g", "node", "comp", "n", "size", F.posexplode("tokens").alias("pos", "token"))
+                  .select(F.xxhash64("g", "token").alias("g"), "node", "comp", "n", "pos", "size"))
+    return pairs, sure
+
+
 # --- filters and verification ------------------------------------------------
 
 def _may_link(percent: int, na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
@@ -368,7 +462,7 @@ def link_components(docs: DataFrame, text: str = "text", n: int = 3, percent: in
     postings = (classes.select(F.posexplode_outer("prefix").alias("pos", "token"), "n", "node")
                 .select("token", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("rank"),
                         "node"))
-    done = links = None
+    done = links = sure = None
     for turn in range(HUB_ROUNDS):
         left = C.stage(_mixed(postings), "join-postings")
         if left.isEmpty():
@@ -403,20 +497,31 @@ def link_components(docs: DataFrame, text: str = "text", n: int = 3, percent: in
         largest = many.agg(F.max("n")).first()[0]
         if largest is not None:
             wanted = spark.sparkContext.broadcast(Bloom.of(many.select("node"), "node"))
-            parts = C.stage(docs.select(text).mapInArrow(_equal_parts(wanted, n, percent, largest), "node long, part long")
-                            .join(many, "node").select("part", "node", "comp", "n").distinct(), "join-parts")
-            shared = (parts.groupBy("part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("part"))
+            held = C.stage(docs.select(text).mapInArrow(_equal_parts(wanted, n, percent, largest),
+                                                        "node long, part long, members array<long>"), "join-parts")
+            sets = C.stage(held.where("members IS NOT NULL").groupBy("node").agg(F.first("members").alias("members")), "join-held")
+            parts = held.select("node", "part").join(many, "node").select("part", "node", "comp", "n").distinct()
+            shared = (parts.groupBy("part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("first"),
+                                                F.count(F.lit(1)).alias("m")).where("lo != hi").select("part", "first", "m"))
             met = C.stage(parts.join(shared, "part"), "join-shared")
-            x, y = met.alias("x"), met.alias("y")
+            equal = met.where(F.col("m") <= FEW_EQUAL)
+            x, y = equal.alias("x"), equal.alias("y")
             near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
             rest = rest.union(x.join(y, F.col("x.part") == F.col("y.part")).where(other & near).select(*ends))
+            tied = components(met.where(F.col("m") > FEW_EQUAL), "first", "node").withColumnRenamed("root", "g")
+            may, sure = _by_deviations(many.distinct().join(tied, "node"), sets, ranks, percent)
+            rest = rest.union(may)
+            if sure is not None:
+                links = sure if links is None else links.union(sure)
         rest = rest.distinct()
         if done is not None:
             rest = rest.join(done, ["a", "b"], "left_anti")
         rest = C.stage(rest, "join-candidates")
-        if not rest.isEmpty():
+        verified = not rest.isEmpty()
+        if verified:
             found = verify(rest)
             links = found if links is None else links.union(found)
+        if verified or sure is not None:
             labels = components(links, "a", "b")
     if links is None:
         grouped = members.withColumn("root", F.col("node"))

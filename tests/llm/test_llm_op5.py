@@ -120,3 +120,43 @@ def test_unlike_texts_of_few_words_are_not_paired(spark, monkeypatch):
         assert got.select("component_id").distinct().count() == n
         totals.append(sum(counts))
     assert totals[1] <= totals[0] * 2 ** 1.3 and totals[1] < 10 * 800
+
+
+def near_misses(n, edits, seed=3):
+    """Texts that differ from one text by a few words of their own: most pairs are just beyond the limit."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(900)}" for _ in range(150)]
+    texts = []
+    for _ in range(n):
+        words = base[:]
+        for _ in range(rng.randint(1, edits)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(900)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_near_copies_beyond_the_limit_are_not_paired(spark, monkeypatch):
+    """Near copies of one text that share equal parts but do not link: candidates grow about as their number."""
+    counts = []
+    verify = op5._Verifier.__call__
+    monkeypatch.setattr(op5._Verifier, "__call__", lambda self, pairs: (counts.append(pairs.count()), verify(self, pairs))[1])
+    totals = []
+    for n in (300, 600):
+        counts.clear()
+        texts = near_misses(n, 4)
+        got = op5.link_components(docs_frame(spark, list(enumerate(texts))), n=3, percent=90)
+        want = groups([shingles(t, 3) for t in texts], 90)
+        assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(want))
+        totals.append(sum(counts))
+    assert totals[1] <= totals[0] * 2 ** 1.5 and totals[1] < 10 * 600
+
+
+@pytest.mark.parametrize("n,percent,splits", [(3, 90, 2), (5, 80, 1), (1, 90, 3)])
+def test_groups_split_by_deviations_keep_every_link(spark, monkeypatch, n, percent, splits):
+    for name, value in (("HUB_ROUNDS", 0), ("FEW", 1), ("FEW_EQUAL", 1), ("FEW_SPLIT", 2), ("SPLITS", splits)):
+        monkeypatch.setattr(op5, name, value)
+    rng = random.Random(n)
+    texts = near_misses(60, 5) + corpus(7)[:60] + [" ".join(rng.choice("abcd") for _ in range(14)) for _ in range(30)]
+    want = groups([shingles(t, n) for t in texts], percent)
+    got = op5.link_components(docs_frame(spark, list(enumerate(texts))), n=n, percent=percent)
+    assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(want))
