@@ -23,7 +23,8 @@ again only while it holds several components, each time without the hubs that
 have met all its members. Of postings that are still mixed after ``HUB_ROUNDS`` those of up to ``FEW``
 classes are paired. The classes of larger ones are joined by partitions instead of postings, as a posting
 may hold any number of unlike classes: sets that link differ in at most d shingles, so of d + 1 parts of their shingles
-(dealt by hash) at least one is equal in both. Classes of one or two neighbouring size
+(dealt by hash) at least one is equal in both. Parts that are empty or hold only frequent shingles are equal in unlike
+sets too, so some more parts are dealt than that, and a set shows only its rarest d + 1. Classes of one or two neighbouring size
 bands meet where such a part is equal, which unlike sets hardly ever share. Near copies that just miss the limit do, so
 classes of a part with more than ``FEW_EQUAL`` members are not paired but taken as one group with those they are tied to by
 such parts, and compared by their deviations from the group's centre (``_by_deviations``). Pairs in
@@ -69,6 +70,9 @@ FEW_EQUAL = 4
 #: and members of a group after a split that is simply paired: positions then exclude nearly all of its pairs.
 SPLITS = 2
 FEW_SPLIT = 256
+#: Members of a group, and shingles, from which a task takes what most of them have, on the way to the group's centre.
+CENTRE_MEMBERS = 64
+CENTRE_SHINGLES = 1 << 20
 
 
 # --- sets --------------------------------------------------------------------
@@ -240,12 +244,22 @@ def parts_of(band: int, bands: np.ndarray, percent: int) -> int:
     return 2 * n * (100 - percent) // (100 + percent) + 1
 
 
-def _equal_parts(wanted: Broadcast, n: int, percent: int, largest: int):
+def spare_parts(keep: int) -> int:
+    """Parts that a set need not show (none if only equal sets link)."""
+    return 0 if keep == 1 else 1 + keep // 4
+
+
+def _equal_parts(wanted: Broadcast, n: int, percent: int, largest: int, ranks: Broadcast | None = None):
+    """The parts by which linked sets meet. Shingles are dealt into more parts than ``parts_of``, so linked sets have as many
+    equal ones more; they share one of the first ``parts_of`` in any order of the parts' contents. Parts without
+    a shingle, or with frequent ones only, are equal in unlike sets and come last."""
     bands = size_bands(largest, percent)
+    shift = np.uint64(64 - RANK_BITS)
     schema = pa.schema([("node", pa.int64()), ("part", pa.int64()), ("members", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
+        rank = None if ranks is None else ranks.value
         for batch in batches:
             nodes, parts, members = [], [], []
             for _, s in _sets(batch.column(0), n):
@@ -257,7 +271,8 @@ def _equal_parts(wanted: Broadcast, n: int, percent: int, largest: int):
                 for band in (own, own + 1):  # as the larger set of a pair, or as one of the band below it
                     if band + 1 >= len(bands):
                         continue
-                    m = parts_of(band, bands, percent)
+                    keep = parts_of(band, bands, percent)
+                    m = keep + spare_parts(keep)
                     mixed = C.mix(s)
                     of = (mixed % np.uint64(m)).astype(np.int64)
                     order = np.argsort(of, kind="stable")  # s is sorted: a part's shingles are in one order
@@ -266,10 +281,13 @@ def _equal_parts(wanted: Broadcast, n: int, percent: int, largest: int):
                     total = run_[held[1:]] - run_[held[:-1]]  # a part's shingles, whatever their order
                     key = C.mix(C.mix(total + np.diff(held).astype(np.uint64)) + np.uint64(band * 0x9E3779B97F4A7C15 % 2**64)
                                 + np.arange(m, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-                    parts.append(key.view(np.int64))
-                    nodes.append(np.full(m, node))
+                    often, full = np.full(m, 256), held[1:] > held[:-1]
+                    if rank is not None:  # a part is as rare as its rarest shingle
+                        often[full] = np.minimum.reduceat(rank[(s[order] >> shift).astype(np.int64)], held[:-1][full])
+                    parts.append(key[np.lexsort((key, held[:-1] - held[1:], often))[:keep]].view(np.int64))
+                    nodes.append(np.full(keep, node))
                     # a class's set goes with the first of its parts
-                    members += [s.view(np.int64) if band == own else None] + [None] * (m - 1)
+                    members += [s.view(np.int64) if band == own else None] + [None] * (keep - 1)
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(parts)),
                                                   pa.array(members, schema.types[2])], schema=schema)
@@ -278,6 +296,30 @@ def _equal_parts(wanted: Broadcast, n: int, percent: int, largest: int):
 
 # --- deviations from a centre --------------------------------------------------
 
+def _majorities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles that more than half of some members of a group have, and how many of them; rows are in order of group and share."""
+    sets, size, at = [], 0, None
+
+    def taken() -> pa.RecordBatch:
+        tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+        most = 2 * counts > len(sets)
+        rows = int(most.sum())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(rows, at[0])), pa.array(np.full(rows, at[1])), pa.array(tokens[most]),
+                                           pa.array(counts[most])], names=["g", "m", "token", "count"])
+
+    for batch in batches:
+        g, m, share, members = (batch.column(k) for k in ("g", "m", "share", "members"))
+        for *here, s in zip(g.to_pylist(), m.to_pylist(), share.to_pylist(), members, strict=True):
+            if sets and (here != at or size > CENTRE_SHINGLES):
+                yield taken()
+                sets, size = [], 0
+            at = here
+            sets.append(s.values.to_numpy())
+            size += len(sets[-1])
+    if sets:
+        yield taken()
+
+
 _DEVIATION_SCHEMA = "g long, node long, comp long, n long, c int, size int, weight long, tokens array<long>"
 
 
@@ -312,7 +354,8 @@ def _deviations(ranks: Broadcast, percent: int):
 def _by_deviations(groups: DataFrame, sets: DataFrame, ranks: Broadcast, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """Pairs of a group's classes (g, node, comp, n) that may link, and pairs that do.
 
-    A group's centre C holds the shingles that more than half of its members have; D(x) = x ^ C. As x ^ y = D(x) ^ D(y),
+    A group's centre C holds shingles that more than half of its members have (counted where more than half of some
+    ``CENTRE_MEMBERS`` have them: what follows holds for any C); D(x) = x ^ C. As x ^ y = D(x) ^ D(y),
     linked sets with a common deviation have one among their first d + 1 in any fixed order, its position in either no
     larger than what that set has beyond the other; near copies deviate by edits of their own, so in a rare-first order few
     share one. Sets without a common one link exactly if ``w(x) + w(y) <= (100 - percent) |C|`` with
@@ -340,7 +383,10 @@ def _by_deviations(groups: DataFrame, sets: DataFrame, ranks: Broadcast, percent
         if split == SPLITS or many.isEmpty():
             break
         held = C.stage(many.join(sets, "node"), "join-held")
-        centre = (held.select("g", "m", F.explode("members").alias("token")).groupBy("g", "m", "token").count()
+        share = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / CENTRE_MEMBERS))
+        centre = (held.select("g", "m", share.alias("share"), "members").repartition("g", "share").sortWithinPartitions("g", "share")
+                  .mapInArrow(_majorities, "g long, m long, token long, count long")
+                  .groupBy("g", "m", "token").agg(F.sum("count").alias("count"))
                   .where(2 * F.col("count") > F.col("m"))  # fewer than twice a member's largest set
                   .groupBy("g").agg(F.collect_list(F.struct("token", "count")).alias("centre"))
                   .select("g", F.col("centre.token").alias("centre"), F.col("centre.count").alias("held")))
@@ -497,7 +543,7 @@ def link_components(docs: DataFrame, text: str = "text", n: int = 3, percent: in
         largest = many.agg(F.max("n")).first()[0]
         if largest is not None:
             wanted = spark.sparkContext.broadcast(Bloom.of(many.select("node"), "node"))
-            held = C.stage(docs.select(text).mapInArrow(_equal_parts(wanted, n, percent, largest),
+            held = C.stage(docs.select(text).mapInArrow(_equal_parts(wanted, n, percent, largest, ranks),
                                                         "node long, part long, members array<long>"), "join-parts")
             sets = C.stage(held.where("members IS NOT NULL").groupBy("node").agg(F.first("members").alias("members")), "join-held")
             parts = held.select("node", "part").join(many, "node").select("part", "node", "comp", "n").distinct()

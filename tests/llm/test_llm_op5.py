@@ -160,3 +160,50 @@ def test_groups_split_by_deviations_keep_every_link(spark, monkeypatch, n, perce
     want = groups([shingles(t, n) for t in texts], percent)
     got = op5.link_components(docs_frame(spark, list(enumerate(texts))), n=n, percent=percent)
     assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(want))
+
+
+def test_unlike_sets_do_not_meet_by_empty_or_frequent_parts(spark):
+    """Parts of a few shingles are often empty, or hold one that many texts have: unlike texts share neither."""
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    class Everything:
+        value = type("All", (), {"has": staticmethod(lambda keys: np.ones(len(keys), bool))})
+
+    passage = " ".join(f"p{i}" for i in range(12))
+    texts = [passage + " " + " ".join(f"w{t}-{i}" for i in range(120)) for t in range(1000)]
+    table = [pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]
+    counts = np.zeros(1 << op5.RANK_BITS, np.int64)
+    for _, s in op5._sets(table[0].column(0), 5):
+        counts += np.bincount((s >> np.uint64(64 - op5.RANK_BITS)).astype(np.int64), minlength=len(counts))
+    ranks = type("Ranks", (), {"value": np.minimum(np.round(6 * np.log2(1 + counts)), 255).astype(np.uint8)})
+    held = Counter()
+    for batch in op5._equal_parts(Everything, 5, 80, 128, ranks)(iter(table)):
+        held.update(batch.column(1).to_pylist())
+    assert max(held.values()) <= 4
+
+
+def test_centres_are_made_of_few_rows_and_links_stay(spark, monkeypatch):
+    """A group's sets are not expanded to find its centre, and the components do not depend on how it is dealt."""
+    rows = []
+    deviations = op5._by_deviations
+
+    def watched(groups, sets, ranks, percent):
+        held = groups.join(sets, "node").select("g", "node", "members")
+        run = (held.selectExpr("g", "1000L AS m", "0L AS share", "members").repartition("g").sortWithinPartitions("g")
+               .mapInArrow(op5._majorities, "g long, m long, token long, count long"))
+        rows.append((held.select("node").count(), run.count()))
+        return deviations(groups, sets, ranks, percent)
+
+    monkeypatch.setattr(op5, "_by_deviations", watched)
+    texts = near_misses(300, 6, seed=8)
+    want = groups([shingles(t, 5) for t in texts], 80)
+    for members, shingles_ in ((64, 1 << 20), (3, 500)):
+        for name, value in (("HUB_ROUNDS", 0), ("FEW", 4), ("FEW_EQUAL", 1), ("FEW_SPLIT", 4), ("CENTRE_MEMBERS", members),
+                            ("CENTRE_SHINGLES", shingles_)):
+            monkeypatch.setattr(op5, name, value)
+        got = op5.link_components(docs_frame(spark, list(enumerate(texts))), n=5, percent=80)
+        assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(want))
+    assert rows[0][0] > 200 and rows[0][1] < 4 * 150
