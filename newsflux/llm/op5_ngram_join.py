@@ -122,27 +122,15 @@ def _count_buckets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << RANK_BITS, np.int64)
         shift = np.uint64(64 - RANK_BITS)
-        waiting, size = [], 0
-
-        def add():
-            nonlocal counts
-            counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=len(counts))
-            waiting.clear()
-
         for batch in batches:
             for _, data, offsets in C.text_blocks(batch.column(0), lower=True):
-                got = (_shingles(data, offsets, n)[0] >> shift).astype(np.uint32)
-                waiting.append(got)
-                size += len(got)
-                if size > 1 << 22:
-                    add()
-                    size = 0
-        if waiting:
-            add()
+                # counted in place: a task holds the counts and one block's shingles
+                np.add.at(counts, (_shingles(data, offsets, n)[0] >> shift).view(np.int64), 1)
         # as planes of single bytes: the higher ones are mostly absent
         rows = {"block": [], "plane": [], "counts": []}
+        planes = counts.astype("<i8", copy=False).view(np.uint8).reshape(-1, 8)
         for plane in range(8):
-            part = (counts >> (8 * plane)).astype(np.uint8).reshape(-1, _BLOCK)
+            part = planes[:, plane].reshape(-1, _BLOCK)
             for b in np.flatnonzero(part.any(axis=1)):
                 rows["block"].append(int(b))
                 rows["plane"].append(plane)
