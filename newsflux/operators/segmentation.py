@@ -4,8 +4,9 @@ A line is split into runs of ideographs, runs of other letters and digits (a wor
 each), white space (a border) and single other characters (a word each). A run of
 ideographs is cut by a dictionary: the words that stand in it are the edges of a
 directed graph over its positions, and the path with the most probable words
-is found by dynamic programming, longest words looked up by the first two
-characters. Characters that the path leaves single and the dictionary does not
+is found by dynamic programming, words looked up by the first two characters and
+the lengths that occur with them. A run is first cut where no word stands across
+two neighbours, so that the parts are short and most were met before. Characters that the path leaves single and the dictionary does not
 know are joined again and cut by a hidden Markov model with four states (first,
 inner and last character of a word, and a word of one character).
 
@@ -16,16 +17,19 @@ or lines with blanks) and are counted by Spark. They are of bounded size: the
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions import text as T
+from ..session import scratch_path
 
 #: Words of a dictionary: more are not sent to the tasks (the rarest are left to the model).
 MAX_WORDS = 1 << 19
@@ -36,6 +40,14 @@ FIRST, INNER, LAST, SINGLE = range(4)
 #: States that may follow each state, and that a run may start or end with.
 NEXT = {FIRST: (INNER, LAST), INNER: (INNER, LAST), LAST: (FIRST, SINGLE), SINGLE: (FIRST, SINGLE)}
 START, END = (FIRST, SINGLE), (LAST, SINGLE)
+#: Parts of runs whose words a task keeps, words that it counts before it hands them on, and bits of the hashes of two neighbouring characters.
+MAX_MET = 1 << 18
+_PAIR_BITS = 20
+
+
+def _pairs(codes: np.ndarray) -> np.ndarray:
+    """A hash of each two neighbours."""
+    return ((codes[:-1] * np.uint32(0x9E3779B1) ^ codes[1:]) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _PAIR_BITS)
 
 
 class Segmenter:
@@ -45,9 +57,16 @@ class Segmenter:
         total = math.log(max(sum(words.values()), 1))
         self.unknown = -total  # the score of a character that is no word: as if met once
         self.words = {w: math.log(n) - total for w, n in words.items()}
-        self.reach: dict[str, int] = {}  # the longest word that begins with these two characters
+        lengths: dict[str, set[int]] = {}  # of the words that begin with these two characters
         for w in words:
-            self.reach[w[:2]] = max(self.reach.get(w[:2], 0), len(w))
+            if len(w) > 1:
+                lengths.setdefault(w[:2], set()).add(len(w))
+        self.lengths = {head: tuple(sorted(n)) for head, n in lengths.items()}
+        # the pairs of characters within words, by hash: others may look so too, never the other way round
+        codes = np.frombuffer("\0".join(words).encode("utf-32-le"), np.uint32)
+        self.inside = np.zeros(1 << _PAIR_BITS, bool)
+        self.inside[_pairs(codes)[(codes[1:] != 0) & (codes[:-1] != 0)]] = True
+        self.met: dict[str, tuple[str, ...] | list[str]] = {}
         # add-one estimates, so that no path is impossible
         chars = {c for _, c in emitted}
         sums = [sum(n for (s, _), n in emitted.items() if s == k) for k in range(4)]
@@ -61,21 +80,29 @@ class Segmenter:
         begin = [sum(moved.get((s, t), 0) for s in END) + 1 for t in START]
         self.start = {t: math.log(n / sum(begin)) for t, n in zip(START, begin, strict=True)}
 
-    def edges(self, run: str, i: int) -> Iterator[tuple[int, float]]:
-        """(end, score) of the words that begin at i; a single character always is one."""
-        yield i + 1, self.words.get(run[i], self.unknown)
-        for j in range(i + 2, min(i + self.reach.get(run[i:i + 2], 0), len(run)) + 1):
-            score = self.words.get(run[i:j])
-            if score is not None:
-                yield j, score
+    def parts(self, run: str) -> list[str]:
+        """The run cut where no word of the dictionary stands across, which every path does too."""
+        codes = np.frombuffer(run.encode("utf-32-le"), np.uint32)
+        cuts = [0, *(np.flatnonzero(~self.inside[_pairs(codes)]) + 1).tolist(), len(run)]
+        return [run[i:j] for i, j in itertools.pairwise(cuts)]
 
     def by_dictionary(self, run: str) -> list[str]:
         """The most probable path; of equal ones the first that ends its words latest."""
-        best, step = [0.0] * (len(run) + 1), [0] * (len(run) + 1)
-        for i in range(len(run) - 1, -1, -1):
-            best[i], step[i] = max((score + best[j], j) for j, score in self.edges(run, i))
+        end, known, lengths = len(run), self.words.get, self.lengths.get
+        best, step = [0.0] * (end + 1), [0] * (end + 1)
+        for i in range(end - 1, -1, -1):
+            # a single character always is a word
+            top, at = known(run[i], self.unknown) + best[i + 1], i + 1
+            for n in lengths(run[i:i + 2], ()):
+                j = i + n
+                if j > end:
+                    break
+                score = known(run[i:j])
+                if score is not None and score + best[j] >= top:
+                    top, at = score + best[j], j
+            best[i], step[i] = top, at
         out, i = [], 0
-        while i < len(run):
+        while i < end:
             out.append(run[i:step[i]])
             i = step[i]
         return out
@@ -108,18 +135,32 @@ class Segmenter:
                 word = ""
         return out
 
+    def of_part(self, part: str) -> tuple[str, ...] | list[str]:
+        """The words of a part, as a list if some are left to the model; those of parts met before are kept."""
+        found = self.met.get(part)
+        if found is None:
+            if len(self.met) >= MAX_MET:
+                self.met.clear()
+            words = self.by_dictionary(part)
+            found = self.met[part] = words if any(len(w) == 1 and w not in self.words for w in words) else tuple(words)
+        return found
+
     def run(self, run: str) -> list[str]:
         out, loose = [], ""
-        for w in [*self.by_dictionary(run), None]:
-            if w is not None and len(w) == 1 and w not in self.words:
-                loose += w
+        for part in self.parts(run):
+            words = self.met.get(part) or self.of_part(part)
+            if not loose and type(words) is tuple:
+                out += words
                 continue
-            if loose:
-                out += self.by_model(loose)
-                loose = ""
-            if w is not None:
+            for w in words:
+                if len(w) == 1 and w not in self.words:
+                    loose += w
+                    continue
+                if loose:
+                    out += self.by_model(loose)
+                    loose = ""
                 out.append(w)
-        return out
+        return out + self.by_model(loose) if loose else out
 
     def cut(self, line: str) -> list[str]:
         out = []
@@ -137,22 +178,50 @@ def _states(word: Column) -> Column:
     return F.transform(chars, lambda c, i: F.struct(state(i).alias("state"), c.alias("char")))
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of the words of ideographs in lines, and (a, b, n) of neighbours: whether each has several characters."""
+    ideographs = re.compile(f"[{IDEOGRAPHS}]+").fullmatch
+    only = re.compile(rf"[{IDEOGRAPHS}\s]*").fullmatch
+    words: Counter[str] = Counter()
+    pairs: Counter[tuple[bool, bool]] = Counter()
+
+    def rows() -> pa.RecordBatch:
+        keys = [*((w, None, None) for w in words), *((None, *p) for p in pairs)]
+        columns = [*zip(*keys, strict=True)] or [()] * 3
+        out = pa.RecordBatch.from_arrays([*map(pa.array, columns, (pa.string(), pa.bool_(), pa.bool_())),
+                                          pa.array([*words.values(), *pairs.values()], pa.int64())], names=["word", "a", "b", "n"])
+        words.clear()
+        pairs.clear()
+        return out
+
+    for batch in batches:
+        for line in batch.column(0).to_pylist():
+            tokens = (line or "").split()
+            if not only(line or ""):
+                tokens = [w for w in tokens if ideographs(w)]
+            words.update(tokens)
+            several = [len(w) > 1 for w in tokens]
+            pairs.update(zip(several, several[1:]))  # noqa: B905
+        if len(words) >= MAX_MET:
+            yield rows()
+    yield rows()
+
+
 def learn(lines: DataFrame, line: str = "line", min_count: int = 1, max_words: int = MAX_WORDS) -> Segmenter:
     """Dictionary and model from lines whose words stand apart by white space."""
-    cut = lines.select(T.split_ws(line).alias("tokens"))
-    words = (A.explode_rows(cut, F.col("tokens"), "word").where(F.col("word").rlike(f"^[{IDEOGRAPHS}]+$"))
-             .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    words = words.where(F.col("n") >= min_count)
+    # one pass over the lines; the counts are read several times
+    path = scratch_path(lines.sparkSession, "segmentation-counts")
+    counted = lines.select(F.col(line).alias("line")).mapInArrow(_count, "word string, a boolean, b boolean, n bigint")
+    counted.groupBy("word", "a", "b").agg(F.sum("n").alias("n")).write.parquet(path)
+    counts = lines.sparkSession.read.schema("word string, a boolean, b boolean, n bigint").parquet(path)
+    words = counts.where(F.col("word").isNotNull() & (F.col("n") >= min_count)).select("word", "n")
     emitted = (A.explode_rows(words, _states(F.col("word")), "s", "n").groupBy("s.state", "s.char").agg(F.sum("n").alias("n")))
     # within words: first -> (inner ->) last; across words: last or single -> first or single
     length = F.char_length
     inside = words.agg(*[F.coalesce(F.sum(F.when(length("word") >= k, F.col("n") * F.greatest(length("word") - m, F.lit(1)))), F.lit(0))
                          .cast("long").alias(name) for name, k, m in (("two", 2, 999), ("three", 3, 999), ("inner", 3, 3))],
                        F.coalesce(F.sum(F.when(length("word") == 3, F.col("n"))), F.lit(0)).cast("long").alias("exact")).first()
-    tokens = F.filter("tokens", lambda w: w.rlike(f"^[{IDEOGRAPHS}]+$"))
-    many = cut.select(F.transform(tokens, lambda w: length(w) > 1).alias("m")).where(F.size("m") > 1)
-    pairs = F.arrays_zip(F.expr("slice(m, 1, size(m) - 1)").alias("a"), F.expr("slice(m, 2, size(m) - 1)").alias("b"))
-    across = A.explode_rows(many, pairs, "p").groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).collect()
+    across = counts.where(F.col("word").isNull()).select("a", "b", "n").collect()  # four rows at most
     moved = {(FIRST, LAST): inside["two"] - inside["three"], (FIRST, INNER): inside["three"], (INNER, LAST): inside["three"],
              (INNER, INNER): inside["inner"] - inside["exact"]}
     moved |= {(LAST if r["a"] else SINGLE, FIRST if r["b"] else SINGLE): r["n"] for r in across}

@@ -84,3 +84,49 @@ def test_learned_counts_and_column(spark):
     got = spark.createDataFrame([("新中国经济",), (None,), ("",), ("经济学家很好",)], "x string").select(cut("x").alias("w")).collect()
     assert [r.w for r in got] == ["新 中国 经济", None, "", "经济学家 很 好"]
     assert set(S.learn(lines, max_words=2).words) == {"中国", "经济"}
+
+
+class _Asked(dict):
+    times = 0
+
+    def get(self, *key):
+        self.times += 1
+        return super().get(*key)
+
+
+def test_a_long_word_does_not_slow_the_others():
+    long_ = "天地" + "人" * 500
+    s = S.Segmenter({long_: 1, "天地": 9, "山水": 9, "天地山": 2}, {}, {})
+    s.words = asked = _Asked(s.words)
+    line = "天地山水" * 200
+    assert s.cut(line) == ["天地", "山水"] * 200
+    assert asked.times <= 5 * len(line)  # not one for every length up to the longest word's
+    asked.times = 0
+    assert s.cut("山水天地" * 200) == ["山水", "天地"] * 200 and asked.times <= 20  # parts met before
+    assert s.cut(long_ + "山水") == [long_, "山水"]
+
+
+def test_parts_are_cut_as_the_whole(monkeypatch):
+    monkeypatch.setattr(S, "MAX_MET", 3)
+    rng = random.Random(8)
+    for _ in range(40):
+        chars = "天地人山水火木金"[:rng.randint(3, 8)]
+        s = S.Segmenter({"".join(rng.choice(chars) for _ in range(rng.randint(1, 4))): rng.randint(1, 500) for _ in range(12)}, {}, {})
+        score = lambda cut: sum(s.words.get(w, s.unknown) for w in cut)  # noqa: B023, E731
+        for _ in range(8):
+            run = "".join(rng.choice(chars + "雷") for _ in range(rng.randint(1, 30)))
+            parts = s.parts(run)
+            assert "".join(parts) == run == "".join(s.run(run))
+            assert score([w for p in parts for w in s.of_part(p)]) == pytest.approx(score(s.by_dictionary(run)), abs=1e-9)
+
+
+def test_counts_are_handed_over_in_parts(spark, monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(S, "MAX_MET", 2)
+    lines = ["中国 经济 abc 好", None, "", "中国 x好 增长\t中国"]
+    got = [r for b in S._count(pa.RecordBatch.from_arrays([pa.array([x], pa.string())], ["line"]) for x in lines) for r in b.to_pylist()]
+    n = {}
+    for r in got:
+        n[r["word"], r["a"], r["b"]] = n.get((r["word"], r["a"], r["b"]), 0) + r["n"]
+    assert n == {("中国", None, None): 3, ("经济", None, None): 1, ("好", None, None): 1, ("增长", None, None): 1,
+                 (None, True, True): 3, (None, True, False): 1}
