@@ -98,3 +98,54 @@ def test_a_block_is_scored_in_slices():
     score = np.round(unit[n:] @ unit[:n].T, 9)
     np.fill_diagonal(score, -np.inf)
     assert got["item_id"].to_pylist() == np.argsort(-score, axis=1, kind="stable")[:, :3].ravel().tolist()
+
+
+def test_a_reader_goes_to_groups_of_lists(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    items = [(i, rng.standard_normal(32).tolist()) for i in range(400)]
+    readers = [(u, rng.standard_normal(32).tolist(), [u]) for u in range(20)]
+    visits, stored = [], R._stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "ranking-visits":
+            visits.append(out.count())
+        return out
+
+    monkeypatch.setattr(R, "_stored", counted)
+    a, r = frames(spark, items, readers)
+    out = R.topk(a, r, 7, lists=16)
+    same(got(out), brute(items, readers, 32, 7))
+    assert {x.n_scored for x in out.select("n_scored").collect()} == {400}  # nothing is left out
+    assert sum(visits) <= 2 * len(readers)  # not a row for each of 16 lists
+
+
+def test_a_block_of_several_lists(monkeypatch):
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    n, m, size, k = 300, 40, 6, 4
+    base = rng.normal(size=(60, size))
+    unit = base[rng.integers(0, 60, n)] / np.linalg.norm(base, axis=1).max()  # equal vectors in other lists
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    users = rng.normal(size=(m, size))
+    users /= np.linalg.norm(users, axis=1)[:, None]
+    ids, lists = rng.permutation(n).astype(str).tolist(), rng.choice([2, 5, 9], n)
+    asked = [rng.choice([2, 5, 7, 9], rng.integers(0, 4), replace=False).tolist() for _ in range(m)]
+    seen = [None if u % 7 == 0 else [*rng.choice(ids, 30).tolist(), None, "not there, and long"] for u in range(m)]
+    score = np.round(users @ unit.T, 9)
+    want = []
+    for u in range(m):
+        mine = sorted((-score[u, i], ids[i]) for i in range(n) if lists[i] in asked[u] and ids[i] not in (seen[u] or []))
+        want += [(u, x, -s) for s, x in mine[:k]]
+    kth = [None] * m
+    left = pa.table({"item_id": ids, "unit": [x.tobytes() for x in unit], "list": pa.array(lists, pa.int32())})
+    for cells in (1 << 20, 50):
+        monkeypatch.setattr(R, "CELLS", cells)
+        right = pa.table({"user_id": range(m), "unit": [x.tobytes() for x in users], "seen": pa.array(seen, pa.list_(pa.string())),
+                          "lists": pa.array(asked, pa.list_(pa.int32())), "kth": pa.array(kth, pa.float64())})
+        found = R.best_of_block(left, right, size, k, "item_id", "user_id").to_pylist()
+        assert [(r["user_id"], r["item_id"]) for r in found] == [w[:2] for w in want]
+        assert all(abs(r["score"] - w[2]) < 1e-12 for r, w in zip(found, want, strict=True))
+        # once more with the bound that a round hands on
+        last = {w[0]: w[2] for w in want}
+        kth = [last.get(u) if u % 2 else None for u in range(m)]
